@@ -20,7 +20,7 @@ from .common import map_rows
 CAP = 5.0  #: most that one word says against a language
 SWITCH = 20.0  #: penalty of a switch: a span needs about five clear words
 GRAMS = 60_000  #: n-grams of the model at most, the most frequent
-SAMPLE = 20_000  #: labelled documents to fit on, expected number
+SAMPLE = 8_000  #: labelled documents to fit on, expected number
 CACHE = 400_000  #: words a worker keeps scores of
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
@@ -73,10 +73,13 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str
 
     def make():
         def work(batch):
-            count: dict[str, Counter] = {}
+            words: dict[str, Counter] = {}
             for g, t in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                c = count.setdefault(g, Counter())
-                for w, k in Counter(letters(t)).items():
+                words.setdefault(g, Counter()).update(letters(t))
+            count = {g: Counter() for g in words}
+            for g, distinct in words.items():
+                c = count[g]
+                for w, k in distinct.items():
                     for x in grams(w):
                         c[x] += k
                     c["\x00" + script(w)] += k
