@@ -6,13 +6,17 @@ and never fall short, so no repeated window is lost. Second pass: windows that t
 and only they, are grouped exactly (by 128 bits of hash) to find where each begins first. Everything a document
 loses is then: its windows estimated repeated, less those that are the first of their words.
 
+A text that also stands in an earlier document loses everything, whatever its windows; such texts are found first by
+their digests, if the table of them is within ``COPIES``, and their windows need no counting. Beyond that bound they
+take the same way as other texts, to the same result.
+
 The sketch has about ``CELLS`` cells for each window, up to ``MOST`` in all: beyond that it stays at a bound that
 tasks can hold, overestimates more, and the exact pass has more windows to group. The result is the same.
 """
 
 from __future__ import annotations
 
-from hashlib import sha256
+from hashlib import md5, sha256
 
 import numpy as np
 import xxhash
@@ -20,14 +24,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, INVERSE, WORD, covered, map_rows, null_safe, powers
+from .common import BASE, INVERSE, WORD, covered, map_rows, powers, stash
 
 WINDOW = 20
 DEPTH = 2  #: rows of the sketch
 CELLS = 2  #: cells of a row for each window expected
 LEAST, MOST = 1 << 22, 1 << 29  #: cells of a row: one bit each once merged, so 128 MB for both rows at most
+COPIES = 2_000_000  #: texts that stand in several documents that tasks are told of at most (about 200 MB as a dict)
 BLOCK = 1 << 22  #: cells of a block
-HELD = 2_000_000  #: windows a task holds before it emits their cells
+HELD = 4_000_000  #: windows a task holds before it emits their cells
 
 
 class Windows:
@@ -64,6 +69,33 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()  # bytes: cuts at space and U+0009 to U+000D only
 
 
+NULL = -(1 << 63)  #: stands for a null key
+
+
+def whole_copies(rows: DataFrame) -> dict[bytes, int]:
+    """digest of a text -> its least document, of the texts that several documents have; none if they are too many."""
+    groups = rows.where(F.col("text").isNotNull()).groupBy(F.md5("text").alias("digest"))
+    found = groups.agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    found = stash(found.select(F.unhex("digest").alias("digest"), "least"), "copies")
+    if found.count() > COPIES:
+        return {}
+    table = found.toArrow()
+    return dict(zip(table["digest"].to_pylist(), table["least"].to_pylist(), strict=True))
+
+
+class Copies:
+    """Whether a document's text also stands in an earlier document."""
+
+    def __init__(self, least: dict[bytes, int]):
+        self.least = least
+
+    def later(self, doc: int, text: str | None) -> bool:
+        if not self.least or text is None:
+            return False
+        least = self.least.get(md5(text.encode(), usedforsecurity=False).digest())
+        return least is not None and least < doc
+
+
 def cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
     """Cell of each window in a row of the sketch."""
     mixed = keys[row] ^ keys[1 - row] >> np.uint64(31)
@@ -81,11 +113,11 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def partition_sketches(docs: DataFrame, width: int) -> DataFrame:
+def partition_sketches(docs: DataFrame, width: int, copies) -> DataFrame:
     """``block, once, again``: for each block of a row, the cells a task has counted, and those counted twice or more."""
 
     def make():
-        hashes, held, count = Windows(), [], [0]
+        hashes, held, count, copy = Windows(), [], [0], Copies(copies.value)
 
         def emit():
             count[0] = 0
@@ -104,7 +136,9 @@ def partition_sketches(docs: DataFrame, width: int) -> DataFrame:
             return out
 
         def work(batch, last=False):
-            for t in () if last else batch["text"].to_pylist():
+            for d, t in () if last else zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                if copy.later(d, t):
+                    continue
                 held.append(hashes.of(split(t)))
                 count[0] += held[-1].shape[1]
                 if count[0] >= HELD:
@@ -114,10 +148,10 @@ def partition_sketches(docs: DataFrame, width: int) -> DataFrame:
 
         return work
 
-    return map_rows(docs.select("text"), "block int, once binary, again binary", make, last=True)
+    return map_rows(docs, "block int, once binary, again binary", make, last=True)
 
 
-def repeated_cells(docs: DataFrame, width: int) -> np.ndarray:
+def repeated_cells(docs: DataFrame, width: int, copies) -> np.ndarray:
     """The merged sketch: one bit a cell, set where the sum of all tasks' counts is two or more."""
 
     def make():
@@ -137,7 +171,7 @@ def repeated_cells(docs: DataFrame, width: int) -> np.ndarray:
         return work
 
     n = DEPTH * width // BLOCK
-    dealt = partition_sketches(docs, width).repartition(n, "block")  # a few blocks of one byte a cell in a task
+    dealt = partition_sketches(docs, width, copies).repartition(n, "block")  # a few blocks of one byte a cell in a task
     bits = np.zeros((n, BLOCK // 8), dtype=np.uint8)
     for b, raw in map_rows(dealt, "block int, bits binary", make, last=True).toLocalIterator():
         bits[b] = np.frombuffer(raw, dtype=np.uint8)
@@ -162,23 +196,28 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", dig
     key are one place: none of them is earlier than the other, so an identical row beside it keeps its words. A null
     key is earlier than any other.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    place = F.coalesce(F.col(key).cast("long"), F.lit(NULL))
+    rows = docs.select(place.alias("doc"), F.col(text).alias("text"))
+    send = docs.sparkSession.sparkContext.broadcast
+    copies = send(whole_copies(rows))
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = LEAST
     while width < MOST and width < CELLS * chars / 6:
         width *= 2
-    sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(rows, width))
+    sketch = send(repeated_cells(rows, width, copies))
 
     def make_candidates():
-        hashes, bits = Windows(), sketch.value
+        hashes, bits, copy = Windows(), sketch.value, Copies(copies.value)
 
         def work(batch):
             parts = []
             for d, t in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                if copy.later(d, t):
+                    continue
                 keys = hashes.of(split(t))
                 at = _estimated(keys, bits, width)
                 if len(at):
-                    parts.append((keys[0, at], keys[1, at], np.full(len(at), -(1 << 63) if d is None else d), at))
+                    parts.append((keys[0, at], keys[1, at], np.full(len(at), d), at))
             if parts:
                 a, b, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield {"a": a.view(np.int64), "b": b.view(np.int64), "doc": doc, "pos": at.astype(np.int32)}
@@ -189,17 +228,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", dig
     # min() of a struct of numbers is merged in each task first: a window in a third of all rows is one row a task
     first = found.groupBy("a", "b").agg(F.min(F.struct("doc", "pos")).alias("x")).select("x.doc", "x.pos")
     firsts = first.groupBy("doc").agg(F.collect_list("pos").alias("firsts"))  # no more than the document has words
-    lowest = F.coalesce("doc", F.lit(-(1 << 63)))
-    joined = rows.withColumn("__k", lowest).join(firsts.withColumnRenamed("doc", "__k"), "__k", "left")
+    joined = rows.join(firsts, "doc", "left")
 
     def make_kept():
-        hashes, bits = Windows(), sketch.value
+        hashes, bits, copy = Windows(), sketch.value, Copies(copies.value)
 
         def work(batch):
             total, gone, kept = [], [], []
-            for t, own in zip(batch["text"].to_pylist(), batch["firsts"], strict=True):
+            for d, t, own in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["firsts"], strict=True):
                 words = split(t)
-                at = _estimated(hashes.of(words), bits, width)
+                if copy.later(d, t):
+                    at = np.arange(len(words) - WINDOW + 1)
+                else:
+                    at = _estimated(hashes.of(words), bits, width)
                 if own.is_valid and len(at):
                     at = np.setdiff1d(at, own.values.to_numpy(), assume_unique=True)
                 n = 0
@@ -216,4 +257,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", dig
         return work
 
     out = map_rows(joined.select("doc", "text", "firsts"), "doc bigint, n_words bigint, n_removed bigint, kept string", make_kept)
-    return out.select(F.col("doc").alias(key), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "kept"))
+    return out.select(F.nullif("doc", F.lit(NULL)).alias(key), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "kept"))
