@@ -32,7 +32,7 @@ CELLS = 2  #: cells of a row for each window expected
 LEAST, MOST = 1 << 22, 1 << 29  #: cells of a row: one bit each once merged, so 128 MB for both rows at most
 COPIES = 2_000_000  #: texts that stand in several documents that tasks are told of at most (about 200 MB as a dict)
 BLOCK = 1 << 22  #: cells of a block
-HELD = 4_000_000  #: windows a task holds before it emits their cells
+HELD = 3_000_000  #: windows a task holds before it emits their cells
 
 
 class Windows:
