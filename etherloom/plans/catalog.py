@@ -1,4 +1,134 @@
 """Registered queries of the capture analytics and the SQL that checks them."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from etherloom.operators import fieldstats as S
+from etherloom.operators import fingerprint as P
+from etherloom.operators import validate as V
+
+from . import adapters as A
+
+QUERIES: dict[str, Callable] = {}
+ORACLE: dict[str, str] = {}
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Counts as bigint, measures rounded to six places: what both engines can agree on."""
+    kinds = {"double": lambda c: F.round(c, 6), "int": lambda c: c.cast("long")}
+    return df.select(*[kinds[t](F.col(c)).alias(c) if t in kinds else F.col(c) for c, t in df.dtypes])
+
+
+def _add(name: str, query: Callable, sql: str | None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _rounded(query(spark, sf_dir))
+    if sql:
+        ORACLE[name] = sql
+
+
+def _field(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    _add(name, lambda s, d: f(A.event_joint(s, d)), A.SQL + sql)
+
+
+def _with_devices(name: str, f: Callable, sql: str) -> None:
+    _add(name, lambda s, d: f(A.event_joint(s, d), A.event_requests(s, d).select("device")), A.SQL + sql)
+
+
+_B = "CAST({} AS BIGINT)"
+_field("field_distribution", S.distribution,
+       "SELECT field, value, CAST(sum(n) AS BIGINT) AS n, round(CAST(sum(n) AS DOUBLE) / (SELECT sum(n) FROM joint j WHERE j.field = joint.field), 6) AS share FROM joint GROUP BY field, value")
+_field("value_device_k", S.value_devices, "SELECT * FROM kv")
+_field("k_summary", S.k_summary, "SELECT field, k, count(*) AS n_values FROM kv GROUP BY ALL")
+_field("uniqueness_score", S.uniqueness, "SELECT field, round(avg(1.0::DOUBLE / k), 6) AS score FROM kv GROUP BY ALL")
+_MINK = "SELECT field, device, min(k) AS min_k FROM obs JOIN kv USING (field, value) GROUP BY ALL"
+_field("device_min_k", S.device_min_k, _MINK)
+_field("device_k_cumulative", S.device_k_cumulative,
+       f"""SELECT a.field, a.k, CAST(count(*) AS BIGINT) AS n_devices, round(100.0::DOUBLE * count(*) / max(b.t), 6) AS percent
+       FROM (SELECT DISTINCT field, min_k AS k FROM ({_MINK})) a JOIN ({_MINK}) m ON m.field = a.field AND m.min_k <= a.k
+       JOIN (SELECT field, count(*) AS t FROM ({_MINK}) GROUP BY ALL) b ON b.field = a.field GROUP BY a.field, a.k""")
+_field("field_cardinality", S.field_cardinality, "SELECT field, count(DISTINCT value) AS n_values FROM obs GROUP BY ALL")
+_DC = "SELECT field, device, count(DISTINCT value) AS n_values FROM obs GROUP BY ALL"
+_field("device_cardinality", S.device_cardinality, _DC)
+_field("cardinality_histogram", S.cardinality_histogram,
+       f"SELECT field, n_values, count(*) AS n_devices, round(100.0::DOUBLE * count(*) / (SELECT count(DISTINCT device) FROM obs), 6) AS percent FROM ({_DC}) GROUP BY field, n_values")
+_field("cardinality_matrix", lambda j: S.cardinality_matrix(j, A.FIELDS),
+       """SELECT device, count(DISTINCT value) FILTER (field = 'EVENT') AS "EVENT", count(DISTINCT value) FILTER (field = 'PROPS') AS "PROPS",
+       count(DISTINCT value) FILTER (field = 'BUCKET') AS "BUCKET" FROM obs GROUP BY device""")
+_with_devices("affected_devices", S.affected_devices,
+              "SELECT field, count(DISTINCT device) FILTER (value <> 'NULL') AS n_devices, round(100.0::DOUBLE * count(DISTINCT device) FILTER (value <> 'NULL') / (SELECT count(DISTINCT device) FROM pr), 6) AS percent FROM obs GROUP BY field")
+_field("representative_value", S.representative_value,
+       "SELECT field, device, value, n FROM (SELECT *, row_number() OVER (PARTITION BY field, device ORDER BY n DESC, value) AS r FROM joint) WHERE r = 1")
+_ST = "SELECT field, device, max(n)::DOUBLE / sum(n) AS stability FROM joint GROUP BY ALL"
+_with_devices("stability_device", S.stability_by_device, f"SELECT field, device, round(stability, 6) AS stability FROM ({_ST})")
+_with_devices("stability_global", S.stability, f"SELECT field, round(avg(stability), 6) AS stability FROM ({_ST}) GROUP BY field")
+_field("value_to_label", S.value_labels, "SELECT field, value, array_to_string(list_sort(list(DISTINCT device)), ', ') AS labels FROM obs GROUP BY ALL")
+_field("topn_other", S.top_and_other,
+       """SELECT field, CASE WHEN r <= 15 THEN value ELSE 'OTHER' END AS value, CAST(sum(n) AS BIGINT) AS n FROM (
+       SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS r FROM (SELECT field, value, sum(n) AS n FROM joint GROUP BY ALL)) GROUP BY ALL""")
+_add("frames_rollup", lambda s, d: S.frames_rollup(A.event_requests(s, d)),
+     A.SQL + "SELECT device, mac, CAST(sum(n_frames) AS BIGINT) AS n_frames FROM pr GROUP BY ROLLUP (device, mac)")
+# independent forms: conditional sums and the double sum of the mutual information
+_field("ie_mutual_information", S.information, """, x AS (
+  SELECT field, sum(n) AS t FROM joint GROUP BY ALL), nx AS (SELECT field, value, sum(n)::DOUBLE AS n FROM joint GROUP BY ALL),
+ny AS (SELECT field, device, sum(n)::DOUBLE AS n FROM joint GROUP BY ALL),
+hx AS (SELECT field, sum(-n / t * log2(n / t)) AS h FROM nx JOIN x USING (field) GROUP BY field),
+hy AS (SELECT field, sum(-n / t * log2(n / t)) AS h FROM ny JOIN x USING (field) GROUP BY field),
+mi AS (SELECT j.field, sum(j.n / t * log2(j.n * t / (nx.n * ny.n))) AS i, sum(-j.n / t * log2(j.n / ny.n)) AS xy, sum(-j.n / t * log2(j.n / nx.n)) AS yx
+  FROM joint j JOIN nx ON j.field = nx.field AND j.value = nx.value JOIN ny ON j.field = ny.field AND j.device = ny.device JOIN x ON j.field = x.field GROUP BY j.field)
+SELECT field, round(hx.h, 6) AS h_value, round(hy.h, 6) AS h_device, round(xy, 6) AS h_value_given_device, round(yx, 6) AS h_device_given_value,
+  round(i, 6) AS mi, round(CASE WHEN least(hx.h, hy.h) > 0 THEN i / least(hx.h, hy.h) ELSE 0 END, 6) AS nmi
+FROM mi JOIN hx USING (field) JOIN hy USING (field)""")
+
+
+def _prints(s, d) -> DataFrame:
+    return P.request_fingerprints(A.event_requests(s, d), ["EVENT", "BUCKET"])
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.withColumn("fp", F.array_join("fp", "|"))
+
+
+def _common(s, d) -> DataFrame:
+    return P.most_common(_prints(s, d))
+
+
+_MC = "SELECT device, f, n FROM (SELECT device, f, count(*) AS n, row_number() OVER (PARTITION BY device ORDER BY count(*) DESC, replace(f, '|', ''', ''')) AS r FROM fp GROUP BY device, f) WHERE r = 1"
+_add("device_fingerprints", lambda s, d: _shown(P.device_fingerprints(_prints(s, d))), A.SQL + "SELECT DISTINCT device, f AS fp FROM fp")
+_add("most_common_fingerprint", lambda s, d: _shown(_common(s, d)), A.SQL + f"SELECT device, f AS fp, n FROM ({_MC})")
+_add("mac_anonymity", lambda s, d: P.anonymity(_prints(s, d), "mac"),
+     A.SQL + "SELECT x AS set_size, CAST(sum(x) AS BIGINT) AS n_members FROM (SELECT f, count(DISTINCT mac) AS x FROM fp GROUP BY f) GROUP BY x")
+_add("device_anonymity", lambda s, d: P.anonymity(_common(s, d), "device"),
+     A.SQL + f"SELECT x AS set_size, CAST(sum(x) AS BIGINT) AS n_members FROM (SELECT f, count(DISTINCT device) AS x FROM ({_MC}) GROUP BY f) GROUP BY x")
+_add("fp_sharing", lambda s, d: P.sharing(P.device_fingerprints(_prints(s, d))),
+     A.SQL + "SELECT x AS set_size, count(*) AS n_fingerprints FROM (SELECT f, count(DISTINCT device) AS x FROM fp GROUP BY f) GROUP BY x")
+
+
+def _clusters(name: str, f: Callable, sql: str) -> None:
+    for noise, suffix, where in ((False, "", "AND cluster <> -1"), (True, "_with_noise", "")):
+        def query(s, d, noise=noise):
+            clusters, labels = A.customer_clusters(s, d)
+            return f(V.contingency(clusters, labels, noise), clusters, labels)
+
+        _add(name + suffix, query, A.CK_SQL.format(noise=where) + sql)
+
+
+_clusters("purity_cluster", lambda ck, *_: V.purity(ck), "SELECT cluster::BIGINT AS cluster, nk::BIGINT AS size, mk AS n_majority, lk AS n_labels, round(mk::DOUBLE / nk, 6) AS purity FROM k")
+_clusters("purity_summary", lambda ck, *_: V.purity_summary(ck), "SELECT count(*) AS n_clusters, round(avg(mk::DOUBLE / nk), 6) AS macro_purity, round(sum(mk)::DOUBLE / sum(nk), 6) AS weighted_purity, CAST(count(*) FILTER (lk = 1) AS BIGINT) AS n_pure FROM k")
+_clusters("fragmentation", lambda ck, _, labels: V.fragmentation(ck, labels),
+          "SELECT l.label::BIGINT AS label, coalesce(nc, 0)::BIGINT AS n_detected, coalesce(kc, 0) AS n_clusters, coalesce(mc, 0) AS best_count, round(coalesce(mc::DOUBLE / nc, 0), 6) AS best_recall FROM (SELECT DISTINCT label FROM m WHERE label IS NOT NULL) l LEFT JOIN c ON c.label = l.label")
+_PW = "SELECT (SELECT sum(n * (n - 1) / 2) FROM ck) AS tp, (SELECT sum(nk * (nk - 1) / 2) FROM k) AS pk, (SELECT sum(nc * (nc - 1) / 2) FROM c) AS pc"
+_clusters("pairwise", lambda ck, *_: V.pairwise(ck), f"SELECT tp::BIGINT AS tp, (pk - tp)::BIGINT AS fp, (pc - tp)::BIGINT AS fn, round(tp::DOUBLE / pk, 6) AS p, round(tp::DOUBLE / pc, 6) AS r, round(2.0::DOUBLE * tp / (pk + pc), 6) AS f1 FROM ({_PW})")
+_BC = "SELECT sum(n::DOUBLE * n / nk) / max(total) AS p, sum(n::DOUBLE * n / nc) / max(total) AS r FROM ck JOIN k USING (cluster) JOIN c USING (label), t"
+_clusters("bcubed", lambda ck, *_: V.bcubed(ck), f"SELECT round(p, 6) AS p, round(r, 6) AS r, round(2 * p * r / (p + r), 6) AS f1 FROM ({_BC})")
+for _side, _own in (("cluster", "nk"), ("label", "nc")):
+    _clusters(f"best_match_{_side}", lambda ck, *_, side=_side: V.best_match(ck, side),
+              f"SELECT {_side}::BIGINT AS {_side}, max({_own})::BIGINT AS size, round(max(2.0::DOUBLE * n / (nk + nc)), 6) AS score FROM ck JOIN k USING (cluster) JOIN c USING (label) GROUP BY {_side}")
+_clusters("v_measure", lambda ck, *_: V.v_measure(ck), """, h AS (SELECT (SELECT sum(-n::DOUBLE / total * ln(n::DOUBLE / nk)) FROM ck JOIN k USING (cluster), t) AS ck_,
+  (SELECT sum(-n::DOUBLE / total * ln(n::DOUBLE / nc)) FROM ck JOIN c USING (label), t) AS kc_, (SELECT sum(-nc::DOUBLE / total * ln(nc::DOUBLE / total)) FROM c, t) AS hc, (SELECT sum(-nk::DOUBLE / total * ln(nk::DOUBLE / total)) FROM k, t) AS hk)
+SELECT round(1 - ck_ / hc, 6) AS homogeneity, round(1 - kc_ / hk, 6) AS completeness, round(2 * (1 - ck_ / hc) * (1 - kc_ / hk) / ((1 - ck_ / hc) + (1 - kc_ / hk)), 6) AS v, round(ck_ + kc_, 6) AS vi FROM h""")
+_clusters("ari", lambda ck, *_: V.adjusted_rand(ck), f"SELECT round((tp - e) / ((pk + pc) / 2.0::DOUBLE - e), 6) AS ari FROM (SELECT tp, pk, pc, pk::DOUBLE * pc / (total * (total - 1) / 2) AS e FROM ({_PW}), t)")
+_clusters("misassigned", lambda ck, clusters, labels: V.misassigned(clusters, labels, ck),
+          ", w AS (SELECT cluster, label AS expected FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS r FROM ck) WHERE r = 1) SELECT mac, label::BIGINT AS label, cluster::BIGINT AS cluster, expected::BIGINT AS expected FROM e JOIN w USING (cluster) WHERE label <> expected")
