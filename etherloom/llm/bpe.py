@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import regex
@@ -137,7 +136,14 @@ class Codec:
         return sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
 
 
-codec = lru_cache(maxsize=2)(Codec)  #: one a worker process, however many tasks it runs
+_OPEN: dict[str, Codec] = {}
+
+
+def codec(path: str) -> Codec:
+    """One a worker process, however many tasks it runs."""
+    if path not in _OPEN:
+        _OPEN[path] = Codec(path)
+    return _OPEN[path]
 
 
 def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
