@@ -116,22 +116,22 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     np.cumsum(scores - scores[:, best : best + 1], axis=0, out=gains[1:])
     if (gains - np.minimum.accumulate(gains, axis=0)).max() <= switch / 2:
         return np.full(n, best)
-    come = np.empty((n, k), dtype=np.int32)
-    rows, value, labels = scores.tolist(), scores[0].tolist(), range(k)
-    for i in range(1, n):
+    rows, labels, come = scores.tolist(), range(k), []
+    value = rows[0]
+    for row in rows[1:]:
         top = max(value)
-        at = value.index(top)
-        row, nxt = rows[i], []
-        for j in labels:
-            stay = value[j] >= top - switch
-            come[i, j] = j if stay else at
-            nxt.append((value[j] if stay else top - switch) + row[j])
-        value = nxt
-    path = np.empty(n, dtype=int)
-    path[-1] = value.index(max(value))
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = come[i, path[i]]
-    return path
+        floor = top - switch
+        if min(value) >= floor:  # nobody gains by a switch here
+            come.append(labels)
+            value = [v + r for v, r in zip(value, row)]
+        else:
+            at = value.index(top)
+            come.append([j if v >= floor else at for j, v in zip(labels, value)])
+            value = [(v if v >= floor else floor) + r for v, r in zip(value, row)]
+    path = [value.index(max(value))]
+    for step in reversed(come):
+        path.append(step[path[-1]])
+    return np.array(path[::-1])
 
 
 class Scorer:
