@@ -116,50 +116,80 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     np.cumsum(scores - scores[:, best : best + 1], axis=0, out=gains[1:])
     if (gains - np.minimum.accumulate(gains, axis=0)).max() <= switch / 2:
         return np.full(n, best)
-    rows, labels, come = scores.tolist(), range(k), []
-    value = rows[0]
-    for row in rows[1:]:
-        top = max(value)
-        floor = top - switch
-        if min(value) >= floor:  # nobody gains by a switch here
-            come.append(labels)
-            value = [v + r for v, r in zip(value, row)]
-        else:
-            at = value.index(top)
-            come.append([j if v >= floor else at for j, v in zip(labels, value)])
-            value = [(v if v >= floor else floor) + r for v, r in zip(value, row)]
-    path = [value.index(max(value))]
-    for step in reversed(come):
-        path.append(step[path[-1]])
-    return np.array(path[::-1])
+    # Blocks of equal length run side by side: first from every label a block may be entered with, then, once the
+    # values at the block borders are known, with back pointers. Rows of zeros fill the last block and change nothing.
+    length = max(16, int(n**0.5))
+    blocks = -(-n // length)
+    steps = np.zeros((length, blocks, k))
+    padded = np.zeros((blocks * length, k))
+    padded[:n] = scores
+    steps[:] = padded.reshape(blocks, length, k).swapaxes(0, 1)
+    through = np.tile(np.where(np.eye(k, dtype=bool), 0.0, -np.inf), (blocks, 1, 1))
+    for row in steps:
+        through = np.maximum(through, through.max(axis=2, keepdims=True) - switch) + row[:, None, :]
+    value = np.zeros((blocks, k))
+    for b in range(1, blocks):
+        value[b] = (value[b - 1][:, None] + through[b - 1]).max(axis=0)
+    labels = np.arange(k)
+    come = np.empty((length, blocks, k), dtype=np.int64)
+    for t, row in enumerate(steps):
+        floor = value.max(axis=1, keepdims=True) - switch
+        come[t] = np.where(value >= floor, labels, value.argmax(axis=1)[:, None])
+        value = np.maximum(value, floor) + row
+    ends = np.empty((length, blocks, k), dtype=np.int64)  # label of each word, for each label that its block may end with
+    at = np.tile(labels, (blocks, 1))
+    for t in range(length - 1, -1, -1):
+        ends[t] = at
+        at = np.take_along_axis(come[t], at, axis=1)
+    path = np.empty((blocks, length), dtype=np.int64)
+    last = int(value[-1].argmax())
+    for b in range(blocks - 1, -1, -1):
+        path[b] = ends[:, b, last]
+        last = int(at[b, last])
+    return path.reshape(-1)[:n]
 
 
 class Scorer:
     """Word scores of a model, kept for the words seen, in a table that is emptied at CACHE words."""
 
+    SLICE = 4096  #: new words scored at once, which bounds the n-grams held
+
     def __init__(self, model: dict):
-        self.langs, self.grams, self.logs, self.scripts = model["langs"], model["grams"], model["logs"], model["scripts"]
+        self.langs, self.grams, self.scripts = model["langs"], model["grams"], model["scripts"]
+        self.logs = np.vstack([model["logs"].reshape(-1, len(self.langs)), np.zeros((1, len(self.langs)))])  # last: no n-gram
         self.seen: dict[str, int] = {}
         self.table = np.empty((1 << 14, len(self.langs)))
 
-    def _number(self, word: str) -> int:
-        n = len(self.seen)
-        if n == len(self.table):
+    def _learn(self, words: list[str]) -> None:
+        """Score new words together: their n-grams lie in one array, a word's share of it is summed."""
+        n, get, none = len(self.seen), self.grams.get, len(self.logs) - 1
+        while n + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        known = [i for g in grams(word) if (i := self.grams.get(g)) is not None]
-        score = self.logs[known].sum(axis=0) if known else np.zeros(len(self.langs))
-        use = self.scripts.get(script(word))
-        if use is not None and use.any():
-            score = np.where(use, score, -np.inf)
-        self.table[n] = np.maximum(score - score.max(), -CAP)
-        self.seen[word] = n
-        return n
+        flat, starts = [], []
+        for w in words:
+            starts.append(len(flat))
+            flat.append(none)
+            flat += [i for g in grams(w) if (i := get(g)) is not None]
+        score = np.add.reduceat(self.logs[flat], starts)
+        by_script: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            by_script.setdefault(script(w), []).append(i)
+        for name, rows in by_script.items():
+            use = self.scripts.get(name)
+            if use is not None and use.any():
+                score[np.ix_(rows, ~use)] = -np.inf
+        self.table[n : n + len(words)] = np.maximum(score - score.max(axis=1, keepdims=True), -CAP)
+        self.seen.update(zip(words, range(n, n + len(words))))
 
     def scores(self, words: list[str]) -> np.ndarray:
         if len(self.seen) > CACHE:
             self.seen.clear()
-        get = self.seen.get
-        at = [i if (i := get(w)) is not None else self._number(w) for w in words]
+        at = list(map(self.seen.get, words))
+        if None in at:
+            new = [w for w in dict.fromkeys(words) if w not in self.seen]
+            for i in range(0, len(new), self.SLICE):
+                self._learn(new[i : i + self.SLICE])
+            at = list(map(self.seen.get, words))
         return self.table[at]
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
