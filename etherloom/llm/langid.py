@@ -156,7 +156,7 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.langs, self.grams, self.scripts = model["langs"], model["grams"], model["scripts"]
-        self.logs = np.vstack([model["logs"].reshape(-1, len(self.langs)), np.zeros((1, len(self.langs)))])  # last: no n-gram
+        self.logs = np.vstack([model["logs"], np.zeros((1, len(self.langs)))])  # last: no n-gram
         self.seen: dict[str, int] = {}
         self.table = np.empty((1 << 14, len(self.langs)))
 
