@@ -106,3 +106,45 @@ def misassigned(clusters: DataFrame, labels: DataFrame, ck: DataFrame) -> DataFr
 
 def missing_labelled(clusters: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.where("label IS NOT NULL").join(clusters, "mac", "left_anti")
+
+
+def log_factorial(k: Column) -> Column:
+    """ln(k!): exact up to 20, Stirling's series beyond, which is good to 1e-13 there."""
+    x = k.cast("double")
+    series = x * F.ln(x) - x + F.ln(2 * F.pi() * x) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(k <= 20, F.ln(F.factorial(k.cast("int")).cast("double"))).otherwise(series)
+
+
+def adjusted_mutual_information(ck: DataFrame) -> DataFrame:
+    """``emi, mi, ami`` in nats, adjusted by the mean of the two entropies; 1 where both sides are one group.
+
+    The expectation is over distinct pairs of margins, of which there are at most 2N however many the groups are.
+    """
+    n, t = F.col("n"), F.col("total")
+    sizes = lambda key, m: ck.groupBy(key).agg(F.max(m).alias(m), F.max("total").alias("total")).groupBy(m).agg(
+        F.count("*").alias(f"{m}_times"), F.max("total").alias(f"{m}_total")
+    )
+    nk, nc, all_ = F.col("nk"), F.col("nc"), F.col("nk_total")
+    cells = sizes("cluster", "nk").crossJoin(sizes("label", "nc")).withColumn("x", F.explode(F.sequence(F.greatest(F.lit(1), nk + nc - all_), F.least(nk, nc))))
+    x, lf = F.col("x"), log_factorial
+    chance = F.exp(lf(nk) + lf(nc) + lf(all_ - nk) + lf(all_ - nc) - lf(all_) - lf(x) - lf(nk - x) - lf(nc - x) - lf(all_ - nk - nc + x))
+    expected = cells.agg(F.sum(F.col("nk_times") * F.col("nc_times") * x / all_ * F.ln(all_ * x / (nk * nc)) * chance).alias("emi"))
+    seen = ck.agg(
+        F.sum(n / t * F.ln(t * n / (nk * nc))).alias("mi"), (F.sum(-n / t * F.ln(nk / t)) + F.sum(-n / t * F.ln(nc / t))).alias("h2"),
+    )
+    room = F.col("h2") / 2 - F.col("emi")
+    ami = F.when(F.abs(room) < 1e-15, 1.0).otherwise((F.col("mi") - F.col("emi")) / room)
+    return expected.join(seen).select("emi", "mi", ami.alias("ami"))  # one row each
+
+
+def worst_clusters(ck: DataFrame, top: int = 10) -> DataFrame:
+    return purity(ck).orderBy("purity", F.desc("size"), "cluster").limit(top)
+
+
+def most_fragmented(ck: DataFrame, labels: DataFrame, top: int = 10) -> DataFrame:
+    """Labels with a member, in the most clusters first, then the least recall."""
+    return fragmentation(ck, labels).where("n_detected > 0").orderBy(F.desc("n_clusters"), "best_recall", "label").limit(top)
+
+
+def weakest_match(ck: DataFrame, side: str, top: int = 10) -> DataFrame:
+    return best_match(ck, side).orderBy("score", side).limit(top)

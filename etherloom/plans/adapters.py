@@ -69,3 +69,38 @@ k AS (SELECT cluster, sum(n) AS nk, max(n) AS mk, count(*) AS lk FROM ck GROUP B
 c AS (SELECT label, sum(n) AS nc, max(n) AS mc, count(*) AS kc FROM ck GROUP BY ALL),
 t AS (SELECT sum(n) AS total FROM ck)
 """
+
+
+MATRIX_KINDS = {"HEX": "hex_bit", "RATES": "data_rates"}
+
+
+def nation_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as addresses, customers as their requests: a balance as hexadecimal field, and those of builders as a set."""
+    c = table(spark, sf_dir, "customer")
+    hexed = F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(F.floor(F.abs("c_acctbal") / 100).cast("long"))), 4, "0"))
+    rate = F.when(F.col("c_mktsegment") == "BUILDING", F.floor(F.col("c_acctbal") / 1000).cast("string"))
+    each = F.array(
+        F.struct(F.lit("HEX").alias("field"), F.coalesce(hexed, F.lit(observe.NULL)).alias("value")),
+        F.struct(F.lit("RATES").alias("field"), F.coalesce(rate, F.lit(observe.NULL)).alias("value")),
+    )
+    return c.select(F.col("c_nationkey").cast("long").alias("mac"), F.col("c_custkey").alias("pr_ord"), F.inline(each))
+
+
+def scenarios(spark: SparkSession) -> DataFrame:
+    return spark.sql(
+        "SELECT * FROM VALUES ('both', map('HEX', 1.0D)), ('bits', map('HEX', 1.0D, 'RATES', 0.0D)), ('mixed', map('HEX', 2.0D, 'RATES', 0.5D)) AS (scenario, weights)"
+    )
+
+
+UNIT_SQL = """
+WITH h AS (SELECT c_nationkey::BIGINT AS mac, CAST(floor(abs(c_acctbal) / 100) AS BIGINT) AS v, count(*) AS n FROM customer GROUP BY ALL),
+r AS (SELECT c_nationkey::BIGINT AS mac, list(DISTINCT floor(c_acctbal / 1000)) FILTER (c_mktsegment = 'BUILDING') AS s FROM customer GROUP BY ALL),
+u AS (
+  SELECT 'HEX' AS field, a.mac AS i, b.mac AS j, sum(a.n * b.n * bit_count(xor(a.v, b.v)) / 16.0::DOUBLE) / sum(a.n * b.n) AS unit
+  FROM h a JOIN h b ON a.mac <= b.mac GROUP BY a.mac, b.mac
+  UNION ALL
+  SELECT 'RATES', a.mac, b.mac, CASE WHEN a.s IS NULL AND b.s IS NULL THEN 0.0 WHEN a.s IS NULL OR b.s IS NULL THEN 1.0
+    ELSE len(a.s) + len(b.s) - 2 * len(list_intersect(a.s, b.s)) END::DOUBLE FROM r a JOIN r b ON a.mac <= b.mac
+), w AS (SELECT * FROM (VALUES ('both', 'HEX', 1.0::DOUBLE), ('both', 'RATES', 1.0), ('bits', 'HEX', 1.0), ('bits', 'RATES', 0.0), ('mixed', 'HEX', 2.0), ('mixed', 'RATES', 0.5)) AS t (scenario, field, w)),
+d AS (SELECT scenario, i, j, greatest(sum(w * unit), 0) AS distance FROM u JOIN w USING (field) GROUP BY ALL)
+"""

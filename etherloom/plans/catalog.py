@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from etherloom.operators import fieldstats as S
 from etherloom.operators import fingerprint as P
+from etherloom.operators import matrix as M
 from etherloom.operators import validate as V
 
 from . import adapters as A
@@ -132,3 +133,24 @@ SELECT round(1 - ck_ / hc, 6) AS homogeneity, round(1 - kc_ / hk, 6) AS complete
 _clusters("ari", lambda ck, *_: V.adjusted_rand(ck), f"SELECT round((tp - e) / ((pk + pc) / 2.0::DOUBLE - e), 6) AS ari FROM (SELECT tp, pk, pc, pk::DOUBLE * pc / (total * (total - 1) / 2) AS e FROM ({_PW}), t)")
 _clusters("misassigned", lambda ck, clusters, labels: V.misassigned(clusters, labels, ck),
           ", w AS (SELECT cluster, label AS expected FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS r FROM ck) WHERE r = 1) SELECT mac, label::BIGINT AS label, cluster::BIGINT AS cluster, expected::BIGINT AS expected FROM e JOIN w USING (cluster) WHERE label <> expected")
+_clusters("ami", lambda ck, *_: V.adjusted_mutual_information(ck), """, g AS (SELECT nk, nc, total AS t, unnest(range(greatest(1, nk + nc - total)::BIGINT, least(nk, nc)::BIGINT + 1)) AS x FROM k, c, t),
+em AS (SELECT sum(x / t::DOUBLE * ln(t::DOUBLE * x / (nk * nc)) * exp(lgamma(nk + 1) + lgamma(nc + 1) + lgamma(t - nk + 1) + lgamma(t - nc + 1) - lgamma(t + 1) - lgamma(x + 1) - lgamma(nk - x + 1) - lgamma(nc - x + 1) - lgamma(t - nk - nc + x + 1))) AS emi FROM g),
+se AS (SELECT sum(n / total::DOUBLE * ln(total::DOUBLE * n / (nk * nc))) AS mi, sum(-n / total::DOUBLE * (ln(nk / total::DOUBLE) + ln(nc / total::DOUBLE))) AS h2 FROM ck JOIN k USING (cluster) JOIN c USING (label), t)
+SELECT round(emi, 6) AS emi, round(mi, 6) AS mi, round((mi - emi) / (h2 / 2 - emi), 6) AS ami FROM em, se""")
+_clusters("worst_clusters", lambda ck, *_: V.worst_clusters(ck), "SELECT cluster::BIGINT AS cluster, nk::BIGINT AS size, mk AS n_majority, lk AS n_labels, round(mk::DOUBLE / nk, 6) AS purity FROM k ORDER BY mk::DOUBLE / nk, nk DESC, cluster LIMIT 10")
+_clusters("most_fragmented", lambda ck, _, labels: V.most_fragmented(ck, labels),
+          "SELECT label::BIGINT AS label, nc::BIGINT AS n_detected, kc AS n_clusters, mc AS best_count, round(mc::DOUBLE / nc, 6) AS best_recall FROM c ORDER BY kc DESC, mc::DOUBLE / nc, label LIMIT 10")
+
+
+def _units(s, d) -> DataFrame:
+    return M.unit_distances(M.profiles(A.nation_observations(s, d)), A.MATRIX_KINDS)
+
+
+def _composed(s, d) -> DataFrame:
+    return M.compose(_units(s, d), A.scenarios(s))
+
+
+_add("field_unit_distances", _units, A.UNIT_SQL + "SELECT field, i, j, round(unit, 6) AS unit FROM u")
+_add("scenario_distances", _composed, A.UNIT_SQL + "SELECT scenario, i, j, round(distance, 6) AS distance FROM d")
+_add("matrix_stats", lambda s, d: M.matrix_stats(_composed(s, d)), A.UNIT_SQL + """, f AS (SELECT scenario, i, j, distance FROM d UNION ALL SELECT scenario, j, i, distance FROM d WHERE i <> j)
+SELECT scenario, count(DISTINCT i) AS n, round(min(distance), 6) AS min, round(max(distance), 6) AS max, round(avg(distance), 6) AS mean, round(stddev_pop(distance), 6) AS std FROM f GROUP BY scenario""")
