@@ -10,7 +10,7 @@ from etherloom.llm import bpe, decontaminate, langid, licenses, lines, quality,
 from etherloom.llm.queries import vocabulary  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, host string, page string, label string, seed int, keys string"
-PROSE = " ".join(f"wort{i % 97}x{i % 13}" for i in range(300))
+PROSE = " ".join(f"wort{i % 97}x{i % 13}" for i in range(400))
 KEY = "AKIA" + "Z9" * 10
 
 
@@ -149,3 +149,43 @@ def test_language_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = langid.identify(d, langid.fit_documents(d)).join(d.select("doc_id", "lang"), "doc_id").where(langid.held_out())
     assert found.where("lang = lang_pred").count() >= 0.95 * found.count()
+
+
+def test_near_duplicates_of_five_words(spark):
+    import random
+
+    draw = random.Random(3)
+    fresh = lambda n: [f"v{draw.randrange(5000)}" for _ in range(n)]
+    texts, near, far = [], [], []
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    for k in range(200):
+        w = fresh(draw.choice([40, 120, 400]))
+        v = list(w)
+        for at in draw.sample(range(len(v)), max(1, len(v) // draw.choice([60, 90]))):
+            v[at] = "other"
+        a, b = shingles(w), shingles(v)
+        (near if len(a & b) / len(a | b) >= 0.8 else far).append((2 * k, 2 * k + 1))
+        texts += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    passage = fresh(60)
+    apart = range(1000, 1040)  # share a passage that is a third of each
+    texts += [(i, " ".join(fresh(60) + passage + fresh(60))) for i in apart]
+    texts += [(i, " ".join(fresh(6))) for i in range(2000, 2050)]  # two shingles each
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_components(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert len(near) > 100 and sum(got[a] == got[b] for a, b in near) >= 0.97 * len(near)
+    assert all(got[i] == i for i in (*apart, *range(2000, 2050)))
+    assert all(got[i] in (i, i - 1) for i in range(400))
+
+
+def test_wide_trees_against_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, (6, 4), dtype=np.uint64)
+    prints = np.unique(base[rng.integers(0, 6, 200)] ^ (np.uint64(1) << rng.integers(0, 63, (200, 4), dtype=np.uint64)), axis=0)
+    n = len(prints)
+    d = np.bitwise_count(prints[:, None] ^ prints[None, :]).sum(axis=2)
+    label = np.arange(n)
+    simhash.union(label, *np.nonzero(d <= 7))
+    found = np.arange(n)
+    simhash.union(found, *simhash.shard_links(np.zeros(n, np.int64), prints, np.full(n, 3), 7))
+    assert (found == label).all() and len(set(label)) > 1
