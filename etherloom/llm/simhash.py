@@ -11,8 +11,9 @@ Trees of all the shards in a slice are built and searched together with NumPy. A
 of its links, not its pairs.
 
 ``near_duplicate_components`` is the form for texts of a similarity of 0.8 or more: such pairs differ in 3 to 15 of
-64 bits, which blocks of bits cannot shard. It takes 256 bits, whose distance tells the similarity apart, and shards
-by least shingle hashes, which similar texts share; trees, radius and components are the same.
+64 bits, which blocks of bits cannot shard. It takes 256 bits and shards by least shingle hashes, which similar texts
+share. The trees only propose there, with a wide radius: what they hold together is searched again with the shingle
+sets at hand, and a pair is linked if the sets say so. A pair that fails links nothing, and the search goes on.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from .components import components
 
 SHARD = 20_000  #: fingerprints in a tree at most
 SLICE = 200_000  #: rows of whole shards that a task holds at once
-FRONT = 1_000_000  #: (query, node) pairs in work at once
+FRONT = 1_000_000  #: (query, node) pairs in work at once, and shingles compared at once
+SETS = 2_000_000  #: shingles of a shard's piece at most, and of the whole shards that a task holds at once
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -127,12 +129,55 @@ def union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def shard_links(group: np.ndarray, prints: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+class Sets:
+    """The shingle sets of the rows, one after the other: which pairs have a Jaccard similarity of SIMILAR or more."""
+
+    def __init__(self, sizes: np.ndarray, values: np.ndarray):
+        self.sizes, self.values, self.starts = sizes, values, np.cumsum(sizes) - sizes
+        self.all = np.sort(values ^ self._salt(np.repeat(np.arange(len(sizes)), sizes)))
+
+    @staticmethod
+    def _salt(row: np.ndarray) -> np.ndarray:
+        return row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        few, many = np.where(self.sizes[a] <= self.sizes[b], (a, b), (b, a))
+        n = self.sizes[few]
+        ends = np.cumsum(n)
+        inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+        wanted = self.values[np.repeat(self.starts[few], n) + inside] ^ self._salt(np.repeat(many, n))
+        at = np.minimum(np.searchsorted(self.all, wanted), max(len(self.all) - 1, 0))
+        hits = np.r_[0, np.cumsum(self.all[at] == wanted)]
+        common = hits[ends] - hits[ends - n]
+        up, down = SIMILAR
+        return common * (up + down) >= up * (n + self.sizes[many])
+
+    def link(self, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """``union`` of the similar pairs; those that others link meanwhile are not compared."""
+        up, down = SIMILAR
+        x, y = self.sizes[a], self.sizes[b]
+        able = down * np.minimum(x, y) >= up * np.maximum(x, y)
+        a, b = a[able], b[able]
+        while len(a):
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            n = max(1, int(np.searchsorted(np.cumsum(np.minimum(self.sizes[a], self.sizes[b])), FRONT)))
+            good = self.similar(a[:n], b[:n])
+            union(label, a[:n][good], b[:n][good])
+            a, b = a[n:], b[n:]
+
+
+def shard_links(
+    group: np.ndarray, prints: np.ndarray, role: np.ndarray, radius: int, sizes=None, values=None
+) -> tuple[np.ndarray, np.ndarray]:
     """Rows whose links hold together what is linked in each group. role: bit 0 a tree's fingerprint, bit 1 a query.
 
-    A subtree that is already in the query's component is not searched: its links would add nothing.
+    A subtree that is already in the query's component is not searched: its links would add nothing. With the ``sizes``
+    and ``values`` of the rows' shingle sets, a pair within the radius is linked only if its sets are similar.
     """
-    at = np.flatnonzero(np.bincount(group)[group] > 1)
+    alone = np.bincount(group)[group] < 2
+    at = np.flatnonzero(~alone)
+    sets = None if sizes is None else Sets(sizes[at], values[np.repeat(~alone, sizes)])
     group, prints, role = group[at], prints[at], role[at]
     tree, query = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
     if not len(tree):
@@ -141,7 +186,12 @@ def shard_links(group: np.ndarray, prints: np.ndarray, role: np.ndarray, radius:
     forest, label = Forest(group[tree], prints[tree]), np.arange(len(prints))
     useful = lambda q, node: forest.uniform(label[tree])[node] != label[query[q]]
     for q, node in forest.within(group[query], prints[query], radius, useful):
-        union(label, query[q], tree[node])
+        a, b = query[q], tree[node]
+        if sets is None:
+            union(label, a, b)
+        else:
+            once = (a > b) | (role[a] != 3)  # where all are both tree and query, a pair comes twice
+            sets.link(label, a[once], b[once])
     linked = np.flatnonzero(label != np.arange(len(prints)))
     return at[linked], at[label[linked]]
 
@@ -161,15 +211,21 @@ def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
     return tree_links(prints.select("fp", F.posexplode(bands).alias("band", "bits")), "fp", ["fp"], radius)
 
 
-def tree_links(rows: DataFrame, node: str, words: list[str], radius: int) -> DataFrame:
-    """Edges ``a, b`` (of ``node``, bigint) within ``radius`` bits of ``words`` and in one shard ``band, bits``."""
-    large = rows.groupBy("band", "bits").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
+def tree_links(rows: DataFrame, node: str, words: list[str], radius: int, large: DataFrame | None = None) -> DataFrame:
+    """Edges ``a, b`` (of ``node``, bigint) within ``radius`` bits of ``words`` and in one shard ``band, bits``.
+
+    Rows with ``shingles`` (array<bigint>) are linked only where these are similar; ``large`` then has ``band, bits, n`` of
+    the shards to be cut into n / SHARD pieces.
+    """
+    verified = ["shingles"] if "shingles" in rows.columns else []
+    if large is None:
+        large = rows.groupBy("band", "bits").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
     rows = rows.join(large, ["band", "bits"], "left")
     pieces = F.coalesce(F.ceil(F.col("n") / SHARD), F.lit(1)).cast("int")
     rows = rows.withColumn("piece", F.pmod(F.xxhash64(node), pieces).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
     tree, query = F.col("piece") <= F.col("other"), F.col("piece") >= F.col("other")
-    carried = list(dict.fromkeys([node, *words]))
+    carried = list(dict.fromkeys([node, *words, *verified]))
     rows = rows.select(
         "band", "bits", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), *carried,
         (tree.cast("int") + 2 * query.cast("int")).alias("role"),
@@ -180,27 +236,31 @@ def tree_links(rows: DataFrame, node: str, words: list[str], radius: int) -> Dat
     def make():
         held: list = []
 
-        def links(key, name, fp, role):
+        def links(key, name, fp, role, *sets):
             group = np.cumsum(np.r_[0, (key[1:] != key[:-1]).any(axis=1)]) if len(name) else np.empty(0, np.int64)
-            a, b = shard_links(group, fp[:, 0] if len(words) == 1 else fp, role, radius)
+            a, b = shard_links(group, fp[:, 0] if len(words) == 1 else fp, role, radius, *sets)
             return {"a": name[a], "b": name[b]}
 
         def work(batch, last=False):
             if batch is not None:
                 key = np.stack([batch[c].to_numpy().astype(np.int64) for c in shard], 1)
                 fp = np.stack([batch[c].to_numpy().view(np.uint64) for c in words], 1)
-                held.append((key, batch[node].to_numpy(), fp, batch["role"].to_numpy()))
-            if not held or not last and sum(len(x[1]) for x in held) < SLICE:
+                sets = [batch[c] for c in verified]
+                sets = [x for s in sets for x in (s.value_lengths().to_numpy().astype(np.int64), s.flatten().to_numpy().view(np.uint64))]
+                held.append((key, batch[node].to_numpy(), fp, batch["role"].to_numpy(), *sets))
+            if not held or not last and sum(len(x[1]) for x in held) < SLICE and sum(len(x[-1]) for x in held) < SETS:
                 return
-            key, name, fp, role = (np.concatenate(x) for x in zip(*held))
+            key, name, fp, role, *sets = (np.concatenate(x) for x in zip(*held))
             held.clear()
             end = len(name)
             if not last:  # the last shard may go on in the next batch
                 other = np.flatnonzero((key != key[-1]).any(axis=1))
                 end = other[-1] + 1 if len(other) else 0
-                held.append((key[end:], name[end:], fp[end:], role[end:]))
+                cut = [end, int(sets[0][:end].sum())] if sets else []
+                held.append((key[end:], name[end:], fp[end:], role[end:], *[s[c:] for s, c in zip(sets, cut)]))
+                sets = [s[:c] for s, c in zip(sets, cut)]
             if end:
-                yield links(key[:end], name[:end], fp[:end], role[:end])
+                yield links(key[:end], name[:end], fp[:end], role[:end], *sets)
 
         return work
 
@@ -236,7 +296,8 @@ def simhash_components(
 
 
 WORDS = 4  #: 64-bit words of the wide fingerprint
-NEAR = 46  #: of its 256 bits; a Jaccard similarity of 0.8 is expected at 39, with a standard deviation of 6
+NEAR = 72  #: of its 256 bits, to propose a pair: one of similarity 0.8 is expected at 39, or 48 for 4 of 5 shingles, with a standard deviation of 6
+SIMILAR = 4, 5  #: least Jaccard similarity, as a fraction
 BANDS, ROWS = 8, 2  #: shards of a text, least hashes in each: 0.9997 of the pairs of similarity 0.8 share one
 
 
@@ -251,17 +312,21 @@ def _mixed(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 SEEDS = np.arange(1, WORDS + BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash of ``WORDS`` words and the keys of ``BANDS`` shards. Without words both are zero.
+def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct hashes of the word shingles; fewer words: the whole sequence; none: empty."""
+    words = (text or "").encode().lower().split()
+    size = max(1, min(shingle, len(words)))
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    return np.unique(np.array([digest(join(r), seed) for r in zip(*[words[i:] for i in range(size)])], dtype=np.uint64))
+
+
+def wide_fingerprint(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash of ``WORDS`` words and the keys of ``BANDS`` shards of a shingle set. Without shingles both are zero.
 
     Repeats of a shingle count once, or one line repeated often would link texts of a low Jaccard similarity.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
+    if not len(h):
         return np.zeros(WORDS, np.uint64), np.zeros(BANDS, np.uint64)
-    size = min(shingle, len(words))
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    h = np.unique(np.array([digest(join(r), seed) for r in zip(*[words[i:] for i in range(size)])], dtype=np.uint64))
     ones = np.zeros(64 * WORDS, dtype=np.int64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(h), 1 << 14):
@@ -279,38 +344,70 @@ def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> tupl
 def near_duplicate_components(
     docs: DataFrame, shingle: int = 5, radius: int = NEAR, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
-    """``key, component_id`` of each input row: texts within ``radius`` of 256 bits that share a shard are linked.
+    """``key, component_id`` of each input row: texts of a similarity of SIMILAR or more that share a shard are linked.
 
     Texts without words are linked to one another; a null text has no words. A component whose keys are all null has
-    a null id. Texts of equal words are one node before anything is sharded.
+    a null id. Equal texts are one node before anything is sharded. Trees of ``radius`` bits propose groups; the texts
+    of a group are compared by their shingle sets, in one task, or in the shards again where a group is large.
     """
     kind = dict(docs.dtypes)[key]
     words = [f"w{k}" for k in range(WORDS)]
+    named = docs.select(key, F.col(text).alias("body"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"))
 
     def make():
         def work(batch):
-            found = [wide_fingerprint(t, shingle) for t in batch[text].to_pylist()]
+            sets = [shingle_set(t, shingle) for t in batch["body"].to_pylist()]
+            found = [wide_fingerprint(h) for h in sets]
             prints = np.array([f[0] for f in found], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
             yield {
-                key: batch[key], **{w: prints[:, k].copy() for k, w in enumerate(words)},
-                "shards": [f[1].view(np.int64) for f in found],
+                key: batch[key], "node": batch["node"], **{w: prints[:, k].copy() for k, w in enumerate(words)},
+                "shards": [f[1].view(np.int64) for f in found], "size": [len(h) for h in sets],
             }
 
         return work
 
-    schema = f"`{key}` {kind}, {', '.join(w + ' bigint' for w in words)}, shards array<bigint>"
-    digest = map_rows(docs.select(key, text), schema, make).withColumn("node", F.xxhash64(*words, "shards"))
-    digest = stash(digest, "near")
+    schema = f"`{key}` {kind}, node bigint, {', '.join(w + ' bigint' for w in words)}, shards array<bigint>, size bigint"
+    digest = stash(map_rows(named, schema, make), "near")
     nodes = stash(
-        digest.groupBy("node").agg(F.min(key).alias("least"), *[F.first(c).alias(c) for c in (*words, "shards")]), "near-nodes"
+        digest.groupBy("node").agg(F.min(key).alias("least"), *[F.first(c).alias(c) for c in (*words, "shards", "size")]), "near-nodes"
     )
-    edges = tree_links(nodes.select("node", *words, F.posexplode("shards").alias("band", "bits")), "node", words, radius)
-    named = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = named.select("node", "root").join(ids, "root").select("node", "component_id")
+    proposed = tree_links(nodes.select("node", *words, F.posexplode("shards").alias("band", "bits")), "node", words, radius)
+    edges = _verified(named, nodes, components(proposed), words, shingle, radius)
+    linked = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    owner = linked.select("node", "root").join(ids, "root").select("node", "component_id")
     return digest.select(key, "node").join(owner, "node").select(key, "component_id")
 
 
+def _verified(named: DataFrame, nodes: DataFrame, proposed: DataFrame, words: list[str], shingle: int, radius: int) -> DataFrame:
+    """Edges of similar nodes of each proposed group (``node, root``); the shingle sets come from the texts again."""
+    grouped = nodes.join(proposed, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = grouped.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("m")).where("n > 1")
+    # a small group is one shard, so that its sets travel once; a large one keeps its shards
+    keys = F.when((F.col("m") <= SETS) & (F.col("n") <= SHARD), F.array("root")).otherwise(F.col("shards"))
+    members = stash(grouped.join(groups, "root").select("node", *words, "size", keys.alias("keys")), "near-members")
+    band = F.when(F.size("keys") == 1, -1).otherwise(F.col("band")).alias("band")
+    placed = members.select("size", "keys", F.posexplode("keys").alias("band", "bits")).select("size", band, "bits")
+    pieces = F.greatest(F.count("*"), F.ceil(F.sum("size") * SHARD / SETS))
+    large = placed.where("band >= 0").groupBy("band", "bits").agg(pieces.alias("n")).where(F.col("n") > SHARD)
+    texts = named.join(members.select("node"), "node", "left_semi").select("node", "body").dropDuplicates(["node"])
+    kept = ["node", *words, "keys"]
+
+    def make():
+        def work(batch):
+            yield {
+                **{c: batch[c].to_pylist() for c in kept},
+                "shingles": [shingle_set(t, shingle).view(np.int64) for t in batch["body"].to_pylist()],
+            }
+
+        return work
+
+    schema = f"node bigint, {', '.join(w + ' bigint' for w in words)}, keys array<bigint>, shingles array<bigint>"
+    full = map_rows(members.join(texts, "node").select(*kept, "body"), schema, make)
+    rows = full.select("node", *words, "shingles", "keys", F.posexplode("keys").alias("band", "bits"))
+    return tree_links(rows.select("node", *words, "shingles", band, "bits"), "node", words, radius, large)
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = NEAR, key: str = "doc_id") -> DataFrame:
     """One row of each near-duplicate component stays, that of the least key; of rows that share this key, one. Columns as given."""
     found = near_duplicate_components(docs, shingle, radius, key=key)

@@ -189,3 +189,34 @@ def test_wide_trees_against_all_pairs():
     found = np.arange(n)
     simhash.union(found, *simhash.shard_links(np.zeros(n, np.int64), prints, np.full(n, 3), 7))
     assert (found == label).all() and len(set(label)) > 1
+
+
+def test_near_duplicates_are_those_of_the_exact_sets(spark):
+    import random
+
+    draw = random.Random(5)
+    fresh = lambda n: [f"u{draw.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for k in range(300):  # short pairs of 4 of 5, 7 of 10 and 12 of 15 shingles, longer ones of 0.7 and 0.82
+        w, v = [((w := fresh(8)), w + fresh(1)), ((w := fresh(11)), w + fresh(3)), ((w := fresh(16)), w + fresh(3)), ((w := fresh(74)), w + fresh(30)), ((w := fresh(86)), w + fresh(18))][k % 5]
+        texts += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    shingles = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in texts for w in [t.split()]}
+    alike = lambda a, b: len(shingles[a] & shingles[b]) * 5 >= 4 * len(shingles[a] | shingles[b])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_components(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert [got[2 * k + 1] == 2 * k for k in range(300)] == [alike(2 * k, 2 * k + 1) for k in range(300)]
+    assert all(got[2 * k] == 2 * k for k in range(300))
+
+
+def test_large_groups_are_verified_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SETS", 400)
+    base = [f"g{j}" for j in range(104)]  # 100 shingles
+    texts = [(i, " ".join([*base[: 100 - i], *[f"x{i}y{j}" for j in range(4 + i)]])) for i in range(0, 60, 2)]
+    shingles = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in texts for w in [t.split()]}
+    label = {i: i for i in shingles}
+    for a in sorted(shingles):
+        for b in sorted(shingles):
+            if len(shingles[a] & shingles[b]) * 5 >= 4 * len(shingles[a] | shingles[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    found = simhash.near_duplicate_components(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == label and len(set(label.values())) > 1
