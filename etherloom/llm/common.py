@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = 1_048_576  #: entries a worker's word cache may hold before it is emptied
@@ -43,6 +43,11 @@ def null_safe(left: DataFrame, right: DataFrame, *keys: str, how: str = "left")
     return joined.drop(*[f"__{k}" for k in keys])
 
 
+def text_hash(text: str) -> Column:
+    """Identity of a text where keys may be null or repeat; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 class WordKeys(dict):
     """word -> 64-bit hash, filled as words come and emptied at ``limit`` entries, so a worker's memory is bounded."""
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, WordKeys, map_rows, null_safe, powers, stash
+from .common import BASE, WordKeys, map_rows, null_safe, powers, stash, text_hash
 
 MASKS = ("110110011", "1010110101", "1110010011", "1001101011")  #: fixed masks; 1 counts, 0 is ignored
 LEAST = 13  #: tokens of an overlap, or the whole item if it is shorter
@@ -179,6 +179,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap a benchmark item; columns as given."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """``docs`` without the documents whose text overlaps a benchmark item; columns as given.
+
+    Texts are judged by their hash, so a document stays whatever others that share its id, or have none, contain.
+    """
+    texts = docs.select(text_hash("text").alias("doc_id"), "text")
+    bad = contaminated(texts, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, text_hash("text") == F.col("__bad"), "left_anti")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, null_safe, stash
+from .common import map_rows, stash, text_hash
 from .components import components
 
 SHARD = 20_000  #: fingerprints in a tree at most
@@ -350,9 +350,18 @@ def near_duplicate_components(
     a null id. Equal texts are one node before anything is sharded. Trees of ``radius`` bits propose groups; the texts
     of a group are compared by their shingle sets, in one task, or in the shards again where a group is large.
     """
-    kind = dict(docs.dtypes)[key]
+    digest, linked = _near(docs.select(key, text), shingle, radius, text)
+    ids = digest.join(linked, "node").groupBy("root").agg(F.min(key).alias("component_id"))
+    owner = linked.join(ids, "root").select("node", "component_id")
+    return digest.select(key, "node").join(owner, "node").select(key, "component_id")
+
+
+def _near(docs: DataFrame, shingle: int, radius: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """The columns but the text, and ``node``, of each row of ``docs``; and ``node, root`` of every node."""
     words = [f"w{k}" for k in range(WORDS)]
-    named = docs.select(key, F.col(text).alias("body"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"))
+    own = [c for c in docs.columns if c != text]
+    kinds = dict(docs.dtypes)
+    named = docs.select(*own, F.col(text).alias("body"), text_hash(text).alias("node"))
 
     def make():
         def work(batch):
@@ -360,23 +369,21 @@ def near_duplicate_components(
             found = [wide_fingerprint(h) for h in sets]
             prints = np.array([f[0] for f in found], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
             yield {
-                key: batch[key], "node": batch["node"], **{w: prints[:, k].copy() for k, w in enumerate(words)},
+                **{c: batch[c] for c in (*own, "node")}, **{w: prints[:, k].copy() for k, w in enumerate(words)},
                 "shards": [f[1].view(np.int64) for f in found], "size": [len(h) for h in sets],
             }
 
         return work
 
-    schema = f"`{key}` {kind}, node bigint, {', '.join(w + ' bigint' for w in words)}, shards array<bigint>, size bigint"
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in own], "node bigint", *[w + " bigint" for w in words], "shards array<bigint>, size bigint"])
     digest = stash(map_rows(named, schema, make), "near")
     nodes = stash(
-        digest.groupBy("node").agg(F.min(key).alias("least"), *[F.first(c).alias(c) for c in (*words, "shards", "size")]), "near-nodes"
+        digest.groupBy("node").agg(*[F.first(c).alias(c) for c in (*words, "shards", "size")]), "near-nodes"
     )
     proposed = tree_links(nodes.select("node", *words, F.posexplode("shards").alias("band", "bits")), "node", words, radius)
     edges = _verified(named, nodes, components(proposed), words, shingle, radius)
-    linked = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = linked.select("node", "root").join(ids, "root").select("node", "component_id")
-    return digest.select(key, "node").join(owner, "node").select(key, "component_id")
+    linked = nodes.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return digest.select(*own, "node"), linked
 
 
 def _verified(named: DataFrame, nodes: DataFrame, proposed: DataFrame, words: list[str], shingle: int, radius: int) -> DataFrame:
@@ -408,8 +415,18 @@ def _verified(named: DataFrame, nodes: DataFrame, proposed: DataFrame, words: li
     return tree_links(rows.select("node", *words, "shingles", band, "bits"), "node", words, radius, large)
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = NEAR, key: str = "doc_id") -> DataFrame:
-    """One row of each near-duplicate component stays, that of the least key; of rows that share this key, one. Columns as given."""
-    found = near_duplicate_components(docs, shingle, radius, key=key)
-    stay = found.groupBy(F.col("component_id").alias(key)).agg(F.count("*").alias("__n"))
-    return null_safe(docs.dropDuplicates([key]), stay, key, how="inner").select(*docs.columns)
+def drop_near_duplicates(
+    docs: DataFrame, shingle: int = 5, radius: int = NEAR, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row of each near-duplicate component stays. Columns as given.
+
+    It is the row of the least (key, hash of the text, hash of all columns), a null key after all others: rows are told
+    apart by these, not by the key, so null and repeated keys lose no component, and the order of tasks has no say.
+    """
+    row = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns])
+    digest, linked = _near(docs.select(F.col(key).alias("id"), row.alias("row"), F.col(text).alias("text")), shingle, radius, "text")
+    least = F.min(F.struct(F.col("id").isNull(), "id", "node", "row")).alias("x")
+    stay = digest.join(linked, "node").groupBy("root").agg(least).select("x.node", "x.row")
+    found = docs.withColumns({"__node": text_hash(text), "__row": row})
+    found = found.join(stay.select(F.col("node").alias("__node"), F.col("row").alias("__row")), ["__node", "__row"])
+    return found.dropDuplicates(["__node", "__row"]).select(*docs.columns)

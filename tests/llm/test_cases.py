@@ -220,3 +220,16 @@ def test_large_groups_are_verified_in_pieces(spark, monkeypatch):
                 label = {i: low if x == high else x for i, x in label.items()}
     found = simhash.near_duplicate_components(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == label and len(set(label.values())) > 1
+
+
+def test_null_and_repeated_ids_lose_no_document(spark):
+    text = lambda c, n=40: " ".join(f"{c}{j}" for j in range(n))
+    x, y = text("x"), text("y")
+    texts = [(3, x), (5, x), (5, y), (None, text("a")), (None, text("b")), (None, text("b") + " more"), (7, text("c")), (7, text("d")), (7, text("d"))]
+    d = spark.createDataFrame([(i, t, "s") for i, t in texts], "doc_id bigint, text string, source string")
+    stays = lambda found: sorted((str(r["doc_id"]), r["text"].split()[0]) for r in found.collect())
+    for parts in (1, 5):
+        assert stays(simhash.drop_near_duplicates(d.repartition(parts))) == [("3", "x0"), ("5", "y0"), ("7", "c0"), ("7", "d0"), ("None", "a0"), ("None", "b0")]
+    bench = spark.createDataFrame([(1, text("a", 20)), (2, text("c", 20))], "item_id bigint, text string")
+    gone = [(3, "x0"), (5, "x0"), (5, "y0"), (7, "d0"), (7, "d0"), (None, "b0"), (None, "b0")]
+    assert stays(decontaminate.drop_contaminated(d, bench)) == sorted((str(i), t) for i, t in gone)
