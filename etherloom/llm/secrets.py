@@ -1,9 +1,10 @@
 """Secret scans with DataFrame functions only: spans by pattern, then corpus-wide ownership of each candidate.
 
 A pattern's matches come from ``regexp_extract_all`` and the text between them from ``split``; running sums of
-both lengths give the positions in code points. Candidates are long mixed tokens. Their hashes are counted over
-the whole corpus by distinct repositories and owners: one that many owners have is a copied example, one that
-stays with few owners looks live and becomes a span of kind ``live``.
+both lengths give the positions in code points. Candidates are long mixed tokens and the values of the other kinds.
+Their hashes are counted over the whole corpus by distinct repositories and owners: one that many owners or many
+repositories have is a copied example, one that stays with few of both looks live. Long mixed tokens that look live
+become spans of kind ``live``; the spans of the other kinds stay as they are, with a verdict beside them.
 """
 
 from __future__ import annotations
@@ -47,55 +48,66 @@ def _found(text: Column, kind: int) -> Column:
             F.length(x["g"]).alias("gap"),
             F.length(x["m"]).alias("len"),
             good(x).alias("good"),
-            F.xxhash64(F.lit(kind == 3), value(x)).alias("key"),
+            F.xxhash64(value(x)).alias("key"),
         ),
     )
     return F.when(text.rlike(PATTERNS[kind]), entries).otherwise(F.array().cast("array<struct<kind:int,gap:int,len:int,good:boolean,key:bigint>>"))
 
 
 def candidate_owners(candidates: DataFrame) -> DataFrame:
-    """``key, repositories, owners`` from ``key, repository, owner``: distinct counts in steps, each summed before its shuffle."""
-    repositories = candidates.groupBy("key", "owner", "repository").agg(F.count("*").alias("n"))
-    owners = repositories.groupBy("key", "owner").agg(F.count("*").alias("repositories"))
-    return owners.groupBy("key").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
+    """``key, repositories, owners`` from ``key, repository, owner, copy``: distinct counts in steps, each summed before its shuffle.
+
+    Repositories that have a key only in exact copies (equal ``copy``) of another's document are not counted; all owners are.
+    """
+    owners = candidates.groupBy("key", "owner").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("owners"))
+    texts = candidates.groupBy("key", "copy").agg(F.min("repository").alias("repository"))
+    distinct = texts.groupBy("key", "repository").agg(F.count("*").alias("n"))
+    return distinct.groupBy("key").agg(F.count("*").alias("repositories")).join(owners, "key")
 
 
 def secret_spans(
-    docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = 2, text: str = "text"
+    docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = 2, text: str = "text",
+    max_repositories: int = 10,
 ) -> DataFrame:
-    """One row for each input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example``.
+    """One row for each input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, verdicts, n_base_live``.
 
-    Positions are code points, ends exclusive. A candidate found with at most ``max_owners`` distinct owners is
-    live, else an example; a null owner is one owner. A null or empty text has no spans. Repeated rows are rows of
-    their own and count once among the repositories.
+    Positions are code points, ends exclusive. A value found with at most ``max_owners`` distinct owners and in at most
+    ``max_repositories`` distinct repositories, exact copies of a document counted once, is live, else an example; a null
+    owner is one owner. ``spans`` and ``n_live`` have the long mixed tokens that are live; ``verdicts`` has every span as
+    ``kind:start:end:verdict:repositories:owners``, tokens as kind ``token``, and ``n_base_live`` the live values of the
+    other kinds. A null or empty text has no spans. Repeated rows are rows of their own and count once among the repositories.
     """
     body = F.coalesce(text, F.lit(""))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.col(repository).alias("repository"),
         F.col(owner).alias("owner"), body.alias("body"),
-    ).select("row", "doc_id", "repository", "owner", F.concat(*[_found(F.col("body"), k) for k in range(4)]).alias("found"))
+    ).select("row", "doc_id", "repository", "owner", F.xxhash64("body").alias("copy"), F.concat(*[_found(F.col("body"), k) for k in range(4)]).alias("found"))
     rows = stash(rows, "secrets")  # from here the row numbers are data, not a property of the scan
-    each = rows.where(F.size("found") > 0).select("row", "repository", "owner", F.posexplode("found").alias("at", "x"))
-    each = each.select("row", "repository", "owner", "at", "x.*")
+    each = rows.where(F.size("found") > 0).select("row", "repository", "owner", "copy", F.posexplode("found").alias("at", "x"))
+    each = each.select("row", "repository", "owner", "copy", "at", "x.*")
     so_far = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     spans = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far)).where("good")
-    candidates = spans.where("kind = 3")
-    owners = candidate_owners(candidates.select("key", "repository", "owner"))
-    judged = candidates.join(owners, "key").withColumn("kind", F.when(F.col("owners") <= max_owners, 3).otherwise(4))
-    entry = F.struct((F.col("end") - F.col("len")).alias("start"), F.col("kind"), F.col("end"))
-    columns = ("row", "kind", "len", "end")
-    per_row = (
-        spans.where("kind < 3").select(*columns).union(judged.select(*columns))
-        .groupBy("row").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    owners = candidate_owners(each.where("good").select("key", "repository", "owner", "copy"))
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    judged = spans.join(owners, "key").withColumn("live", live)
+    entry = F.struct(
+        (F.col("end") - F.col("len")).alias("start"), F.when(~live & (F.col("kind") == 3), 4).otherwise(F.col("kind")).alias("kind"),
+        "end", "live", "repositories", "owners",
     )
+    per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(entry)).alias("all"))
     names = F.array(*map(F.lit, KINDS))
     written = lambda keep: F.array_join(F.transform(F.filter("all", keep), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")  # noqa: E731, E501
+    kinds = F.array(*map(F.lit, (*KINDS[:3], "token", "token")))
+    verdict = lambda x: F.when(x["live"], "live").otherwise("example")
+    told = lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"], x["end"], verdict(x), x["repositories"], x["owners"])  # noqa: E731, E501
     number = lambda k: F.size(F.filter("all", lambda x: x["kind"] == k)).cast("long")
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean,repositories:bigint,owners:bigint>>")
     return rows.select("row", "doc_id").join(per_row, "row", "left").withColumn("all", F.coalesce("all", none)).select(
         "doc_id",
         number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
         F.sha2(written(lambda x: x["kind"] < 3), 256).alias("base_sha256"),
         written(lambda x: x["kind"] < 4).alias("spans"),
         number(3).alias("n_live"), number(4).alias("n_example"),
+        F.array_join(F.transform("all", told), ",").alias("verdicts"),
+        F.size(F.filter("all", lambda x: (x["kind"] < 3) & x["live"])).cast("long").alias("n_base_live"),
     )

@@ -233,3 +233,15 @@ def test_null_and_repeated_ids_lose_no_document(spark):
     bench = spark.createDataFrame([(1, text("a", 20)), (2, text("c", 20))], "item_id bigint, text string")
     gone = [(3, "x0"), (5, "x0"), (5, "y0"), (7, "d0"), (7, "d0"), (None, "b0"), (None, "b0")]
     assert stays(decontaminate.drop_contaminated(d, bench)) == sorted((str(i), t) for i, t in gone)
+
+
+def test_secrets_of_many_repositories_are_examples(spark):
+    token, own = "Ab3dE5gH7jK9mN1pQ3sT5v", "Zb3dE5gH7jK9mN1pQ3sT5w"
+    rows = [(i, f"{i} x {token} y password = hunter22", "one") for i in range(11)]  # eleven repositories of one owner
+    rows += [(100 + i, f"x {own} y token = abc4567", "one") for i in range(30)]  # copies of one document
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r["doc_id"]: r for r in secrets.secret_spans(d).collect()}
+    assert {(found[i]["n_live"], found[i]["n_example"], found[i]["n_base_live"]) for i in range(11)} == {(0, 1, 0)}
+    assert {(found[100 + i]["n_live"], found[100 + i]["n_example"], found[100 + i]["n_base_live"]) for i in range(30)} == {(1, 0, 1)}
+    assert found[0]["verdicts"] == "token:4:26:example:11:1,assign:29:48:example:11:1" and found[0]["spans"] == "assign:29:48"
+    assert found[100]["verdicts"] == "token:2:24:live:1:1,assign:27:42:live:1:1" and found[100]["spans"] == "live:2:24,assign:27:42"
