@@ -11,6 +11,7 @@ only documents that may overlap go on, with their text, to the join and the veri
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,13 +44,33 @@ def spaced(keys: np.ndarray, mask: str) -> np.ndarray:
     return out ^ out >> np.uint64(29)
 
 
+def masks_for(lengths: list[int]) -> tuple[str, ...]:
+    """MASKS, and for each length of an item too short for them, whole-item masks that ignore any fourth of it."""
+    short = sorted({n for n in lengths if 0 < n < min(map(len, MASKS))})
+    own = ["".join("0" if i in gone else "1" for i in range(n)) for n in short for gone in combinations(range(n), n // 4)]
+    return MASKS + tuple(own)
+
+
+def _short_lengths(items: DataFrame) -> list[int]:
+    """Token numbers of the items that are shorter than every mask: a few small numbers."""
+    least = min(map(len, MASKS))
+
+    def make():
+        def work(batch):
+            yield {"n": sorted({n for t in batch["text"].to_pylist() if 0 < (n := len(tokens(t))) < least})}
+
+        return work
+
+    return [r["n"] for r in map_rows(items.select("text"), "n int", make).distinct().collect()]
+
+
 def _slots(seeds: np.ndarray):
     for m in _MIX:
         yield seeds * np.uint64(m) >> np.uint64(64 - FILTER_BITS)
 
 
-def seed_table(texts: DataFrame, key: str) -> DataFrame:
-    """``key, seed, pos``: every position of every mask."""
+def seed_table(texts: DataFrame, key: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    """``key, seed, pos``: every position of every mask; a mask of a short length only of items of that length."""
     kind = dict(texts.dtypes)[key]
 
     def make():
@@ -58,7 +79,9 @@ def seed_table(texts: DataFrame, key: str) -> DataFrame:
         def work(batch):
             for k, t in zip(batch[key].to_pylist(), batch["text"].to_pylist(), strict=True):
                 a = hashes.array(tokens(t))
-                for mask in MASKS:
+                for mask in masks:
+                    if mask not in MASKS and len(mask) != len(a):
+                        continue
                     s = spaced(a, mask)
                     yield {key: [k] * len(s), "seed": s.view(np.int64), "pos": np.arange(len(s), dtype=np.int32)}
 
@@ -87,7 +110,7 @@ def _bloom(seeds: DataFrame) -> np.ndarray:
     return bits
 
 
-def candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def candidates(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """``doc_id, text, seeds, places`` of the documents of which some position passes the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # 4 MB
 
@@ -106,7 +129,7 @@ def candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 a = hashes.array(tokens(t))
                 seeds, places = [], []
-                for mask in MASKS:
+                for mask in masks:
                     s = spaced(a, mask)
                     at = passed(s)
                     seeds += s[at].view(np.int64).tolist()
@@ -122,13 +145,25 @@ def candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """(matches, first, last + 1 in the item) of the best run on the diagonal: +1 a match, -MISMATCH a substitution."""
+    """(matches, first, last + 1 in the item) of the best run on the diagonal: +1 a match, -MISMATCH a substitution.
+
+    If that is no overlap, the longest run from a match to a match of which at least 3 in 4 agree, or a short item whole.
+    """
     low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     same = doc[low + diagonal : high + diagonal] == item[low:high]
     total = np.r_[0, np.cumsum(np.where(same, 1, -MISMATCH))]
     gain = total - np.minimum.accumulate(total)
     end = int(gain.argmax())
     begin = int(np.flatnonzero(total[: end + 1] == total[: end + 1].min())[-1])
+    if end - begin < min(LEAST, len(item)):
+        if len(item) < LEAST and len(same) == len(item) and total[-1] >= 0:
+            begin, end = 0, len(item)
+        elif len(same) >= LEAST and same.any():
+            starts, ends = np.flatnonzero(same), np.flatnonzero(same) + 1
+            most = np.maximum.accumulate(total[ends][::-1])  # from each end on, the last one first
+            last = len(ends) - 1 - np.searchsorted(most, total[starts], "left")  # a single match always does
+            k = int((ends[last] - starts).argmax())
+            begin, end = int(starts[k]), int(ends[last[k]])
     return int(same[begin:end].sum()), low + begin, low + end
 
 
@@ -136,12 +171,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps, the best of each pair: ``doc_id, item_id, n_matched, n_overlap, n_item, doc_start, item_start``.
 
     Tokens are runs of word characters in lower case. An overlap has LEAST tokens (the item's length if it has fewer)
-    and at least 3 in 4 agree. Items of fewer tokens than the shortest mask, null and empty texts give none. Rows that
-    repeat an id count as one id with the texts of all of them; a null id is an id.
+    and at least 3 in 4 agree. Items of fewer tokens than the shortest mask have masks of their own, which miss none;
+    null and empty texts give none. Rows that repeat an id count as one id with the texts of all of them; a null id is an id.
     """
     items = benchmark.select("item_id", F.col("text")).where(F.col("text").isNotNull())
-    seeds = stash(seed_table(items, "item_id"), "seeds")
-    found = stash(candidates(docs, _bloom(seeds)), "candidates")
+    masks = masks_for(_short_lengths(items))
+    seeds = stash(seed_table(items, "item_id", masks), "seeds")
+    found = stash(candidates(docs, _bloom(seeds), masks), "candidates")
     each = found.select("doc_id", F.explode(F.arrays_zip("seeds", "places")).alias("x"))
     each = each.select("doc_id", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
     voted = each.join(seeds, "seed").groupBy("doc_id", "item_id", (F.col("place") - F.col("pos")).alias("diagonal")).agg(

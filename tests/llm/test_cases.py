@@ -245,3 +245,23 @@ def test_secrets_of_many_repositories_are_examples(spark):
     assert {(found[100 + i]["n_live"], found[100 + i]["n_example"], found[100 + i]["n_base_live"]) for i in range(30)} == {(1, 0, 1)}
     assert found[0]["verdicts"] == "token:4:26:example:11:1,assign:29:48:example:11:1" and found[0]["spans"] == "assign:29:48"
     assert found[100]["verdicts"] == "token:2:24:live:1:1,assign:27:42:live:1:1" and found[100]["spans"] == "live:2:24,assign:27:42"
+
+
+def test_short_items_and_every_run_are_found(spark):
+    item = [f"b{i}" for i in range(30)]
+    bench = spark.createDataFrame([(1, "s0 s1 s2 s3 s4 s5 s6 s7"), (2, "t0 t1 t2"), (3, " ".join(item))], "item_id bigint, text string")
+    spread = [w if i not in (4, 8, 11) else f"z{i}" for i, w in enumerate(item[:13])]  # 10 of 13 agree
+    split = ["q"] * 30
+    split[:12] = item[:12]  # a clean run of 12, then one of 16 with gaps
+    split[13:29] = [w if i not in (3, 6, 9) else "z" for i, w in enumerate(item[13:29])]
+    texts = [
+        (1, "a s0 s1 s2 s3 s4 s5 s6 s7 b"), (2, "s0 x s2 s3 s4 s5 s6 y"), (3, "s0 x s2 s3 y s5 s6 z"), (4, "t0 t1 t2"), (5, "t0 t1 x"),
+        (6, "c " + " ".join(spread)), (7, " ".join(split)), (8, " ".join(item[:12])),
+    ]
+    found = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), bench).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["n_matched"], r["n_overlap"]) for r in found}
+    assert {k: v for k, v in got.items() if k[0] < 6} == {(1, 1): (8, 8), (2, 1): (6, 8), (4, 2): (3, 3)}
+    a = lambda words: decontaminate.WordKeys().array(words)
+    assert decontaminate.best_overlap(a(spread), a(item), 0) == (10, 0, 13)
+    n, i, j = decontaminate.best_overlap(a(split), a(item), 0)
+    assert j - i >= 13 and 4 * n >= 3 * (j - i) and (7, 3) in got and (8, 3) not in got
