@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +21,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a folder of our own only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that ``spark.checkpoint.dir`` or ``setCheckpointDir`` names; one of our own where neither does, in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="etherloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_SCOPES: list[list[str]] = []
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: the lineage ends in files every executor sees."""
     path = f"{shared_dir(df.sparkSession)}/etherloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _SCOPES[-1:]:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What is stashed inside is deleted at the end, unless it is taken from the list: for work whose result is written by then."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.pop()
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+HOT, WAYS = 1000, 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int | None = None) -> DataFrame:
+    """Inner join on ``key``; ``right`` has the number of ``left``'s rows with its key in ``count``, which is dropped, and, if
+    no ``total`` is given, one row a key.
+
+    A key with more than one in HOT of ``left``'s rows, ``total`` in all, is hot. There are fewer than HOT of them, so their names may be
+    sent to all tasks; a hot key's rows are then spread over WAYS keys, and its row of ``right`` is repeated for each.
+    """
+    if total is None:
+        right = stash(right, "spread")
+        total = right.agg(F.sum(count)).first()[0] or 0
+    hot = right.where(F.col(count) * HOT > total).select(F.col(key).alias("__hot")).distinct()
+    marked = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    way = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(WAYS)).cast("int")).otherwise(0)
+    marked = marked.withColumn("__way", way).drop("__hot")
+    ways = F.when(F.col(count) * HOT > total, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))
+    return marked.join(right.withColumn("__way", F.explode(ways)).drop(count), [key, "__way"]).drop("__way")
+
+
 def null_safe(left: DataFrame, right: DataFrame, *keys: str, how: str = "left") -> DataFrame:
     """Join on ``keys`` where null equals null; the right side's keys are dropped."""
     renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -95,6 +138,13 @@ def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
 def map_rows(
     df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterator[dict]]], last: bool = False
 ) -> DataFrame:
@@ -102,10 +152,7 @@ def map_rows(
 
     With ``last``, the function is called once more after a task's batches, as ``work(None, last=True)``.
     """
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches):
         work = make()

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import spread_join, stash
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """``edges(u, v)``, u > v. Large star: link the greater neighbours of each node to its least one; small star: the lesser ones."""
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """``edges(u, v)``, u > v, about ``n``. Large star: link the greater neighbours of each node to its least one; small star: the lesser ones."""
     if large:
         around = edges.select(F.col("u").alias("n"), F.col("v").alias("x")).union(edges.select("v", "u"))
     else:
         around = edges.select(F.col("u").alias("n"), F.col("v").alias("x"))
-    # min() is merged in each task before the shuffle; the join back may be split where a hub is hot
-    least = around.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m"))
-    joined = around.join(least, "n")
+    # min() is merged in each task before the shuffle; the join back spreads a hub over many tasks
+    least = around.groupBy("n").agg(F.min("x").alias("m"), F.count("*").alias("c")).select("n", F.least("n", "m").alias("m"), "c")
+    joined = spread_join(around, least, "n", "c", n)
     if large:
         out = joined.where("x > n").select(F.col("x").alias("u"), F.col("m").alias("v"))
     else:
@@ -35,4 +35,4 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
-        now = stash(_star(_star(now, True), False), "edges")
+        now = stash(_star(_star(now, True, 2 * state[0]), False, state[0]), "edges")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stash, text_hash
+from .common import map_rows, spread_join, stash, text_hash
 from .components import components
 
 SHARD = 20_000  #: fingerprints in a tree at most
@@ -287,12 +287,13 @@ def simhash_components(
 
     # short rows before anything is shuffled
     digest = stash(map_rows(docs.select(key, text), f"`{key}` {kind}, fp bigint", make), "simhash")
-    prints = stash(digest.groupBy("fp").agg(F.min(key).alias("least")), "simhash-prints")
+    prints = stash(digest.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("rows")), "simhash-prints")
     roots = components(fingerprint_links(prints.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return digest.join(owner, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
+    owner = stash(spread_join(named.select("fp", "rows", "root"), ids, "root", "prints").select("fp", "component_id", "rows"), "simhash-owners")
+    found = spread_join(digest, owner, "fp", "rows")
+    return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 WORDS = 4  #: 64-bit words of the wide fingerprint
@@ -351,9 +352,10 @@ def near_duplicate_components(
     of a group are compared by their shingle sets, in one task, or in the shards again where a group is large.
     """
     digest, linked = _near(docs.select(key, text), shingle, radius, text)
-    ids = digest.join(linked, "node").groupBy("root").agg(F.min(key).alias("component_id"))
-    owner = linked.join(ids, "root").select("node", "component_id")
-    return digest.select(key, "node").join(owner, "node").select(key, "component_id")
+    least = digest.groupBy("node").agg(F.min(key).alias("least"), F.count("*").alias("rows")).join(linked, "node")
+    ids = least.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    owner = stash(spread_join(least.select("node", "rows", "root"), ids, "root", "nodes").select("node", "component_id", "rows"), "near-owners")
+    return spread_join(digest.select(key, "node"), owner, "node", "rows").select(key, "component_id")
 
 
 def _near(docs: DataFrame, shingle: int, radius: int, text: str) -> tuple[DataFrame, DataFrame]:
@@ -392,7 +394,8 @@ def _verified(named: DataFrame, nodes: DataFrame, proposed: DataFrame, words: li
     groups = grouped.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("m")).where("n > 1")
     # a small group is one shard, so that its sets travel once; a large one keeps its shards
     keys = F.when((F.col("m") <= SETS) & (F.col("n") <= SHARD), F.array("root")).otherwise(F.col("shards"))
-    members = stash(grouped.join(groups, "root").select("node", *words, "size", keys.alias("keys")), "near-members")
+    joined = spread_join(grouped, groups.withColumn("rows", F.col("n")), "root", "rows")
+    members = stash(joined.select("node", *words, "size", keys.alias("keys")), "near-members")
     band = F.when(F.size("keys") == 1, -1).otherwise(F.col("band")).alias("band")
     placed = members.select("size", "keys", F.posexplode("keys").alias("band", "bits")).select("size", band, "bits")
     pieces = F.greatest(F.count("*"), F.ceil(F.sum("size") * SHARD / SETS))
@@ -425,8 +428,9 @@ def drop_near_duplicates(
     """
     row = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns])
     digest, linked = _near(docs.select(F.col(key).alias("id"), row.alias("row"), F.col(text).alias("text")), shingle, radius, "text")
-    least = F.min(F.struct(F.col("id").isNull(), "id", "node", "row")).alias("x")
-    stay = digest.join(linked, "node").groupBy("root").agg(least).select("x.node", "x.row")
+    least = lambda c: F.min(c).alias("x")
+    own = digest.groupBy("node").agg(least(F.struct(F.col("id").isNull().alias("none"), "id", "node", "row")))  # of copies one goes on
+    stay = own.join(linked, "node").groupBy("root").agg(least("x")).select("x.node", "x.row")
     found = docs.withColumns({"__node": text_hash(text), "__row": row})
     found = found.join(stay.select(F.col("node").alias("__node"), F.col("row").alias("__row")), ["__node", "__row"])
     return found.dropDuplicates(["__node", "__row"]).select(*docs.columns)
