@@ -12,17 +12,18 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows
 
 CAP = 5.0  #: most that one word says against a language
 SWITCH = 20.0  #: penalty of a switch: a span needs about five clear words
-GRAMS = 60_000  #: n-grams of the model at most, the most frequent
-SAMPLE = 8_000  #: labelled documents to fit on, expected number
+GRAMS = 20_000  #: n-grams of each language in the model, the most frequent
+SAMPLE = 2_000  #: labelled documents of each language to fit on, expected number; all of a rarer one
+SMOOTH = 0.01  #: share of the pooled n-grams in each language's
 CACHE = 400_000  #: words a worker keeps scores of
-_LETTERS = re.compile(r"[^\W\d_]+").findall
+_LETTERS = re.compile(r"[^\W\d_]+").findall  # and some numbers that are no digits
 UNKNOWN = "und"
 
 # First and last code point of the scripts told apart.
@@ -51,7 +52,10 @@ def script(word: str) -> str:
 
 
 def letters(text: str | None) -> list[str]:
-    return _LETTERS((text or "").lower())
+    found = _LETTERS((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def grams(word: str) -> list[str]:
@@ -62,14 +66,17 @@ def grams(word: str) -> list[str]:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang") -> dict:
-    """Model from rows with a non-null ``lang``: n-gram counts of about ``sample`` of them, taken by a hash of the text.
+    """Model from rows with a non-null ``lang``: n-gram counts of about ``sample`` documents of each, taken by a hash of the text.
 
-    Counting is distributed: each task sums what it has read, then the sums meet by n-gram.
+    Counting is distributed: each task sums what it has read, then the sums meet by n-gram. A language keeps its own
+    GRAMS n-grams, however rare it is beside others; scripts are counted apart. No row: a model without languages.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    n = rows.count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    n = rows.groupBy("lang").count().collect()  # reads no text; a row a language, as many as the model has
+    limit = [F.lit(x) for r in n for x in (r["lang"], int(min(1, sample / r["count"]) * (1 << 30)))]
+    limit = F.try_element_at(F.create_map(*limit), F.col("lang")) if n else F.lit(0)
+    rows = rows.where(F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1 << 30)) < limit)
+    rows = rows.where(F.col("text").isNotNull()).select("lang", "text")
 
     def make():
         def work(batch):
@@ -88,22 +95,19 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str
 
         return work
 
-    counts = map_rows(rows, "lang string, gram string, n bigint", make).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    by_gram = counts.groupBy("gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("each"))
-    langs, table, scripts = {}, {}, {}
-    for row in by_gram.orderBy(F.desc("all"), "gram").limit(GRAMS).collect():  # bounded by GRAMS
-        for x in row["each"]:
-            langs.setdefault(x["lang"], 0)
-            (scripts if row["gram"][0] == "\x00" else table).setdefault(row["gram"], {})[x["lang"]] = x["n"]
-    names = sorted(langs)
-    logs = np.array([[d.get(g, 0) for g in names] for d in table.values()], dtype=float).reshape(len(table), len(names))
-    logs = np.log(logs + 0.5) - np.log(logs.sum(axis=0) + 0.5 * len(table)) if len(table) else logs
-    used = {}
-    for mark, d in scripts.items():
-        part = np.array([d.get(g, 0) for g in names], dtype=float)
-        total = np.array([sum(s.get(g, 0) for s in scripts.values()) for g in names])
-        used[mark[1:]] = part > 0.01 * total
-    return {"langs": names, "grams": {g: i for i, g in enumerate(table)}, "logs": logs, "scripts": used}
+    counts = map_rows(rows, "lang string, gram string, n bigint", make).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    marks = F.col("gram").startswith("\x00")
+    best = F.row_number().over(Window.partitionBy("lang", marks).orderBy(F.desc("n"), "gram"))
+    table, scripts, total = {}, {}, Counter()
+    for row in counts.withColumn("at", best).where(F.col("at") <= GRAMS).collect():  # GRAMS and the scripts of each language
+        (scripts if row["gram"][0] == "\x00" else table).setdefault(row["gram"], {})[row["lang"]] = row["n"]
+        total[row["lang"]] += row["n"] * (row["gram"][0] == "\x00")
+    names = sorted(total)
+    of = lambda d: np.array([d[x].get(g, 0) for x in sorted(d) for g in names], dtype=float).reshape(len(d), len(names))
+    share = of(table) / np.maximum(of(table).sum(axis=0), 1)
+    share = (1 - SMOOTH) * share + SMOOTH * share.mean(axis=1, keepdims=True) if names else share
+    used = {mark[1:]: np.array([d.get(g, 0) > 0.01 * total[g] for g in names]) for mark, d in scripts.items()}
+    return {"langs": names, "grams": {g: i for i, g in enumerate(sorted(table))}, "logs": np.log(share), "scripts": used}
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -212,7 +216,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", key: str = "doc_i
     language. Repeated rows each give a row. Whole texts are labelled, whatever their length.
     """
     kind = dict(docs.dtypes)[key]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS rows a language at most
 
     def make():
         scorer = Scorer(shared.value)
@@ -238,7 +242,11 @@ def fit_documents(docs: DataFrame) -> dict:
 
 
 def keep_identified(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that are ``und`` or of which less than ``least`` is in one language; columns as given."""
+    """``docs`` without the rows that are ``und`` or of which less than ``least`` is in one language; columns as given.
+
+    A null text and one without a letter go, and so does every row if the model has no language; repeated rows stay or
+    go together.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make_rows(batches):

@@ -51,7 +51,7 @@ def op7_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit_documents(docs))
-    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op9_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
