@@ -23,18 +23,25 @@ def line_keys(text: Column) -> Column:
     return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
 
 
-def frequent_lines(pages: DataFrame, share: float, least: int) -> DataFrame:
-    """From ``host, page, keys array<bigint>`` the frequent line keys of each host: ``host, frequent array<bigint>``.
+def line_counts(pages: DataFrame) -> DataFrame:
+    """From ``host, page, keys array<bigint>``: ``host, line, n, pages``, the distinct pages of the host that have the line, and all.
 
-    A line is frequent if at least ``least`` distinct pages of the host, and more than ``share`` of them, have it.
     Copies of a page meet in a (host, page) group; the counts of a (host, line) are summed in each task before the
     shuffle, so neither a hot host nor a hot line is one task's work.
     """
     once = pages.select("host", "page", "keys").dropDuplicates(["host", "page"])
     totals = once.groupBy("host").agg(F.count("*").alias("pages"))
     counts = once.select("host", F.explode("keys").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    kept = null_safe(counts.where(F.col("n") >= least), totals, "host", how="inner")
-    return kept.where(F.col("n") > share * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("frequent"))
+    return null_safe(counts, totals, "host", how="inner")
+
+
+def frequent_lines(pages: DataFrame, share: float, least: int) -> DataFrame:
+    """From ``host, page, keys array<bigint>`` the frequent line keys of each host: ``host, frequent array<bigint>``.
+
+    A line is frequent if at least ``least`` distinct pages of the host, and more than ``share`` of them, have it.
+    """
+    found = line_counts(pages).where((F.col("n") >= least) & (F.col("n") > share * F.col("pages")))
+    return found.groupBy("host").agg(F.collect_list("line").alias("frequent"))
 
 
 def _marked(df: DataFrame, share: float, least: int, text: str, host: str) -> DataFrame:

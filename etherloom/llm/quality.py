@@ -2,7 +2,8 @@
 
 One pass over the texts leaves a small digest of each document (its counts, the hashes of its normalised lines
 and the words in each). Distinct documents are counted for each line and host; the words in lines above the
-limits are taken off, and a document that is depleted by that is rejected.
+limits are taken off, and a document that is depleted by that is rejected. Lines above the limits, of which a large
+host may have any number, meet the documents in a join by host and line, spread where a line is hot.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 import xxhash
 
-from .common import covered, map_rows, null_safe, rolling, stash, WordKeys
-from .lines import frequent_lines
+from .common import covered, map_rows, rolling, spread_join, stash, WordKeys
+from .lines import line_counts
 
 WINDOW = 8  #: words of the windows that show repetition inside a text
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -52,12 +53,12 @@ DIGEST = (
 
 
 def line_rules(
-    docs: DataFrame, host: str = "source", share: float = 0.05, least: int = 20, depleted: float = 0.5
+    docs: DataFrame, host: str = "source", share: float = 0.05, least: int = 20, most: int = 1000, depleted: float = 0.5
 ) -> DataFrame:
     """One row a document: ``doc_id, n_words``, the four base measures, ``base_failed, kept, n_line_words_removed``.
 
-    A line (case, runs of white space and digits levelled) goes if at least ``least`` distinct documents of the
-    host and more than ``share`` of them have it; exact copies are one document. A document is depleted if less than
+    A line (case, runs of white space and digits levelled) goes if ``most`` distinct documents of the host have it, or
+    ``least`` and more than ``share`` of them; exact copies are one document. A document is depleted if less than
     ``1 - depleted`` of its words remain; ``kept`` is false for it and where ``base_failed``. A null or empty text
     has no words and fails; a null host is a host of its own; each repeated row gives its own row.
     """
@@ -75,18 +76,21 @@ def line_rules(
 
     source = docs.select("doc_id", F.col(host).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("page"), "text")
     digest = stash(map_rows(source, DIGEST, make), "quality")
-    pages = digest.select("host", "page", F.array_distinct("lines").alias("keys"))
-    found = stash(frequent_lines(pages, share, least), "quality-lines")
-    gone = F.aggregate(
-        F.arrays_zip("lines", "line_words"),
-        F.lit(0).cast("long"),
-        lambda a, x: a + F.when(F.array_contains("frequent", x["lines"]), x["line_words"]).otherwise(0),
-    )
-    removed = F.when(F.col("frequent").isNull(), F.lit(0).cast("long")).otherwise(gone)
+    hashed = F.xxhash64("host", "page").alias("copy")  # a host and a page as one key, the null host too
+    pages = digest.groupBy("host", "page").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"), F.count("*").alias("rows"))
+    pages = stash(pages.withColumn("copy", hashed), "quality-pages")
+    counts = line_counts(pages.select("host", "page", F.array_distinct("lines").alias("keys")))
+    limit = (F.col("n") >= most) | (F.col("n") >= least) & (F.col("n") > share * F.col("pages"))
+    place = F.xxhash64("host", "line").alias("place")
+    each = pages.select("copy", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("y"))
+    each = each.select("copy", "host", F.col("y.lines").alias("line"), F.col("y.line_words").alias("words")).select("copy", place, "words")
+    gone = spread_join(each, counts.where(limit).select(place, "n"), "place", "n").groupBy("copy").agg(F.sum("words").alias("gone"))
+    removed = pages.select("copy", "rows").join(gone, "copy", "left").withColumn("gone", F.coalesce("gone", F.lit(0).cast("long")))
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return null_safe(digest, found, "host").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return spread_join(digest.select(*names, hashed), removed, "copy", "rows").select(
+        *names,
         failed.alias("base_failed"),
-        (~failed & (removed <= depleted * F.col("n_words"))).alias("kept"),
-        removed.alias("n_line_words_removed"),
-    )
+        (~failed & (F.col("gone") <= depleted * F.col("n_words"))).alias("kept"),
+        F.col("gone").alias("n_line_words_removed"),
+    )
