@@ -4,8 +4,9 @@ A fixed mask picks some positions of a run of tokens and ignores the others, so
 the ignored ones. Test and training hashes of every mask are joined; the overlap around each hit is then verified
 token by token on its diagonal, substitutions allowed.
 
-Training positions pass a Bloom filter of the test hashes first (its size is fixed, whatever the benchmark's), so
-only documents that may overlap go on, with their text, to the join and the verification.
+Training positions pass a Bloom filter of the test hashes first, so only documents that may overlap go on, with their
+text, to the join and the verification. The filter grows with the benchmark, up to MOST_BITS; a benchmark beyond that
+makes it let more documents through, and the result is the same.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, WordKeys, map_rows, null_safe, powers, stash, text_hash
+from .common import BASE, WordKeys, map_rows, null_safe, spread_join, stash, text_hash
 
 MASKS = ("110110011", "1010110101", "1110010011", "1001101011")  #: fixed masks; 1 counts, 0 is ignored
 LEAST = 13  #: tokens of an overlap, or the whole item if it is shorter
 MISMATCH = 3  #: matches that pay for one substitution: at least 3 in 4 tokens of an overlap agree
-FILTER_BITS = 25
+FILTER = 64  #: bits of the filter for each seed of the benchmark: one position in 2 million passes by chance
+MOST_BITS = 30  #: its size at most, as a power of two: 128 MB, for 16 million seeds (4 million tokens of benchmark)
 _TOKENS = re.compile(r"\w+").findall
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -64,9 +66,13 @@ def _short_lengths(items: DataFrame) -> list[int]:
     return [r["n"] for r in map_rows(items.select("text"), "n int", make).distinct().collect()]
 
 
-def _slots(seeds: np.ndarray):
-    for m in _MIX:
-        yield seeds * np.uint64(m) >> np.uint64(64 - FILTER_BITS)
+def filter_bits(seeds: int) -> int:
+    """Size of the filter as a power of two."""
+    return min(MOST_BITS, max(16, (FILTER * seeds - 1).bit_length()))
+
+
+def _slot(seeds: np.ndarray, k: int, bits: int) -> np.ndarray:
+    return seeds * np.uint64(_MIX[k]) >> np.uint64(64 - bits)
 
 
 def seed_table(texts: DataFrame, key: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
@@ -91,12 +97,13 @@ def seed_table(texts: DataFrame, key: str, masks: tuple[str, ...] = MASKS) -> Da
 
 
 def _bloom(seeds: DataFrame) -> np.ndarray:
-    """Bits of the filter, made in Spark: at most 2**(FILTER_BITS - 6) longs come to the driver, for any benchmark."""
+    """The filter, made in Spark: at most 2**(MOST_BITS - 6) longs come to the driver, for any benchmark."""
+    bits = filter_bits(seeds.count())
 
     def make():
         def work(batch):
             s = batch["seed"].to_numpy().view(np.uint64)
-            yield {"slot": np.unique(np.concatenate([x.astype(np.int64) for x in _slots(s)]))}
+            yield {"slot": np.unique(np.concatenate([_slot(s, k, bits).astype(np.int64) for k in range(len(_MIX))]))}
 
         return work
 
@@ -105,14 +112,15 @@ def _bloom(seeds: DataFrame) -> np.ndarray:
         F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")
     )
     found = words.toArrow()
-    bits = np.zeros(1 << FILTER_BITS - 6, dtype=np.uint64)
-    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return bits
+    table = np.zeros(1 << bits - 6, dtype=np.uint64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return table
 
 
-def candidates(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def candidates(docs: DataFrame, bloom: np.ndarray, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """``doc_id, text, seeds, places`` of the documents of which some position passes the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # 4 MB
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)  # 2**MOST_BITS bits at most
+    bits = 5 + len(bloom).bit_length()
 
     def make():
         hashes, table = WordKeys(), shared.value
@@ -120,7 +128,7 @@ def candidates(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...] = MASKS
         def passed(seeds):
             at = np.arange(len(seeds))
             for k in range(len(_MIX)):
-                slot = seeds[at] * np.uint64(_MIX[k]) >> np.uint64(64 - FILTER_BITS)
+                slot = _slot(seeds[at], k, bits)
                 at = at[table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0]
             return at
 
@@ -147,7 +155,7 @@ def candidates(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...] = MASKS
 def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
     """(matches, first, last + 1 in the item) of the best run on the diagonal: +1 a match, -MISMATCH a substitution.
 
-    If that is no overlap, the longest run from a match to a match of which at least 3 in 4 agree, or a short item whole.
+    If that is no overlap, the whole item if 3 in 4 agree, or else the longest run from a match to a match of which they do.
     """
     low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     same = doc[low + diagonal : high + diagonal] == item[low:high]
@@ -156,7 +164,7 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int,
     end = int(gain.argmax())
     begin = int(np.flatnonzero(total[: end + 1] == total[: end + 1].min())[-1])
     if end - begin < min(LEAST, len(item)):
-        if len(item) < LEAST and len(same) == len(item) and total[-1] >= 0:
+        if len(same) == len(item) and total[-1] >= 0:
             begin, end = 0, len(item)
         elif len(same) >= LEAST and same.any():
             starts, ends = np.flatnonzero(same), np.flatnonzero(same) + 1
@@ -167,25 +175,32 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int,
     return int(same[begin:end].sum()), low + begin, low + end
 
 
+def _counted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key``, where many documents may have a passage or an item."""
+    n = stash(left.groupBy(key).agg(F.count("*").alias("n")), "counts")
+    return spread_join(left, null_safe(right, n, key, how="inner"), key, "n", n.agg(F.sum("n")).first()[0] or 0)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps, the best of each pair: ``doc_id, item_id, n_matched, n_overlap, n_item, doc_start, item_start``.
 
-    Tokens are runs of word characters in lower case. An overlap has LEAST tokens (the item's length if it has fewer)
-    and at least 3 in 4 agree. Items of fewer tokens than the shortest mask have masks of their own, which miss none;
+    Tokens are runs of word characters in lower case. An overlap has LEAST tokens and at least 3 in 4 agree, from a match
+    to a match or over the whole item, which may be shorter. Items of fewer tokens than the shortest mask have masks of their own, which miss none;
     null and empty texts give none. Rows that repeat an id count as one id with the texts of all of them; a null id is an id.
     """
-    items = benchmark.select("item_id", F.col("text")).where(F.col("text").isNotNull())
+    name = F.xxhash64("item_id", "text").alias("item")  # ids may be null or repeat
+    items = benchmark.where(F.col("text").isNotNull()).select(name, "item_id", "text").dropDuplicates(["item"])
     masks = masks_for(_short_lengths(items))
-    seeds = stash(seed_table(items, "item_id", masks), "seeds")
+    seeds = stash(seed_table(items, "item", masks), "seeds")
     found = stash(candidates(docs, _bloom(seeds), masks), "candidates")
     each = found.select("doc_id", F.explode(F.arrays_zip("seeds", "places")).alias("x"))
     each = each.select("doc_id", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
-    voted = each.join(seeds, "seed").groupBy("doc_id", "item_id", (F.col("place") - F.col("pos")).alias("diagonal")).agg(
-        F.count("*").alias("votes")
-    )
-    wanted = voted.join(items, "item_id").groupBy("doc_id").agg(
-        F.collect_list(F.struct("item_id", "diagonal", F.col("text").alias("item"))).alias("hits")
-    )
+    hits = _counted(each, seeds, "seed")
+    diagonal = (F.col("place") - F.col("pos")).alias("diagonal")
+    pairs = hits.select("doc_id", "item", diagonal).distinct().groupBy("doc_id", "item")
+    pairs = stash(pairs.agg(F.collect_list("diagonal").alias("diagonals")), "pairs")  # as many as the two are long at most
+    # an item's text goes once to each document that it may be in
+    wanted = _counted(pairs, items, "item").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonals", "text")).alias("hits"))
 
     def make():
         hashes = WordKeys()
@@ -196,11 +211,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for d, t, hits in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "hits")), strict=True):
                 a, best = hashes.array(tokens(t)), {}
                 for h in hits:
-                    b = hashes.array(tokens(h["item"]))
-                    n, i, j = best_overlap(a, b, h["diagonal"])
-                    if j - i >= min(LEAST, len(b)):
-                        row = (n, j - i, len(b), i + h["diagonal"], i)
-                        best[h["item_id"]] = max(best.get(h["item_id"], row), row)
+                    b = hashes.array(tokens(h["text"]))
+                    for diagonal in h["diagonals"]:
+                        n, i, j = best_overlap(a, b, diagonal)
+                        if j - i >= min(LEAST, len(b)):
+                            row = (n, j - i, len(b), i + diagonal, i)
+                            best[h["item_id"]] = max(best.get(h["item_id"], row), row)
                 for item, row in best.items():
                     for c, x in zip(names, (d, item, *row), strict=True):
                         out[c].append(x)
@@ -217,7 +233,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents whose text overlaps a benchmark item; columns as given.
 
-    Texts are judged by their hash, so a document stays whatever others that share its id, or have none, contain.
+    Texts are judged by their hash, so a document stays whatever others that share its id, or have none, contain; null
+    and empty texts stay, and repeated rows stay or go together.
     """
     texts = docs.select(text_hash("text").alias("doc_id"), "text")
     bad = contaminated(texts, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
