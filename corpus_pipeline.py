@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from etherloom.llm import bpe, decontaminate, langid, lines, simhash
-from etherloom.llm.common import stash, table
+from etherloom.llm.common import scratch, stash, table
 from etherloom.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -47,7 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage has read and written besides its rows is deleted once they are written."""
+    docs, own = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
-        docs = stash(stage(spark, docs, sf_dir), f"stage{k}")
+        with scratch(spark) as paths:
+            paths += own
+            docs = stash(stage(spark, docs, sf_dir), f"stage{k}")
+            own = [paths.pop()]
     return docs
