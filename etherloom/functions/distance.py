@@ -1,10 +1,14 @@
-"""Distances between two field values as column expressions; all run in the JVM."""
+"""Distances between two field values as column expressions; all but ``lcs`` run in the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
+_HEX = "^(0x)?[0-9A-Fa-f]+$"
 _DIGITS = 8  #: hexadecimal digits compared at once, so that a piece fits a signed long
 
 
@@ -25,13 +29,14 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def bit_share(a: Column, b: Column) -> Column:
-    """Differing bits over the bits of ``a``."""
-    return hamming(_digits(a), _digits(b)) / (4 * F.length(_digits(a)))
+    """Differing bits over the bits of ``a``; 1 if either is not a number of hexadecimal digits."""
+    valid = a.rlike(_HEX) & b.rlike(_HEX)
+    return F.when(valid, hamming(_digits(a), _digits(b)) / (4 * F.length(_digits(a)))).otherwise(1.0)
 
 
 def hex_bit(a: Column, b: Column, penalty: float = 1.0) -> Column:
-    """``bit_share`` of two ``0x`` strings of one length, else the penalty."""
-    alike = a.startswith("0x") & b.startswith("0x") & (F.length(a) == F.length(b))
+    """``bit_share`` of two ``0x`` strings of one length, else the penalty; so too without digits or with others."""
+    alike = a.startswith("0x") & b.startswith("0x") & (F.length(a) == F.length(b)) & a.rlike(_HEX) & b.rlike(_HEX)
     return F.when(alike, bit_share(a, b)).otherwise(F.lit(float(penalty)))
 
 
@@ -54,18 +59,25 @@ def multiset_difference(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_union(a, b), F.lit(0), lambda sum_, v: sum_ + F.abs(times(a, v) - times(b, v)))
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the usual table is folded over ``a``, for lists of tags."""
+@F.pandas_udf(IntegerType())
+def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two lists; null where one is null.
 
-    def step(above, x):
-        def cell(row, j):
-            best = F.greatest(F.element_at(row, -1), F.element_at(above, j + 1))
-            return F.concat(row, F.array(F.when(x == F.element_at(b, j), F.element_at(above, j) + 1).otherwise(best)))
+    A cell of the usual table is the greatest so far of its row among: one more than above left where the two agree,
+    else what is above. So a row is one running maximum, and a pair takes len(a) steps of length len(b).
+    """
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)
+    def length(x, y) -> int | None:
+        if x is None or y is None:
+            return None
+        _, code = np.unique(np.array([*x, *y], dtype=object).astype(str), return_inverse=True)
+        first, second = code[: len(x)], code[len(x) :]
+        above = np.zeros(len(second) + 1, dtype=np.int64)
+        for c in first:
+            above[1:] = np.maximum.accumulate(np.where(second == c, above[:-1] + 1, above[1:]))
+        return int(above[-1])
 
-    found = F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), step, lambda row: F.element_at(row, -1))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(found)
+    return pd.Series([length(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
 def ie_list(a: Column, b: Column, weight: float = 1.0) -> Column:

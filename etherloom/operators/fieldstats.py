@@ -12,11 +12,18 @@ def _by(*keys: str):
     return Window.partitionBy(*keys)
 
 
+def _value_frames(joint: DataFrame) -> DataFrame:
+    return joint.where("n > 0").groupBy("field", "value").agg(F.sum("n").cast("long").alias("n"))
+
+
+def _field_frames(joint: DataFrame) -> DataFrame:
+    """``field, total``: a row a field, which are an argument of the observations and few."""
+    return F.broadcast(joint.groupBy("field").agg(F.sum("n").cast("long").alias("total")))
+
+
 def distribution(joint: DataFrame) -> DataFrame:
-    """``field, value, n, share`` of frames; a field without frames has shares of 0."""
-    n = joint.groupBy("field", "value").agg(F.sum("n").cast("long").alias("n"))
-    total = F.sum("n").over(_by("field"))
-    return n.withColumn("share", F.when(total == 0, 0.0).otherwise(F.col("n") / total))
+    """``field, value, n, share`` of frames; a value that only requests without frames have is left out."""
+    return _value_frames(joint).join(_field_frames(joint), "field").select("field", "value", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def value_devices(joint: DataFrame) -> DataFrame:
@@ -81,8 +88,9 @@ def representative_value(joint: DataFrame) -> DataFrame:
 
 def stability_by_device(joint: DataFrame, devices: DataFrame) -> DataFrame:
     """``field, device, stability``: the share of frames with the representative value; 1 without frames."""
-    known = joint.groupBy("field", "device").agg((F.max("n") / F.sum("n")).alias("s"))
-    every = joint.select("field").distinct().join(devices.select("device").distinct(), how="cross")  # fields are few
+    known = joint.groupBy("field", "device").agg(F.try_divide(F.max("n"), F.sum("n")).alias("s"))
+    fields = F.broadcast(joint.select("field").distinct())  # an argument of the observations, and few
+    every = devices.select("device").distinct().join(fields)
     return every.join(known, ["field", "device"], "left").select("field", "device", F.coalesce("s", F.lit(1.0)).alias("stability"))
 
 
@@ -90,10 +98,17 @@ def stability(joint: DataFrame, devices: DataFrame) -> DataFrame:
     return stability_by_device(joint, devices).groupBy("field").agg(F.avg("stability").alias("stability"))
 
 
-def value_labels(joint: DataFrame, label: Column | None = None) -> DataFrame:
-    """``field, value, labels``: sorted labels joined by ', '; null labels are left out."""
+def value_labels(joint: DataFrame, label: Column | None = None, most: int = 1000) -> DataFrame:
+    """``field, value, labels, n_labels``: sorted labels joined by ', ', the first ``most`` of them, and the number of all.
+
+    Null labels are left out. A missing field is a value that most devices have, hence the bound of a row.
+    """
     label = F.col("device") if label is None else label
-    return joint.groupBy("field", "value").agg(F.array_join(F.array_sort(F.collect_set(label)), ", ").alias("labels"))
+    each = joint.select("field", "value", label.alias("label")).distinct()
+    n = each.groupBy("field", "value").agg(F.count("label").alias("n_labels"))
+    rank = F.row_number().over(_by("field", "value").orderBy(F.asc_nulls_last("label")))
+    first = each.withColumn("at", rank).where(F.col("at") <= most).groupBy("field", "value")
+    return first.agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("labels")).join(n, ["field", "value"])
 
 
 def short_label(label: Column) -> Column:
@@ -106,11 +121,17 @@ def abbreviated(value: Column, most: int = 16) -> Column:
 
 
 def top_and_other(joint: DataFrame, top: int = 15) -> DataFrame:
-    """``field, value, n``: the ``top`` values by frames, the rest summed as OTHER."""
-    n = joint.groupBy("field", "value").agg(F.sum("n").cast("long").alias("n"))
+    """``field, value, n, share``: the ``top`` values by frames; OTHER is what the field has besides, if it has more values.
+
+    The rank is filtered, so each task keeps ``top`` rows of a field before anything is sorted together.
+    """
+    n = _value_frames(joint)
     rank = F.row_number().over(_by("field").orderBy(F.desc("n"), "value"))
-    name = F.when(rank <= top, F.col("value")).otherwise("OTHER")
-    return n.withColumn("shown", name).groupBy("field", F.col("shown").alias("value")).agg(F.sum("n").cast("long").alias("n"))
+    best = n.withColumn("at", rank).where(F.col("at") <= top).select("field", "value", "n")
+    values = F.broadcast(n.groupBy("field").agg(F.count("*").alias("values")))
+    rest = best.groupBy("field").agg(F.sum("n").alias("shown"), F.count("*").alias("k")).join(_field_frames(joint), "field").join(values, "field")
+    rest = rest.where("values > k").select("field", F.lit("OTHER").alias("value"), (F.col("total") - F.col("shown")).alias("n"))
+    return best.union(rest).join(_field_frames(joint), "field").select("field", "value", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def frames_rollup(obs: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Distances between addresses: profiles of their fields, unit distances of pairs, and weighted sums of them.
 
-A matrix has a row for each pair by its nature. Two things keep it bearable: addresses with the same values share one
-profile, so a pair of profiles is compared once; and pairs meet in an equi-join on pairs of blocks, so that no side is
-broadcast and a task holds two blocks at most.
+A matrix has a row for each pair by its nature. Three things keep it bearable: addresses with the same values share one
+profile, so a pair of profiles is compared once; a profile has each value once, with its number; and pairs meet in an
+equi-join on pairs of blocks, so that no side is broadcast and a task holds two blocks at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,68 +17,185 @@ from etherloom.functions import distance
 
 from .observe import NULL
 
+BLOCK = 2000  #: profiles, or addresses, of a field in a block, on average
+WAYS = 16  #: tasks that the addresses of one pair of profiles are spread over
+
+# The fields that distances are defined for, by kind; those of the last three kinds have several weights.
+FIELDS = {
+    "hex_bit": ("HT_CAP", "HT_CAP_INFO", "HT_AMPDU_PARMS", "HT_MCS_SET", "HT_EXT_CAP", "HT_Tx", "HT_ANTENNA", "VHT_CAP", "EXT_CAP"),
+    "ie_list": ("TAG_LIST",),
+    "data_rates": ("DATA_RTS.SUPP", "DATA_RTS.EXT"),
+    "ext_tag": ("EXT_TAG",),
+    "vendor_spec": ("VENDOR_SPEC",),
+    "rssi_time": ("RSSI_TIME",),
+}
+SEVERAL = {"ext_tag": 3, "vendor_spec": 3, "rssi_time": 4}
+ONE_SIDED = {"ext_tag", "vendor_spec"}  #: kinds that measure by the first side's length
+
+
+@dataclass(frozen=True)
+class Spec:
+    """How a field is compared: its kind, its weights and the penalty where one side lacks it."""
+
+    kind: str
+    weights: tuple[float, ...] = (1.0,)
+    penalty: float = 1.0
+
+    def effective_weight(self) -> float:
+        """The weight; of several, the mean of those above 0, and 0 if none is."""
+        if self.kind not in SEVERAL:
+            return self.weights[0]
+        above = [w for w in self.weights if w > 0]
+        return sum(above) / len(above) if above else 0.0
+
+    def effective_penalty(self, scaled: bool = True) -> float:
+        return self.penalty * self.effective_weight() if scaled else self.penalty
+
+
+def registry(weights: Mapping[str, float] | None = None) -> dict[str, Spec]:
+    """The Spec of each known field. A weight is named like its field, or ``<field>_weight<k>`` where it has several; others are 1."""
+    given = weights or {}
+
+    def of(field: str, kind: str) -> Spec:
+        names = [f"{field}_weight{k}" for k in range(1, SEVERAL[kind] + 1)] if kind in SEVERAL else [field]
+        return Spec(kind, tuple(float(given.get(n, 1.0)) for n in names))
+
+    return {f: of(f, kind) for kind, fields in FIELDS.items() for f in fields}
+
+
+def profiles(obs: DataFrame, ordered: Collection[str] = ()) -> DataFrame:
+    """``mac, field, values array<struct<v,n>>``: the non-missing values of each address, each once with its number; none gives ``[]``.
+
+    Those of the ``ordered`` fields are listed in the order of their requests instead, repeats included.
+    """
+    order = [c for c in ("cap", "pr_ord") if c in obs.columns]
+    value = F.when(F.col("value") != NULL, F.col("value"))
+    parts = []
+    if ordered:
+        each = F.struct(*order, value.alias("v"))
+        listed = F.filter(F.transform(F.array_sort(F.collect_list(each)), lambda x: F.struct(x["v"].alias("v"), F.lit(1).cast("long").alias("n"))), lambda x: x["v"].isNotNull())
+        parts.append(obs.where(F.col("field").isin(list(ordered))).groupBy("mac", "field").agg(listed.alias("values")))
+    counted = obs.where(~F.col("field").isin(list(ordered))).groupBy("mac", "field", value.alias("v")).agg(F.count("*").alias("n"))
+    known = F.filter(F.array_sort(F.collect_list(F.struct("v", "n"))), lambda x: x["v"].isNotNull())
+    parts.append(counted.groupBy("mac", "field").agg(known.alias("values")))
+    return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+
+
+def frame_profiles(requests: DataFrame, field: str = "RSSI_TIME") -> DataFrame:
+    """Profiles of the pseudo-field of levels and times: a value ``level|time`` for each frame of an address."""
+    each = requests.select("mac", F.explode(F.arrays_zip(F.col("rssi").alias("r"), F.col("time").alias("t"))).alias("x"))
+    known = each.where("x.r IS NOT NULL AND x.t IS NOT NULL").groupBy("mac", F.concat_ws("|", "x.r", "x.t").alias("v")).agg(F.count("*").alias("n"))
+    return known.groupBy("mac").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("values")).select("mac", F.lit(field).alias("field"), "values")
+
 
-def profiles(obs: DataFrame) -> DataFrame:
-    """``mac, field, values``: the non-missing values of each address in order of their requests; none gives ``[]``."""
-    each = F.struct("pr_ord", F.when(F.col("value") != NULL, F.col("value")).alias("value"))
-    values = F.transform(F.array_sort(F.collect_list(each)), lambda x: x["value"])
-    return obs.groupBy("mac", "field").agg(F.filter(values, lambda x: x.isNotNull()).alias("values"))
+def _values(xs: Column) -> Column:
+    return F.transform(xs, lambda x: x["v"])
 
 
-def _mean_bits(a: Column, b: Column, penalty: float) -> Column:
-    """Mean over all pairs of the two lists; a value that repeats is compared once and weighed by its number."""
-    counted = lambda xs: F.transform(F.array_distinct(xs), lambda v: F.struct(v.alias("v"), F.size(F.filter(xs, lambda x: x == v)).alias("n")))
-    other = counted(b)
-    inner = lambda x: F.aggregate(other, F.lit(0.0), lambda s, y: s + x["n"] * y["n"] * distance.hex_bit(x["v"], y["v"], penalty))
-    return F.aggregate(counted(a), F.lit(0.0), lambda s, x: s + inner(x)) / (F.size(a) * F.size(b))
+def _mean(a: Column, b: Column, of) -> Column:
+    """Mean over all pairs of the two lists of ``of(value, value)``."""
+    times = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    inner = lambda x: F.aggregate(b, F.lit(0.0), lambda s, y: s + x["n"] * y["n"] * of(x["v"], y["v"]).cast("double"))
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + inner(x)) / (times(a) * times(b))
 
 
+def _frames(xs: Column) -> tuple[Column, Column]:
+    part = lambda k: F.transform(xs, lambda x: F.get(F.split(x["v"], r"\|"), F.lit(k)).cast("double"))
+    return part(0), part(1)
+
+
+def _maps(kind: str):
+    return lambda v: F.from_json(v, "map<string,string>" if kind == "ext_tag" else "map<string,map<string,string>>")
+
+
+#: kind -> distance of two profiles from (a, b, weights, penalty); a kind with one weight gives it at weight 1
 KINDS = {
-    "hex_bit": _mean_bits,
-    "ie_list": lambda a, b, penalty: distance.ie_list(a, b),
-    "data_rates": lambda a, b, penalty: distance.data_rates(a, b),
+    "hex_bit": lambda a, b, w, penalty: _mean(a, b, lambda x, y: distance.hex_bit(x, y, penalty)),
+    "ie_list": lambda a, b, w, penalty: distance.ie_list(_values(a), _values(b)),
+    "data_rates": lambda a, b, w, penalty: distance.data_rates(_values(a), _values(b)),
+    "ext_tag": lambda a, b, w, penalty: _mean(a, b, lambda x, y: distance.ext_tag(_maps("ext_tag")(x), _maps("ext_tag")(y), *w)),
+    "vendor_spec": lambda a, b, w, penalty: _mean(a, b, lambda x, y: distance.vendor_spec(_maps("vendor_spec")(x), _maps("vendor_spec")(y), *w)),
+    "rssi_time": lambda a, b, w, penalty: distance.rssi_time(*_frames(a), *_frames(b), *w),
 }
 
 
-def unit_distance(kinds: Mapping[str, str], field: Column, a: Column, b: Column, penalty: float = 1.0) -> Column:
-    """Distance of two profiles of ``field`` at weight 1: none on both sides is 0, on one side the penalty."""
-    unknown = set(kinds.values()) - KINDS.keys()
+def _specs(kinds: Mapping[str, str | Spec], penalty: float) -> dict[str, Spec]:
+    specs = {f: k if isinstance(k, Spec) else Spec(k, (1.0,) * SEVERAL.get(k, 1), penalty) for f, k in kinds.items()}
+    unknown = {s.kind for s in specs.values()} - KINDS.keys()
     if unknown:
         raise ValueError(f"unknown kind: {', '.join(sorted(unknown))}")
-    found = F.lit(None).cast("double")
-    for kind in sorted(set(kinds.values())):
-        of_kind = [f for f, k in kinds.items() if k == kind]
-        found = F.when(field.isin(of_kind), KINDS[kind](a, b, penalty).cast("double")).otherwise(found)
+    return specs
+
+
+def unit_distance(kinds: Mapping[str, str | Spec], field: Column, a: Column, b: Column, penalty: float = 1.0) -> Column:
+    """Distance of two profiles of ``field``: none on both sides is 0, on one side the penalty.
+
+    A field with one weight is measured at weight 1, whatever its Spec says; one with several has them in its distance,
+    and its penalty scaled by their effective weight.
+    """
+    specs = _specs(kinds, penalty)
     empty = (F.size(a) == 0).cast("int") + (F.size(b) == 0).cast("int")
-    return F.when(empty == 2, 0.0).when(empty == 1, float(penalty)).otherwise(found)
+    found = F.lit(None).cast("double")
+    for spec in sorted(set(specs.values()), key=repr):
+        of_kind = [f for f, s in specs.items() if s == spec]
+        missing = spec.effective_penalty() if spec.kind in SEVERAL else spec.penalty
+        own = F.when(empty == 1, float(missing)).otherwise(KINDS[spec.kind](a, b, spec.weights, spec.penalty).cast("double"))
+        found = F.when(field.isin(of_kind), own).otherwise(found)
+    return F.when(empty == 2, 0.0).otherwise(found)
 
 
 def _pairs(rows: DataFrame, key: str, on: list[str], blocks: int) -> DataFrame:
-    """All pairs with ``a.key <= b.key`` that agree in ``on``: a row goes to each pair of blocks that has its own."""
+    """All pairs with ``a.key <= b.key`` that agree in ``on``, as ``a`` and ``b``: a block meets itself and those after it."""
     own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    placed = rows.withColumn("own", own).withColumn("other", F.explode(every))
-    side = lambda name, first, second: placed.select(
-        *on, F.col(first).alias("p"), F.col(second).alias("q"), *[F.col(c).alias(f"{c}_{name}") for c in rows.columns if c not in on]
-    )
-    joined = side("a", "own", "other").join(side("b", "other", "own"), [*on, "p", "q"])
-    return joined.where(F.col(f"{key}_a") <= F.col(f"{key}_b"))
+    placed = rows.select(*on, F.struct(key, *[c for c in rows.columns if c not in (key, *on)]).alias("x"), own.alias("own"))
+    first = placed.select(*on, F.col("own").alias("p"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("q"), F.col("x").alias("l"))
+    second = placed.select(*on, F.explode(F.sequence(F.lit(0), "own")).alias("p"), F.col("own").alias("q"), F.col("x").alias("r"))
+    joined = first.join(second, [*on, "p", "q"]).where((F.col("p") < F.col("q")) | (F.col(f"l.{key}") <= F.col(f"r.{key}")))
+    ahead = F.col(f"l.{key}") <= F.col(f"r.{key}")
+    pick = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))
+    return joined.select(*on, pick("l", "r").alias("a"), pick("r", "l").alias("b"))
+
 
+def _blocks(rows: DataFrame) -> int:
+    """As many as keep a block of the largest field at BLOCK rows."""
+    most = rows.groupBy("field").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(1, -(-most // BLOCK))
 
-def unit_distances(prof: DataFrame, kinds: Mapping[str, str], penalty: float = 1.0, blocks: int = 8) -> DataFrame:
+
+def unit_distances(
+    prof: DataFrame, kinds: Mapping[str, str | Spec], penalty: float = 1.0, blocks: int | None = None, both: bool = False
+) -> DataFrame:
     """``field, i, j, unit`` of every pair of addresses ``i <= j``, the diagonal included, which need not be 0.
 
-    ``blocks`` grows with the addresses: a task holds about two blocks of n / blocks profiles.
+    With ``both`` the pairs ``j, i`` too: kinds that measure by the first side's length differ by the order. The number
+    of blocks follows from the number of profiles and of addresses, unless ``blocks`` gives it.
     """
-    known = prof.where(F.col("field").isin(list(kinds))).withColumn("pid", F.xxhash64(F.to_json(F.col("values"))))
+    specs = _specs(kinds, penalty)
+    known = prof.where(F.col("field").isin(list(specs))).withColumn("pid", F.xxhash64(F.to_json(F.col("values"))))
     distinct = known.select("field", "pid", "values").dropDuplicates(["field", "pid"])
-    pairs = _pairs(distinct, "pid", ["field"], blocks)
-    unit = unit_distance(kinds, F.col("field"), F.col("values_a"), F.col("values_b"), penalty)
-    of_profiles = pairs.select("field", F.col("pid_a").alias("lo"), F.col("pid_b").alias("hi"), unit.alias("unit"))
-    macs = _pairs(known.select("field", "mac", "pid"), "mac", ["field"], blocks).select(
-        "field", F.col("mac_a").alias("i"), F.col("mac_b").alias("j"), F.least("pid_a", "pid_b").alias("lo"), F.greatest("pid_a", "pid_b").alias("hi")
+    pairs = _pairs(distinct, "pid", ["field"], blocks or _blocks(distinct))
+    unit = lambda a, b: unit_distance(specs, F.col("field"), F.col(f"{a}.values"), F.col(f"{b}.values"))
+    back = F.col("unit")
+    if one_sided := [f for f, s in specs.items() if s.kind in ONE_SIDED]:
+        back = F.when(F.col("field").isin(one_sided), unit("b", "a")).otherwise(back)
+    of_profiles = pairs.withColumn("unit", unit("a", "b")).withColumn("back", back)
+    # a pair of common profiles, such as two empty ones, stands for most of the matrix: it is repeated, its addresses are spread
+    ways = F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))).alias("way")
+    of_profiles = of_profiles.select("field", F.col("a.pid").alias("lo"), F.col("b.pid").alias("hi"), "unit", "back", ways)
+    way = F.pmod(F.xxhash64("a.mac", "b.mac"), F.lit(WAYS)).cast("int")
+    lo, hi = F.least("a.pid", "b.pid"), F.greatest("a.pid", "b.pid")
+    macs = _pairs(known.select("field", "mac", "pid"), "mac", ["field"], blocks or _blocks(known)).select(
+        "field", F.col("a.mac").alias("i"), F.col("b.mac").alias("j"), lo.alias("lo"), hi.alias("hi"), way.alias("way"), (F.col("a.pid") == lo).alias("ahead")
     )
-    return macs.join(of_profiles, ["field", "lo", "hi"]).select("field", "i", "j", "unit")
+    joined = macs.join(of_profiles, ["field", "lo", "hi", "way"])
+    there = F.when(F.col("ahead"), F.col("unit")).otherwise(F.col("back"))
+    if not both:
+        return joined.select("field", "i", "j", there.alias("unit"))
+    again = F.when(F.col("ahead"), F.col("back")).otherwise(F.col("unit"))
+    here = F.struct(F.col("i").alias("i"), F.col("j").alias("j"), there.alias("unit"))
+    other = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), again.alias("unit"))
+    sides = F.when(F.col("i") == F.col("j"), F.array(here)).otherwise(F.array(here, other))
+    return joined.select("field", F.inline(sides)).select("field", "i", "j", "unit")
 
 
 def compose(units: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -91,6 +209,27 @@ def compose(units: DataFrame, scenarios: DataFrame) -> DataFrame:
     return weighted.groupBy("scenario", "i", "j").agg(F.greatest(F.sum(F.col("w") * F.col("unit")), F.lit(0.0)).alias("distance"))
 
 
+def mac_distances(prof: DataFrame, specs: Mapping[str, Spec], blocks: int | None = None, both: bool = False) -> DataFrame:
+    """``i, j, distance`` with the weights of the Specs: the sum over the fields, which may be negative each, not below 0."""
+    units = unit_distances(prof, specs, blocks=blocks, both=both)
+    weight = F.lit(1.0)
+    for field, spec in specs.items():
+        if spec.kind not in SEVERAL:
+            weight = F.when(F.col("field") == field, float(spec.weights[0])).otherwise(weight)
+    return units.groupBy("i", "j").agg(F.greatest(F.sum(weight * F.col("unit")), F.lit(0.0)).alias("distance"))
+
+
+def compare(one: DataFrame, other: DataFrame, keys: Collection[str] = ("i", "j"), tolerance: float = 1e-9) -> DataFrame:
+    """``n_pairs, n_only_one, max_abs, mean_abs, close`` of two matrices: whether a composed one equals a direct one."""
+    joined = one.select(*keys, F.col("distance").alias("x")).join(other.select(*keys, F.col("distance").alias("y")), list(keys), "full")
+    apart = F.abs(F.col("x") - F.col("y"))
+    alone = F.count_if(F.col("x").isNull() | F.col("y").isNull())
+    far = F.count_if(apart > tolerance + tolerance * F.abs(F.col("y")))
+    return joined.agg(
+        F.count("*").alias("n_pairs"), alone.alias("n_only_one"), F.max(apart).alias("max_abs"), F.avg(apart).alias("mean_abs"), ((alone == 0) & (far == 0)).alias("close")
+    )
+
+
 def matrix_stats(matrix: DataFrame) -> DataFrame:
     """``scenario, n, min, max, mean, std`` of the full square: a pair beside the diagonal counts twice."""
     times = F.when(F.col("i") == F.col("j"), 1).otherwise(2)

@@ -11,46 +11,85 @@ NULL = "NULL"  #: the token that stands for a missing field; it is a value like
 
 
 def path(field: str) -> str:
-    """JSON path of a dotted field, its segments quoted."""
-    return "$" + "".join(f"['{p}']" for p in field.split("."))
+    """Path of a dotted field into a variant, its segments quoted; a quote in a name is escaped."""
+    escape = lambda p: p.replace("\\", "\\\\").replace("'", "\\'")
+    return "$" + "".join(f"['{escape(p)}']" for p in field.split("."))
 
 
-def normalise(json: Column) -> Column:
-    """A JSON fragment as a groupable value: lists as ``[a,b]``, objects as ``{k:v}`` in key order, scalars plain."""
-    items = F.from_json(json, "array<string>")
-    listed = F.concat(F.lit("["), F.array_join(items, ",", "None"), F.lit("]"))
-    entries = F.array_sort(F.map_entries(F.from_json(json, "map<string,string>")))
-    mapped = F.concat(
-        F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(":"), F.coalesce(e["value"], F.lit("None")))), ","), F.lit("}")
-    )
-    value = F.when(json.startswith("["), listed).when(json.startswith("{"), mapped).otherwise(json)
-    return F.coalesce(value, F.lit(NULL))
+def _plain(v: Column) -> Column:
+    """A variant as text: booleans as True and False, strings without quotes, lists and objects as JSON."""
+    text = F.try_variant_get(v, "$", "string")
+    return F.when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(text)).otherwise(text)
+
 
+def normalise(value: Column, objects: bool = True) -> Column:
+    """A variant as a groupable text, by its type: lists as ``[a,b]``, objects as ``{k:v}`` in key order, scalars plain.
 
-def field_value(field: str, request: Column, data: Column) -> Column:
-    """The field at the request itself, else inside its DATA; ``request`` and ``data`` are JSON strings."""
-    own = F.get_json_object(request, path(field))
-    inner = F.lit(None) if field.startswith("DATA.") else F.get_json_object(data, path(field))
-    return normalise(F.coalesce(own, inner))
+    A missing or null value is NULL, a null inside a list or an object None. Without ``objects`` an object stays JSON,
+    its keys in order, for the distances that take it apart.
+    """
+    kind = F.schema_of_variant(value)
+    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.coalesce(_plain(x), F.lit("None")))
+    listed = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    entries = F.array_sort(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")))
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    mapped = F.transform(entries, lambda k: F.concat(k, F.lit(":"), F.coalesce(_plain(F.element_at(fields, k)), F.lit("None"))))
+    whole = F.concat(F.lit("{"), F.array_join(mapped, ","), F.lit("}")) if objects else F.to_json(value)
+    text = F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), whole).otherwise(_plain(value))
+    return F.coalesce(text, F.lit(NULL))
 
 
-def probe_requests(captures: DataFrame) -> DataFrame:
-    """One row a probe request: ``mac, device, pr_ord, n_frames, time, rssi, request, data``; MACs without any are left out."""
-    device = F.coalesce("LABEL", "MAC")
-    each = captures.select(F.col("MAC").alias("mac"), device.alias("device"), F.posexplode("PROBE_REQs").alias("pr_ord", "p"))
+def field_value(field: str, objects: bool = True, time: str = "time", rssi: str = "rssi", data: str = "data") -> Column:
+    """The field of a probe request, a dotted path from its root, else from its DATA; an empty path is NULL.
+
+    The root has TIME, RSSI and DATA; a path that names DATA itself is looked up there only.
+    """
+    if not field:
+        return F.lit(NULL)
+    inner = lambda p: normalise(F.try_variant_get(F.col(data), path(p), "variant"), objects)
+    first, _, rest = field.partition(".")
+    if first == "DATA":
+        return inner(rest) if rest else normalise(F.col(data), objects)
+    if field in ("TIME", "RSSI"):
+        own = F.col(time if field == "TIME" else rssi)
+        return F.coalesce(F.concat(F.lit("["), F.array_join(own, ",", "None"), F.lit("]")), inner(field))
+    return inner(field)
+
+
+def probe_requests(captures: DataFrame, order: str | None = None) -> DataFrame:
+    """One row a probe request: ``mac, label, device, cap, pr_ord, n_frames, time, rssi, data``; MACs without any are left out.
+
+    The device is the label, or the MAC where that is null. ``order`` is a column of ``captures`` by which rows of one
+    MAC follow one another; it becomes ``cap`` (0 without).
+    """
+    cap = F.lit(0).cast("long") if order is None else F.col(order)
+    each = captures.select(
+        F.col("MAC").alias("mac"), F.col("LABEL").alias("label"), F.coalesce("LABEL", "MAC").alias("device"), cap.alias("cap"),
+        F.posexplode("PROBE_REQs").alias("pr_ord", "p"),
+    )
     n = F.when(F.col("p.TIME").isNull(), 0).otherwise(F.size("p.TIME"))
-    plain = F.to_json(F.struct(F.col("p.TIME").alias("TIME"), F.col("p.RSSI").alias("RSSI")))
     return each.select(
-        "mac", "device", "pr_ord", n.alias("n_frames"), F.col("p.TIME").alias("time"), F.col("p.RSSI").alias("rssi"),
-        plain.alias("request"), F.to_json("p.DATA").alias("data"),
+        "mac", "label", "device", "cap", "pr_ord", n.alias("n_frames"), F.col("p.TIME").alias("time"), F.col("p.RSSI").alias("rssi"),
+        F.col("p.DATA").alias("data"),
     )
 
 
-def observations(requests: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Long form: ``mac, device, pr_ord, field, value, n_frames``."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), field_value(f, F.col("request"), F.col("data")).alias("value")) for f in fields])
-    return requests.select("mac", "device", "pr_ord", "n_frames", F.inline(each)).select(
-        "mac", "device", "pr_ord", "field", "value", "n_frames"
+def devices(captures: DataFrame) -> DataFrame:
+    """``device``: the distinct devices, those without a probe request too."""
+    return captures.select(F.coalesce("LABEL", "MAC").alias("device")).distinct()
+
+
+def mac_labels(captures: DataFrame, order: str) -> DataFrame:
+    """``mac, label``: the last label of each MAC by ``order``; null and empty ones do not count."""
+    known = captures.where("MAC <> '' AND LABEL <> ''")
+    return known.groupBy(F.col("MAC").alias("mac")).agg(F.max_by("LABEL", order).alias("label"))
+
+
+def observations(requests: DataFrame, fields: Sequence[str], objects: bool = True) -> DataFrame:
+    """Long form: ``mac, device, cap, pr_ord, field, value, n_frames``."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), field_value(f, objects).alias("value")) for f in fields])
+    return requests.select("mac", "device", "cap", "pr_ord", "n_frames", F.inline(each)).select(
+        "mac", "device", "cap", "pr_ord", "field", "value", "n_frames"
     )
 
 
@@ -59,27 +98,106 @@ def joint_counts(obs: DataFrame) -> DataFrame:
     return obs.groupBy("field", "device", "value").agg(F.sum("n_frames").cast("long").alias("n"))
 
 
+def device_joint(joint: DataFrame, every: DataFrame) -> DataFrame:
+    """``device, field, value, n`` of all devices; one without probe requests has a row of nulls and no frames."""
+    found = joint.where("n > 0").select("device", "field", "value", "n")
+    none = every.join(found.select("device").distinct(), "device", "left_anti")
+    return found.unionByName(none.select("device", F.lit(0).cast("long").alias("n")), allowMissingColumns=True)
+
+
 def merge_requests(requests: DataFrame) -> DataFrame:
-    """Requests of a MAC with equal DATA become one; times and levels are joined in their order, the first label wins."""
-    ordered = F.array_sort(F.collect_list(F.struct("pr_ord", "time", "rssi")))
-    merged = requests.groupBy("mac", "data").agg(ordered.alias("parts"), F.min("pr_ord").alias("pr_ord"), F.min_by("device", "pr_ord").alias("device"))
+    """Addresses made one: ``mac, label, device, cap, pr_ord, n_frames, time, rssi, data``; a null MAC is left out.
+
+    Requests of a MAC with equal DATA, whatever the order of its keys, become one; times and levels are joined in the
+    order of (cap, pr_ord). The MAC's first label that is not null holds for all of its requests.
+    """
+    known = requests.where("mac IS NOT NULL").withColumn("content", F.coalesce(F.to_json("data"), F.lit("")))
+    place = F.struct("cap", "pr_ord")
+    label = known.where("label IS NOT NULL").groupBy("mac").agg(F.min_by("label", place).alias("label"))
+    parts = F.array_sort(F.collect_list(F.struct("cap", "pr_ord", "time", "rssi")))
+    merged = known.groupBy("mac", "content").agg(parts.alias("parts"), F.min(place).alias("at")).join(label, "mac", "left")
+    joined = lambda c: F.flatten(F.transform("parts", lambda x: F.coalesce(x[c], F.array().cast("array<string>"))))
     return merged.select(
-        "mac", "device", "pr_ord", "data",
-        F.flatten(F.transform("parts", lambda x: x["time"])).alias("time"),
-        F.flatten(F.transform("parts", lambda x: x["rssi"])).alias("rssi"),
-    ).withColumn("n_frames", F.size("time"))
+        "mac", "label", F.coalesce("label", "mac").alias("device"), "at.cap", "at.pr_ord", F.size(joined("time")).alias("n_frames"),
+        joined("time").alias("time"), joined("rssi").alias("rssi"), F.parse_json(F.nullif("content", F.lit(""))).alias("data"),
+    )
+
+
+def _keys(data: str) -> Column:
+    return F.map_keys(F.try_variant_get(data, "$", "map<string,variant>"))
+
+
+def key_frames(requests: DataFrame) -> DataFrame:
+    """``key, n``: the frames of the requests that have the top-level DATA key."""
+    each = requests.where("n_frames > 0").select(F.explode(_keys("data")).alias("key"), "n_frames")
+    return each.groupBy("key").agg(F.sum("n_frames").cast("long").alias("n"))
+
+
+def key_paths(requests: DataFrame, depth: int = 8) -> DataFrame:
+    """``path``: the distinct dotted paths of keys inside DATA, lists passed through, ``depth`` levels at most."""
+    level = requests.select(F.lit("").alias("path"), F.col("data").alias("v"))
+    found = None
+    for _ in range(depth):
+        # through lists first: a list of objects has the keys of its members
+        items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+        entries = F.try_variant_get("v", "$", "map<string,variant>")
+        each = level.select("path", F.explode(items).alias("v")).select("path", F.explode(entries).alias("key", "v"))
+        level = each.select(F.concat_ws(".", F.nullif("path", F.lit("")), "key").alias("path"), "v")
+        paths = level.select("path").distinct()
+        found = paths if found is None else found.union(paths)
+    return found.distinct()
+
+
+def unique_addresses(requests: DataFrame, device: str = "device") -> DataFrame:
+    """``device, n_macs, n_requests, n_frames`` of each device and, with a null device, of all; addresses in lower case.
+
+    Each address of a device is one row first, so no task holds all addresses of one.
+    """
+    one = requests.groupBy(F.col(device).alias("device"), F.lower("mac").alias("mac")).agg(
+        F.count("*").alias("r"), F.sum("n_frames").cast("long").alias("f")
+    )
+    of_device = one.groupBy("device").agg(F.count("mac").alias("n_macs"), F.sum("r").alias("n_requests"), F.sum("f").alias("n_frames"))
+    of_all = one.groupBy("mac").agg(F.sum("r").alias("r"), F.sum("f").alias("f")).agg(
+        F.count("mac").alias("n_macs"), F.sum("r").alias("n_requests"), F.sum("f").alias("n_frames")
+    )
+    return of_device.unionByName(of_all, allowMissingColumns=True)
+
+
+def file_frames(captures: DataFrame, file: str = "file") -> DataFrame:
+    """``file, n_frames`` of each file and, with a null file, of all."""
+    n = F.aggregate("PROBE_REQs", F.lit(0), lambda s, p: s + F.greatest(F.size(p["TIME"]), F.lit(0)))
+    return captures.select(F.col(file).alias("file"), n.alias("n")).rollup("file").agg(F.sum("n").cast("long").alias("n_frames"))
+
+
+def path_label(file: Column, by: str = "folder") -> Column:
+    """Label from where a capture lies: the name of its folder, or of the file without its ending."""
+    if by == "folder":
+        return F.nullif(F.regexp_extract(file, r"([^/]+)/[^/]*$", 1), F.lit(""))
+    return F.regexp_replace(F.regexp_extract(file, r"([^/]*)$", 1), r"(.)\.[^.]*$", "$1")
+
+
+def folder_device(file: Column) -> Column:
+    """The first folder of the path that is named ``data_dev`` + a letter + ``_dataset``, else null."""
+    return F.nullif(F.regexp_extract(file, r"(?:^|/)(data_dev[A-Za-z]_dataset)(?:/|$)", 1), F.lit(""))
+
+
+def table_label(label: Column) -> Column:
+    """Second part by '_', or the label if it has none."""
+    return F.when(label.contains("_"), F.split_part(label, F.lit("_"), F.lit(2))).otherwise(label)
 
 
 def pseudonyms(frames: DataFrame, order: str = "ord", source: str = "src") -> DataFrame:
     """A made-up address for each frame: a prefix for each source by first appearance, a suffix that grows within it.
 
-    Sources are few against frames: they are numbered in one small window, frames within their source.
+    The prefix holds 16 bits and the suffix 24; larger numbers begin anew, a suffix of zero is one. Sources, few
+    against frames, are numbered in one window, frames within their source.
     """
     from pyspark.sql import Window
 
     first = frames.groupBy(source).agg(F.min(order).alias("first"))
     device = first.select(source, F.row_number().over(Window.orderBy("first", source)).alias("device"))
-    at = F.row_number().over(Window.partitionBy(source).orderBy(order))
+    at = F.row_number().over(Window.partitionBy(source).orderBy(order)).bitwiseAND(F.lit(0xFFFFFF))
     hexed = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
     pairs = lambda c, n: F.concat_ws(":", *[F.substring(hexed(c, n), 1 + i, 2) for i in range(0, n, 2)])
-    return frames.join(device, source).withColumn("mac", F.concat_ws(":", F.lit("02"), pairs(F.col("device"), 4), pairs(at, 6)))
+    made = F.concat_ws(":", F.lit("02"), pairs(F.col("device").bitwiseAND(F.lit(0xFFFF)), 4), pairs(F.greatest(at, F.lit(1)), 6))
+    return frames.join(device, source).withColumn("mac", made)

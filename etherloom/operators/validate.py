@@ -2,57 +2,115 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NOISE = -1
 
 
-def contingency(clusters: DataFrame, labels: DataFrame, noise: bool = False) -> DataFrame:
-    """``cluster, label, n, nk, nc, total`` over labelled members; noise is left out unless asked for."""
-    rows = clusters.join(labels.where("label IS NOT NULL"), "mac")
+def cluster_number(cluster: Column) -> Column:
+    """The id as text, whole numbers in their plain form: `` 07`` and ``7`` are one cluster; other ids stay as they are."""
+    text = cluster.cast("string")
+    return F.coalesce(F.trim(text).try_cast("int").cast("string"), text)
+
+
+def _margins(n: DataFrame, key: str, name: str) -> DataFrame:
+    return n.groupBy(key).agg(F.sum("n").alias(name))
+
+
+def contingency(clusters: DataFrame, labels: DataFrame, noise: bool = False, unlabelled: str | None = None) -> DataFrame:
+    """``cluster, label, n, nk, nc, total`` over labelled members; noise is left out unless asked for.
+
+    With ``unlabelled`` members without a label count as a class of that name. The margins are aggregates of the small
+    table, joined back, so that a cluster with all labels is not one task's window.
+    """
+    known = labels.where("label IS NOT NULL")
+    if unlabelled is None:
+        rows = clusters.join(known, "mac")
+    else:
+        rows = clusters.join(known.withColumn("label", F.col("label").cast("string")), "mac", "left").fillna({"label": unlabelled})
     if not noise:
         rows = rows.where(F.col("cluster") != NOISE)
     n = rows.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    over = lambda *k: F.sum("n").over(Window.partitionBy(*k))
-    total = n.agg(F.sum("n").alias("total"))
-    margins = n.select("*", over("cluster").alias("nk"), over("label").alias("nc"))
-    return margins.join(F.broadcast(total))  # one row is sent
+    joined = n.join(_margins(n, "cluster", "nk"), "cluster").join(_margins(n, "label", "nc"), "label")
+    total = F.broadcast(n.agg(F.sum("n").alias("total")))  # one row is sent
+    return joined.join(total).select("cluster", "label", "n", "nk", "nc", "total")
+
+
+def _zero(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(c, F.lit(0))
+
+
+def _share(part: Column, whole: Column) -> Column:
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
 def purity(ck: DataFrame) -> DataFrame:
-    """``cluster, size, n_majority, n_labels, purity`` of each cluster."""
+    """``cluster, size, n_majority, n_labels, purity, majority`` of each cluster; of equal majorities the least label."""
     return ck.groupBy("cluster").agg(
         F.sum("n").alias("size"), F.max("n").alias("n_majority"), F.count("*").alias("n_labels"),
-        (F.max("n") / F.sum("n")).alias("purity"),
+        (F.max("n") / F.sum("n")).alias("purity"), F.min_by("label", F.struct(-F.col("n"), "label")).alias("majority"),
     )
 
 
 def purity_summary(ck: DataFrame) -> DataFrame:
+    """One row; zeros where no cluster has a labelled member."""
+    pure = F.sum((F.col("n_labels") == 1).cast("long"))
     return purity(ck).agg(
-        F.count("*").alias("n_clusters"), F.avg("purity").alias("macro_purity"),
-        (F.sum("n_majority") / F.sum("size")).alias("weighted_purity"),
-        F.sum((F.col("n_labels") == 1).cast("long")).alias("n_pure"),
+        F.count("*").alias("n_clusters"), _zero(F.avg("purity")).alias("macro_purity"),
+        _share(F.sum("n_majority"), F.sum("size")).alias("weighted_purity"),
+        _zero(pure).alias("n_pure"), _share(pure, F.count("*")).alias("pure_share"),
     )
 
 
 def fragmentation(ck: DataFrame, labels: DataFrame) -> DataFrame:
-    """``label, n_detected, n_clusters, best_count, best_recall``; labels without a member keep zeros."""
-    found = ck.groupBy("label").agg(F.sum("n").alias("d"), F.count("*").alias("c"), F.max("n").alias("b"))
+    """``label, n_detected, n_clusters, best_cluster, best_count, best_recall, single``; labels without a member keep zeros.
+
+    Of clusters with equally many the least is the best.
+    """
+    found = ck.groupBy("label").agg(
+        F.sum("n").alias("d"), F.count("*").alias("c"), F.max("n").alias("b"), F.min_by("cluster", F.struct(-F.col("n"), "cluster")).alias("best_cluster")
+    )
     every = labels.where("label IS NOT NULL").select("label").distinct().join(found, "label", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    recall = F.coalesce(F.col("b") / F.col("d"), F.lit(0.0))
-    return every.select("label", zero("d").alias("n_detected"), zero("c").alias("n_clusters"), zero("b").alias("best_count"), recall.alias("best_recall"))
+    return every.select(
+        "label", _zero("d").alias("n_detected"), _zero("c").alias("n_clusters"), "best_cluster", _zero("b").alias("best_count"),
+        _share(F.col("b"), F.col("d")).alias("best_recall"), (_zero("c") == 1).alias("single"),
+    )
+
+
+def fragmentation_summary(ck: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: devices, those detected, those in one cluster, their shares, and the recall of the best cluster."""
+    seen = F.col("n_detected") > 0
+    devices, detected, single = F.count("*"), F.count_if(seen), F.count_if(F.col("single"))
+    return fragmentation(ck, labels).agg(
+        devices.alias("n_devices"), detected.alias("n_detected"), single.alias("n_single"),
+        _share(detected, devices).alias("detected_share"), _share(single, devices).alias("single_share_all"),
+        _share(single, detected).alias("single_share_detected"),
+        _zero(F.avg(F.when(seen, F.col("best_recall")))).alias("macro_recall"),
+        _share(F.sum("best_count"), F.sum("n_detected")).alias("weighted_recall"),
+    )
+
+
+def majority_accuracy(ck: DataFrame) -> DataFrame:
+    """``correct, incorrect, total, accuracy``: members that have their cluster's most frequent label."""
+    sums = purity(ck).agg(_zero(F.sum("n_majority")).alias("correct"), _zero(F.sum("size")).alias("total"))
+    return sums.select("correct", (F.col("total") - F.col("correct")).alias("incorrect"), "total", _share(F.col("correct"), F.col("total")).alias("accuracy"))
+
+
+def _pairs_of(ck: DataFrame) -> DataFrame:
+    """One row: pairs that share both, the cluster, the label, and all: ``tp, pk, pc, pt``; zeros where there are none."""
+    two = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    tp = ck.agg(_zero(F.sum(two("n"))).alias("tp"), F.max("total").alias("t"))
+    k = ck.groupBy("cluster").agg(F.max("nk").alias("m")).agg(_zero(F.sum(two("m"))).alias("pk"))
+    c = ck.groupBy("label").agg(F.max("nc").alias("m")).agg(_zero(F.sum(two("m"))).alias("pc"))
+    return tp.join(k).join(c).withColumn("pt", _zero(two("t")))  # one row each
 
 
 def pairwise(ck: DataFrame) -> DataFrame:
-    two = lambda c: c * (c - 1) / 2
-    tp = ck.agg(F.sum(two(F.col("n"))).alias("tp"))
-    k = ck.groupBy("cluster").agg(F.max("nk").alias("m")).agg(F.sum(two(F.col("m"))).alias("pk"))
-    c = ck.groupBy("label").agg(F.max("nc").alias("m")).agg(F.sum(two(F.col("m"))).alias("pc"))
-    p, r = F.col("tp") / F.col("pk"), F.col("tp") / F.col("pc")
-    one = tp.join(k).join(c)  # one row each
-    return one.select(
+    """Zeros where no cluster or no label has a pair."""
+    p, r = _share(F.col("tp"), F.col("pk")), _share(F.col("tp"), F.col("pc"))
+    return _pairs_of(ck).select(
         F.col("tp").cast("long").alias("tp"), (F.col("pk") - F.col("tp")).cast("long").alias("fp"),
         (F.col("pc") - F.col("tp")).cast("long").alias("fn"), p.alias("p"), r.alias("r"), f1(p, r).alias("f1"),
     )
@@ -63,44 +121,72 @@ def f1(p: Column, r: Column) -> Column:
 
 
 def bcubed(ck: DataFrame) -> DataFrame:
-    part = lambda m: F.sum(F.col("n") * F.col("n") / F.col(m)) / F.max("total")
+    """One row; zeros without a member."""
+    part = lambda m: _zero(F.sum(F.col("n") * F.col("n") / F.col(m)) / F.max("total"))
     return ck.agg(part("nk").alias("p"), part("nc").alias("r")).withColumn("f1", f1(F.col("p"), F.col("r")))
 
 
 def best_match(ck: DataFrame, side: str) -> DataFrame:
-    """``side, size, score``: the best F1 of a cluster with any label, or of a label with any cluster."""
-    own = "nk" if side == "cluster" else "nc"
+    """``side, size, score, match, overlap, match_size, perfect``: the best F1 of a cluster with any label, or of a label with any cluster.
+
+    Of equals the least id is the match; perfect is a cluster and a label of the same members.
+    """
+    own, other, their = ("nk", "label", "nc") if side == "cluster" else ("nc", "cluster", "nk")
     score = 2 * F.col("n") / (F.col("nk") + F.col("nc"))
-    return ck.groupBy(side).agg(F.max(own).alias("size"), F.max(score).alias("score"))
+    best = ck.groupBy(side).agg(F.min(F.struct((-score).alias("s"), F.col(other).alias("match"), "n", F.col(own).alias("own"), F.col(their).alias("their"))).alias("x"))
+    return best.select(
+        side, F.col("x.own").alias("size"), (-F.col("x.s")).alias("score"), "x.match", F.col("x.n").alias("overlap"),
+        F.col("x.their").alias("match_size"), ((F.col("x.n") == F.col("x.own")) & (F.col("x.n") == F.col("x.their"))).alias("perfect"),
+    )
+
+
+def best_match_summary(ck: DataFrame) -> DataFrame:
+    """``side, macro, weighted, n_perfect``: a row for clusters, one for labels."""
+
+    def row(side: str) -> DataFrame:
+        return best_match(ck, side).agg(
+            F.lit(side).alias("side"), _zero(F.avg("score")).alias("macro"),
+            _share(F.sum(F.col("score") * F.col("size")), F.sum("size")).alias("weighted"), F.count_if("perfect").alias("n_perfect"),
+        )
+
+    return row("cluster").union(row("label"))
 
 
 def v_measure(ck: DataFrame, beta: float = 1.0) -> DataFrame:
-    """Homogeneity, completeness, V and the variation of information, natural logarithms."""
+    """``homogeneity, completeness, v, vi, n, n_classes, n_clusters``, natural logarithms; without a member NaN, vi 0."""
     n, t = F.col("n"), F.col("total")
     hck = F.sum(-n / t * F.ln(n / F.col("nk")))
     hkc = F.sum(-n / t * F.ln(n / F.col("nc")))
     hc, hk = F.sum(-n / t * F.ln(F.col("nc") / t)), F.sum(-n / t * F.ln(F.col("nk") / t))
-    h = F.when(F.col("hc") > 0, 1 - F.col("hck") / F.col("hc")).otherwise(1.0)
-    c = F.when(F.col("hk") > 0, 1 - F.col("hkc") / F.col("hk")).otherwise(1.0)
-    base = ck.agg(hck.alias("hck"), hkc.alias("hkc"), hc.alias("hc"), hk.alias("hk"))
-    v = F.when(beta * h + c > 0, (1 + beta) * h * c / (beta * h + c)).otherwise(0.0)
-    return base.select(h.alias("homogeneity"), c.alias("completeness"), v.alias("v"), (F.col("hck") + F.col("hkc")).alias("vi"))
+    one = lambda part, of: F.when(F.col(of).isNull(), float("nan")).when(F.col(of) > 0, 1 - F.col(part) / F.col(of)).otherwise(1.0)
+    h, c = one("hck", "hc"), one("hkc", "hk")
+    base = ck.agg(
+        hck.alias("hck"), hkc.alias("hkc"), hc.alias("hc"), hk.alias("hk"), _zero(F.sum("n")).alias("n"),
+        F.count_distinct("label").alias("n_classes"), F.count_distinct("cluster").alias("n_clusters"),
+    )
+    v = F.when(F.col("hc").isNull(), float("nan")).when(beta * h + c > 0, (1 + beta) * h * c / (beta * h + c)).otherwise(0.0)
+    vi = _zero(F.col("hck") + F.col("hkc"))
+    return base.select(h.alias("homogeneity"), c.alias("completeness"), v.alias("v"), vi.alias("vi"), "n", "n_classes", "n_clusters")
 
 
 def adjusted_rand(ck: DataFrame) -> DataFrame:
-    two = lambda c: c * (c - 1) / 2
-    tp = ck.agg(F.sum(two(F.col("n"))).alias("tp"), F.max("total").alias("t"))
-    k = ck.groupBy("cluster").agg(F.max("nk").alias("m")).agg(F.sum(two(F.col("m"))).alias("pk"))
-    c = ck.groupBy("label").agg(F.max("nc").alias("m")).agg(F.sum(two(F.col("m"))).alias("pc"))
-    expected = F.col("pk") * F.col("pc") / two(F.col("t"))
+    """1 where both sides are the same partition, one member included; NaN without a member."""
+    expected = _share(F.col("pk") * F.col("pc"), F.col("pt"))
     most = (F.col("pk") + F.col("pc")) / 2
-    return tp.join(k).join(c).select(F.when(most == expected, 1.0).otherwise((F.col("tp") - expected) / (most - expected)).alias("ari"))
+    ari = F.when(F.col("t").isNull(), float("nan")).when(most == expected, 1.0)
+    return _pairs_of(ck).select(ari.otherwise(F.try_divide(F.col("tp") - expected, most - expected)).alias("ari"))
+
+
+def external(ck: DataFrame) -> DataFrame:
+    """One row: ``n, n_classes, n_clusters, ari, ami, nmi, homogeneity, completeness, v``; the nmi is by the mean of the entropies."""
+    joined = v_measure(ck).join(adjusted_rand(ck)).join(adjusted_mutual_information(ck))  # one row each
+    return joined.select("n", "n_classes", "n_clusters", "ari", "ami", F.col("v").alias("nmi"), "homogeneity", "completeness", "v")
 
 
 def misassigned(clusters: DataFrame, labels: DataFrame, ck: DataFrame) -> DataFrame:
     """``mac, label, cluster, expected``: members whose label is not their cluster's most frequent (of equals the least)."""
-    major = ck.groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("x"))
-    rows = clusters.join(labels.where("label IS NOT NULL"), "mac").join(major.select("cluster", F.col("x.label").alias("expected")), "cluster")
+    major = purity(ck).select("cluster", F.col("majority").alias("expected"))
+    rows = clusters.join(labels.where("label IS NOT NULL"), "mac").join(major, "cluster")
     return rows.where("label <> expected").select("mac", "label", "cluster", "expected")
 
 
@@ -108,6 +194,43 @@ def missing_labelled(clusters: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.where("label IS NOT NULL").join(clusters, "mac", "left_anti")
 
 
+def duplicates(clusters: DataFrame) -> DataFrame:
+    """``mac, n``: addresses that stand more than once among the clusters."""
+    return clusters.groupBy("mac").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def coverage(clusters: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: labelled addresses, those present, missing and in the noise, their shares, and addresses that stand twice."""
+    once = clusters.groupBy("mac").agg(F.max((F.col("cluster") == NOISE).cast("int")).alias("noise"), F.count("*").alias("n"))
+    joined = labels.where("label IS NOT NULL").select("mac").distinct().withColumn("labelled", F.lit(True)).join(once, "mac", "full")
+    own, there = F.col("labelled").isNotNull(), F.col("n").isNotNull()
+    all_, present, noise = F.count_if(own), F.count_if(own & there), F.count_if(own & (F.col("noise") == 1))
+    missing = F.count_if(own & ~there)
+    return joined.agg(
+        all_.alias("n_labelled"), present.alias("n_present"), missing.alias("n_missing"), noise.alias("n_noise"),
+        F.count_if(F.col("n") > 1).alias("n_duplicates"), _share(missing, all_).alias("missing_share"),
+        _share(noise, all_).alias("noise_share_all"), _share(noise, present).alias("noise_share_present"),
+    )
+
+
+def device_clusters(ck: DataFrame, labels: DataFrame) -> DataFrame:
+    """``label, n_detected, n_clusters, best_cluster, best_recall, clusters``: ``cluster:count`` by the text of the cluster, '-' if none."""
+    entry = F.struct(F.col("cluster").cast("string").alias("c"), "n")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.concat_ws(":", x["c"], x["n"])), ", ")
+    found = fragmentation(ck, labels).join(ck.groupBy("label").agg(listed.alias("clusters")), "label", "left")
+    return found.select("label", "n_detected", "n_clusters", "best_cluster", "best_recall", F.coalesce("clusters", F.lit("-")).alias("clusters"))
+
+
+def cluster_sizes(clusters: DataFrame) -> DataFrame:
+    """``cluster, n`` of all members, with a label or not."""
+    return clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def cluster_members(clusters: DataFrame) -> DataFrame:
+    """``cluster, mac, size``: the members of each cluster as rows, so that a large cluster is not one list."""
+    return clusters.join(cluster_sizes(clusters).withColumnRenamed("n", "size"), "cluster").select("cluster", "mac", "size")
+
+
 def log_factorial(k: Column) -> Column:
     """ln(k!): exact up to 20, Stirling's series beyond, which is good to 1e-13 there."""
     x = k.cast("double")
@@ -115,17 +238,23 @@ def log_factorial(k: Column) -> Column:
     return F.when(k <= 20, F.ln(F.factorial(k.cast("int")).cast("double"))).otherwise(series)
 
 
+SPAN = 4096  #: summands that one row stands for
+
+
 def adjusted_mutual_information(ck: DataFrame) -> DataFrame:
-    """``emi, mi, ami`` in nats, adjusted by the mean of the two entropies; 1 where both sides are one group.
+    """``emi, mi, ami`` in nats, adjusted by the mean of the two entropies; 1 where both sides are one group, NaN without a member.
 
-    The expectation is over distinct pairs of margins, of which there are at most 2N however many the groups are.
+    The expectation is over distinct pairs of margins, of which there are at most 2N however many the groups are; the
+    summands of a pair are cut into spans, so that large groups are spread over rows.
     """
     n, t = F.col("n"), F.col("total")
     sizes = lambda key, m: ck.groupBy(key).agg(F.max(m).alias(m), F.max("total").alias("total")).groupBy(m).agg(
         F.count("*").alias(f"{m}_times"), F.max("total").alias(f"{m}_total")
     )
     nk, nc, all_ = F.col("nk"), F.col("nc"), F.col("nk_total")
-    cells = sizes("cluster", "nk").crossJoin(sizes("label", "nc")).withColumn("x", F.explode(F.sequence(F.greatest(F.lit(1), nk + nc - all_), F.least(nk, nc))))
+    cells = sizes("cluster", "nk").crossJoin(sizes("label", "nc")).withColumns({"low": F.greatest(F.lit(1), nk + nc - all_), "high": F.least(nk, nc)})
+    cells = cells.withColumn("from", F.explode(F.sequence("low", "high", F.lit(SPAN))))
+    cells = cells.withColumn("x", F.explode(F.sequence("from", F.least("high", F.col("from") + SPAN - 1))))
     x, lf = F.col("x"), log_factorial
     chance = F.exp(lf(nk) + lf(nc) + lf(all_ - nk) + lf(all_ - nc) - lf(all_) - lf(x) - lf(nk - x) - lf(nc - x) - lf(all_ - nk - nc + x))
     expected = cells.agg(F.sum(F.col("nk_times") * F.col("nc_times") * x / all_ * F.ln(all_ * x / (nk * nc)) * chance).alias("emi"))
@@ -133,8 +262,9 @@ def adjusted_mutual_information(ck: DataFrame) -> DataFrame:
         F.sum(n / t * F.ln(t * n / (nk * nc))).alias("mi"), (F.sum(-n / t * F.ln(nk / t)) + F.sum(-n / t * F.ln(nc / t))).alias("h2"),
     )
     room = F.col("h2") / 2 - F.col("emi")
-    ami = F.when(F.abs(room) < 1e-15, 1.0).otherwise((F.col("mi") - F.col("emi")) / room)
-    return expected.join(seen).select("emi", "mi", ami.alias("ami"))  # one row each
+    ami = F.when(F.col("mi").isNull(), float("nan")).when(F.abs(room) < 1e-15, 1.0).otherwise((F.col("mi") - F.col("emi")) / room)
+    none = lambda c: F.coalesce(c, F.lit(float("nan"))).alias(c)
+    return expected.join(seen).select(none("emi"), none("mi"), ami.alias("ami"))  # one row each
 
 
 def worst_clusters(ck: DataFrame, top: int = 10) -> DataFrame:

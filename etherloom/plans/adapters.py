@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from etherloom.operators import observe
+from etherloom.operators import matrix, observe
 
 FIELDS = ["EVENT", "PROPS", "BUCKET"]
 
@@ -71,6 +71,81 @@ t AS (SELECT sum(n) AS total FROM ck)
 """
 
 
+CAPTURE_FIELDS = ["EVENT", "TAGS", "RTS.SUPP", "DATA.RTS.EXT", "FLAG", "VENDOR", "TXT", "RSSI", ""]
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as nested captures: ``MAC, LABEL, PROBE_REQs, file, cap``.
+
+    A user's address holds for ten days and is captured each day, so equal addresses stand in several rows; the label
+    is missing on every third day and changes on others. Requests of errors have no frames. DATA has a list with a
+    null, objects, booleans, and a plain string that begins like a list.
+    """
+    e = table(spark, sf_dir, "events")
+    day = F.dayofmonth("ts")
+    letter = F.char((65 + F.col("user_id") % 26).cast("int"))
+    label = F.when(day % 3 == 1, F.concat(F.lit("data_dev"), letter, F.lit("_dataset"))).when(day % 3 == 2, F.concat(F.lit("x_dev"), F.lower(letter)))
+    b = F.get_json_object("props", "$.k").cast("int") % 4
+    frame = F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t"), F.floor("value").cast("long").alias("v"))
+    one = e.select(
+        F.concat_ws("-", F.concat(F.lit("M"), "user_id"), F.floor((day - 1) / 10).cast("string")).alias("MAC"), label.alias("LABEL"),
+        F.date_format("ts", "yyyyMMdd").cast("long").alias("cap"), F.col("event_type").alias("kind"), b.alias("b"), frame.alias("frame"),
+    )
+    one = one.groupBy("MAC", "LABEL", "cap", "kind", "b").agg(F.array_sort(F.collect_list("frame")).alias("frames"))
+    none = F.array().cast("array<struct<t:string,v:bigint>>")
+    frames = F.when(F.col("kind") == "error", none).otherwise(F.col("frames"))
+    text = F.to_json(
+        F.struct(
+            F.when(F.col("kind") != "view", F.col("kind")).alias("EVENT"),
+            F.struct(F.when(F.col("b") % 2 == 1, F.array(F.col("b").cast("string"))).alias("EXT"), F.array(F.col("b").cast("string")).alias("SUPP")).alias("RTS"),
+            F.struct(F.lit("1").alias("z"), F.col("b").cast("string").alias("a")).alias("VENDOR"), F.concat(F.lit("["), F.col("b").cast("string")).alias("TXT"),
+        )
+    )
+    extra = F.concat(F.lit(',"TAGS":['), "b", F.lit(","), F.col("b") + 1, F.lit(',null],"FLAG":'), F.when(F.col("b") < 2, (F.col("b") == 1).cast("string")).otherwise("null"), F.lit("}"))
+    data = F.concat(F.expr("left(text, length(text) - 1)"), F.col("extra"))
+    request = F.struct("kind", "b", F.transform("frames", lambda x: x["t"]).alias("TIME"), F.transform("frames", lambda x: (-x["v"]).cast("string")).alias("RSSI"), data.alias("DATA"))
+    one = one.withColumns({"frames": frames, "text": text, "extra": extra}).groupBy("MAC", "LABEL", "cap").agg(F.array_sort(F.collect_list(request)).alias("requests"))
+    made = F.transform("requests", lambda r: F.struct(r["TIME"].alias("TIME"), r["RSSI"].alias("RSSI"), F.parse_json(r["DATA"]).alias("DATA")))
+    file = F.concat(F.lit("/in/"), F.coalesce("LABEL", F.lit("other")), F.lit("/"), F.col("cap").cast("string"), F.lit(".json"))
+    return one.select("MAC", "LABEL", made.alias("PROBE_REQs"), file.alias("file"), "cap")
+
+
+def capture_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observe.probe_requests(captures(spark, sf_dir), "cap")
+
+
+def capture_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observe.observations(capture_requests(spark, sf_dir), CAPTURE_FIELDS)
+
+
+def capture_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observe.joint_counts(capture_observations(spark, sf_dir))
+
+
+CAPTURE_SQL = """
+WITH ev AS (
+  SELECT 'M' || user_id || '-' || (day(ts) - 1) // 10 AS mac, CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS cap, event_type AS kind,
+    CASE day(ts) % 3 WHEN 1 THEN 'data_dev' || chr(CAST(65 + user_id % 26 AS INTEGER)) || '_dataset' WHEN 2 THEN 'x_dev' || chr(CAST(97 + user_id % 26 AS INTEGER)) END AS label,
+    CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 AS b, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS t, -CAST(floor(value) AS BIGINT) AS v
+  FROM events
+), req AS (
+  SELECT mac, label, coalesce(label, mac) AS device, cap, kind, b, row_number() OVER (PARTITION BY mac, cap ORDER BY kind, b) - 1 AS pr_ord,
+    CASE WHEN kind = 'error' THEN 0 ELSE count(*) END AS n_frames,
+    CASE WHEN kind = 'error' THEN [] ELSE list(t ORDER BY t, -v) END AS times,
+    CASE WHEN kind = 'error' THEN '[]' ELSE '[' || string_agg(CAST(v AS VARCHAR), ',' ORDER BY t, -v) || ']' END AS rssi
+  FROM ev GROUP BY mac, label, cap, kind, b
+), obs AS (
+  SELECT mac, device, cap, pr_ord, n_frames, field, CASE field WHEN 'EVENT' THEN CASE WHEN kind = 'view' THEN 'NULL' ELSE kind END
+    WHEN 'TAGS' THEN '[' || b || ',' || (b + 1) || ',None]' WHEN 'RTS.SUPP' THEN '[' || b || ']'
+    WHEN 'DATA.RTS.EXT' THEN CASE WHEN b % 2 = 1 THEN '[' || b || ']' ELSE 'NULL' END
+    WHEN 'FLAG' THEN CASE b WHEN 0 THEN 'False' WHEN 1 THEN 'True' ELSE 'NULL' END
+    WHEN 'VENDOR' THEN '{a:' || b || ',z:1}' WHEN 'TXT' THEN '[' || b WHEN 'RSSI' THEN rssi ELSE 'NULL' END AS value
+  FROM req, (SELECT unnest(['EVENT', 'TAGS', 'RTS.SUPP', 'DATA.RTS.EXT', 'FLAG', 'VENDOR', 'TXT', 'RSSI', '']) AS field)
+), joint AS (SELECT field, device, value, CAST(sum(n_frames) AS BIGINT) AS n FROM obs GROUP BY ALL),
+kv AS (SELECT field, value, count(DISTINCT device) AS k FROM obs GROUP BY ALL)
+"""
+
+
 MATRIX_KINDS = {"HEX": "hex_bit", "RATES": "data_rates"}
 
 
@@ -104,3 +179,58 @@ u AS (
 ), w AS (SELECT * FROM (VALUES ('both', 'HEX', 1.0::DOUBLE), ('both', 'RATES', 1.0), ('bits', 'HEX', 1.0), ('bits', 'RATES', 0.0), ('mixed', 'HEX', 2.0), ('mixed', 'RATES', 0.5)) AS t (scenario, field, w)),
 d AS (SELECT scenario, i, j, greatest(sum(w * unit), 0) AS distance FROM u JOIN w USING (field) GROUP BY ALL)
 """
+
+
+SUPPLIER_SPECS = {
+    "HEX": matrix.Spec("hex_bit", (2.0,), 0.5),
+    "TAGS": matrix.Spec("ie_list", (0.5,)),
+    "EXT": matrix.Spec("ext_tag", (0.5, 1.0, 0.25)),
+    "VENDOR": matrix.Spec("vendor_spec", (1.0, 2.0, 0.5)),
+    "FRAMES": matrix.Spec("rssi_time", (1.1, 0.5, 0.2, 3.0)),
+}
+
+
+def supplier_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as addresses with a field of each kind; fields are missing, payloads are odd, lists have an order."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("mac"), F.floor(F.abs("s_acctbal")).cast("long").alias("a"))
+    hexed = lambda c, n: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(c % 16**n)), n, "0"))
+    m, a = F.col("mac"), F.col("a")
+    letter = lambda c: F.char((97 + c).cast("int"))
+    ext = F.to_json(F.struct(F.when(m % 2 == 0, hexed(a, 2)).alias("1"), F.when(m % 3 != 0, F.when(m % 4 < 2, hexed(a, 2)).otherwise(hexed(a, 4))).alias("2")))
+    other = F.struct(F.when(m % 2 == 0, hexed(a + 1, 2)).alias("y"), F.when(m % 2 == 1, hexed(a + 1, 2)).alias("z"))
+    vendor = F.to_json(F.struct(F.struct(hexed(a, 2).alias("x")).alias("u"), F.when(m % 3 == 0, other).alias("w")))
+    rows = [
+        ("HEX", 0, F.when(m % 5 != 0, F.when(m % 7 == 1, "0x").otherwise(hexed(a, 4)))),
+        ("TAGS", 0, letter(m % 3)), ("TAGS", 1, letter(a % 2)), ("TAGS", 2, F.when(m % 4 != 0, letter(m % 2))),
+        ("EXT", 0, F.when(m % 10 != 9, ext)), ("VENDOR", 0, vendor),
+    ]
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("pr_ord"), F.coalesce(v, F.lit(observe.NULL)).alias("value")) for f, k, v in rows])
+    level = lambda c: (-40 - c).cast("string")
+    frames = s.select("mac", F.array(level(m % 5), level(a % 7)).alias("rssi"), F.array((m % 10).cast("string"), (a % 10).cast("string")).alias("time"))
+    return matrix.profiles(s.select("mac", F.inline(each)), ordered=["TAGS"]).unionByName(matrix.frame_profiles(frames, "FRAMES"))
+
+
+SUPPLIER_SQL = """
+WITH s AS (SELECT s_suppkey AS mac, CAST(floor(abs(s_acctbal)) AS BIGINT) AS a FROM supplier),
+v AS (
+  SELECT mac, CASE WHEN mac % 5 <> 0 THEN a % 65536 END AS hex, mac % 7 = 1 AS bad,
+    chr(CAST(97 + mac % 3 AS INTEGER)) || chr(CAST(97 + a % 2 AS INTEGER)) || CASE WHEN mac % 4 <> 0 THEN chr(CAST(97 + mac % 2 AS INTEGER)) ELSE '' END AS tags,
+    mac % 10 <> 9 AS has, CASE WHEN mac % 2 = 0 THEN a % 256 END AS e1, CASE WHEN mac % 3 <> 0 THEN CASE WHEN mac % 4 < 2 THEN a % 256 ELSE a % 65536 END END AS e2,
+    CASE WHEN mac % 4 < 2 THEN 8 ELSE 16 END AS l2, a % 256 AS x, mac % 3 = 0 AS w, mac % 2 AS wt, (a + 1) % 256 AS wv,
+    [mac % 5, a % 7] AS r, [mac % 10, a % 10] AS t FROM s
+), p AS (
+  SELECT l.mac AS i, r.mac AS j,
+    CASE WHEN l.hex IS NULL AND r.hex IS NULL THEN 0.0 WHEN l.hex IS NULL OR r.hex IS NULL OR l.bad OR r.bad THEN 0.5 ELSE bit_count(xor(l.hex, r.hex)) / 16.0::DOUBLE END AS hex,
+    list_sum(list_transform(['a', 'b', 'c'], lambda c: abs(len(replace(l.tags, c, '')) - len(l.tags) - len(replace(r.tags, c, '')) + len(r.tags)))) + greatest(len(l.tags), len(r.tags))
+      - list_max(list_transform(range(8), lambda k: CASE WHEN r.tags LIKE '%' || CASE WHEN k & 1 > 0 THEN l.tags[1] || '%' ELSE '' END || CASE WHEN k & 2 > 0 THEN l.tags[2] || '%' ELSE '' END
+        || CASE WHEN k & 4 > 0 AND len(l.tags) > 2 THEN l.tags[3] || '%' ELSE '' END THEN bit_count(CASE WHEN len(l.tags) > 2 THEN k ELSE k & 3 END) ELSE 0 END)) AS tags,
+    CASE WHEN NOT l.has AND NOT r.has THEN 0.0 WHEN NOT l.has OR NOT r.has THEN (0.5 + 1.0 + 0.25) / 3 ELSE
+      coalesce(bit_count(xor(l.e1, r.e1)) / 8.0::DOUBLE, 0) + coalesce(bit_count(xor(l.e2, r.e2)) / l.l2::DOUBLE, 0)
+      + 0.5 * (((l.e1 IS NULL) <> (r.e1 IS NULL))::INT + ((l.e2 IS NULL) <> (r.e2 IS NULL))::INT)
+      - 0.25 * ((l.e1 IS NOT NULL AND r.e1 IS NOT NULL)::INT + (l.e2 IS NOT NULL AND r.e2 IS NOT NULL)::INT) END AS ext,
+    2.0 * bit_count(xor(l.x, r.x)) / 8.0::DOUBLE + 0.5 + CASE WHEN l.w AND r.w AND l.wt = r.wt THEN 2.0 * bit_count(xor(l.wv, r.wv)) / 8.0::DOUBLE + 0.5 ELSE 0 END
+      + CASE WHEN l.w AND r.w THEN -2 WHEN l.w OR r.w THEN 0 ELSE -1 END AS vendor,
+    list_min(list_transform(range(4), lambda k: power(1.1::DOUBLE, abs(l.r[(k & 1) + 1] - r.r[(k >> 1) + 1])) + CASE WHEN abs(l.t[(k & 1) + 1] - r.t[(k >> 1) + 1]) > 3 THEN 0.5 ELSE -0.5 END + 0.2)) AS frames
+  FROM v l, v r
+)
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from etherloom.operators import fieldstats as S
 from etherloom.operators import fingerprint as P
 from etherloom.operators import matrix as M
+from etherloom.operators import observe as O
 from etherloom.operators import validate as V
 
 from . import adapters as A
@@ -65,10 +66,11 @@ _field("representative_value", S.representative_value,
 _ST = "SELECT field, device, max(n)::DOUBLE / sum(n) AS stability FROM joint GROUP BY ALL"
 _with_devices("stability_device", S.stability_by_device, f"SELECT field, device, round(stability, 6) AS stability FROM ({_ST})")
 _with_devices("stability_global", S.stability, f"SELECT field, round(avg(stability), 6) AS stability FROM ({_ST}) GROUP BY field")
-_field("value_to_label", S.value_labels, "SELECT field, value, array_to_string(list_sort(list(DISTINCT device)), ', ') AS labels FROM obs GROUP BY ALL")
+_field("value_to_label", S.value_labels, "SELECT field, value, array_to_string(list_sort(list(DISTINCT device)), ', ') AS labels, count(DISTINCT device) AS n_labels FROM obs GROUP BY ALL")
 _field("topn_other", S.top_and_other,
-       """SELECT field, CASE WHEN r <= 15 THEN value ELSE 'OTHER' END AS value, CAST(sum(n) AS BIGINT) AS n FROM (
-       SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS r FROM (SELECT field, value, sum(n) AS n FROM joint GROUP BY ALL)) GROUP BY ALL""")
+       """SELECT field, v AS value, CAST(sum(n) AS BIGINT) AS n, round(CAST(sum(n) AS DOUBLE) / max(t), 6) AS share FROM (
+       SELECT *, CASE WHEN row_number() OVER (PARTITION BY field ORDER BY n DESC, value) <= 15 THEN value ELSE 'OTHER' END AS v, sum(n) OVER (PARTITION BY field) AS t
+       FROM (SELECT field, value, sum(n) AS n FROM joint GROUP BY ALL)) GROUP BY field, v""")
 _add("frames_rollup", lambda s, d: S.frames_rollup(A.event_requests(s, d)),
      A.SQL + "SELECT device, mac, CAST(sum(n_frames) AS BIGINT) AS n_frames FROM pr GROUP BY ROLLUP (device, mac)")
 # independent forms: conditional sums and the double sum of the mutual information
@@ -116,20 +118,38 @@ def _clusters(name: str, f: Callable, sql: str) -> None:
         _add(name + suffix, query, A.CK_SQL.format(noise=where) + sql)
 
 
-_clusters("purity_cluster", lambda ck, *_: V.purity(ck), "SELECT cluster::BIGINT AS cluster, nk::BIGINT AS size, mk AS n_majority, lk AS n_labels, round(mk::DOUBLE / nk, 6) AS purity FROM k")
-_clusters("purity_summary", lambda ck, *_: V.purity_summary(ck), "SELECT count(*) AS n_clusters, round(avg(mk::DOUBLE / nk), 6) AS macro_purity, round(sum(mk)::DOUBLE / sum(nk), 6) AS weighted_purity, CAST(count(*) FILTER (lk = 1) AS BIGINT) AS n_pure FROM k")
-_clusters("fragmentation", lambda ck, _, labels: V.fragmentation(ck, labels),
-          "SELECT l.label::BIGINT AS label, coalesce(nc, 0)::BIGINT AS n_detected, coalesce(kc, 0) AS n_clusters, coalesce(mc, 0) AS best_count, round(coalesce(mc::DOUBLE / nc, 0), 6) AS best_recall FROM (SELECT DISTINCT label FROM m WHERE label IS NOT NULL) l LEFT JOIN c ON c.label = l.label")
+_MAJOR = "(SELECT arg_min(label, (-n, label)) FROM ck x WHERE x.cluster = k.cluster)::BIGINT"
+_PURITY = f"SELECT cluster::BIGINT AS cluster, nk::BIGINT AS size, mk AS n_majority, lk AS n_labels, round(mk::DOUBLE / nk, 6) AS purity, {_MAJOR} AS majority FROM k"
+_clusters("purity_cluster", lambda ck, *_: V.purity(ck), _PURITY)
+_clusters("purity_summary", lambda ck, *_: V.purity_summary(ck), "SELECT count(*) AS n_clusters, round(avg(mk::DOUBLE / nk), 6) AS macro_purity, round(sum(mk)::DOUBLE / sum(nk), 6) AS weighted_purity, CAST(count(*) FILTER (lk = 1) AS BIGINT) AS n_pure, round(count(*) FILTER (lk = 1)::DOUBLE / count(*), 6) AS pure_share FROM k")
+_BESTC = "(SELECT arg_min(cluster, (-n, cluster)) FROM ck x WHERE x.label = l.label)::BIGINT"
+_FRAG = f"""SELECT l.label::BIGINT AS label, coalesce(nc, 0)::BIGINT AS n_detected, coalesce(kc, 0) AS n_clusters, {_BESTC} AS best_cluster, coalesce(mc, 0) AS best_count,
+  round(coalesce(mc::DOUBLE / nc, 0), 6) AS best_recall, coalesce(kc, 0) = 1 AS single FROM (SELECT DISTINCT label FROM m WHERE label IS NOT NULL) l LEFT JOIN c ON c.label = l.label"""
+_clusters("fragmentation", lambda ck, _, labels: V.fragmentation(ck, labels), _FRAG)
+_clusters("fragmentation_summary", lambda ck, _, labels: V.fragmentation_summary(ck, labels),
+          f"""SELECT count(*) AS n_devices, count(*) FILTER (n_detected > 0) AS n_detected, count(*) FILTER (single) AS n_single,
+  round(count(*) FILTER (n_detected > 0)::DOUBLE / count(*), 6) AS detected_share, round(count(*) FILTER (single)::DOUBLE / count(*), 6) AS single_share_all,
+  round(count(*) FILTER (single)::DOUBLE / count(*) FILTER (n_detected > 0), 6) AS single_share_detected,
+  round(avg(best_count::DOUBLE / n_detected) FILTER (n_detected > 0), 6) AS macro_recall, round(sum(best_count)::DOUBLE / sum(n_detected), 6) AS weighted_recall FROM ({_FRAG})""")
+_clusters("majority_accuracy", lambda ck, *_: V.majority_accuracy(ck),
+          "SELECT sum(mk)::BIGINT AS correct, (sum(nk) - sum(mk))::BIGINT AS incorrect, sum(nk)::BIGINT AS total, round(sum(mk)::DOUBLE / sum(nk), 6) AS accuracy FROM k")
 _PW = "SELECT (SELECT sum(n * (n - 1) / 2) FROM ck) AS tp, (SELECT sum(nk * (nk - 1) / 2) FROM k) AS pk, (SELECT sum(nc * (nc - 1) / 2) FROM c) AS pc"
 _clusters("pairwise", lambda ck, *_: V.pairwise(ck), f"SELECT tp::BIGINT AS tp, (pk - tp)::BIGINT AS fp, (pc - tp)::BIGINT AS fn, round(tp::DOUBLE / pk, 6) AS p, round(tp::DOUBLE / pc, 6) AS r, round(2.0::DOUBLE * tp / (pk + pc), 6) AS f1 FROM ({_PW})")
 _BC = "SELECT sum(n::DOUBLE * n / nk) / max(total) AS p, sum(n::DOUBLE * n / nc) / max(total) AS r FROM ck JOIN k USING (cluster) JOIN c USING (label), t"
 _clusters("bcubed", lambda ck, *_: V.bcubed(ck), f"SELECT round(p, 6) AS p, round(r, 6) AS r, round(2 * p * r / (p + r), 6) AS f1 FROM ({_BC})")
-for _side, _own in (("cluster", "nk"), ("label", "nc")):
-    _clusters(f"best_match_{_side}", lambda ck, *_, side=_side: V.best_match(ck, side),
-              f"SELECT {_side}::BIGINT AS {_side}, max({_own})::BIGINT AS size, round(max(2.0::DOUBLE * n / (nk + nc)), 6) AS score FROM ck JOIN k USING (cluster) JOIN c USING (label) GROUP BY {_side}")
+for _side, _own, _other, _their in (("cluster", "nk", "label", "nc"), ("label", "nc", "cluster", "nk")):
+    _match = f"""SELECT {_side}::BIGINT AS {_side}, {_own}::BIGINT AS size, round(2.0::DOUBLE * n / (nk + nc), 6) AS score, {_other}::BIGINT AS match, n::BIGINT AS overlap,
+      {_their}::BIGINT AS match_size, n = nk AND n = nc AS perfect FROM (SELECT *, row_number() OVER (PARTITION BY {_side} ORDER BY n::DOUBLE / (nk + nc) DESC, {_other}) AS r
+      FROM ck JOIN k USING (cluster) JOIN c USING (label)) WHERE r = 1"""
+    _clusters(f"best_match_{_side}", lambda ck, *_, side=_side: V.best_match(ck, side), _match)
+    _clusters(f"weakest_match_{_side}", lambda ck, *_, side=_side: V.weakest_match(ck, side), f"SELECT * FROM ({_match}) ORDER BY score, {_side} LIMIT 10")
+_MS = """SELECT '{0}' AS side, round(avg(s), 6) AS macro, round(sum(s * {1}) / sum({1}), 6) AS weighted, count(*) FILTER (perfect) AS n_perfect FROM (
+  SELECT {0}, {1}, max(2.0::DOUBLE * n / (nk + nc)) AS s, bool_or(n = nk AND n = nc) AS perfect FROM ck JOIN k USING (cluster) JOIN c USING (label) GROUP BY {0}, {1})"""
+_clusters("best_match_summary", lambda ck, *_: V.best_match_summary(ck), _MS.format("cluster", "nk") + " UNION ALL " + _MS.format("label", "nc"))
 _clusters("v_measure", lambda ck, *_: V.v_measure(ck), """, h AS (SELECT (SELECT sum(-n::DOUBLE / total * ln(n::DOUBLE / nk)) FROM ck JOIN k USING (cluster), t) AS ck_,
   (SELECT sum(-n::DOUBLE / total * ln(n::DOUBLE / nc)) FROM ck JOIN c USING (label), t) AS kc_, (SELECT sum(-nc::DOUBLE / total * ln(nc::DOUBLE / total)) FROM c, t) AS hc, (SELECT sum(-nk::DOUBLE / total * ln(nk::DOUBLE / total)) FROM k, t) AS hk)
-SELECT round(1 - ck_ / hc, 6) AS homogeneity, round(1 - kc_ / hk, 6) AS completeness, round(2 * (1 - ck_ / hc) * (1 - kc_ / hk) / ((1 - ck_ / hc) + (1 - kc_ / hk)), 6) AS v, round(ck_ + kc_, 6) AS vi FROM h""")
+SELECT round(1 - ck_ / hc, 6) AS homogeneity, round(1 - kc_ / hk, 6) AS completeness, round(2 * (1 - ck_ / hc) * (1 - kc_ / hk) / ((1 - ck_ / hc) + (1 - kc_ / hk)), 6) AS v, round(ck_ + kc_, 6) AS vi,
+  (SELECT total FROM t)::BIGINT AS n, (SELECT count(*) FROM c) AS n_classes, (SELECT count(*) FROM k) AS n_clusters FROM h""")
 _clusters("ari", lambda ck, *_: V.adjusted_rand(ck), f"SELECT round((tp - e) / ((pk + pc) / 2.0::DOUBLE - e), 6) AS ari FROM (SELECT tp, pk, pc, pk::DOUBLE * pc / (total * (total - 1) / 2) AS e FROM ({_PW}), t)")
 _clusters("misassigned", lambda ck, clusters, labels: V.misassigned(clusters, labels, ck),
           ", w AS (SELECT cluster, label AS expected FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS r FROM ck) WHERE r = 1) SELECT mac, label::BIGINT AS label, cluster::BIGINT AS cluster, expected::BIGINT AS expected FROM e JOIN w USING (cluster) WHERE label <> expected")
@@ -137,9 +157,56 @@ _clusters("ami", lambda ck, *_: V.adjusted_mutual_information(ck), """, g AS (SE
 em AS (SELECT sum(x / t::DOUBLE * ln(t::DOUBLE * x / (nk * nc)) * exp(lgamma(nk + 1) + lgamma(nc + 1) + lgamma(t - nk + 1) + lgamma(t - nc + 1) - lgamma(t + 1) - lgamma(x + 1) - lgamma(nk - x + 1) - lgamma(nc - x + 1) - lgamma(t - nk - nc + x + 1))) AS emi FROM g),
 se AS (SELECT sum(n / total::DOUBLE * ln(total::DOUBLE * n / (nk * nc))) AS mi, sum(-n / total::DOUBLE * (ln(nk / total::DOUBLE) + ln(nc / total::DOUBLE))) AS h2 FROM ck JOIN k USING (cluster) JOIN c USING (label), t)
 SELECT round(emi, 6) AS emi, round(mi, 6) AS mi, round((mi - emi) / (h2 / 2 - emi), 6) AS ami FROM em, se""")
-_clusters("worst_clusters", lambda ck, *_: V.worst_clusters(ck), "SELECT cluster::BIGINT AS cluster, nk::BIGINT AS size, mk AS n_majority, lk AS n_labels, round(mk::DOUBLE / nk, 6) AS purity FROM k ORDER BY mk::DOUBLE / nk, nk DESC, cluster LIMIT 10")
+_clusters("worst_clusters", lambda ck, *_: V.worst_clusters(ck), _PURITY + " ORDER BY mk::DOUBLE / nk, nk DESC, cluster LIMIT 10")
 _clusters("most_fragmented", lambda ck, _, labels: V.most_fragmented(ck, labels),
-          "SELECT label::BIGINT AS label, nc::BIGINT AS n_detected, kc AS n_clusters, mc AS best_count, round(mc::DOUBLE / nc, 6) AS best_recall FROM c ORDER BY kc DESC, mc::DOUBLE / nc, label LIMIT 10")
+          "SELECT * FROM (" + _FRAG + ") WHERE n_detected > 0 ORDER BY n_clusters DESC, best_recall, label LIMIT 10")
+
+
+_clusters("device_clusters", lambda ck, _, labels: V.device_clusters(ck, labels), f"""SELECT label, n_detected, n_clusters, best_cluster, best_recall, coalesce(
+  (SELECT string_agg(cluster || ':' || n, ', ' ORDER BY CAST(cluster AS VARCHAR)) FROM ck x WHERE x.label = f.label), '-') AS clusters FROM ({_FRAG}) f""")
+_clusters("external", lambda ck, *_: V.external(ck), """, h AS (SELECT (SELECT sum(-n::DOUBLE / total * ln(n::DOUBLE / nk)) FROM ck JOIN k USING (cluster), t) AS ck_,
+  (SELECT sum(-n::DOUBLE / total * ln(n::DOUBLE / nc)) FROM ck JOIN c USING (label), t) AS kc_, (SELECT sum(-nc::DOUBLE / total * ln(nc::DOUBLE / total)) FROM c, t) AS hc, (SELECT sum(-nk::DOUBLE / total * ln(nk::DOUBLE / total)) FROM k, t) AS hk),
+p AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM ck) AS tp, (SELECT sum(nk * (nk - 1) / 2) FROM k) AS pk, (SELECT sum(nc * (nc - 1) / 2) FROM c) AS pc, total::DOUBLE * (total - 1) / 2 AS pt FROM t),
+g AS (SELECT nk, nc, total AS t, unnest(range(greatest(1, nk + nc - total)::BIGINT, least(nk, nc)::BIGINT + 1)) AS x FROM k, c, t),
+em AS (SELECT sum(x / t::DOUBLE * ln(t::DOUBLE * x / (nk * nc)) * exp(lgamma(nk + 1) + lgamma(nc + 1) + lgamma(t - nk + 1) + lgamma(t - nc + 1) - lgamma(t + 1) - lgamma(x + 1) - lgamma(nk - x + 1) - lgamma(nc - x + 1) - lgamma(t - nk - nc + x + 1))) AS emi FROM g)
+SELECT (SELECT total FROM t)::BIGINT AS n, (SELECT count(*) FROM c) AS n_classes, (SELECT count(*) FROM k) AS n_clusters, round((tp - pk::DOUBLE * pc / pt) / ((pk + pc) / 2.0::DOUBLE - pk::DOUBLE * pc / pt), 6) AS ari,
+  round((hc - ck_ - emi) / ((hc + hk) / 2 - emi), 6) AS ami, round((hc - ck_) / ((hc + hk) / 2), 6) AS nmi, round(1 - ck_ / hc, 6) AS homogeneity, round(1 - kc_ / hk, 6) AS completeness,
+  round((hc - ck_) / ((hc + hk) / 2), 6) AS v FROM h, p, em""")
+
+
+def _cluster_rows(s, d):
+    """Members that are clustered and labelled only in part: some addresses are missing, some stand twice, some have no label."""
+    clusters, labels = A.customer_clusters(s, d)
+    twice = clusters.where("mac % 50 = 0").withColumn("cluster", F.lit(2))
+    return clusters.where("mac % 7 <> 3").union(twice), labels.withColumn("label", F.when(F.col("mac") % 11 != 5, F.col("label")))
+
+
+_ROWS = """WITH a AS (SELECT c_custkey AS mac, CASE WHEN c_custkey % 11 <> 5 THEN c_nationkey END AS label, CAST(CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0
+  WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'MACHINERY' THEN 3 ELSE -1 END AS INTEGER) AS cluster FROM customer),
+cl AS (SELECT mac, cluster FROM a WHERE mac % 7 <> 3 UNION ALL SELECT mac, 2 FROM a WHERE mac % 50 = 0), lb AS (SELECT mac, label FROM a WHERE label IS NOT NULL)
+"""
+
+
+def _rows(name: str, f: Callable, sql: str) -> None:
+    _add(name, lambda s, d: f(*_cluster_rows(s, d)), _ROWS + sql)
+
+
+_rows("coverage", V.coverage, """, o AS (SELECT mac, max((cluster = -1)::INT) AS noise, count(*) AS n FROM cl GROUP BY mac), j AS (SELECT lb.mac AS own, o.* FROM (SELECT DISTINCT mac FROM lb) lb FULL JOIN o ON o.mac = lb.mac)
+SELECT count(own) AS n_labelled, count(*) FILTER (own IS NOT NULL AND n IS NOT NULL) AS n_present, count(*) FILTER (own IS NOT NULL AND n IS NULL) AS n_missing, count(*) FILTER (own IS NOT NULL AND noise = 1) AS n_noise,
+  count(*) FILTER (n > 1) AS n_duplicates, round(count(*) FILTER (own IS NOT NULL AND n IS NULL)::DOUBLE / count(own), 6) AS missing_share, round(count(*) FILTER (own IS NOT NULL AND noise = 1)::DOUBLE / count(own), 6) AS noise_share_all,
+  round(count(*) FILTER (own IS NOT NULL AND noise = 1)::DOUBLE / count(*) FILTER (own IS NOT NULL AND n IS NOT NULL), 6) AS noise_share_present FROM j""")
+_rows("duplicate_members", lambda clusters, _: V.duplicates(clusters), "SELECT mac, count(*) AS n FROM cl GROUP BY mac HAVING count(*) > 1")
+_rows("missing_labelled", V.missing_labelled, "SELECT mac, label::BIGINT AS label FROM lb WHERE mac NOT IN (SELECT mac FROM cl)")
+_rows("cluster_sizes", lambda clusters, _: V.cluster_sizes(clusters), "SELECT cluster::BIGINT AS cluster, count(*) AS n FROM cl GROUP BY cluster")
+_rows("cluster_members", lambda clusters, _: V.cluster_members(clusters), "SELECT cluster::BIGINT AS cluster, mac, count(*) OVER (PARTITION BY cluster) AS size FROM cl")
+_rows("v_measure_with_unlabelled", lambda clusters, labels: V.v_measure(V.contingency(clusters, labels, True, "__UNK__"), 0.5), """, e AS (SELECT cluster, coalesce(CAST(label AS VARCHAR), '__UNK__') AS label FROM cl LEFT JOIN lb USING (mac)),
+ck AS (SELECT cluster, label, count(*)::DOUBLE AS n FROM e GROUP BY ALL), k AS (SELECT cluster, sum(n) AS nk FROM ck GROUP BY ALL), c AS (SELECT label, sum(n) AS nc FROM ck GROUP BY ALL), t AS (SELECT sum(n) AS total FROM ck),
+h AS (SELECT (SELECT sum(-n / total * ln(n / nk)) FROM ck JOIN k USING (cluster), t) AS a, (SELECT sum(-n / total * ln(n / nc)) FROM ck JOIN c USING (label), t) AS b, (SELECT sum(-nc / total * ln(nc / total)) FROM c, t) AS hc, (SELECT sum(-nk / total * ln(nk / total)) FROM k, t) AS hk)
+SELECT round(1 - a / hc, 6) AS homogeneity, round(1 - b / hk, 6) AS completeness, round(1.5::DOUBLE * (1 - a / hc) * (1 - b / hk) / (0.5::DOUBLE * (1 - a / hc) + (1 - b / hk)), 6) AS v, round(a + b, 6) AS vi,
+  (SELECT total FROM t)::BIGINT AS n, (SELECT count(*) FROM c) AS n_classes, (SELECT count(*) FROM k) AS n_clusters FROM h""")
+_add("cluster_numbers", lambda s, d: A.table(s, d, "customer").select(V.cluster_number(
+        F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.concat(F.lit(" 0"), F.col("c_nationkey")))).alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n")),
+     "SELECT coalesce(CAST(TRY_CAST(trim(x) AS INTEGER) AS VARCHAR), x) AS cluster, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE ' 0' || c_nationkey END AS x FROM customer) GROUP BY 1")
 
 
 def _units(s, d) -> DataFrame:
@@ -154,3 +221,90 @@ _add("field_unit_distances", _units, A.UNIT_SQL + "SELECT field, i, j, round(uni
 _add("scenario_distances", _composed, A.UNIT_SQL + "SELECT scenario, i, j, round(distance, 6) AS distance FROM d")
 _add("matrix_stats", lambda s, d: M.matrix_stats(_composed(s, d)), A.UNIT_SQL + """, f AS (SELECT scenario, i, j, distance FROM d UNION ALL SELECT scenario, j, i, distance FROM d WHERE i <> j)
 SELECT scenario, count(DISTINCT i) AS n, round(min(distance), 6) AS min, round(max(distance), 6) AS max, round(avg(distance), 6) AS mean, round(stddev_pop(distance), 6) AS std FROM f GROUP BY scenario""")
+
+
+def _suppliers(both: bool) -> Callable:
+    return lambda s, d: M.unit_distances(A.supplier_profiles(s, d), A.SUPPLIER_SPECS, both=both)
+
+
+def _checked(s, d) -> DataFrame:
+    """The composed matrix of the fields with one weight against the one computed with the weights at once."""
+    prof = A.supplier_profiles(s, d)
+    specs = {f: x for f, x in A.SUPPLIER_SPECS.items() if x.kind not in M.SEVERAL}
+    weights = s.sql("SELECT 'own' AS scenario, map('HEX', 2.0D, 'TAGS', 0.5D) AS weights")
+    return M.compare(M.compose(M.unit_distances(prof, specs), weights), M.mac_distances(prof, specs))
+
+
+_FIVE = "SELECT field, i, j, round(unit::DOUBLE, 6) AS unit FROM (SELECT i, j, unnest(['HEX', 'TAGS', 'EXT', 'VENDOR', 'FRAMES']) AS field, unnest([hex, tags, ext, vendor, frames]::DOUBLE[]) AS unit FROM p)"
+_add("kind_distances", _suppliers(False), A.SUPPLIER_SQL + _FIVE + " WHERE i <= j")
+_add("kind_distances_both_orders", _suppliers(True), A.SUPPLIER_SQL + _FIVE)
+_add("mac_distances", lambda s, d: M.mac_distances(A.supplier_profiles(s, d), A.SUPPLIER_SPECS, both=True),
+     A.SUPPLIER_SQL + "SELECT i, j, round(greatest(2.0 * hex + 0.5 * tags + ext + vendor + frames, 0)::DOUBLE, 6) AS distance FROM p")
+_add("verify_composed", _checked, "SELECT (count(*) * (count(*) + 1) // 2)::BIGINT AS n_pairs, 0::BIGINT AS n_only_one, 0.0::DOUBLE AS max_abs, 0.0::DOUBLE AS mean_abs, true AS close FROM supplier")
+_add("field_registry", lambda s, d: s.createDataFrame(
+        [(f, x.kind, x.effective_weight(), x.effective_penalty(), x.effective_penalty(False)) for f, x in M.registry({"HT_CAP": 0.25, "EXT_TAG_weight2": 0.0, "VENDOR_SPEC_weight1": 4.0}).items()],
+        "field string, kind string, weight double, penalty double, plain_penalty double"),
+     """SELECT field, kind, w AS weight, w AS penalty, 1.0::DOUBLE AS plain_penalty FROM (SELECT unnest(['HT_CAP', 'HT_CAP_INFO', 'HT_AMPDU_PARMS', 'HT_MCS_SET', 'HT_EXT_CAP', 'HT_Tx', 'HT_ANTENNA', 'VHT_CAP', 'EXT_CAP',
+       'TAG_LIST', 'DATA_RTS.SUPP', 'DATA_RTS.EXT', 'EXT_TAG', 'VENDOR_SPEC', 'RSSI_TIME']) AS field, unnest(['hex_bit', 'hex_bit', 'hex_bit', 'hex_bit', 'hex_bit', 'hex_bit', 'hex_bit', 'hex_bit', 'hex_bit',
+       'ie_list', 'data_rates', 'data_rates', 'ext_tag', 'vendor_spec', 'rssi_time']) AS kind, unnest([0.25, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 1]::DOUBLE[]) AS w)""")
+
+
+def _capture(name: str, f: Callable, sql: str) -> None:
+    _add(name, lambda s, d: f(A.captures(s, d)), A.CAPTURE_SQL + sql)
+
+
+def _capture_field(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    _add(name, lambda s, d: f(A.capture_joint(s, d)), A.CAPTURE_SQL + sql)
+
+
+def _requests(captures: DataFrame) -> DataFrame:
+    return O.probe_requests(captures, "cap")
+
+
+def _lists(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.array_join(n, ",") for n in names})
+
+
+_capture("capture_requests", lambda c: _requests(c).select("mac", "label", "device", "cap", "pr_ord", "n_frames", F.array_join("time", ",").alias("times")),
+         "SELECT mac, label, device, cap, pr_ord, n_frames::BIGINT AS n_frames, array_to_string(times, ',') AS times FROM req")
+_add("capture_observations", A.capture_observations, A.CAPTURE_SQL + "SELECT mac, device, cap, pr_ord, field, value, n_frames::BIGINT AS n_frames FROM obs")
+_capture_field("capture_distribution", S.distribution, "SELECT field, value, sum(n)::BIGINT AS n, round(sum(n)::DOUBLE / (SELECT sum(n) FROM joint j WHERE j.field = joint.field), 6) AS share FROM joint WHERE n > 0 GROUP BY field, value")
+_capture_field("capture_value_k", S.value_devices, "SELECT * FROM kv")
+_capture_field("capture_uniqueness", S.uniqueness, "SELECT field, round(avg(1.0::DOUBLE / k), 6) AS score FROM kv GROUP BY ALL")
+_capture_field("capture_cardinality", S.device_cardinality, "SELECT field, device, count(DISTINCT value) AS n_values FROM obs GROUP BY ALL")
+_capture_field("capture_information", lambda j: S.information(j).select("field", "h_value", "h_device", "mi"), """, x AS (SELECT field, sum(n) AS t FROM joint GROUP BY ALL),
+nx AS (SELECT field, value, sum(n)::DOUBLE AS n FROM joint WHERE n > 0 GROUP BY ALL), ny AS (SELECT field, device, sum(n)::DOUBLE AS n FROM joint WHERE n > 0 GROUP BY ALL)
+SELECT field, round((SELECT sum(-n / t * log2(n / t)) FROM nx WHERE nx.field = x.field), 6) AS h_value, round((SELECT sum(-n / t * log2(n / t)) FROM ny WHERE ny.field = x.field), 6) AS h_device,
+  round((SELECT sum(j.n / t * log2(j.n * t / (nx.n * ny.n))) FROM joint j JOIN nx ON j.field = nx.field AND j.value = nx.value JOIN ny ON j.field = ny.field AND j.device = ny.device WHERE j.field = x.field AND j.n > 0), 6) AS mi FROM x""")
+_add("capture_stability", lambda s, d: S.stability_by_device(A.capture_joint(s, d), O.devices(A.captures(s, d))),
+     A.CAPTURE_SQL + "SELECT field, device, round(coalesce(max(n)::DOUBLE / nullif(sum(n), 0), 1), 6) AS stability FROM joint GROUP BY ALL")
+_add("capture_affected", lambda s, d: S.affected_devices(A.capture_joint(s, d), O.devices(A.captures(s, d))),
+     A.CAPTURE_SQL + "SELECT field, count(DISTINCT device) FILTER (value <> 'NULL') AS n_devices, round(100.0::DOUBLE * count(DISTINCT device) FILTER (value <> 'NULL') / (SELECT count(DISTINCT device) FROM req), 6) AS percent FROM obs GROUP BY field")
+_add("capture_fingerprints", lambda s, d: P.sharing(P.device_fingerprints(P.request_fingerprints(_requests(A.captures(s, d)).withColumns({f: O.field_value(f) for f in ("TAGS", "FLAG")}), ["TAGS", "FLAG"]))),
+     A.CAPTURE_SQL + "SELECT x AS set_size, count(*) AS n_fingerprints FROM (SELECT b, count(DISTINCT device) AS x FROM req GROUP BY b) GROUP BY x")
+_capture("capture_devices", O.devices, "SELECT DISTINCT device FROM req")
+_add("capture_device_distribution", lambda s, d: O.device_joint(A.capture_joint(s, d), O.devices(A.captures(s, d))),
+     A.CAPTURE_SQL + "SELECT device, field, value, n FROM joint WHERE n > 0 UNION ALL SELECT DISTINCT device, NULL, NULL, 0 FROM req WHERE device NOT IN (SELECT device FROM joint WHERE n > 0)")
+_capture("capture_last_labels", lambda c: O.mac_labels(c, "cap"), "SELECT mac, arg_max(label, cap) AS label FROM req WHERE label <> '' GROUP BY mac")
+_capture("capture_merged", lambda c: _lists(O.merge_requests(_requests(c)).drop("data"), "time", "rssi"),
+         """, lab AS (SELECT mac, arg_min(label, cap) AS label FROM req WHERE label IS NOT NULL GROUP BY mac)
+SELECT r.mac, l.label, coalesce(l.label, r.mac) AS device, min(cap) AS cap, arg_min(pr_ord, cap) AS pr_ord, sum(n_frames)::BIGINT AS n_frames,
+  coalesce(string_agg(array_to_string(times, ','), ',' ORDER BY cap) FILTER (n_frames > 0), '') AS time, coalesce(string_agg(trim(rssi, '[]'), ',' ORDER BY cap) FILTER (n_frames > 0), '') AS rssi
+FROM req r LEFT JOIN lab l USING (mac) GROUP BY r.mac, l.label, kind, b""")
+_capture("capture_key_frames", lambda c: O.key_frames(_requests(c)),
+         "SELECT key, sum(n_frames)::BIGINT AS n FROM (SELECT n_frames, unnest(CASE WHEN kind = 'view' THEN ['RTS', 'VENDOR', 'TXT', 'TAGS', 'FLAG'] ELSE ['EVENT', 'RTS', 'VENDOR', 'TXT', 'TAGS', 'FLAG'] END) AS key FROM req WHERE n_frames > 0) GROUP BY key")
+_capture("capture_key_paths", lambda c: O.key_paths(_requests(c)),
+         "SELECT unnest(['EVENT', 'RTS', 'RTS.SUPP', 'VENDOR', 'VENDOR.a', 'VENDOR.z', 'TXT', 'TAGS', 'FLAG'] || CASE WHEN count(*) FILTER (b % 2 = 1) > 0 THEN ['RTS.EXT'] ELSE [] END) AS path FROM req")
+_capture("capture_unique_addresses", lambda c: O.unique_addresses(_requests(c)),
+         "SELECT device, count(DISTINCT lower(mac)) AS n_macs, count(*) AS n_requests, sum(n_frames)::BIGINT AS n_frames FROM req GROUP BY GROUPING SETS ((device), ())")
+_capture("capture_file_frames", lambda c: O.file_frames(c), "SELECT '/in/' || coalesce(label, 'other') || '/' || cap || '.json' AS file, sum(n_frames)::BIGINT AS n_frames FROM req GROUP BY ROLLUP (file)")
+_capture("capture_path_labels", lambda c: c.select("file", O.path_label(F.col("file")).alias("folder"), O.path_label(F.col("file"), "file").alias("stem"), O.folder_device(F.col("file")).alias("device"), O.table_label(F.col("LABEL")).alias("short")).distinct(),
+         "SELECT DISTINCT '/in/' || coalesce(label, 'other') || '/' || cap || '.json' AS file, coalesce(label, 'other') AS folder, CAST(cap AS VARCHAR) AS stem, CASE WHEN label LIKE 'data%' THEN label END AS device, split_part(label, '_', 2) AS short FROM req")
+_capture_field("capture_value_to_label", lambda j: S.value_labels(j.where("field = 'FLAG'"), S.short_label(F.col("device"))),
+               "SELECT field, value, array_to_string(list_sort(list(DISTINCT l)), ', ') AS labels, count(DISTINCT l) AS n_labels FROM (SELECT *, nullif(substr(split_part(device, '_', 2), 4, 1), '') AS l FROM joint WHERE field = 'FLAG') GROUP BY field, value")
+_capture_field("capture_abbreviated", lambda j: j.select(S.abbreviated(F.concat("device", F.lit("/"), "value")).alias("value")).groupBy("value").agg(F.count("*").alias("n")),
+               "SELECT CASE WHEN len(x) > 16 THEN left(x, 8) || '...' || right(x, 4) ELSE x END AS value, count(*) AS n FROM (SELECT device || '/' || value AS x FROM joint) GROUP BY 1")
+_add("pseudonyms", lambda s, d: O.pseudonyms(A.table(s, d, "events").select(F.col("event_id").alias("ord"), F.col("user_id").alias("src"))).select("ord", "src", "mac"),
+     """SELECT event_id AS ord, user_id AS src, '02:' || substr(p, 1, 2) || ':' || substr(p, 3, 2) || ':' || substr(q, 1, 2) || ':' || substr(q, 3, 2) || ':' || substr(q, 5, 2) AS mac FROM (
+  SELECT e.event_id, e.user_id, lpad(lower(hex(o.r)), 4, '0') AS p, lpad(lower(hex(row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id))), 6, '0') AS q
+  FROM events e JOIN (SELECT user_id, row_number() OVER (ORDER BY min(event_id), user_id) AS r FROM events GROUP BY user_id) o ON o.user_id = e.user_id)""")
