@@ -33,7 +33,7 @@ from .common import arrow_schema, map_rows, powers
 WINDOW = 20
 ANCHOR = 12  #: words of a minimizer
 CHUNK = 4 << 20  #: bytes of text in a chunk, on average. Chunks and slices exchange a row each: at 100 TB take 64 MB and
-SLICE = 1 << 21  #: 2**25 minimizers in a slice, on average
+SLICE = 1 << 19  #: 2**24 minimizers in a slice, on average
 DEPTH, CELLS = 2, 8  #: rows of the sketch, cells of a row for each minimizer: one in 70 single ones is taken for repeated
 BLOCK = 1 << 20  #: bytes hashed at once
 SEGMENT = 1 << 17  #: windows hashed at once
