@@ -11,9 +11,9 @@ NULL = "NULL"  #: the token that stands for a missing field; it is a value like
 
 
 def path(field: str) -> str:
-    """Path of a dotted field into a variant, its segments quoted; a quote in a name is escaped."""
-    escape = lambda p: p.replace("\\", "\\\\").replace("'", "\\'")
-    return "$" + "".join(f"['{escape(p)}']" for p in field.split("."))
+    """Path of a dotted field into a variant, its segments quoted."""
+    quoted = lambda p: f'["{p}"]' if "'" in p else f"['{p}']"
+    return "$" + "".join(map(quoted, field.split(".")))
 
 
 def _plain(v: Column) -> Column:

@@ -13,6 +13,8 @@ from etherloom.operators import matrix as M
 from etherloom.operators import observe as O
 from etherloom.operators import validate as V
 
+from etherloom.sources import reports
+
 from . import adapters as A
 
 QUERIES: dict[str, Callable] = {}
@@ -249,6 +251,19 @@ _add("field_registry", lambda s, d: s.createDataFrame(
        'ie_list', 'data_rates', 'data_rates', 'ext_tag', 'vendor_spec', 'rssi_time']) AS kind, unnest([0.25, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 1]::DOUBLE[]) AS w)""")
 
 
+def _report(s, d) -> DataFrame:
+    clusters, labels = A.customer_clusters(s, d)
+    one = lambda df: df.select(F.lit("mixed").alias("scenario"), "*")
+    summary = V.purity_summary(V.contingency(clusters, labels)).select("n_clusters", "weighted_purity")
+    sections = {"weights": A.scenarios(s).where("scenario = 'mixed'"), "clusters": one(V.cluster_sizes(clusters)), "validation": one(summary)}
+    return reports.report_lines(sections)
+
+
+_add("scenario_report", _report, A.CK_SQL.format(noise="AND cluster <> -1") + """SELECT 'mixed' AS scenario, 'weights' AS section, '' AS at, 'weights: {"HEX":2.0,"RATES":0.5}' AS line
+UNION ALL SELECT 'mixed', 'clusters', CAST(cluster AS VARCHAR), 'cluster: ' || cluster || ', n: ' || count(*) FROM m GROUP BY cluster
+UNION ALL SELECT 'mixed', 'validation', CAST(count(*) AS VARCHAR), 'n_clusters: ' || count(*) || ', weighted_purity: ' || round(sum(mk)::DOUBLE / sum(nk), 6) FROM k""")
+
+
 def _capture(name: str, f: Callable, sql: str) -> None:
     _add(name, lambda s, d: f(A.captures(s, d)), A.CAPTURE_SQL + sql)
 
