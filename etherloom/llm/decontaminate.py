@@ -25,6 +25,7 @@ LEAST = 13  #: tokens of an overlap, or the whole item if it is shorter
 MISMATCH = 3  #: matches that pay for one substitution: at least 3 in 4 tokens of an overlap agree
 FILTER = 64  #: bits of the filter for each seed of the benchmark: one position in 2 million passes by chance
 MOST_BITS = 30  #: its size at most, as a power of two: 128 MB, for 16 million seeds (4 million tokens of benchmark)
+TOGETHER = 1 << 16  #: tokens looked up at once, or one document
 _TOKENS = re.compile(r"\w+").findall
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -133,19 +134,35 @@ def candidates(docs: DataFrame, bloom: np.ndarray, masks: tuple[str, ...] = MASK
             return at
 
         def work(batch):
-            rows: dict[str, list] = {"doc_id": [], "text": [], "seeds": [], "places": []}
-            for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                a = hashes.array(tokens(t))
-                seeds, places = [], []
-                for mask in masks:
-                    s = spaced(a, mask)
-                    at = passed(s)
-                    seeds += s[at].view(np.int64).tolist()
-                    places += at.tolist()
-                if seeds:
-                    for c, x in zip(rows, (d, t, seeds, places), strict=True):
-                        rows[c].append(x)
-            yield rows
+            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            held: list[np.ndarray] = []  # token hashes of consecutive documents, looked up together
+            first = 0
+            for k, t in enumerate(texts):
+                held.append(hashes.array(tokens(t)))
+                if k + 1 == len(texts) or sum(map(len, held[-64:])) >= TOGETHER or len(held) == 64:
+                    yield looked_up(ids[first : k + 1], texts[first : k + 1], held)
+                    first, held = k + 1, []
+
+        def looked_up(ids, texts, held):
+            ends = np.cumsum([len(a) for a in held])
+            every = np.concatenate(held)
+            found: dict[int, tuple[list, list]] = {}
+            for mask in masks:
+                s = spaced(every, mask)
+                at = passed(s)
+                doc = np.searchsorted(ends, at, "right")
+                inside = at + len(mask) <= ends[doc] if len(at) else doc > 0  # not across the end of a document
+                at, doc = at[inside], doc[inside]
+                starts = ends[doc] - [len(held[d]) for d in doc.tolist()] if len(doc) else doc
+                for d, seed, place in zip(doc.tolist(), s[at].view(np.int64).tolist(), (at - starts).tolist()):
+                    seeds, places = found.setdefault(d, ([], []))
+                    seeds.append(seed)
+                    places.append(place)
+            own = sorted(found)
+            return {
+                "doc_id": [ids[d] for d in own], "text": [texts[d] for d in own], "seeds": [found[d][0] for d in own],
+                "places": [found[d][1] for d in own],
+            }
 
         return work
 
