@@ -78,12 +78,21 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, total:
     return marked.join(right.withColumn("__way", F.explode(ways)).drop(count), [key, "__way"]).drop("__way")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c for f in frames for c in f.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def null_safe(left: DataFrame, right: DataFrame, *keys: str, how: str = "left") -> DataFrame:
     """Join on ``keys`` where null equals null; the right side's keys are dropped."""
-    renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on = [left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys]
+    names = {k: fresh(f"__{k}", left, right) for k in keys}
+    renamed = right.select(*[F.col(k).alias(n) for k, n in names.items()], *[c for c in right.columns if c not in keys])
+    on = [left[k].eqNullSafe(renamed[n]) for k, n in names.items()]
     joined = left.join(renamed, on, how)
-    return joined.drop(*[f"__{k}" for k in keys])
+    return joined.drop(*names.values())
 
 
 def text_hash(text: str) -> Column:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, WordKeys, map_rows, null_safe, spread_join, stash, text_hash
+from .common import BASE, WordKeys, fresh, map_rows, null_safe, spread_join, stash, text_hash
 
 MASKS = ("110110011", "1010110101", "1110010011", "1001101011")  #: fixed masks; 1 counts, 0 is ignored
 LEAST = 13  #: tokens of an overlap, or the whole item if it is shorter
@@ -254,5 +254,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     and empty texts stay, and repeated rows stay or go together.
     """
     texts = docs.select(text_hash("text").alias("doc_id"), "text")
-    bad = contaminated(texts, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, text_hash("text") == F.col("__bad"), "left_anti")
+    name = fresh("__bad", docs)
+    bad = contaminated(texts, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, text_hash("text") == F.col(name), "left_anti")

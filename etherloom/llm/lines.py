@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe, stash
+from .common import fresh, null_safe, stash
 
 
 def trimmed(line: Column) -> Column:
@@ -44,20 +44,19 @@ def frequent_lines(pages: DataFrame, share: float, least: int) -> DataFrame:
     return found.groupBy("host").agg(F.collect_list("line").alias("frequent"))
 
 
-def _marked(df: DataFrame, share: float, least: int, text: str, host: str) -> DataFrame:
-    """``df`` with ``__stays``: the lines that stay, or null where the text is null."""
+def _marked(df: DataFrame, share: float, least: int, text: str, host: str) -> tuple[DataFrame, str]:
+    """``df`` with one more column, and its name: the lines that stay, or null where the text is null."""
     page = F.xxhash64(F.coalesce(text, F.lit("")))
     pages = df.select(F.col(host).alias("host"), page.alias("page"), line_keys(F.col(text)).alias("keys"))
     # a small table on disk: the planner sees its size and sends it to all, or else joins by host
     found = stash(frequent_lines(pages, share, least), "lines")
-    joined = null_safe(df, found.withColumnsRenamed({"host": host, "frequent": "__frequent"}), host)
-    stays = F.filter(
+    frequent, stays = fresh("__frequent", df), fresh("__stays", df)
+    joined = null_safe(df, found.withColumnsRenamed({"host": host, "frequent": frequent}), host)
+    kept = F.filter(
         F.split(text, "\n", -1),
-        lambda x: F.col("__frequent").isNull()
-        | (trimmed(x) == "")
-        | ~F.array_contains("__frequent", F.xxhash64(trimmed(x))),
+        lambda x: F.col(frequent).isNull() | (trimmed(x) == "") | ~F.array_contains(frequent, F.xxhash64(trimmed(x))),
     )
-    return joined.withColumn("__stays", stays)
+    return joined.withColumn(stays, kept), stays
 
 
 def drop_frequent_lines(
@@ -68,16 +67,18 @@ def drop_frequent_lines(
     Every column stays; the text keeps its other lines in order, empty lines included. A null text stays null and
     has no lines; a null host is a host of its own; repeated rows are each cleaned alike.
     """
-    return _marked(df, share, least, text, host).withColumn(text, F.array_join("__stays", "\n")).select(*df.columns)
+    marked, stays = _marked(df, share, least, text, host)
+    return marked.withColumn(text, F.array_join(stays, "\n")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def line_digest(df: DataFrame, share: float = 0.05, least: int = 10) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_chars, kept_sha256`` of each document; for a null text 0, 0, 0, digest of ''."""
-    kept = F.coalesce(F.array_join("__stays", "\n"), F.lit(""))
+    marked, lines = _marked(df.select("doc_id", "text", "source"), share, least, "text", "source")
+    kept = F.coalesce(F.array_join(lines, "\n"), F.lit(""))
     n = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
     n = F.when(F.col("text").isNull(), 0).otherwise(n)
-    stays = F.when(F.col("text").isNull(), 0).otherwise(F.size("__stays"))
-    return _marked(df.select("doc_id", "text", "source"), share, least, "text", "source").select(
+    stays = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    return marked.select(
         "doc_id",
         n.cast("long").alias("n_lines"),
         (n - stays).cast("long").alias("n_removed"),

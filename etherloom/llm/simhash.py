@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, spread_join, stash, text_hash
+from .common import fresh, map_rows, spread_join, stash, text_hash
 from .components import components
 
 SHARD = 20_000  #: fingerprints in a tree at most
@@ -431,6 +431,7 @@ def drop_near_duplicates(
     least = lambda c: F.min(c).alias("x")
     own = digest.groupBy("node").agg(least(F.struct(F.col("id").isNull().alias("none"), "id", "node", "row")))  # of copies one goes on
     stay = own.join(linked, "node").groupBy("root").agg(least("x")).select("x.node", "x.row")
-    found = docs.withColumns({"__node": text_hash(text), "__row": row})
-    found = found.join(stay.select(F.col("node").alias("__node"), F.col("row").alias("__row")), ["__node", "__row"])
-    return found.dropDuplicates(["__node", "__row"]).select(*docs.columns)
+    node_, row_ = fresh("__node", docs), fresh("__row", docs)
+    found = docs.withColumns({node_: text_hash(text), row_: row})
+    found = found.join(stay.select(F.col("node").alias(node_), F.col("row").alias(row_)), [node_, row_])
+    return found.dropDuplicates([node_, row_]).select(*[F.col(f"`{c}`") for c in docs.columns])

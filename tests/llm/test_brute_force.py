@@ -386,3 +386,109 @@ def test_op1_held_out_accuracy(spark):
     right = [r["toxic"] == bool(r["is_toxic"]) for r in found]
     toxic = [r["toxic"] for r in found if r["is_toxic"]]
     assert sum(right) >= 0.97 * len(right) and sum(toxic) >= 0.85 * len(toxic) > 50
+
+
+CLASH = ("__bad", "__n", "__stays", "__frequent", "__source", "__node", "__row", "__hot", "__way", "host", "page", "keys", "copy", "row", "doc", "fp", "w", "n")
+
+
+def test_columns_named_like_internals_and_values_of_edge_rows(spark):
+    long = " ".join(f"long{k % 5000}q{k // 7}" for k in range(60_000))
+    many = "\n".join(f"line number {'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}{'abcdefghij'[k // 1000]}" for k in range(10_000))
+    base = [(1, long), (2, long), (2, long), (3, many), (4, None), (5, ""), (None, "no id here at all"), (None, "no id here at all")]
+    rows = [(i, t, "en", "s", 1, *["x"] * len(CLASH)) for i, t in base]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
+    d = spark.createDataFrame(rows, schema)
+    bench = spark.createDataFrame([(1, "no id here at all"), (2, None)], "item_id long, text string")
+    model = langid.fit(d.select("text", "lang"))
+    kept = {
+        "identified": langid.keep_identified(d, model), "lines": lines.drop_frequent_lines(d), "unique": simhash.drop_near_duplicates(d),
+        "clean": decontaminate.drop_contaminated(d, bench),
+    }
+    ids = lambda f: sorted(str(r["doc_id"]) for r in f.collect())
+    assert all(f.columns == d.columns for f in kept.values())
+    assert ids(kept["identified"]) == ["1", "2", "2", "3", "None", "None"] and ids(kept["lines"]) == sorted(str(i) for i, _ in base)
+    assert ids(kept["unique"]) == ["1", "3", "4", "None"] and ids(kept["clean"]) == ["1", "2", "2", "3", "4", "5"]
+    assert {r["doc_id"]: r["text"] for r in kept["lines"].where("doc_id IN (1, 3, 4, 5)").collect()} == {1: long, 3: many, 4: None, 5: ""}
+    gone = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(d).collect())
+    assert gone == sorted([("1", 60_000, 0), ("2", 60_000, 60_000), ("2", 60_000, 60_000), ("3", 30_000, 0), ("4", 0, 0), ("5", 0, 0), ("None", 5, 0), ("None", 5, 0)])
+    rules = {r["doc_id"]: r for r in quality.line_rules(d).collect()}
+    assert (rules[3]["n_words"], rules[3]["n_dup_lines"], rules[3]["kept"]) == (30_000, 0, True) and (rules[4]["n_words"], rules[4]["kept"]) == (0, False)
+    spans = {r["doc_id"]: r for r in secrets.secret_spans(d).collect()}
+    assert {spans[i]["spans"] for i in (1, 4, 5)} == {""} and spans[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    found = {r["doc_id"]: r for r in licenses.license_labels(d).collect()}
+    assert (found[3]["n_words"], found[3]["n_base"], found[3]["first_word"], found[3]["labels"], found[3]["score"]) == (30_000, 0, None, "", 0.0) and found[4]["n_words"] == 0
+    tokens = {r["doc_id"]: r for r in bpe.digest_documents(d, queries.vocabulary()).collect()}
+    assert (tokens[4]["n_tokens"], tokens[5]["ids_sha256"]) == (0, hashlib.sha256(b"").hexdigest()) and tokens[1]["n_tokens"] > 60_000
+    prints = {r["doc_id"]: r for r in simhash.simhash_components(d).collect()}
+    assert prints[4]["fingerprint"] == prints[5]["fingerprint"] == "0" * 16 and prints[5]["component_id"] == 4 and prints[2]["component_id"] == 1
+    toxic = toxicity.toxicity(d, spark.createDataFrame([(1, 1, 0), (3, 0, 1), (3, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert toxic.count() == len(base) and {r["toxic"] for r in toxic.collect()} <= {True, False}
+
+
+def test_language_and_chain_ties(spark):
+    assert langid.viterbi(np.zeros((30, 3))).tolist() == [0] * 30  # the first label of equals
+    assert toxicity.best_threshold(np.array([0.5, 0.5, 0.5]), np.array([1.0, 0.0, 1.0])) < 0.5  # equal probabilities stand together
+
+
+def test_pipeline_against_brute_force(spark, texts, tmp_path):
+    """run() over the whole small tables: each stage by plain Python on what the one before it kept."""
+    import os
+    import sys
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) if spark.conf.get("spark.checkpoint.dir", None) else set()
+    result = by_id(pipeline.run(spark, SF))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    now, held = docs, []
+    for _, stage in pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        held.append([tuple(r) for r in now.select(*pipeline.COLUMNS).collect()])
+        assert now.columns == list(pipeline.COLUMNS) == docs.columns
+        now = spark.createDataFrame(held[-1], docs.schema)
+    first, second, third, fourth = held
+    # language ID keeps clean documents: rejects only texts without a letter, or of mixed languages
+    lost = [r for i, r in texts.items() if i not in {x[0] for x in first}]
+    assert len(first) + len(lost) == len(texts) and len(lost) < 0.1 * len(texts)
+    assert all(not any(c.isalpha() for c in r["text"] or "") or len(r["text"]) < 2000 for r in lost)
+    # line dedup: pages are distinct texts of a host
+    pages = {(r[3], r[1]) for r in first}
+    total, count = Counter(s for s, _ in pages), Counter()
+    cut = lambda x: x.strip(" \t\r")
+    for s, t in pages:
+        count.update({(s, cut(x)) for x in (t or "").split("\n") if cut(x)})
+    hot = {k for k, n in count.items() if n >= 10 and n > 0.05 * total[k[0]]}
+    clean = lambda s, t: "\n".join(x for x in t.split("\n") if (s, cut(x)) not in hot)
+    assert sorted(second) == sorted((i, clean(s, t), g, s, n) for i, t, g, s, n in first)
+    # near-duplicates: Jaccard 0.8 of five-word shingles, one of each component
+    def shingles(t):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        w = WORD.findall(w)
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    rows = sorted(second, key=lambda r: r[0])
+    sets, label = [shingles(r[1]) for r in rows], list(range(len(rows)))
+    root = lambda i: i if label[i] == i else root(label[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            if not sets[i] and not sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    assert sorted(third) == sorted(rows[i] for i in range(len(rows)) if root(i) == i)
+    bench = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    tokens = [set(decontaminate.tokens(b)) for b in bench]
+
+    def leaked(t):
+        w = set(decontaminate.tokens(t))
+        return any(len(w & x) >= 9 and brute_overlaps(t, b) for x, b in zip(tokens, bench))
+
+    gone = {r[0] for r in third} - {r[0] for r in fourth}
+    assert gone == {r[0] for r in third if leaked(r[1])} and all(r in third for r in fourth)
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(queries.vocabulary())
+    assert result.keys() == {r[0] for r in fourth}
+    for i, t, *_ in fourth:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        assert result[i]["n_tokens"] == len(ids) and result[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert sys.modules["corpus_pipeline"].STAGES[-1][0].startswith("BPE")
+    if before:  # run() leaves its result only
+        assert len({x for x in os.listdir(spark.conf.get("spark.checkpoint.dir")) if x.startswith("etherloom-stage")} - before) == 1
