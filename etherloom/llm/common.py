@@ -70,12 +70,14 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, total:
     if total is None:
         right = stash(right, "spread")
         total = right.agg(F.sum(count)).first()[0] or 0
-    hot = right.where(F.col(count) * HOT > total).select(F.col(key).alias("__hot")).distinct()
-    marked = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    way = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(WAYS)).cast("int")).otherwise(0)
-    marked = marked.withColumn("__way", way).drop("__hot")
+    name, at = fresh("__hot", left, right), fresh("__way", left, right)
+    hot = right.where(F.col(count) * HOT > total).select(F.col(key).alias(name)).distinct()
+    marked = left.join(F.broadcast(hot), F.col(key) == F.col(name), "left")
+    hashed = [F.col(f"`{c}`") for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]  # maps have no hash
+    way = F.when(F.col(name).isNotNull(), F.pmod(F.xxhash64(*hashed), F.lit(WAYS)).cast("int")).otherwise(0)
+    marked = marked.withColumn(at, way).drop(name)
     ways = F.when(F.col(count) * HOT > total, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))
-    return marked.join(right.withColumn("__way", F.explode(ways)).drop(count), [key, "__way"]).drop("__way")
+    return marked.join(right.withColumn(at, F.explode(ways)).drop(count), [key, at]).drop(at)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, null_safe, stash
+from .common import fresh, null_safe, spread_join
 
 
 def trimmed(line: Column) -> Column:
@@ -48,10 +48,12 @@ def _marked(df: DataFrame, share: float, least: int, text: str, host: str) -> tu
     """``df`` with one more column, and its name: the lines that stay, or null where the text is null."""
     page = F.xxhash64(F.coalesce(text, F.lit("")))
     pages = df.select(F.col(host).alias("host"), page.alias("page"), line_keys(F.col(text)).alias("keys"))
-    # a small table on disk: the planner sees its size and sends it to all, or else joins by host
-    found = stash(frequent_lines(pages, share, least), "lines")
-    frequent, stays = fresh("__frequent", df), fresh("__stays", df)
-    joined = null_safe(df, found.withColumnsRenamed({"host": host, "frequent": frequent}), host)
+    frequent, stays, place, rows = (fresh(n, df) for n in ("__frequent", "__stays", "__host", "__rows"))
+    hashed = lambda c: F.xxhash64(c).alias(place)  # noqa: E731  # the null host is one too
+    found = frequent_lines(pages, share, least).select(hashed("host"), F.col("frequent").alias(frequent))
+    hosts = df.groupBy(hashed(host)).agg(F.count("*").alias(rows)).join(found, place, "left")
+    # a table on disk: the planner sees its size and sends it to all, or else joins by host, a hot one in many tasks
+    joined = spread_join(df.withColumn(place, hashed(host)), hosts, place, rows)
     kept = F.filter(
         F.split(text, "\n", -1),
         lambda x: F.col(frequent).isNull() | (trimmed(x) == "") | ~F.array_contains(frequent, F.xxhash64(trimmed(x))),
