@@ -16,6 +16,7 @@ from etherloom.operators import validate as V
 from etherloom.sources import reports
 
 from . import adapters as A
+from . import files
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -323,3 +324,15 @@ _add("pseudonyms", lambda s, d: O.pseudonyms(A.table(s, d, "events").select(F.co
      """SELECT event_id AS ord, user_id AS src, '02:' || substr(p, 1, 2) || ':' || substr(p, 3, 2) || ':' || substr(q, 1, 2) || ':' || substr(q, 3, 2) || ':' || substr(q, 5, 2) AS mac FROM (
   SELECT e.event_id, e.user_id, lpad(lower(hex(o.r)), 4, '0') AS p, lpad(lower(hex(row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id))), 6, '0') AS q
   FROM events e JOIN (SELECT user_id, row_number() OVER (ORDER BY min(event_id), user_id) AS r FROM events GROUP BY user_id) o ON o.user_id = e.user_id)""")
+
+
+_add("capture_files", files.capture_files, A.CAPTURE_SQL + """SELECT mac, mac AS device, row_number() OVER (PARTITION BY mac ORDER BY cap, kind, b) - 1 AS pr_ord, n_frames::BIGINT AS n_frames,
+  CASE WHEN kind = 'view' THEN 'NULL' ELSE kind END AS event FROM req""")
+_add("scenario_files", files.scenario_files, "SELECT * FROM (VALUES ('both', 'HEX', 1.0::DOUBLE), ('bits', 'HEX', 1.0), ('bits', 'RATES', 0.0), ('mixed', 'HEX', 2.0), ('mixed', 'RATES', 0.5)) AS t (scenario, field, weight)")
+_add("value_label_files", files.value_label_files,
+     A.SQL + """SELECT value AS "Value", array_to_string(list_sort(list(DISTINCT device)), ', ') AS "Labels" FROM obs WHERE field = 'EVENT' GROUP BY value""")
+_add("listing_files", files.listing_files, A.SQL + "SELECT value || ': ' || CAST(sum(n) AS BIGINT) AS value FROM joint WHERE field = 'EVENT' GROUP BY joint.value")
+_MIS = "SELECT mac, label::BIGINT AS label, cluster::BIGINT AS cluster, expected::BIGINT AS expected, '{0}' AS scenario FROM e{1} JOIN w{1} USING (cluster) WHERE label <> expected"
+_WON = "SELECT cluster, label AS expected FROM (SELECT cluster, label, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, label) AS r FROM e{0} GROUP BY cluster, label) WHERE r = 1"
+_add("misassigned_files", files.misassigned_files,
+     A.CK_SQL.format(noise="") + f", e1 AS (SELECT * FROM e), e2 AS (SELECT * FROM e WHERE cluster <> -1), w1 AS ({_WON.format(1)}), w2 AS ({_WON.format(2)}) " + _MIS.format("all", 1) + " UNION ALL " + _MIS.format("quiet", 2))
