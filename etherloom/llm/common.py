@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from etherloom.sources.storage import scratch, shared_dir, stash
+
+__all__ = ["scratch", "shared_dir", "stash"]
+
 WORD = 1_048_576  #: entries a worker's word cache may hold before it is emptied
 
 
@@ -20,43 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` or ``setCheckpointDir`` names; one of our own where neither does, in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="etherloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-_SCOPES: list[list[str]] = []
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: the lineage ends in files every executor sees."""
-    path = f"{shared_dir(df.sparkSession)}/etherloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for paths in _SCOPES[-1:]:
-        paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """What is stashed inside is deleted at the end, unless it is taken from the list: for work whose result is written by then."""
-    paths: list[str] = []
-    _SCOPES.append(paths)
-    try:
-        yield paths
-    finally:
-        _SCOPES.pop()
-        for name in paths:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 HOT, WAYS = 1000, 64
 
 
