@@ -53,7 +53,7 @@ DIGEST = (
 
 
 def line_rules(
-    docs: DataFrame, host: str = "source", share: float = 0.05, least: int = 20, most: int = 1000, depleted: float = 0.5
+    docs: DataFrame, host: str = "source", share: float = 0.05, least: int = 20, most: int = 10_000, depleted: float = 0.5
 ) -> DataFrame:
     """One row a document: ``doc_id, n_words``, the four base measures, ``base_failed, kept, n_line_words_removed``.
 
