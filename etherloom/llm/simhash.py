@@ -30,7 +30,9 @@ from .components import components
 
 SHARD = 20_000  #: fingerprints in a tree at most
 SLICE = 200_000  #: rows of whole shards that a task holds at once
-FRONT = 1_000_000  #: (query, node) pairs in work at once, and shingles compared at once
+FRONT = 250_000  #: (query, node) pairs in work at once
+COMPARED = 500_000  #: shingles compared at once
+STEP = 1_000  #: rows taken from a batch at once, which bounds what is held beyond SETS
 SETS = 2_000_000  #: shingles of a shard's piece at most, and of the whole shards that a task holds at once
 
 
@@ -161,7 +163,7 @@ class Sets:
         while len(a):
             apart = label[a] != label[b]
             a, b = a[apart], b[apart]
-            n = max(1, int(np.searchsorted(np.cumsum(np.minimum(self.sizes[a], self.sizes[b])), FRONT)))
+            n = max(1, int(np.searchsorted(np.cumsum(np.minimum(self.sizes[a], self.sizes[b])), COMPARED)))
             good = self.similar(a[:n], b[:n])
             union(label, a[:n][good], b[:n][good])
             a, b = a[n:], b[n:]
@@ -242,6 +244,13 @@ def tree_links(rows: DataFrame, node: str, words: list[str], radius: int, large:
             return {"a": name[a], "b": name[b]}
 
         def work(batch, last=False):
+            if not last:
+                for at in range(0, batch.num_rows, STEP):
+                    yield from part(batch.slice(at, STEP), False)
+            else:
+                yield from part(None, True)
+
+        def part(batch, last):
             if batch is not None:
                 key = np.stack([batch[c].to_numpy().astype(np.int64) for c in shard], 1)
                 fp = np.stack([batch[c].to_numpy().view(np.uint64) for c in words], 1)

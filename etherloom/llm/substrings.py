@@ -107,7 +107,7 @@ def least(g: np.ndarray, width: int) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts, one after the other: ``text`` has a space after each, text k has words from[k] to from[k + 1]."""
+    """The words of some texts, one after the other: ``text`` has a space after each, text k has words upto[k] to upto[k + 1] - 1."""
 
     def __init__(self, texts: list[bytes]):
         raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
@@ -299,6 +299,7 @@ def first_windows(found: DataFrame) -> DataFrame:
 
 
 def kept_rows(rows: pa.Table, told: pa.Table, slices: int, digest: bool) -> dict[str, list]:
+    """The chunk's rows with what they keep; ``told`` has its answers and where windows begin first."""
     chunk = Chunk(rows)
     words = chunk.words
     start = _estimated(chunk, told.filter(told["slice"].is_valid()), slices, False)[0]
