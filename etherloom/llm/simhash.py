@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_rows, spread_join, stash, text_hash
+from .common import fresh, map_rows, sized, spread_join, stash, text_hash
 from .components import components
 
 SHARD = 20_000  #: fingerprints in a tree at most
@@ -409,7 +409,7 @@ def _verified(named: DataFrame, nodes: DataFrame, proposed: DataFrame, words: li
     placed = members.select("size", "keys", F.posexplode("keys").alias("band", "bits")).select("size", band, "bits")
     pieces = F.greatest(F.count("*"), F.ceil(F.sum("size") * SHARD / SETS))
     large = placed.where("band >= 0").groupBy("band", "bits").agg(pieces.alias("n")).where(F.col("n") > SHARD)
-    texts = named.join(members.select("node"), "node", "left_semi").select("node", "body").dropDuplicates(["node"])
+    texts = named.join(sized(members.select("node"), "near-texts"), "node", "left_semi").select("node", "body").dropDuplicates(["node"])
     kept = ["node", *words, "keys"]
 
     def make():
@@ -440,7 +440,12 @@ def drop_near_duplicates(
     least = lambda c: F.min(c).alias("x")
     own = digest.groupBy("node").agg(least(F.struct(F.col("id").isNull().alias("none"), "id", "node", "row")))  # of copies one goes on
     stay = own.join(linked, "node").groupBy("root").agg(least("x")).select("x.node", "x.row")
+    # of the rows only those that go, and those that are there several times, are few: the texts need not meet the others
+    rows = digest.groupBy("node", "row").agg(F.count("*").alias("n")).join(stay.withColumn("stays", F.lit(True)), ["node", "row"], "left")
+    special = stash(rows.where("stays IS NULL OR n > 1"), "near-special")
     node_, row_ = fresh("__node", docs), fresh("__row", docs)
-    found = docs.withColumns({node_: text_hash(text), row_: row})
-    found = found.join(stay.select(F.col("node").alias(node_), F.col("row").alias(row_)), [node_, row_])
-    return found.dropDuplicates([node_, row_]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = lambda found, label: sized(found.select(F.col("node").alias(node_), F.col("row").alias(row_)), label)
+    marked = docs.withColumns({node_: text_hash(text), row_: row})
+    once = marked.join(named(special, "near-gone"), [node_, row_], "left_anti")
+    again = marked.join(named(special.where("stays"), "near-again"), [node_, row_], "left_semi").dropDuplicates([node_, row_])
+    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
