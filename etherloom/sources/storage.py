@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -21,7 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-_SCOPES: list[list[str]] = []
+_OWN = threading.local()  # the scopes of this thread: pipelines of several threads do not delete each other's tables
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_OWN, "scopes"):
+        _OWN.scopes = []
+    return _OWN.scopes
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -29,24 +36,54 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/etherloom-{label}-{uuid.uuid4().hex}"
 
 
+def _table(path: str) -> str:
+    return path.rpartition("/")[2].replace("-", "_")
+
+
+def _hadoop(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _owned(spark: SparkSession, name: str) -> None:
+    """Note what was written: the scope deletes it, or else the driver's JVM when it ends."""
+    for paths in _scopes()[-1:]:
+        paths.append(name)
+    path, system = _hadoop(spark, name)
+    system.deleteOnExit(path)
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: the lineage ends in files every executor sees."""
     path = new_path(df.sparkSession, label)
-    for paths in _SCOPES[-1:]:
-        paths.append(path)
     df.write.parquet(path)
+    _owned(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stash_by(df: DataFrame, column: str, label: str) -> DataFrame:
+    """``stash`` as a table bucketed by ``column``, so that joins and groups on it move only the other side.
+
+    ``df`` should come from a grouping by the column: its tasks then hold whole buckets, and each bucket is one file.
+    """
+    spark = df.sparkSession
+    path, n = new_path(spark, label), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = _table(path)
+    df.write.format("parquet").bucketBy(n, column).sortBy(column).option("path", path).saveAsTable(name)
+    _owned(spark, path)
+    return spark.table(name)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """What is stashed inside is deleted at the end, unless it is taken from the list: for work whose result is written by then."""
     paths: list[str] = []
-    _SCOPES.append(paths)
+    _scopes().append(paths)
     try:
         yield paths
     finally:
-        _SCOPES.pop()
+        _scopes().pop()
         for name in paths:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, system = _hadoop(spark, name)
+            system.delete(path, True)
+            spark.sql(f"DROP TABLE IF EXISTS {_table(name)}")
