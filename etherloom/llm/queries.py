@@ -1,4 +1,4 @@
-"""The ten registered queries, each over its whole table, and the SQL of those that SQL can express."""
+"""The registered queries, each over its whole table, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, licenses, lines, quality, secrets, simhash, substrings, toxicity
+from . import audit, bpe, decontaminate, langid, licenses, lines, quality, secrets, simhash, substrings, toxicity, whiten
 from .common import table
 
 
@@ -62,13 +62,21 @@ def op10_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity_chain, op2_spaced_seed_decontamination, op3_line_frequency_rules, op4_bpe_round_trip,
         op5_secret_ownership, op6_count_min_substrings, op7_simhash_bk_trees, op8_viterbi_language,
-        op9_diagonal_licenses, op10_site_line_dedup,
+        op9_diagonal_licenses, op10_site_line_dedup, op11_embedding_whitening, op13_source_divergence,
     )
 }
 
-ORACLE: dict[str, str] = {"op10_site_line_dedup": lines.ORACLE}
+ORACLE: dict[str, str] = {"op10_site_line_dedup": lines.ORACLE, "op13_source_divergence": audit.ORACLE}
