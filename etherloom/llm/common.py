@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from etherloom.sources.storage import scratch, shared_dir, stash
+from etherloom.sources.storage import scratch, shared_dir, stash, stash_by
 
-__all__ = ["scratch", "shared_dir", "stash"]
+__all__ = ["scratch", "shared_dir", "stash", "stash_by"]
 
 WORD = 1_048_576  #: entries a worker's word cache may hold before it is emptied
 
@@ -22,13 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 HOT, WAYS = 1000, 64
-SENT = 1_000_000  #: rows of a few numbers that are sent to all tasks at most (about 32 MB)
-
-
-def sized(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once and counted: sent to all tasks if it has SENT rows at most, else joined by shuffle as any other."""
-    found = stash(df, label)
-    return F.broadcast(found) if found.count() <= SENT else found
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int | None = None) -> DataFrame:

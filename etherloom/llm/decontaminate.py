@@ -255,5 +255,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     texts = docs.select(text_hash("text").alias("doc_id"), "text")
     name = fresh("__bad", docs)
-    bad = contaminated(texts, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    bad = stash(contaminated(texts, benchmark).select(F.col("doc_id").alias(name)).distinct(), "contaminated")  # its size is known to the join
     return docs.join(bad, text_hash("text") == F.col(name), "left_anti")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_rows, sized, spread_join, stash, text_hash
+from .common import map_rows, spread_join, stash, stash_by, text_hash
 from .components import components
 
 SHARD = 20_000  #: fingerprints in a tree at most
@@ -132,10 +132,11 @@ def union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 class Sets:
-    """The shingle sets of the rows, one after the other: which pairs have a Jaccard similarity of SIMILAR or more."""
+    """The shingle sets of the rows, one after the other: which pairs have at least a Jaccard similarity, a fraction."""
 
-    def __init__(self, sizes: np.ndarray, values: np.ndarray):
+    def __init__(self, sizes: np.ndarray, values: np.ndarray, least: tuple[int, int] | None = None):
         self.sizes, self.values, self.starts = sizes, values, np.cumsum(sizes) - sizes
+        self.least = least or SIMILAR
         self.all = np.sort(values ^ self._salt(np.repeat(np.arange(len(sizes)), sizes)))
 
     @staticmethod
@@ -151,12 +152,12 @@ class Sets:
         at = np.minimum(np.searchsorted(self.all, wanted), max(len(self.all) - 1, 0))
         hits = np.r_[0, np.cumsum(self.all[at] == wanted)]
         common = hits[ends] - hits[ends - n]
-        up, down = SIMILAR
+        up, down = self.least
         return common * (up + down) >= up * (n + self.sizes[many])
 
     def link(self, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         """``union`` of the similar pairs; those that others link meanwhile are not compared."""
-        up, down = SIMILAR
+        up, down = self.least
         x, y = self.sizes[a], self.sizes[b]
         able = down * np.minimum(x, y) >= up * np.maximum(x, y)
         a, b = a[able], b[able]
@@ -360,19 +361,18 @@ def near_duplicate_components(
     a null id. Equal texts are one node before anything is sharded. Trees of ``radius`` bits propose groups; the texts
     of a group are compared by their shingle sets, in one task, or in the shards again where a group is large.
     """
-    digest, linked = _near(docs.select(key, text), shingle, radius, text)
-    least = digest.groupBy("node").agg(F.min(key).alias("least"), F.count("*").alias("rows")).join(linked, "node")
+    named = docs.select(F.col(key).alias(key), F.col(text).alias("body"), text_hash(text).alias("node"))
+    texts = stash_by(named.groupBy("node").agg(F.first("body").alias("body")), "node", "near")
+    least = named.groupBy("node").agg(F.min(key).alias("least"), F.count("*").alias("rows"))
+    least = least.join(_linked(texts, shingle, radius), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
     owner = stash(spread_join(least.select("node", "rows", "root"), ids, "root", "nodes").select("node", "component_id", "rows"), "near-owners")
-    return spread_join(digest.select(key, "node"), owner, "node", "rows").select(key, "component_id")
+    return spread_join(named.select(key, "node"), owner, "node", "rows").select(key, "component_id")
 
 
-def _near(docs: DataFrame, shingle: int, radius: int, text: str) -> tuple[DataFrame, DataFrame]:
-    """The columns but the text, and ``node``, of each row of ``docs``; and ``node, root`` of every node."""
+def _linked(texts: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """``node, root`` of the nodes that are similar to others, from ``node, body``, a table bucketed by node with a row each."""
     words = [f"w{k}" for k in range(WORDS)]
-    own = [c for c in docs.columns if c != text]
-    kinds = dict(docs.dtypes)
-    named = docs.select(*own, F.col(text).alias("body"), text_hash(text).alias("node"))
 
     def make():
         def work(batch):
@@ -380,27 +380,22 @@ def _near(docs: DataFrame, shingle: int, radius: int, text: str) -> tuple[DataFr
             found = [wide_fingerprint(h) for h in sets]
             prints = np.array([f[0] for f in found], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
             yield {
-                **{c: batch[c] for c in (*own, "node")}, **{w: prints[:, k].copy() for k, w in enumerate(words)},
+                "node": batch["node"], **{w: prints[:, k].copy() for k, w in enumerate(words)},
                 "shards": [f[1].view(np.int64) for f in found], "size": [len(h) for h in sets],
             }
 
         return work
 
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in own], "node bigint", *[w + " bigint" for w in words], "shards array<bigint>, size bigint"])
-    digest = stash(map_rows(named, schema, make), "near")
-    nodes = stash(
-        digest.groupBy("node").agg(*[F.first(c).alias(c) for c in (*words, "shards", "size")]), "near-nodes"
-    )
+    schema = f"node bigint, {', '.join(w + ' bigint' for w in words)}, shards array<bigint>, size bigint"
+    nodes = stash(map_rows(texts, schema, make), "near-nodes")
     proposed = tree_links(nodes.select("node", *words, F.posexplode("shards").alias("band", "bits")), "node", words, radius)
-    edges = _verified(named, nodes, components(proposed), words, shingle, radius)
-    linked = nodes.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    return digest.select(*own, "node"), linked
+    return components(_verified(texts, nodes, components(proposed), words, shingle, radius))
 
 
-def _verified(named: DataFrame, nodes: DataFrame, proposed: DataFrame, words: list[str], shingle: int, radius: int) -> DataFrame:
-    """Edges of similar nodes of each proposed group (``node, root``); the shingle sets come from the texts again."""
-    grouped = nodes.join(proposed, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = grouped.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("m")).where("n > 1")
+def _verified(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, words: list[str], shingle: int, radius: int) -> DataFrame:
+    """Edges of similar nodes of each proposed group (``node, root``); their texts are read again, from where they are."""
+    grouped = nodes.join(proposed, "node")
+    groups = grouped.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
     # a small group is one shard, so that its sets travel once; a large one keeps its shards
     keys = F.when((F.col("m") <= SETS) & (F.col("n") <= SHARD), F.array("root")).otherwise(F.col("shards"))
     joined = spread_join(grouped, groups.withColumn("rows", F.col("n")), "root", "rows")
@@ -409,7 +404,6 @@ def _verified(named: DataFrame, nodes: DataFrame, proposed: DataFrame, words: li
     placed = members.select("size", "keys", F.posexplode("keys").alias("band", "bits")).select("size", band, "bits")
     pieces = F.greatest(F.count("*"), F.ceil(F.sum("size") * SHARD / SETS))
     large = placed.where("band >= 0").groupBy("band", "bits").agg(pieces.alias("n")).where(F.col("n") > SHARD)
-    texts = named.join(sized(members.select("node"), "near-texts"), "node", "left_semi").select("node", "body").dropDuplicates(["node"])
     kept = ["node", *words, "keys"]
 
     def make():
@@ -422,7 +416,7 @@ def _verified(named: DataFrame, nodes: DataFrame, proposed: DataFrame, words: li
         return work
 
     schema = f"node bigint, {', '.join(w + ' bigint' for w in words)}, keys array<bigint>, shingles array<bigint>"
-    full = map_rows(members.join(texts, "node").select(*kept, "body"), schema, make)
+    full = map_rows(texts.join(members, "node").select(*kept, "body"), schema, make)
     rows = full.select("node", *words, "shingles", "keys", F.posexplode("keys").alias("band", "bits"))
     return tree_links(rows.select("node", *words, "shingles", band, "bits"), "node", words, radius, large)
 
@@ -434,18 +428,17 @@ def drop_near_duplicates(
 
     It is the row of the least (key, hash of the text, hash of all columns), a null key after all others: rows are told
     apart by these, not by the key, so null and repeated keys lose no component, and the order of tasks has no say.
+
+    The rows are grouped by text once, copies within a task before they move, and written bucketed by it. What follows
+    (shingle sets of the texts to compare, rows that go) is joined to that table where it lies, whatever its size.
     """
     row = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns])
-    digest, linked = _near(docs.select(F.col(key).alias("id"), row.alias("row"), F.col(text).alias("text")), shingle, radius, "text")
-    least = lambda c: F.min(c).alias("x")
-    own = digest.groupBy("node").agg(least(F.struct(F.col("id").isNull().alias("none"), "id", "node", "row")))  # of copies one goes on
-    stay = own.join(linked, "node").groupBy("root").agg(least("x")).select("x.node", "x.row")
-    # of the rows only those that go, and those that are there several times, are few: the texts need not meet the others
-    rows = digest.groupBy("node", "row").agg(F.count("*").alias("n")).join(stay.withColumn("stays", F.lit(True)), ["node", "row"], "left")
-    special = stash(rows.where("stays IS NULL OR n > 1"), "near-special")
-    node_, row_ = fresh("__node", docs), fresh("__row", docs)
-    named = lambda found, label: sized(found.select(F.col("node").alias(node_), F.col("row").alias(row_)), label)
-    marked = docs.withColumns({node_: text_hash(text), row_: row})
-    once = marked.join(named(special, "near-gone"), [node_, row_], "left_anti")
-    again = marked.join(named(special.where("stays"), "near-again"), [node_, row_], "left_semi").dropDuplicates([node_, row_])
-    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), text_hash(text).alias("node"), row.alias("row"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), first.alias("first"))
+    once = named.groupBy(F.col("first.node").alias("node")).agg(F.min_by("kept", "first").alias("kept"), F.min("first").alias("first"))
+    table = stash_by(once, "node", "near")
+    linked = stash(_linked(table.select("node", F.col("kept")[text].alias("body")), shingle, radius), "near-linked")
+    named = table.select("node", "first").join(linked, "node")
+    stay = named.groupBy("root").agg(F.min("first").alias("stays"), F.count("*").alias("n"))
+    gone = spread_join(named, stay, "root", "n").where(F.col("node") != F.col("stays.node")).select("node")
+    return table.join(stash(gone, "near-gone"), "node", "left_anti").select("kept.*")
