@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, bpe, decontaminate, langid, licenses, lines, quality, secrets, simhash, substrings, toxicity, whiten
+from . import audit, bpe, decontaminate, langid, licenses, lines, minhash, quality, secrets, simhash, substrings, toxicity, whiten
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_minhash_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -75,7 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_toxicity_chain, op2_spaced_seed_decontamination, op3_line_frequency_rules, op4_bpe_round_trip,
         op5_secret_ownership, op6_count_min_substrings, op7_simhash_bk_trees, op8_viterbi_language,
-        op9_diagonal_licenses, op10_site_line_dedup, op11_embedding_whitening, op13_source_divergence,
+        op9_diagonal_licenses, op10_site_line_dedup, op11_embedding_whitening,
+        op12_minhash_stars, op13_source_divergence,
     )
 }
 
