@@ -389,7 +389,13 @@ def _linked(texts: DataFrame, shingle: int, radius: int) -> DataFrame:
     schema = f"node bigint, {', '.join(w + ' bigint' for w in words)}, shards array<bigint>, size bigint"
     nodes = stash(map_rows(texts, schema, make), "near-nodes")
     proposed = tree_links(nodes.select("node", *words, F.posexplode("shards").alias("band", "bits")), "node", words, radius)
-    return components(_verified(texts, nodes, components(proposed), words, shingle, radius))
+    return _members(_verified(texts, nodes, _members(proposed), words, shingle, radius))
+
+
+def _members(edges: DataFrame) -> DataFrame:
+    """``node, root`` of all nodes that have an edge, the least ones too."""
+    found = components(edges)
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
 def _verified(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, words: list[str], shingle: int, radius: int) -> DataFrame:
