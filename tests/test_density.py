@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from etherloom.operators import density
+from etherloom.operators import density, steep
 
 
 def matrix_of(spark, scenarios, kind="long"):
@@ -94,3 +94,112 @@ def test_forests_names_and_nothing(spark):
     found = sorted(map(tuple, density.visiting_order(density.spanning_tree(edges), macs, 1).collect()))
     assert found == [("s", 0, "a", None, None), ("s", 1, "d", 2.0, "a"), ("s", 2, "e", 2.0, "d"), ("s", 3, "b", None, None), ("s", 4, "c", 1.0, "b"), ("s", 5, "f", None, None)]
     assert density.visiting_order(density.spanning_tree(edges.limit(0)), macs.limit(0)).collect() == []
+
+
+def plain_clusters(order, xi, min_samples, size):
+    """Labels along a plot by one walk over it: open falling areas, each with the highest point since it ended."""
+    n, share = len(order), 1 - xi
+    at = {m: k for k, (m, _, _) in enumerate(order)}
+    r = [float("inf") if x is None else x for _, x, _ in order] + [float("inf")]
+    before = [None if p is None else at[p] for _, _, p in order]
+    falls = [r[k] > r[k + 1] and r[k] * share >= r[k + 1] for k in range(n)]
+    rises = [r[k] < r[k + 1] and r[k] <= r[k + 1] * share for k in range(n)]
+
+    def extent(k, steep, against):
+        end, flat = k, 0
+        while k < n:
+            if steep[k]:
+                end, flat = k, 0
+            elif against(k):
+                break
+            else:
+                flat += 1
+                if flat > min_samples:
+                    break
+            k += 1
+        return end
+
+    found, opened, k, high = [], [], 0, 0.0
+    while k < n:
+        high = max(high, r[k])
+        if not (falls[k] or rises[k]):
+            k += 1
+            continue
+        opened = [] if high == float("inf") else [(a, b, max(m, high)) for a, b, m in opened if high <= r[a] * share]
+        if falls[k]:
+            end = extent(k, falls, lambda x: r[x] < r[x + 1])
+            opened.append((k, end, 0.0))
+        else:
+            end = extent(k, rises, lambda x: r[x] > r[x + 1])
+            for first, last, m in reversed(opened):
+                s, e = first, end
+                if r[e + 1] * share < m:
+                    continue
+                if r[first] * share >= r[e + 1]:
+                    while s < last and r[s + 1] > r[e + 1]:
+                        s += 1
+                elif r[e + 1] * share >= r[first]:
+                    while e > k and r[e - 1] > r[first]:
+                        e -= 1
+                while e > s and not (r[s] > r[e] or before[e] is not None and before[e] >= s):
+                    e -= 1
+                if e > s and e - s + 1 >= size and e >= k and s <= last:
+                    found.append((s, e))
+        k, high = end + 1, r[end + 1]
+    label, out = 0, [-1] * n
+    for s, e in found:
+        if all(x == -1 for x in out[s : e + 1]):
+            out[s : e + 1] = [label] * (e - s + 1)
+            label += 1
+    return out
+
+
+def plots(draw):
+    """Orders with heights of many shapes: noise, valleys in valleys, steps with ties, restarts, few points."""
+    shapes = {
+        "noise": [draw.random() for _ in range(200)], "steps": [draw.choice((0, 0.0, 1, 1.04, 2, 4)) for _ in range(200)],
+        "walk": [], "valleys": [5 + 4 * abs((k % 40) - 20) / 20 + draw.random() * 0.1 for k in range(200)], "few": [3.0, 1.0, 1.0, 1.0, 3.0],
+        "nested": [abs(k % 64 - 32) / 8 + abs(k % 16 - 8) / 4 + draw.choice((0, 0.01)) for k in range(256)], "zeros": [0.0] * 50, "one": [],
+    }
+    x = 1.0
+    for _ in range(300):
+        x *= draw.choice((0.8, 0.94, 0.96, 1.0, 1.0, 1.03, 1.06, 1.25))
+        shapes["walk"].append(x)
+    found = {}
+    for name, heights in shapes.items():
+        macs = draw.sample(range(10**6), len(heights) + 1)
+        found[name] = [(macs[0], None, None)]
+        for k, h in enumerate(heights):
+            again = name == "noise" and k % 70 == 69
+            origin = draw.choice(macs[max(0, k - draw.choice((0, 3, 40))) : k + 1])
+            found[name].append((macs[k + 1], None if again else float(h), None if again else origin))
+    return found
+
+
+@pytest.mark.parametrize("seed, part, samples, size", [(1, 100_000, 2, 15), (2, 7, 2, 15), (3, 50, 1, 3), (4, 3, 4, 5)])
+def test_xi_clusters_equal_one_walk(spark, seed, part, samples, size):
+    found = plots(random.Random(seed))
+    rows = [(s, k, *x) for s, order in found.items() for k, x in enumerate(order)]
+    order = spark.createDataFrame(rows, "scenario string, pos long, mac long, reachability double, predecessor long")
+    got = defaultdict(dict)
+    for r in steep.xi_clusters(order, 0.05, samples, size, part).collect():
+        got[r["scenario"]][r["pos"]] = r["cluster"]
+    wanted = {s: dict(enumerate(plain_clusters(o, 0.05, samples, size))) for s, o in found.items()}
+    assert got == wanted
+    assert len({c for s in wanted.values() for c in s.values()}) > 2 and set(wanted["few" if size > 5 else "zeros"].values()) <= {-1, 0}
+
+
+def test_optics_finds_two_groups_and_needs_enough_points(spark):
+    draw = random.Random(8)
+    place = [draw.gauss(0, 1) for _ in range(20)] + [100 + draw.gauss(0, 1) for _ in range(25)]
+    far = {i: {j: abs(place[i] - place[j]) for j in range(45)} for i in range(45)}
+    few = {i: {j: float(abs(i - j)) for j in range(14)} for i in range(14)}
+    same = {i: {j: 0.0 for j in range(30)} for i in range(30)}
+    found = steep.optics(matrix_of(spark, {"two": (list(range(45)), far), "few": (list(range(14)), few), "same": (list(range(30)), same)}))
+    assert found.columns == ["scenario", "pos", "mac", "core", "reachability", "predecessor", "cluster"]
+    of = defaultdict(set)
+    for r in found.collect():
+        of[r["scenario"], r["mac"] >= 20].add(r["cluster"])
+    assert of["few", False] == {-1}
+    assert of["two", False] - {-1} and of["two", True] - {-1} and not (of["two", False] & of["two", True] - {-1})
+    assert len(of["same", False] | of["same", True]) == 1  # one cluster or none: no address is told from another
