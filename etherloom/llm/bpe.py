@@ -59,6 +59,7 @@ class Codec:
         self.mark_start = tuple({s[:2] for s in self.special})
         self.words: dict[str, list[int]] = {}
         self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.most = CHUNKS
 
     def merge(self, s: list[int]) -> list[int]:
         n, rank, merged = len(s), self.rank.get, self.merged
@@ -111,7 +112,7 @@ class Codec:
     def chunk(self, chunk: str) -> tuple[int, str, str]:
         """Number of ids, the ids and the decoded strings of a chunk, each joined by a space."""
         if (found := self.chunks.get(chunk)) is None:
-            if len(self.chunks) >= CHUNKS:
+            if len(self.chunks) >= self.most:
                 self.chunks.clear()
             ids = self.chunk_ids(chunk)
             found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
@@ -176,11 +177,12 @@ def decode_documents(df: DataFrame, vocabulary: str, ids: str = "ids", key: str
     return map_rows(df.select(key, ids), f"`{key}` {kind}, decoded string", make)
 
 
-def digest_documents(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def digest_documents(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", chunks: int = CHUNKS) -> DataFrame:
     """Encode, decode and digest each whole text in one pass: ``key, n_tokens, ids_sha256, decoded_sha256``.
 
     One row for each input row, repeated ids included. A null text counts as empty: no tokens, digests of the
-    empty string. Texts of any length are handled whole; a chunk of 100 characters or more is not cached.
+    empty string. Texts of any length are handled whole; a chunk of 100 characters or more is not cached, and a worker
+    remembers at most ``chunks`` others.
     """
     from hashlib import sha256
 
@@ -188,6 +190,7 @@ def digest_documents(df: DataFrame, vocabulary: str, text: str = "text", key: st
 
     def make():
         c = codec(vocabulary)
+        c.most = chunks
 
         def work(batch):
             n, ids, dec = [], [], []

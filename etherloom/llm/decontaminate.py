@@ -25,6 +25,7 @@ LEAST = 13  #: tokens of an overlap, or the whole item if it is shorter
 MISMATCH = 3  #: matches that pay for one substitution: at least 3 in 4 tokens of an overlap agree
 FILTER = 64  #: bits of the filter for each seed of the benchmark: one position in 2 million passes by chance
 MOST_BITS = 30  #: its size at most, as a power of two: 128 MB, for 16 million seeds (4 million tokens of benchmark)
+WORDS = 1 << 17  #: token hashes that a task remembers
 TOGETHER = 1 << 16  #: tokens looked up at once, or one document
 _TOKENS = re.compile(r"\w+").findall
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -81,7 +82,7 @@ def seed_table(texts: DataFrame, key: str, masks: tuple[str, ...] = MASKS) -> Da
     kind = dict(texts.dtypes)[key]
 
     def make():
-        hashes = WordKeys()
+        hashes = WordKeys(limit=WORDS)
 
         def work(batch):
             for k, t in zip(batch[key].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -124,7 +125,7 @@ def candidates(docs: DataFrame, bloom: np.ndarray, masks: tuple[str, ...] = MASK
     bits = 5 + len(bloom).bit_length()
 
     def make():
-        hashes, table = WordKeys(), shared.value
+        hashes, table = WordKeys(limit=WORDS), shared.value
 
         def passed(seeds):
             at = np.arange(len(seeds))
@@ -220,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     wanted = _counted(pairs, items, "item").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonals", "text")).alias("hits"))
 
     def make():
-        hashes = WordKeys()
+        hashes = WordKeys(limit=WORDS)
 
         def work(batch):
             names = ("doc_id", "item_id", "n_matched", "n_overlap", "n_item", "doc_start", "item_start")
