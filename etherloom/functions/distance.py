@@ -70,7 +70,8 @@ def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     def length(x, y) -> int | None:
         if x is None or y is None:
             return None
-        _, code = np.unique(np.array([*x, *y], dtype=object).astype(str), return_inverse=True)
+        names: dict = {}  # a null equals nulls only
+        code = np.array([names.setdefault(v, len(names)) for v in (*x, *y)], dtype=np.int64)
         first, second = code[: len(x)], code[len(x) :]
         above = np.zeros(len(second) + 1, dtype=np.int64)
         for c in first:

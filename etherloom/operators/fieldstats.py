@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .observe import NULL
+from .ordering import numbered
 
 
 def _by(*keys: str):
@@ -99,16 +100,21 @@ def stability(joint: DataFrame, devices: DataFrame) -> DataFrame:
 
 
 def value_labels(joint: DataFrame, label: Column | None = None, most: int = 1000) -> DataFrame:
-    """``field, value, labels, n_labels``: sorted labels joined by ', ', the first ``most`` of them, and the number of all.
+    """``field, value, part, labels, n_labels``: all labels in order, joined by ', ', ``most`` to a row; parts count from 0.
 
-    Null labels are left out. A missing field is a value that most devices have, hence the bound of a row.
+    Null labels are left out; a value without another has a row of none. A missing field is a value that most devices
+    have, so its labels are numbered in many tasks and no row holds more than ``most``.
     """
     label = F.col("device") if label is None else label
     each = joint.select("field", "value", label.alias("label")).distinct()
-    n = each.groupBy("field", "value").agg(F.count("label").alias("n_labels"))
-    rank = F.row_number().over(_by("field", "value").orderBy(F.asc_nulls_last("label")))
-    first = each.withColumn("at", rank).where(F.col("at") <= most).groupBy("field", "value")
-    return first.agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("labels")).join(n, ["field", "value"])
+    ranked = numbered(each.where("label IS NOT NULL"), ["field", "value", "label"], "at")
+    n = ranked.groupBy("field", "value").agg(F.min("at").alias("first"), F.count("*").alias("n_labels"))
+    parts = ranked.join(n, ["field", "value"]).withColumn("part", F.floor((F.col("at") - F.col("first")) / most))
+    listed = F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("labels")
+    found = parts.groupBy("field", "value", "part").agg(listed, F.max("n_labels").alias("n_labels"))
+    every = each.select("field", "value").distinct().join(found, ["field", "value"], "left")
+    none = lambda c, x: F.coalesce(c, F.lit(x)).alias(c)
+    return every.select("field", "value", none("part", 0), none("labels", ""), none("n_labels", 0))
 
 
 def short_label(label: Column) -> Column:

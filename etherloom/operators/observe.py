@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from etherloom.sources.storage import stash
+
+from .ordering import numbered
+
 NULL = "NULL"  #: the token that stands for a missing field; it is a value like any other
 
 
@@ -80,9 +84,9 @@ def devices(captures: DataFrame) -> DataFrame:
 
 
 def mac_labels(captures: DataFrame, order: str) -> DataFrame:
-    """``mac, label``: the last label of each MAC by ``order``; null and empty ones do not count."""
+    """``mac, label``: the last label of each MAC by ``order``, of several in one place the greatest; null and empty ones do not count."""
     known = captures.where("MAC <> '' AND LABEL <> ''")
-    return known.groupBy(F.col("MAC").alias("mac")).agg(F.max_by("LABEL", order).alias("label"))
+    return known.groupBy(F.col("MAC").alias("mac")).agg(F.max_by("LABEL", F.struct(order, "LABEL")).alias("label"))
 
 
 def observations(requests: DataFrame, fields: Sequence[str], objects: bool = True) -> DataFrame:
@@ -133,19 +137,25 @@ def key_frames(requests: DataFrame) -> DataFrame:
     return each.groupBy("key").agg(F.sum("n_frames").cast("long").alias("n"))
 
 
-def key_paths(requests: DataFrame, depth: int = 8) -> DataFrame:
-    """``path``: the distinct dotted paths of keys inside DATA, lists passed through, ``depth`` levels at most."""
-    level = requests.select(F.lit("").alias("path"), F.col("data").alias("v"))
-    found = None
-    for _ in range(depth):
+def key_paths(requests: DataFrame) -> DataFrame:
+    """``path``: the distinct dotted paths of keys inside DATA, lists passed through, of any depth.
+
+    A round for each level, over what is left below it: objects and lists only, written once between rounds.
+    """
+    level, found = requests.select(F.lit("").alias("path"), F.col("data").alias("v")), None
+    while True:
         # through lists first: a list of objects has the keys of its members
         items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
         entries = F.try_variant_get("v", "$", "map<string,variant>")
         each = level.select("path", F.explode(items).alias("v")).select("path", F.explode(entries).alias("key", "v"))
-        level = each.select(F.concat_ws(".", F.nullif("path", F.lit("")), "key").alias("path"), "v")
-        paths = level.select("path").distinct()
-        found = paths if found is None else found.union(paths)
-    return found.distinct()
+        whole = F.schema_of_variant("v").rlike("^(ARRAY|OBJECT)")
+        paths = each.select(F.concat_ws(".", F.nullif("path", F.lit("")), "key").alias("path"), F.when(whole, F.col("v")).alias("v"), whole.alias("goes"))
+        held = stash(paths.where("goes").unionByName(paths.select("path").distinct().select("path", F.lit(None).cast("variant").alias("v"), F.lit(False).alias("goes"))), "paths")
+        own = held.where("NOT goes").select("path")
+        found = own if found is None else found.union(own)
+        level = held.where("goes").select("path", "v")
+        if not level.take(1):
+            return found.distinct()
 
 
 def unique_addresses(requests: DataFrame, device: str = "device") -> DataFrame:
@@ -189,15 +199,15 @@ def table_label(label: Column) -> Column:
 def pseudonyms(frames: DataFrame, order: str = "ord", source: str = "src") -> DataFrame:
     """A made-up address for each frame: a prefix for each source by first appearance, a suffix that grows within it.
 
-    The prefix holds 16 bits and the suffix 24; larger numbers begin anew, a suffix of zero is one. Sources, few
-    against frames, are numbered in one window, frames within their source.
+    The prefix holds 16 bits and the suffix 24; larger numbers begin anew, a suffix of zero is one. Sources and frames
+    are numbered in many tasks, so neither many sources nor a source with most frames is one task's work.
     """
-    from pyspark.sql import Window
-
     first = frames.groupBy(source).agg(F.min(order).alias("first"))
-    device = first.select(source, F.row_number().over(Window.orderBy("first", source)).alias("device"))
-    at = F.row_number().over(Window.partitionBy(source).orderBy(order)).bitwiseAND(F.lit(0xFFFFFF))
+    device = numbered(first, ["first", source], "device").select(source, (F.col("device") + 1).alias("device"))
+    ranked = numbered(frames, [source, order], "__at")
+    begins = ranked.groupBy(source).agg(F.min("__at").alias("__begins"))
+    at = (F.col("__at") - F.col("__begins") + 1).bitwiseAND(F.lit(0xFFFFFF))
     hexed = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
     pairs = lambda c, n: F.concat_ws(":", *[F.substring(hexed(c, n), 1 + i, 2) for i in range(0, n, 2)])
     made = F.concat_ws(":", F.lit("02"), pairs(F.col("device").bitwiseAND(F.lit(0xFFFF)), 4), pairs(F.greatest(at, F.lit(1)), 6))
-    return frames.join(device, source).withColumn("mac", made)
+    return ranked.join(device, source).join(begins, source).withColumn("mac", made).drop("__at", "__begins")

@@ -59,10 +59,23 @@ def customer_clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     return c.select(mac, cluster.alias("cluster")), c.select(mac, F.col("c_nationkey").alias("label"))
 
 
+#: three clusterings of the customers: by market segment, by balance, and by order with much noise
+SCENARIO_RULES = {
+    "segment": "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'MACHINERY' THEN 3 ELSE -1 END",
+    "balance": "CAST(floor(c_acctbal / 1500) AS INTEGER)",
+    "order": "CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE CAST(c_custkey % 17 AS INTEGER) END",
+}
+
+
+def scenario_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scenario, mac, cluster`` of the three clusterings."""
+    each = F.array(*[F.struct(F.lit(n).alias("scenario"), F.expr(rule).cast("int").alias("cluster")) for n, rule in SCENARIO_RULES.items()])
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mac"), F.inline(each))
+
+
 CK_SQL = """
 WITH m AS (
-  SELECT c_custkey AS mac, c_nationkey AS label, CAST(CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1
-         WHEN 'FURNITURE' THEN 2 WHEN 'MACHINERY' THEN 3 ELSE -1 END AS INTEGER) AS cluster FROM customer
+  SELECT c_custkey AS mac, c_nationkey AS label, CAST({rule} AS INTEGER) AS cluster FROM customer
 ), e AS (SELECT * FROM m WHERE label IS NOT NULL {noise}),
 ck AS (SELECT cluster, label, count(*) AS n FROM e GROUP BY ALL),
 k AS (SELECT cluster, sum(n) AS nk, max(n) AS mk, count(*) AS lk FROM ck GROUP BY ALL),
@@ -210,6 +223,15 @@ def supplier_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.profiles(s.select("mac", F.inline(each)), ordered=["TAGS"]).unionByName(matrix.frame_profiles(frames, "FRAMES"))
 
 
+#: suppliers' fields under names that the registry knows
+REGISTRY_NAMES = {"HEX": "HT_CAP", "TAGS": "TAG_LIST"}
+
+
+def registry_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prof = supplier_profiles(spark, sf_dir).where(F.col("field").isin(list(REGISTRY_NAMES)))
+    return prof.replace(REGISTRY_NAMES, subset=["field"])
+
+
 SUPPLIER_SQL = """
 WITH s AS (SELECT s_suppkey AS mac, CAST(floor(abs(s_acctbal)) AS BIGINT) AS a FROM supplier),
 v AS (

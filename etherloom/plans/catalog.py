@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from etherloom.operators import density as N
 from etherloom.operators import fieldstats as S
 from etherloom.operators import fingerprint as P
 from etherloom.operators import matrix as M
 from etherloom.operators import observe as O
+from etherloom.operators import steep
 from etherloom.operators import validate as V
 
 from etherloom.sources import reports
+from etherloom.sources.storage import stash
 
 from . import adapters as A
 from . import files
@@ -69,7 +72,10 @@ _field("representative_value", S.representative_value,
 _ST = "SELECT field, device, max(n)::DOUBLE / sum(n) AS stability FROM joint GROUP BY ALL"
 _with_devices("stability_device", S.stability_by_device, f"SELECT field, device, round(stability, 6) AS stability FROM ({_ST})")
 _with_devices("stability_global", S.stability, f"SELECT field, round(avg(stability), 6) AS stability FROM ({_ST}) GROUP BY field")
-_field("value_to_label", S.value_labels, "SELECT field, value, array_to_string(list_sort(list(DISTINCT device)), ', ') AS labels, count(DISTINCT device) AS n_labels FROM obs GROUP BY ALL")
+_LABELS = """SELECT field, value, part::BIGINT AS part, string_agg(l, ', ' ORDER BY l) AS labels, max(n) AS n_labels FROM (
+  SELECT field, value, l, (row_number() OVER (PARTITION BY field, value ORDER BY l) - 1) // 1000 AS part, count(*) OVER (PARTITION BY field, value) AS n
+  FROM (SELECT DISTINCT field, value, {0} AS l FROM {1})) WHERE l IS NOT NULL GROUP BY field, value, part"""
+_field("value_to_label", S.value_labels, _LABELS.format("device", "obs"))
 _field("topn_other", S.top_and_other,
        """SELECT field, v AS value, CAST(sum(n) AS BIGINT) AS n, round(CAST(sum(n) AS DOUBLE) / max(t), 6) AS share FROM (
        SELECT *, CASE WHEN row_number() OVER (PARTITION BY field ORDER BY n DESC, value) <= 15 THEN value ELSE 'OTHER' END AS v, sum(n) OVER (PARTITION BY field) AS t
@@ -112,13 +118,24 @@ _add("fp_sharing", lambda s, d: P.sharing(P.device_fingerprints(_prints(s, d))),
      A.SQL + "SELECT x AS set_size, count(*) AS n_fingerprints FROM (SELECT f, count(DISTINCT device) AS x FROM fp GROUP BY f) GROUP BY x")
 
 
+def _ck_sql(scenario: str, noise: str = "AND cluster <> -1") -> str:
+    return A.CK_SQL.format(rule=A.SCENARIO_RULES[scenario], noise=noise)
+
+
 def _clusters(name: str, f: Callable, sql: str) -> None:
     for noise, suffix, where in ((False, "", "AND cluster <> -1"), (True, "_with_noise", "")):
         def query(s, d, noise=noise):
             clusters, labels = A.customer_clusters(s, d)
             return f(V.contingency(clusters, labels, noise), clusters, labels)
 
-        _add(name + suffix, query, A.CK_SQL.format(noise=where) + sql)
+        _add(name + suffix, query, _ck_sql("segment", where) + sql)
+
+    def scenarios(s, d):
+        clusters, labels = A.scenario_clusters(s, d), A.customer_clusters(s, d)[1]
+        return f(V.contingency(clusters, labels), clusters, labels)
+
+    of_each = [f"SELECT '{n}' AS scenario, * FROM ({_ck_sql(n)}{sql})" for n in A.SCENARIO_RULES]
+    _add(name + "_by_scenario", scenarios, " UNION ALL ".join(of_each))
 
 
 _MAJOR = "(SELECT arg_min(label, (-n, label)) FROM ck x WHERE x.cluster = k.cluster)::BIGINT"
@@ -231,11 +248,14 @@ def _suppliers(both: bool) -> Callable:
 
 
 def _checked(s, d) -> DataFrame:
-    """The composed matrix of the fields with one weight against the one computed with the weights at once."""
+    """The composed matrix of the fields with one weight against those computed at once, with the same weights and others, and without an address."""
     prof = A.supplier_profiles(s, d)
     specs = {f: x for f, x in A.SUPPLIER_SPECS.items() if x.kind not in M.SEVERAL}
     weights = s.sql("SELECT 'own' AS scenario, map('HEX', 2.0D, 'TAGS', 0.5D) AS weights")
-    return M.compare(M.compose(M.unit_distances(prof, specs), weights), M.mac_distances(prof, specs))
+    composed, own = M.compose(M.unit_distances(prof, specs), weights), M.mac_distances(prof, specs)
+    other = M.mac_distances(prof, {f: M.Spec(x.kind, (1.0,) if f == "HEX" else x.weights, x.penalty) for f, x in specs.items()})
+    named = lambda n, df: df.select(F.lit(n).alias("weights"), "*")
+    return named("own", M.compare(composed, own)).unionByName(named("other", M.compare(composed, other))).unionByName(named("without 1", M.compare(composed, own.where("i <> 1"))))
 
 
 _FIVE = "SELECT field, i, j, round(unit::DOUBLE, 6) AS unit FROM (SELECT i, j, unnest(['HEX', 'TAGS', 'EXT', 'VENDOR', 'FRAMES']) AS field, unnest([hex, tags, ext, vendor, frames]::DOUBLE[]) AS unit FROM p)"
@@ -243,13 +263,68 @@ _add("kind_distances", _suppliers(False), A.SUPPLIER_SQL + _FIVE + " WHERE i <=
 _add("kind_distances_both_orders", _suppliers(True), A.SUPPLIER_SQL + _FIVE)
 _add("mac_distances", lambda s, d: M.mac_distances(A.supplier_profiles(s, d), A.SUPPLIER_SPECS, both=True),
      A.SUPPLIER_SQL + "SELECT i, j, round(greatest(2.0 * hex + 0.5 * tags + ext + vendor + frames, 0)::DOUBLE, 6) AS distance FROM p")
-_add("verify_composed", _checked, "SELECT (count(*) * (count(*) + 1) // 2)::BIGINT AS n_pairs, 0::BIGINT AS n_only_one, 0.0::DOUBLE AS max_abs, 0.0::DOUBLE AS mean_abs, true AS close FROM supplier")
-_add("field_registry", lambda s, d: s.createDataFrame(
-        [(f, x.kind, x.effective_weight(), x.effective_penalty(), x.effective_penalty(False)) for f, x in M.registry({"HT_CAP": 0.25, "EXT_TAG_weight2": 0.0, "VENDOR_SPEC_weight1": 4.0}).items()],
-        "field string, kind string, weight double, penalty double, plain_penalty double"),
-     """SELECT field, kind, w AS weight, w AS penalty, 1.0::DOUBLE AS plain_penalty FROM (SELECT unnest(['HT_CAP', 'HT_CAP_INFO', 'HT_AMPDU_PARMS', 'HT_MCS_SET', 'HT_EXT_CAP', 'HT_Tx', 'HT_ANTENNA', 'VHT_CAP', 'EXT_CAP',
-       'TAG_LIST', 'DATA_RTS.SUPP', 'DATA_RTS.EXT', 'EXT_TAG', 'VENDOR_SPEC', 'RSSI_TIME']) AS field, unnest(['hex_bit', 'hex_bit', 'hex_bit', 'hex_bit', 'hex_bit', 'hex_bit', 'hex_bit', 'hex_bit', 'hex_bit',
-       'ie_list', 'data_rates', 'data_rates', 'ext_tag', 'vendor_spec', 'rssi_time']) AS kind, unnest([0.25, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 1]::DOUBLE[]) AS w)""")
+_add("verify_composed", _checked, A.SUPPLIER_SQL + """, m AS (SELECT greatest(2.0 * hex + 0.5 * tags, 0)::DOUBLE AS x, greatest(hex + 0.5 * tags, 0)::DOUBLE AS y, i, j FROM p WHERE i <= j)
+SELECT 'own' AS weights, count(*) AS n_pairs, 0::BIGINT AS n_only_one, 0.0::DOUBLE AS max_abs, 0.0::DOUBLE AS mean_abs, true AS close FROM m
+UNION ALL SELECT 'other', count(*), 0, round(max(abs(x - y)), 6), round(avg(abs(x - y)), 6), count(*) FILTER (abs(x - y) > 1e-9 + 1e-9 * abs(y)) = 0 FROM m
+UNION ALL SELECT 'without 1', count(*), count(*) FILTER (i = 1), 0.0, 0.0, false FROM m""")
+# the registry's specs and weights from files, over suppliers whose fields bear names that the registry knows
+_REGISTRY = {"both": {"HT_CAP": 0.25, "TAG_LIST": 2.0}, "tags": {"HT_CAP": 0.0}, "plain": {}}
+
+
+def _registry(s, d) -> DataFrame:
+    return M.compose(M.unit_distances(A.registry_profiles(s, d), {f: x for f, x in M.registry().items() if f in A.REGISTRY_NAMES.values()}), files.scenario_weights(s, _REGISTRY))
+
+
+_add("registry_distances", _registry, A.SUPPLIER_SQL + """, q AS (SELECT i, j, CASE WHEN hex = 0.5 AND (l_missing OR r_missing OR l_bad OR r_bad) THEN 1.0 ELSE hex END AS hex, tags, frames FROM (
+  SELECT p.*, l.hex IS NULL AS l_missing, r.hex IS NULL AS r_missing, l.bad AS l_bad, r.bad AS r_bad FROM p JOIN v l ON l.mac = p.i JOIN v r ON r.mac = p.j WHERE p.i <= p.j))
+SELECT scenario, i, j, round(w1 * hex + w2 * tags, 6)::DOUBLE AS distance FROM q, (VALUES ('both', 0.25::DOUBLE, 2.0::DOUBLE), ('tags', 0.0, 1.0), ('plain', 1.0, 1.0)) AS t (scenario, w1, w2)""")
+
+
+def _six(matrix: DataFrame) -> DataFrame:
+    """Distances to six places, so that equal ones are equal in every engine."""
+    return matrix.withColumn("distance", F.round("distance", 6))
+
+
+def _named_suppliers(s, d) -> DataFrame:
+    """The suppliers' matrix beside those of the nations."""
+    one = M.mac_distances(A.supplier_profiles(s, d), {f: x for f, x in A.SUPPLIER_SPECS.items() if x.kind not in M.SEVERAL})
+    return _six(one.select(F.lit("suppliers").alias("scenario"), "i", "j", "distance").unionByName(_composed(s, d)))
+
+
+def _walked(s, d) -> DataFrame:
+    matrix = stash(_named_suppliers(s, d), "matrix")
+    core = stash(N.core_distances(matrix), "cores")
+    tree = stash(N.spanning_tree(N.reach_edges(matrix, core)), "tree")
+    return tree, N.visiting_order(tree, core), core
+
+
+_MATRIX = (A.UNIT_SQL.rstrip() + ",\n" + A.SUPPLIER_SQL.strip().removeprefix("WITH ") + """, x AS (
+  SELECT scenario, i, j, round(distance, 6)::DOUBLE AS d FROM d UNION ALL SELECT 'suppliers', i, j, round(greatest(2.0 * hex + 0.5 * tags, 0)::DOUBLE, 6) FROM p WHERE i <= j
+), f AS (SELECT * FROM x UNION ALL SELECT scenario, j, i, d FROM x WHERE i <> j),
+co AS (SELECT scenario, i AS mac, d AS core FROM (SELECT *, row_number() OVER (PARTITION BY scenario, i ORDER BY d) AS r FROM f) WHERE r = 2),
+e AS (SELECT f.scenario, f.i, f.j, greatest(d, a.core, b.core) AS w FROM f JOIN co a ON a.scenario = f.scenario AND a.mac = i JOIN co b ON b.scenario = f.scenario AND b.mac = j WHERE i <> j),
+walk AS (
+  SELECT scenario, 0::BIGINT AS pos, min(mac) AS mac, NULL::DOUBLE AS reachability, NULL::BIGINT AS predecessor, [min(mac)] AS seen FROM co GROUP BY scenario
+  UNION ALL
+  SELECT scenario, pos + 1, y.j, y.w, y.i, list_append(seen, y.j) FROM (
+    SELECT walk.scenario, pos, seen, arg_min({'w': w, 'i': e.i, 'j': e.j}, (w, least(e.i, e.j), greatest(e.i, e.j))) AS y
+    FROM walk JOIN e ON e.scenario = walk.scenario AND list_contains(seen, e.i) AND NOT list_contains(seen, e.j) GROUP BY walk.scenario, pos, seen))
+""").replace("WITH h AS", "WITH RECURSIVE h AS", 1)
+_add("core_distances", lambda s, d: N.core_distances(_named_suppliers(s, d)), _MATRIX + "SELECT scenario, mac, round(core, 6) AS core FROM co")
+_add("spanning_tree", lambda s, d: _walked(s, d)[0], _MATRIX + "SELECT scenario, least(mac, predecessor) AS i, greatest(mac, predecessor) AS j, round(reachability, 6) AS weight FROM walk WHERE pos > 0")
+_add("visiting_order", lambda s, d: _walked(s, d)[1], _MATRIX + "SELECT scenario, pos, mac, round(reachability, 6) AS reachability, predecessor FROM walk")
+# the rule of the steep areas is a walk of its own, which SQL has no short form for: tests/test_density.py has it
+_add("optics_clusters", lambda s, d: steep.optics(_named_suppliers(s, d)), None)
+
+
+def _optics_report(s, d) -> DataFrame:
+    """From distances to measures: the clusters of each scenario, tight ones too, against the nations and the suppliers' own nations."""
+    clusters = steep.optics(_named_suppliers(s, d), xi=0.02, min_cluster_size=5).select("scenario", "mac", "cluster").where("scenario = 'suppliers'")
+    labels = A.table(s, d, "supplier").select(F.col("s_suppkey").alias("mac"), F.col("s_nationkey").alias("label"))
+    return V.purity_summary(V.contingency(clusters, labels, noise=True))
+
+
+_add("optics_purity", _optics_report, None)
 
 
 def _report(s, d) -> DataFrame:
@@ -260,7 +335,7 @@ def _report(s, d) -> DataFrame:
     return reports.report_lines(sections)
 
 
-_add("scenario_report", _report, A.CK_SQL.format(noise="AND cluster <> -1") + """SELECT 'mixed' AS scenario, 'weights' AS section, '' AS at, 'weights: {"HEX":2.0,"RATES":0.5}' AS line
+_add("scenario_report", _report, _ck_sql("segment") + """SELECT 'mixed' AS scenario, 'weights' AS section, '' AS at, 'weights: {"HEX":2.0,"RATES":0.5}' AS line
 UNION ALL SELECT 'mixed', 'clusters', CAST(cluster AS VARCHAR), 'cluster: ' || cluster || ', n: ' || count(*) FROM m GROUP BY cluster
 UNION ALL SELECT 'mixed', 'validation', CAST(count(*) AS VARCHAR), 'n_clusters: ' || count(*) || ', weighted_purity: ' || round(sum(mk)::DOUBLE / sum(nk), 6) FROM k""")
 
@@ -311,13 +386,18 @@ _capture("capture_key_frames", lambda c: O.key_frames(_requests(c)),
          "SELECT key, sum(n_frames)::BIGINT AS n FROM (SELECT n_frames, unnest(CASE WHEN kind = 'view' THEN ['RTS', 'VENDOR', 'TXT', 'TAGS', 'FLAG'] ELSE ['EVENT', 'RTS', 'VENDOR', 'TXT', 'TAGS', 'FLAG'] END) AS key FROM req WHERE n_frames > 0) GROUP BY key")
 _capture("capture_key_paths", lambda c: O.key_paths(_requests(c)),
          "SELECT unnest(['EVENT', 'RTS', 'RTS.SUPP', 'VENDOR', 'VENDOR.a', 'VENDOR.z', 'TXT', 'TAGS', 'FLAG'] || CASE WHEN count(*) FILTER (b % 2 = 1) > 0 THEN ['RTS.EXT'] ELSE [] END) AS path FROM req")
+_add("path_list_files", files.path_list_files,
+     A.CAPTURE_SQL + "SELECT unnest(['EVENT', 'RTS', 'RTS.SUPP', 'VENDOR', 'VENDOR.a', 'VENDOR.z', 'TXT', 'TAGS', 'FLAG'] || CASE WHEN count(*) FILTER (b % 2 = 1) > 0 THEN ['RTS.EXT'] ELSE [] END) AS path FROM req")
+_add("capture_objects", lambda s, d: O.observations(A.capture_requests(s, d), ["VENDOR", "EVENT", "RTS.SUPP"], objects=False),
+     A.CAPTURE_SQL + """SELECT mac, device, cap, pr_ord, field, CASE field WHEN 'VENDOR' THEN '{"a":"' || b || '","z":"1"}' ELSE value END AS value, n_frames::BIGINT AS n_frames
+FROM obs JOIN (SELECT mac AS m, cap AS c, pr_ord AS o, b FROM req) ON m = mac AND c = cap AND o = pr_ord WHERE field IN ('VENDOR', 'EVENT', 'RTS.SUPP')""")
 _capture("capture_unique_addresses", lambda c: O.unique_addresses(_requests(c)),
          "SELECT device, count(DISTINCT lower(mac)) AS n_macs, count(*) AS n_requests, sum(n_frames)::BIGINT AS n_frames FROM req GROUP BY GROUPING SETS ((device), ())")
 _capture("capture_file_frames", lambda c: O.file_frames(c), "SELECT '/in/' || coalesce(label, 'other') || '/' || cap || '.json' AS file, sum(n_frames)::BIGINT AS n_frames FROM req GROUP BY ROLLUP (file)")
 _capture("capture_path_labels", lambda c: c.select("file", O.path_label(F.col("file")).alias("folder"), O.path_label(F.col("file"), "file").alias("stem"), O.folder_device(F.col("file")).alias("device"), O.table_label(F.col("LABEL")).alias("short")).distinct(),
          "SELECT DISTINCT '/in/' || coalesce(label, 'other') || '/' || cap || '.json' AS file, coalesce(label, 'other') AS folder, CAST(cap AS VARCHAR) AS stem, CASE WHEN label LIKE 'data%' THEN label END AS device, split_part(label, '_', 2) AS short FROM req")
 _capture_field("capture_value_to_label", lambda j: S.value_labels(j.where("field = 'FLAG'"), S.short_label(F.col("device"))),
-               "SELECT field, value, array_to_string(list_sort(list(DISTINCT l)), ', ') AS labels, count(DISTINCT l) AS n_labels FROM (SELECT *, nullif(substr(split_part(device, '_', 2), 4, 1), '') AS l FROM joint WHERE field = 'FLAG') GROUP BY field, value")
+               _LABELS.format("l", "(SELECT *, nullif(substr(split_part(device, '_', 2), 4, 1), '') AS l FROM joint WHERE field = 'FLAG') WHERE l IS NOT NULL"))
 _capture_field("capture_abbreviated", lambda j: j.select(S.abbreviated(F.concat("device", F.lit("/"), "value")).alias("value")).groupBy("value").agg(F.count("*").alias("n")),
                "SELECT CASE WHEN len(x) > 16 THEN left(x, 8) || '...' || right(x, 4) ELSE x END AS value, count(*) AS n FROM (SELECT device || '/' || value AS x FROM joint) GROUP BY 1")
 _add("pseudonyms", lambda s, d: O.pseudonyms(A.table(s, d, "events").select(F.col("event_id").alias("ord"), F.col("user_id").alias("src"))).select("ord", "src", "mac"),
@@ -328,11 +408,10 @@ _add("pseudonyms", lambda s, d: O.pseudonyms(A.table(s, d, "events").select(F.co
 
 _add("capture_files", files.capture_files, A.CAPTURE_SQL + """SELECT mac, mac AS device, row_number() OVER (PARTITION BY mac ORDER BY cap, kind, b) - 1 AS pr_ord, n_frames::BIGINT AS n_frames,
   CASE WHEN kind = 'view' THEN 'NULL' ELSE kind END AS event FROM req""")
-_add("scenario_files", files.scenario_files, "SELECT * FROM (VALUES ('both', 'HEX', 1.0::DOUBLE), ('bits', 'HEX', 1.0), ('bits', 'RATES', 0.0), ('mixed', 'HEX', 2.0), ('mixed', 'RATES', 0.5)) AS t (scenario, field, weight)")
 _add("value_label_files", files.value_label_files,
-     A.SQL + """SELECT value AS "Value", array_to_string(list_sort(list(DISTINCT device)), ', ') AS "Labels" FROM obs WHERE field = 'EVENT' GROUP BY value""")
+     A.SQL + f"""SELECT value AS "Value", labels AS "Labels" FROM ({_LABELS.format("device", "obs")}) WHERE field = 'EVENT'""")
 _add("listing_files", files.listing_files, A.SQL + "SELECT value || ': ' || CAST(sum(n) AS BIGINT) AS value FROM joint WHERE field = 'EVENT' GROUP BY joint.value")
 _MIS = "SELECT mac, label::BIGINT AS label, cluster::BIGINT AS cluster, expected::BIGINT AS expected, '{0}' AS scenario FROM e{1} JOIN w{1} USING (cluster) WHERE label <> expected"
 _WON = "SELECT cluster, label AS expected FROM (SELECT cluster, label, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, label) AS r FROM e{0} GROUP BY cluster, label) WHERE r = 1"
 _add("misassigned_files", files.misassigned_files,
-     A.CK_SQL.format(noise="") + f", e1 AS (SELECT * FROM e), e2 AS (SELECT * FROM e WHERE cluster <> -1), w1 AS ({_WON.format(1)}), w2 AS ({_WON.format(2)}) " + _MIS.format("all", 1) + " UNION ALL " + _MIS.format("quiet", 2))
+     _ck_sql("segment", "") + f", e1 AS (SELECT * FROM e), e2 AS (SELECT * FROM e WHERE cluster <> -1), w1 AS ({_WON.format(1)}), w2 AS ({_WON.format(2)}) " + _MIS.format("all", 1) + " UNION ALL " + _MIS.format("quiet", 2))

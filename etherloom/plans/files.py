@@ -24,11 +24,17 @@ def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("mac", "device", "pr_ord", "n_frames", observe.field_value("EVENT").alias("event"))
 
 
-def scenario_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scenario_weights(spark: SparkSession, weights: dict[str, dict[str, float]]) -> DataFrame:
+    """Scenarios as they come from files of weights."""
     path = new_path(spark, "scenarios")
-    named = adapters.scenarios(spark).withColumnRenamed("scenario", "name")
-    named.write.option("maxRecordsPerFile", 1).json(path)
-    return config.read_scenarios(spark, path).select("scenario", F.explode("weights").alias("field", "weight"))
+    spark.createDataFrame(list(weights.items()), "name string, weights map<string,double>").write.option("maxRecordsPerFile", 1).json(path)
+    return config.read_scenarios(spark, path)
+
+
+def path_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "paths")
+    reports.write_paths(observe.key_paths(adapters.capture_requests(spark, sf_dir)), path)
+    return spark.read.schema("path string").csv(path)
 
 
 def value_label_files(spark: SparkSession, sf_dir: str) -> DataFrame:

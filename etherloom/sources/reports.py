@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def write_value_labels(labels: DataFrame, path: str) -> None:
-    """``value, labels`` as a CSV with ``;`` between the columns and the header ``Value;Labels``."""
+    """``value, labels`` as a CSV with ``;`` between the columns and the header ``Value;Labels``; a value of several parts has several lines."""
     named = labels.select(F.col("value").alias("Value"), F.col("labels").alias("Labels"))
     named.write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
 

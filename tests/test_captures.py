@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from etherloom.functions import distance as D
-from etherloom.operators import fieldstats, matrix, observe, validate
+from etherloom.operators import fieldstats, matrix, observe, ordering, validate
 from etherloom.sources import config, reports
 from etherloom.sources.captures import SCHEMA, read_captures
 from etherloom.streaming.joint import windowed_joint_counts
@@ -143,7 +143,8 @@ def test_labels_in_short(spark):
     ).first()
     assert tuple(row) == ("A", None, "devA", "plain", "0123456789abcdef", "01234567...defg")
     many = spark.createDataFrame([("f", f"d{i}", "v", 1) for i in range(9)], "field string, device string, value string, n long")
-    assert tuple(fieldstats.value_labels(many, most=3).first()) == ("f", "v", "d0, d1, d2", 9)
+    assert sorted(map(tuple, fieldstats.value_labels(many, most=4).collect())) == [("f", "v", 0, "d0, d1, d2, d3", 9), ("f", "v", 1, "d4, d5, d6, d7", 9), ("f", "v", 2, "d8", 9)]
+    assert [tuple(r) for r in fieldstats.value_labels(many, F.lit(None).cast("string")).collect()] == [("f", "v", 0, "", 0)]
 
 
 def test_stream_of_joint_counts(spark, tmp_path):
@@ -169,3 +170,25 @@ def test_reports(spark, tmp_path):
     assert [x for p in sorted((tmp_path / "l").glob("part*")) for x in p.read_text().splitlines()] == ["2: s", "3: t"]
     reports.write_paths(observe.key_paths(requests_of(spark, {"b": [{"c": 1}], "a": {"d": {"e": 2}}})), str(tmp_path / "k"))
     assert [x for p in sorted((tmp_path / "k").glob("part*")) for x in p.read_text().splitlines()] == ["a", "a.d", "a.d.e", "b", "b.c"]
+
+
+def test_key_paths_of_twelve_levels(spark):
+    deep = value = {}
+    for k in range(11):
+        value[f"k{k}"] = [{"x": None}, {}] if k % 2 else {}
+        value = value[f"k{k}"][1] if k % 2 else value[f"k{k}"]
+    value["end"] = 1
+    found = {r["path"] for r in observe.key_paths(requests_of(spark, deep)).collect()}
+    names = [f"k{k}" for k in range(11)]
+    wanted = {".".join(names[: k + 1]) for k in range(11)} | {".".join(names[: k + 1]) + ".x" for k in range(1, 11, 2)} | {".".join(names) + ".end"}
+    assert found == wanted
+
+
+def test_last_label_of_one_place_and_numbers_in_many_tasks(spark):
+    rows = [("M", "b", 3), ("M", "c", 3), ("M", "a", 3), ("M", "z", 2)]
+    assert observe.mac_labels(spark.createDataFrame(rows, "MAC string, LABEL string, cap long"), "cap").first()["label"] == "c"
+    draw = __import__("random").Random(2)
+    values = draw.sample(range(10**6), 5000)
+    found = ordering.numbered(spark.createDataFrame([(v, "x") for v in values], "v long, n string").repartition(7), ["v"], "at").collect()
+    assert {r["v"]: r["at"] for r in found} == {v: k for k, v in enumerate(sorted(values))}
+    assert ordering.numbered(spark.createDataFrame([], "v long"), ["v"], "at").collect() == []
