@@ -223,6 +223,20 @@ def supplier_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.profiles(s.select("mac", F.inline(each)), ordered=["TAGS"]).unionByName(matrix.frame_profiles(frames, "FRAMES"))
 
 
+CUSTOMER_SPECS = {"HEX": matrix.Spec("hex_bit", (2.0,), 0.75), "RATES": matrix.Spec("data_rates", (0.5,))}
+
+
+def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as addresses: a balance as hexadecimal digits and a set of two values; some lack one of them."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mac"), F.floor(F.abs("c_acctbal")).cast("long").alias("a"), F.col("c_nationkey").alias("n"))
+    m, one = F.col("mac"), lambda v: F.struct(v.alias("v"), F.lit(1).cast("long").alias("n"))
+    hexed = F.array(one(F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(F.col("a") % 65536)), 4, "0"))))
+    rates = F.array_sort(F.array(one((F.col("n") % 7).cast("string")), one((7 + m % 5).cast("string"))))
+    none = F.array().cast("array<struct<v:string,n:bigint>>")
+    fields = [("HEX", F.when(m % 11 != 0, hexed).otherwise(none)), ("RATES", F.when(m % 13 != 0, rates).otherwise(none))]
+    return c.select("mac", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("values")) for f, v in fields])))
+
+
 #: suppliers' fields under names that the registry knows
 REGISTRY_NAMES = {"HEX": "HT_CAP", "TAGS": "TAG_LIST"}
 

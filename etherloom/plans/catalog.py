@@ -11,6 +11,7 @@ from etherloom.operators import density as N
 from etherloom.operators import fieldstats as S
 from etherloom.operators import fingerprint as P
 from etherloom.operators import matrix as M
+from etherloom.operators import neighbours as K
 from etherloom.operators import observe as O
 from etherloom.operators import steep
 from etherloom.operators import validate as V
@@ -311,6 +312,12 @@ walk AS (
     FROM walk JOIN e ON e.scenario = walk.scenario AND list_contains(seen, e.i) AND NOT list_contains(seen, e.j) GROUP BY walk.scenario, pos, seen))
 """).replace("WITH h AS", "WITH RECURSIVE h AS", 1)
 _add("core_distances", lambda s, d: N.core_distances(_named_suppliers(s, d)), _MATRIX + "SELECT scenario, mac, round(core, 6) AS core FROM co")
+_add("nearest_cores", lambda s, d: K.core_distances(A.customer_profiles(s, d), A.CUSTOMER_SPECS).select("mac", "core"), """WITH v AS (
+  SELECT c_custkey AS mac, CASE WHEN c_custkey % 11 <> 0 THEN CAST(floor(abs(c_acctbal)) AS BIGINT) % 65536 END AS h, CASE WHEN c_custkey % 13 <> 0 THEN c_nationkey % 7 END AS x, c_custkey % 5 AS y FROM customer
+), d AS (
+  SELECT l.mac, CASE WHEN l.h IS NULL AND r.h IS NULL THEN 0.0 WHEN l.h IS NULL OR r.h IS NULL THEN 1.5 ELSE bit_count(xor(l.h, r.h)) / 8.0::DOUBLE END
+    + CASE WHEN l.x IS NULL AND r.x IS NULL THEN 0.0 WHEN l.x IS NULL OR r.x IS NULL THEN 0.5 ELSE (l.x <> r.x)::INT + (l.y <> r.y)::INT END AS d FROM v l, v r)
+SELECT mac, round(list_sort(list(d))[2]::DOUBLE, 6) AS core FROM d GROUP BY mac""")
 _add("spanning_tree", lambda s, d: _walked(s, d)[0], _MATRIX + "SELECT scenario, least(mac, predecessor) AS i, greatest(mac, predecessor) AS j, round(reachability, 6) AS weight FROM walk WHERE pos > 0")
 _add("visiting_order", lambda s, d: _walked(s, d)[1], _MATRIX + "SELECT scenario, pos, mac, round(reachability, 6) AS reachability, predecessor FROM walk")
 # the rule of the steep areas is a walk of its own, which SQL has no short form for: tests/test_density.py has it
