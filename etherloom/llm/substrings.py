@@ -8,8 +8,8 @@ that it stands for, and a sixth of the numbers is enough. First pass: each chunk
 in a count-min sketch and emits it as the cells it touched. The sketch is cut into slices by the minimizer's hash, of a
 fixed load each however large the corpus; a slice merges the chunks' sketches and answers each chunk with one bit for
 each of its cells: repeated or not. Counts never fall short, so no repeated window is lost. Neither the sketch nor the
-answers pass through the driver or through all tasks, and nothing changes with the size of the corpus but the number of
-slices and chunks.
+answers pass through the driver or through all tasks, and nothing changes with the size of the corpus but the number and
+the size of slices and chunks (``loads``).
 
 Second pass: windows estimated repeated, and only they, are grouped exactly, by 128 bits of hash (of the minimizer and
 of the window), to find where each begins first. Windows of one minimizer travel as one row, and of equal windows in a
@@ -32,8 +32,10 @@ from .common import arrow_schema, map_rows, powers
 
 WINDOW = 20
 ANCHOR = 12  #: words of a minimizer
-CHUNK = 4 << 20  #: bytes of text in a chunk, on average. Chunks and slices exchange a row each: at 100 TB take 64 MB and
-SLICE = 1 << 19  #: 2**24 minimizers in a slice, on average
+CHUNK = 4 << 20  #: bytes of text in a chunk, on average, up to GROWS bytes of text; both grow with the square root beyond
+SLICE = 1 << 19  #: minimizers in a slice, on average
+GROWS = 64 << 30
+MOST = 32  #: times CHUNK and SLICE at most: 128 MB, and 128 MB of cells; reached at 64 TB
 DEPTH, CELLS = 2, 8  #: rows of the sketch, cells of a row for each minimizer: one in 70 single ones is taken for repeated
 BLOCK = 1 << 20  #: bytes hashed at once
 SEGMENT = 1 << 17  #: windows hashed at once
@@ -164,11 +166,22 @@ class Chunk:
         self.words = Words([t or b"" for t in texts])
 
 
-def _cells(anchors: np.ndarray, row: int, slices: int) -> np.ndarray:
+def loads(size: int) -> tuple[int, int, int, int]:
+    """Bytes of a chunk, minimizers of a slice, and the numbers of both, for so many bytes of text.
+
+    Chunks and slices exchange a row each. Both sizes grow with the square root of the text, so the rows grow with the
+    text and not with its square, until a chunk or a slice is what a task can hold.
+    """
+    times = min(MOST, max(1, size / GROWS) ** 0.5)
+    chunk, load = int(CHUNK * times), int(SLICE * times)
+    return chunk, load, 1 + size // chunk, 1 + size // (30 * load)  # a minimizer for five words of six bytes
+
+
+def _cells(anchors: np.ndarray, row: int, slices: int, load: int) -> np.ndarray:
     """slice * (cells of a slice) + cell, of a row of the sketch."""
     part = (anchors >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
-    cell = ((anchors * np.uint64(_ROWS[row])) >> np.uint64(32)) * np.uint64(SLICE * CELLS) >> np.uint64(32)
-    return part * np.uint64(SLICE * CELLS) + cell
+    cell = ((anchors * np.uint64(_ROWS[row])) >> np.uint64(32)) * np.uint64(load * CELLS) >> np.uint64(32)
+    return part * np.uint64(load * CELLS) + cell
 
 
 def _packed(cell: np.ndarray, again: np.ndarray) -> bytes:
@@ -183,25 +196,22 @@ def _unpacked(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.uint32), np.unpackbits(data[4 * n :], count=n) > 0
 
 
-def chunk_sketch(chunk: int, anchors: np.ndarray, slices: int) -> dict[str, list]:
+def chunk_sketch(chunk: int, anchors: np.ndarray, slices: int, load: int | None = None) -> dict[str, list]:
     """The chunk's sketch: a row for each slice that it touches, with n0, n1 cells."""
-    rows = []
-    for row in range(DEPTH):
-        key, times = np.unique(_cells(anchors, row, slices), return_counts=True)
-        edges = np.searchsorted(key, np.arange(slices + 1, dtype=np.uint64) * np.uint64(SLICE * CELLS))
-        rows.append([(b - a, _packed(key[a:b] % np.uint64(SLICE * CELLS), times[a:b] > 1)) for a, b in zip(edges[:-1], edges[1:])])
-    used = [s for s in range(slices) if rows[0][s][0]]
-    out: dict[str, list] = {"slice": used, "chunk": [chunk] * len(used)}
+    size, out = np.uint64((load or SLICE) * CELLS), {}
     for row in range(DEPTH):
-        out |= {f"n{row}": [rows[row][s][0] for s in used], f"cells{row}": [rows[row][s][1] for s in used]}
-    return out
+        key, times = np.unique(_cells(anchors, row, slices, load or SLICE), return_counts=True)
+        used, begins = np.unique(key // size, return_index=True)  # the same slices in each row
+        edges = list(zip(begins, [*begins[1:], len(key)]))
+        out |= {f"n{row}": [b - a for a, b in edges], f"cells{row}": [_packed(key[a:b] % size, times[a:b] > 1) for a, b in edges]}
+    return {"slice": used.astype(np.int32), "chunk": [chunk] * len(used), **out}
 
 
-def merged_slice(pieces: pa.Table) -> dict[str, list]:
+def merged_slice(pieces: pa.Table, load: int | None = None) -> dict[str, list]:
     """The chunks' sketches of a slice added up; each chunk's answer is a bit for each of its cells."""
     out: dict[str, list] = {c: pieces[c].to_pylist() for c in ("chunk", "slice")}
     for row in range(DEPTH):
-        count = np.zeros(SLICE * CELLS, dtype=np.uint8)
+        count = np.zeros((load or SLICE) * CELLS, dtype=np.uint8)
         sizes, packed = pieces[f"n{row}"].to_pylist(), pieces[f"cells{row}"]
         for n, raw in zip(sizes, packed):
             cell, again = _unpacked(raw.as_py(), n)
@@ -210,33 +220,33 @@ def merged_slice(pieces: pa.Table) -> dict[str, list]:
     return out
 
 
-def repeated(anchors: np.ndarray, answers: pa.Table, slices: int) -> np.ndarray:
+def repeated(anchors: np.ndarray, answers: pa.Table, slices: int, load: int | None = None) -> np.ndarray:
     """Which of the chunk's minimizers are estimated to occur twice or more: every row of the sketch must say so."""
     answers = answers.sort_by("slice")
     yes = np.ones(len(anchors), dtype=bool)
     for row in range(DEPTH):
-        key, back = np.unique(_cells(anchors, row, slices), return_inverse=True)
-        sizes = np.bincount((key // np.uint64(SLICE * CELLS)).astype(np.int64))
-        bits = [np.unpackbits(np.frombuffer(raw.as_py(), dtype=np.uint8), count=n) for raw, n in zip(answers[f"bits{row}"], sizes[sizes > 0])]
+        key, back = np.unique(_cells(anchors, row, slices, load or SLICE), return_inverse=True)
+        sizes = np.unique(key // np.uint64((load or SLICE) * CELLS), return_counts=True)[1]
+        bits = [np.unpackbits(np.frombuffer(raw.as_py(), dtype=np.uint8), count=n) for raw, n in zip(answers[f"bits{row}"], sizes)]
         if bits:
             yes &= np.concatenate(bits)[back] > 0
     return yes
 
 
-def _estimated(chunk: Chunk, answers: pa.Table, slices: int, full: bool):
+def _estimated(chunk: Chunk, answers: pa.Table, slices: int, load: int, full: bool):
     """start, minimizer's word, hashes of the windows estimated repeated."""
     start, at, anchor, whole = chunk.words.windows(full)
     if not len(start):
         return start, at, anchor, whole
     new = np.r_[True, at[1:] != at[:-1]]
-    yes = repeated(anchor[new], answers, slices)[np.cumsum(new) - 1]
+    yes = repeated(anchor[new], answers, slices, load)[np.cumsum(new) - 1]
     return start[yes], at[yes], anchor[yes], whole[yes] if full else whole
 
 
-def candidates(k: int, rows: pa.Table, answers: pa.Table, slices: int) -> dict[str, list]:
+def candidates(k: int, rows: pa.Table, answers: pa.Table, slices: int, load: int) -> dict[str, list]:
     """Windows estimated repeated, of equal ones in the chunk the first; neighbours with one minimizer are one row."""
     chunk = Chunk(rows)
-    start, at, anchor, whole = _estimated(chunk, answers, slices, True)
+    start, at, anchor, whole = _estimated(chunk, answers, slices, load, True)
     order = np.argsort(whole, kind="stable")
     same = (np.diff(whole[order].view(np.int64)) == 0) & (np.diff(anchor[order].view(np.int64)) == 0)
     first = np.sort(order[np.r_[True, ~same]]) if len(order) else order
@@ -298,11 +308,11 @@ def first_windows(found: DataFrame) -> DataFrame:
     return map_rows(dealt, "chunk int, firsts binary", make, last=True)
 
 
-def kept_rows(rows: pa.Table, told: pa.Table, slices: int, digest: bool) -> dict[str, list]:
+def kept_rows(rows: pa.Table, told: pa.Table, slices: int, load: int, digest: bool) -> dict[str, list]:
     """The chunk's rows with what they keep; ``told`` has its answers and where windows begin first."""
     chunk = Chunk(rows)
     words = chunk.words
-    start = _estimated(chunk, told.filter(told["slice"].is_valid()), slices, False)[0]
+    start = _estimated(chunk, told.filter(told["slice"].is_valid()), slices, load, False)[0]
     edge = np.zeros(len(words.ends) + 1, dtype=np.int64)
     lost = np.zeros(len(words.ends), dtype=bool)
     lost[start] = True
@@ -340,8 +350,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", dig
     place = F.coalesce(F.col(key).cast("long"), F.lit(NULL))
     rows = docs.select(place.alias("doc"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = 1 + size // CHUNK
-    slices = 1 + size // (30 * SLICE)  # a minimizer for five words of six bytes
+    _, load, chunks, slices = loads(size)
     tag = F.xxhash64("text")
     dealt = rows.select("doc", tag.alias("tag"), "text", F.pmod(F.xxhash64("doc", "text"), F.lit(chunks)).cast("int").alias("chunk"))
 
@@ -350,16 +359,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", dig
     def sketch(key, rows):
         _, at, anchor, _ = Chunk(rows).words.windows(False)
         anchor = anchor[np.r_[True, at[1:] != at[:-1]]] if len(at) else anchor
-        return _table(chunk_sketch(key[0].as_py(), anchor, slices), of_pieces)
+        return _table(chunk_sketch(key[0].as_py(), anchor, slices, load), of_pieces)
 
     def merge(pieces):
-        return _table(merged_slice(pieces), of_answers)
+        return _table(merged_slice(pieces, load), of_answers)
 
     def second(key, rows, answers):
-        return _table(candidates(key[0].as_py(), rows, answers, slices), of_found)
+        return _table(candidates(key[0].as_py(), rows, answers, slices, load), of_found)
 
     def last(rows, told):
-        return _table(kept_rows(rows, told, slices, digest), of_kept)
+        return _table(kept_rows(rows, told, slices, load, digest), of_kept)
 
     pieces = dealt.groupBy("chunk").applyInArrow(sketch, PIECES)
     answers = pieces.groupBy("slice").applyInArrow(merge, ANSWERS)

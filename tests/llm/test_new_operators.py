@@ -9,7 +9,7 @@ import pytest
 pytest.importorskip("etherloom.llm")
 import numpy as np  # noqa: E402
 
-from etherloom.llm import audit, minhash, queries, whiten  # noqa: E402
+from etherloom.llm import audit, minhash, queries, substrings, whiten  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -211,3 +211,16 @@ def test_probabilities_beyond_64_bits():
     count, total = [5, 10**12 + 5, 123456789012, 7], [10**13, 10**12 + 5, 987654321098765, 8]
     found = audit.probability(np.array(count), np.array(total))
     assert found.tolist() == [1 + 10**9 * c // t for c, t in zip(count, total)]
+
+
+def test_op6_chunks_and_slices_grow_together():
+    sizes = [0, 10**8, 3 * 10**10, 10**12, 10**13, 6 * 10**13]
+    found = [substrings.loads(x) for x in sizes]
+    assert found[0] == (substrings.CHUNK, substrings.SLICE, 1, 1) and found[2][:2] == found[0][:2]
+    for (chunk, load, chunks, slices), size in zip(found[2:], sizes[2:]):
+        assert abs(chunk / load - substrings.CHUNK / substrings.SLICE) < 0.01  # together
+        assert chunks * slices < 1.2 * size / 900  # a row for some 1 kB of text, at any size
+        assert load / chunks > 10  # a chunk's sketch has more than a few cells in a slice
+    assert substrings.loads(10**14)[:2] == (substrings.MOST * substrings.CHUNK, substrings.MOST * substrings.SLICE)
+    empty = substrings.chunk_sketch(3, np.array([1 << 63], np.uint64), 1000, 64)
+    assert len(empty["slice"]) == 1 and len(empty["cells0"]) == 1  # slices that it does not touch have no piece
