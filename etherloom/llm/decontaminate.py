@@ -4,6 +4,10 @@ A fixed mask picks some positions of a run of tokens and ignores the others, so
 the ignored ones. Test and training hashes of every mask are joined; the overlap around each hit is then verified
 token by token on its diagonal, substitutions allowed.
 
+A phrase that many items share, such as the frame of a question, is no overlap by itself if it is short. So a seed of
+more than FEW items is not joined as it is, but with the tokens at both ends of each span of LEAST and up to REACH more
+tokens around it: items and documents that share nothing but the phrase never meet, whatever their numbers.
+
 Training positions pass a Bloom filter of the test hashes first, so only documents that may overlap go on, with their
 text, to the join and the verification. The filter grows with the benchmark, up to MOST_BITS; a benchmark beyond that
 makes it let more documents through, and the result is the same.
@@ -26,6 +30,10 @@ MISMATCH = 3  #: matches that pay for one substitution: at least 3 in 4 tokens o
 FILTER = 64  #: bits of the filter for each seed of the benchmark: one position in 2 million passes by chance
 MOST_BITS = 30  #: its size at most, as a power of two: 128 MB, for 16 million seeds (4 million tokens of benchmark)
 WORDS = 1 << 17  #: token hashes that a task remembers
+FEW = 8  #: items that a seed is joined with as it is
+REACH = 3  #: an overlap contains one of LEAST to LEAST + REACH tokens from a match to a match around a seed, or others of its seeds do
+SIDE = 7  #: tokens kept on each side of a seed
+ITEMS = 64  #: items whose texts a row holds
 TOGETHER = 1 << 16  #: tokens looked up at once, or one document
 _TOKENS = re.compile(r"\w+").findall
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -77,8 +85,23 @@ def _slot(seeds: np.ndarray, k: int, bits: int) -> np.ndarray:
     return seeds * np.uint64(_MIX[k]) >> np.uint64(64 - bits)
 
 
+def _around(keys: np.ndarray, at: np.ndarray, size: int, low, high) -> np.ndarray:
+    """Of each position: 32 bits of the SIDE tokens before it and of those behind its ``size`` tokens; 0 beyond low or high."""
+    out = np.zeros((len(at), 2 * SIDE), dtype=np.int32)
+    if len(keys):
+        for k in range(1, SIDE + 1):
+            for column, place in ((k - 1, at - k), (SIDE + k - 1, at + size - 1 + k)):
+                inside = (place >= low) & (place < high)
+                token = (keys[np.clip(place, 0, len(keys) - 1)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                out[:, column] = np.where(inside, np.where(token == 0, 1, token), 0)
+    return out
+
+
 def seed_table(texts: DataFrame, key: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """``key, seed, pos``: every position of every mask; a mask of a short length only of items of that length."""
+    """``key, seed, pos, size, short, around``: every position of every mask; a mask of a short length only of items of that length.
+
+    ``size`` is the mask's length, ``short`` says that the item has fewer than LEAST tokens.
+    """
     kind = dict(texts.dtypes)[key]
 
     def make():
@@ -91,11 +114,15 @@ def seed_table(texts: DataFrame, key: str, masks: tuple[str, ...] = MASKS) -> Da
                     if mask not in MASKS and len(mask) != len(a):
                         continue
                     s = spaced(a, mask)
-                    yield {key: [k] * len(s), "seed": s.view(np.int64), "pos": np.arange(len(s), dtype=np.int32)}
+                    at = np.arange(len(s))
+                    yield {
+                        key: [k] * len(s), "seed": s.view(np.int64), "pos": at.astype(np.int32), "size": np.full(len(s), len(mask), np.int32),
+                        "short": np.full(len(s), len(a) < LEAST), "around": list(_around(a, at, len(mask), 0, len(a))),
+                    }
 
         return work
 
-    return map_rows(texts.select(key, "text"), f"`{key}` {kind}, seed bigint, pos int", make)
+    return map_rows(texts.select(key, "text"), f"`{key}` {kind}, seed bigint, pos int, size int, short boolean, around array<int>", make)
 
 
 def _bloom(seeds: DataFrame) -> np.ndarray:
@@ -120,7 +147,7 @@ def _bloom(seeds: DataFrame) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, bloom: np.ndarray, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """``doc_id, text, seeds, places`` of the documents of which some position passes the filter."""
+    """``doc, doc_id, text, seeds, places, sizes, around`` of the documents (``doc, doc_id, text``) of which some position passes the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom)  # 2**MOST_BITS bits at most
     bits = 5 + len(bloom).bit_length()
 
@@ -135,7 +162,7 @@ def candidates(docs: DataFrame, bloom: np.ndarray, masks: tuple[str, ...] = MASK
             return at
 
         def work(batch):
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            ids, texts = list(zip(batch["doc"].to_pylist(), batch["doc_id"].to_pylist())), batch["text"].to_pylist()
             held: list[np.ndarray] = []  # token hashes of consecutive documents, looked up together
             first = 0
             for k, t in enumerate(texts):
@@ -147,7 +174,7 @@ def candidates(docs: DataFrame, bloom: np.ndarray, masks: tuple[str, ...] = MASK
         def looked_up(ids, texts, held):
             ends = np.cumsum([len(a) for a in held])
             every = np.concatenate(held)
-            found: dict[int, tuple[list, list]] = {}
+            found: dict[int, tuple[list, list, list, list]] = {}
             for mask in masks:
                 s = spaced(every, mask)
                 at = passed(s)
@@ -155,19 +182,21 @@ def candidates(docs: DataFrame, bloom: np.ndarray, masks: tuple[str, ...] = MASK
                 inside = at + len(mask) <= ends[doc] if len(at) else doc > 0  # not across the end of a document
                 at, doc = at[inside], doc[inside]
                 starts = ends[doc] - [len(held[d]) for d in doc.tolist()] if len(doc) else doc
-                for d, seed, place in zip(doc.tolist(), s[at].view(np.int64).tolist(), (at - starts).tolist()):
-                    seeds, places = found.setdefault(d, ([], []))
+                sides = _around(every, at, len(mask), starts, ends[doc] if len(doc) else doc)
+                for d, seed, place, side in zip(doc.tolist(), s[at].view(np.int64).tolist(), (at - starts).tolist(), sides.tolist()):
+                    seeds, places, sizes, around = found.setdefault(d, ([], [], [], []))
                     seeds.append(seed)
                     places.append(place)
+                    sizes.append(len(mask))
+                    around.extend(side)
             own = sorted(found)
-            return {
-                "doc_id": [ids[d] for d in own], "text": [texts[d] for d in own], "seeds": [found[d][0] for d in own],
-                "places": [found[d][1] for d in own],
-            }
+            lists = {n: [found[d][k] for d in own] for k, n in enumerate(("seeds", "places", "sizes", "around"))}
+            return {"doc": [ids[d][0] for d in own], "doc_id": [ids[d][1] for d in own], "text": [texts[d] for d in own], **lists}
 
         return work
 
-    return map_rows(docs.select("doc_id", "text"), "doc_id bigint, text string, seeds array<bigint>, places array<int>", make)
+    schema = "doc bigint, doc_id bigint, text string, seeds array<bigint>, places array<int>, sizes array<int>, around array<int>"
+    return map_rows(docs.select("doc", "doc_id", "text"), schema, make)
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
@@ -199,6 +228,40 @@ def _counted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return spread_join(left, null_safe(right, n, key, how="inner"), key, "n", n.agg(F.sum("n")).first()[0] or 0)
 
 
+def _spans(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each span of LEAST to LEAST + REACH tokens around the seed, with the hash of seed, span and its end tokens as ``key``."""
+
+    def keys(size: int):
+        found = []
+        for left in range(LEAST + REACH - size + 1):
+            for right in range(max(0, LEAST - size - left), LEAST + REACH - size - left + 1):
+                a, b = F.col("around")[left - 1] if left else F.lit(1), F.col("around")[SIDE + right - 1] if right else F.lit(1)
+                found.append(F.when((a != 0) & (b != 0), F.xxhash64("seed", F.lit(left), a, F.lit(right), b)))
+        return F.array(*found)
+
+    every = F.lit(None).cast("array<bigint>")
+    for size in sorted({len(m) for m in MASKS}):
+        every = F.when(F.col("size") == size, keys(size)).otherwise(every)
+    return rows.withColumn("key", F.explode(F.array_compact(every))).drop("seed", "size", "around")
+
+
+def candidate_pairs(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``doc, item, diagonals``: where a document may overlap an item, from ``candidates`` and the items' ``seed_table``."""
+    each = found.select("doc", F.posexplode(F.arrays_zip("seeds", "places", "sizes")).alias("k", "x"), "around")
+    around = F.slice("around", F.col("k") * (2 * SIDE) + 1, 2 * SIDE).alias("around")
+    each = stash(each.select("doc", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"), F.col("x.sizes").alias("size"), around), "places")
+    long = seeds.where("NOT short")
+    many = stash(long.groupBy("seed").agg(F.count("*").alias("items")).where(F.col("items") > FEW).select("seed"), "many")
+    few = long.join(many, "seed", "left_anti").unionByName(seeds.where("short"))
+    there = each.groupBy("seed").agg(F.count("*").alias("n")).join(many, "seed")
+    hot = _spans(spread_join(each, there, "seed", "n"))
+    spans = _spans(long.join(many, "seed")).select("key", "item", "pos")
+    met = [_counted(each.select("doc", "seed", "place"), few.select("seed", "item", "pos"), "seed"), _counted(hot.select("doc", "key", "place"), spans, "key")]
+    rows = [x.select("doc", "item", (F.col("place") - F.col("pos")).alias("diagonal")) for x in met]
+    pairs = rows[0].unionByName(rows[1]).distinct().groupBy("doc", "item")
+    return pairs.agg(F.collect_list("diagonal").alias("diagonals"))  # as many as the two are long at most
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps, the best of each pair: ``doc_id, item_id, n_matched, n_overlap, n_item, doc_start, item_start``.
 
@@ -210,15 +273,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.where(F.col("text").isNotNull()).select(name, "item_id", "text").dropDuplicates(["item"])
     masks = masks_for(_short_lengths(items))
     seeds = stash(seed_table(items, "item", masks), "seeds")
-    found = stash(candidates(docs, _bloom(seeds), masks), "candidates")
-    each = found.select("doc_id", F.explode(F.arrays_zip("seeds", "places")).alias("x"))
-    each = each.select("doc_id", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
-    hits = _counted(each, seeds, "seed")
-    diagonal = (F.col("place") - F.col("pos")).alias("diagonal")
-    pairs = hits.select("doc_id", "item", diagonal).distinct().groupBy("doc_id", "item")
-    pairs = stash(pairs.agg(F.collect_list("diagonal").alias("diagonals")), "pairs")  # as many as the two are long at most
-    # an item's text goes once to each document that it may be in
-    wanted = _counted(pairs, items, "item").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonals", "text")).alias("hits"))
+    named = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = stash(candidates(named, _bloom(seeds), masks), "candidates")
+    texts = found.select("doc", "doc_id", "text").dropDuplicates(["doc"])
+    pairs = stash(candidate_pairs(found, seeds), "pairs")
+    # the texts of at most about ITEMS items go together to a document that they may be in
+    rows = F.pmod(F.xxhash64("item"), F.ceil(F.col("items") / ITEMS)).alias("row")
+    of_doc = pairs.groupBy("doc").agg(F.count("*").alias("items"))
+    wanted = _counted(pairs.join(of_doc, "doc").select("doc", "item", "diagonals", rows), items, "item")
+    wanted = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("item_id", "diagonals", "text")).alias("hits"))
 
     def make():
         hashes = WordKeys(limit=WORDS)
@@ -243,9 +306,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return work
 
     schema = "doc_id bigint, item_id bigint, n_matched bigint, n_overlap bigint, n_item bigint, doc_start bigint, item_start bigint"
-    pairs = map_rows(null_safe(found.select("doc_id", "text"), wanted, "doc_id", how="inner"), schema, make)
+    verified = map_rows(texts.join(wanted, "doc").select("doc_id", "text", "hits"), schema, make)
     columns = F.struct("n_matched", "n_overlap", "n_item", "doc_start", "item_start")
-    return pairs.groupBy("doc_id", "item_id").agg(F.max(columns).alias("x")).select("doc_id", "item_id", "x.*")
+    return verified.groupBy("doc_id", "item_id").agg(F.max(columns).alias("x")).select("doc_id", "item_id", "x.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

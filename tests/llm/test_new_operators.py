@@ -9,7 +9,7 @@ import pytest
 pytest.importorskip("etherloom.llm")
 import numpy as np  # noqa: E402
 
-from etherloom.llm import audit, minhash, queries, substrings, whiten  # noqa: E402
+from etherloom.llm import audit, decontaminate, minhash, queries, substrings, whiten  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -224,3 +224,31 @@ def test_op6_chunks_and_slices_grow_together():
     assert substrings.loads(10**14)[:2] == (substrings.MOST * substrings.CHUNK, substrings.MOST * substrings.SLICE)
     empty = substrings.chunk_sketch(3, np.array([1 << 63], np.uint64), 1000, 64)
     assert len(empty["slice"]) == 1 and len(empty["cells0"]) == 1  # slices that it does not touch have no piece
+
+
+def test_op2_phrases_of_many_items(spark, monkeypatch):
+    draw = random.Random(2)
+    fresh = lambda n: ["".join(draw.choices("abcdefghijklmnop", k=7)) for _ in range(n)]
+    frame = fresh(11)  # below LEAST: no overlap by itself
+    items = [fresh(30) + frame + fresh(30) for _ in range(300)]
+    docs = [fresh(40) + frame + fresh(40) for _ in range(300)]
+    real = {}
+    for k in range(40):  # the frame and what stands beside it, with substitutions
+        n = draw.randrange(300)
+        part = list(items[n][30 - k % 3 : 44])
+        for at in draw.sample(range(1, len(part) - 1), 3 if len(part) > 14 else 2):
+            part[at] = fresh(1)[0]
+        real[len(docs)] = n
+        docs.append(fresh(20) + part + fresh(20))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string")
+    d = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(docs)], "doc_id long, text string")
+    seen = []
+    pairs = decontaminate.candidate_pairs
+    monkeypatch.setattr(decontaminate, "candidate_pairs", lambda *a: seen.append(pairs(*a)) or seen[0])
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, bench).collect()}
+    assert seen[0].count() <= 600
+    assert not any(i < 300 for i, _ in found)
+    assert len({x for x in real.items() if x in found}) >= 0.9 * len(real) and all(real[i] == n for i, n in found)
+    # with every seed joined as it is, the same is found
+    monkeypatch.setattr(decontaminate, "FEW", 10**9)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, bench).collect()} >= found
