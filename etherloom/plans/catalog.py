@@ -384,11 +384,12 @@ _capture("capture_devices", O.devices, "SELECT DISTINCT device FROM req")
 _add("capture_device_distribution", lambda s, d: O.device_joint(A.capture_joint(s, d), O.devices(A.captures(s, d))),
      A.CAPTURE_SQL + "SELECT device, field, value, n FROM joint WHERE n > 0 UNION ALL SELECT DISTINCT device, NULL, NULL, 0 FROM req WHERE device NOT IN (SELECT device FROM joint WHERE n > 0)")
 _capture("capture_last_labels", lambda c: O.mac_labels(c, "cap"), "SELECT mac, arg_max(label, cap) AS label FROM req WHERE label <> '' GROUP BY mac")
-_capture("capture_merged", lambda c: _lists(O.merge_requests(_requests(c)).drop("data"), "time", "rssi"),
-         """, lab AS (SELECT mac, arg_min(label, cap) AS label FROM req WHERE label IS NOT NULL GROUP BY mac)
+_MERGED = """, lab AS (SELECT mac, arg_min(label, cap) AS label FROM req WHERE label IS NOT NULL GROUP BY mac)
 SELECT r.mac, l.label, coalesce(l.label, r.mac) AS device, min(cap) AS cap, arg_min(pr_ord, cap) AS pr_ord, sum(n_frames)::BIGINT AS n_frames,
   coalesce(string_agg(array_to_string(times, ','), ',' ORDER BY cap) FILTER (n_frames > 0), '') AS time, coalesce(string_agg(trim(rssi, '[]'), ',' ORDER BY cap) FILTER (n_frames > 0), '') AS rssi
-FROM req r LEFT JOIN lab l USING (mac) GROUP BY r.mac, l.label, kind, b""")
+FROM req r LEFT JOIN lab l USING (mac) GROUP BY r.mac, l.label, kind, b"""
+_capture("capture_merged", lambda c: _lists(O.merge_requests(_requests(c)).drop("data"), "time", "rssi"), _MERGED)
+_add("merged_stream", files.merged_stream, A.CAPTURE_SQL + _MERGED)
 _capture("capture_key_frames", lambda c: O.key_frames(_requests(c)),
          "SELECT key, sum(n_frames)::BIGINT AS n FROM (SELECT n_frames, unnest(CASE WHEN kind = 'view' THEN ['RTS', 'VENDOR', 'TXT', 'TAGS', 'FLAG'] ELSE ['EVENT', 'RTS', 'VENDOR', 'TXT', 'TAGS', 'FLAG'] END) AS key FROM req WHERE n_frames > 0) GROUP BY key")
 _capture("capture_key_paths", lambda c: O.key_paths(_requests(c)),

@@ -10,6 +10,7 @@ from etherloom.operators import fieldstats, matrix, observe, ordering, validate
 from etherloom.sources import config, reports
 from etherloom.sources.captures import SCHEMA, read_captures
 from etherloom.streaming.joint import windowed_joint_counts
+from etherloom.streaming.merge import merge_stream
 
 
 def requests_of(spark, *data, time=("1",)):
@@ -192,3 +193,26 @@ def test_last_label_of_one_place_and_numbers_in_many_tasks(spark):
     found = ordering.numbered(spark.createDataFrame([(v, "x") for v in values], "v long, n string").repartition(7), ["v"], "at").collect()
     assert {r["v"]: r["at"] for r in found} == {v: k for k, v in enumerate(sorted(values))}
     assert ordering.numbered(spark.createDataFrame([], "v long"), ["v"], "at").collect() == []
+
+
+def test_merging_over_a_stream_equals_the_batch(spark, tmp_path):
+    """Three batches out of order, labels that come late or never, requests without frames or content; the last row ends every address."""
+    day = lambda d: f"2024-01-{d:02d} 12:00:00"
+    batches = [
+        [("m", None, 2, 0, ["3"], ["-1"], '{"a":1}', day(2)), ("m", "late", 2, 1, ["4"], ["-2"], '{"b":1}', day(2)), (None, "x", 1, 0, ["1"], ["-1"], None, day(2))],
+        [("m", "first", 1, 3, ["1", "2"], ["-3", None], '{"a":1}', day(1)), ("n", None, 1, 0, None, None, None, day(2)), ("n", None, 1, 1, [], [], "", day(3))],
+        [("m", None, 3, 0, ["9"], ["-9"], '{"a":1}', day(4)), ("n", None, 0, 7, ["0"], ["-7"], '{"a":1}', day(3))],
+    ]
+    schema = "mac string, label string, cap long, pr_ord int, time array<string>, rssi array<string>, content string, at string"
+    frames = [spark.createDataFrame(b, schema).select("*", F.to_timestamp("at").alias("ts")).drop("at") for b in batches]
+    end = spark.createDataFrame([("end", None, 9, 0, [], [], "", "2025-01-01 00:00:00")], schema).select("*", F.to_timestamp("at").alias("ts")).drop("at")
+    for k, frame in enumerate([*frames, end]):
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = merge_stream(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), quiet="5 days", late="3 days")
+        sink = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    found = [r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r["mac"] != "end"]
+    whole = frames[0].union(frames[1]).union(frames[2]).withColumn("data", F.try_parse_json(F.nullif("content", F.lit(""))))
+    wanted = observe.merge_requests(whole).select("mac", "label", "device", "cap", "pr_ord", "n_frames", "time", "rssi", F.coalesce(F.to_json("data"), F.lit("")).alias("content"))
+    key = lambda r: (r["mac"], r["content"])
+    assert [tuple(r) for r in sorted(found, key=key)] == [tuple(r) for r in sorted(wanted.collect(), key=key)] and len(found) == 4
