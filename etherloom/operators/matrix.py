@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from etherloom.functions import distance
+from etherloom.sources.storage import stash
 
 from .observe import NULL
 
@@ -156,10 +157,10 @@ def _pairs(rows: DataFrame, key: str, on: list[str], blocks: int) -> DataFrame:
     return joined.select(*on, pick("l", "r").alias("a"), pick("r", "l").alias("b"))
 
 
-def _blocks(rows: DataFrame) -> int:
-    """As many as keep a block of the largest field at BLOCK rows."""
-    most = rows.groupBy("field").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return max(1, -(-most // BLOCK))
+def _blocks(known: DataFrame) -> tuple[int, int]:
+    """As many as keep a block of the largest field at BLOCK rows: of profiles, and of addresses."""
+    sizes = known.groupBy("field").agg(F.count_distinct("pid").alias("p"), F.count("*").alias("n"))
+    return tuple(max(1, -(-(most or 0) // BLOCK)) for most in sizes.agg(F.max("p"), F.max("n")).first())
 
 
 def unit_distances(
@@ -171,9 +172,11 @@ def unit_distances(
     of blocks follows from the number of profiles and of addresses, unless ``blocks`` gives it.
     """
     specs = _specs(kinds, penalty)
-    known = prof.where(F.col("field").isin(list(specs))).withColumn("pid", F.xxhash64(F.to_json(F.col("values"))))
+    # written once: the captures behind the profiles are read once, whatever follows
+    known = stash(prof.where(F.col("field").isin(list(specs))).withColumn("pid", F.xxhash64(F.to_json(F.col("values")))), "profiles")
+    profile_blocks, mac_blocks = (blocks, blocks) if blocks else _blocks(known)
     distinct = known.select("field", "pid", "values").dropDuplicates(["field", "pid"])
-    pairs = _pairs(distinct, "pid", ["field"], blocks or _blocks(distinct))
+    pairs = _pairs(distinct, "pid", ["field"], profile_blocks)
     unit = lambda a, b: unit_distance(specs, F.col("field"), F.col(f"{a}.values"), F.col(f"{b}.values"))
     back = F.col("unit")
     if one_sided := [f for f, s in specs.items() if s.kind in ONE_SIDED]:
@@ -184,7 +187,7 @@ def unit_distances(
     of_profiles = of_profiles.select("field", F.col("a.pid").alias("lo"), F.col("b.pid").alias("hi"), "unit", "back", ways)
     way = F.pmod(F.xxhash64("a.mac", "b.mac"), F.lit(WAYS)).cast("int")
     lo, hi = F.least("a.pid", "b.pid"), F.greatest("a.pid", "b.pid")
-    macs = _pairs(known.select("field", "mac", "pid"), "mac", ["field"], blocks or _blocks(known)).select(
+    macs = _pairs(known.select("field", "mac", "pid"), "mac", ["field"], mac_blocks).select(
         "field", F.col("a.mac").alias("i"), F.col("b.mac").alias("j"), lo.alias("lo"), hi.alias("hi"), way.alias("way"), (F.col("a.pid") == lo).alias("ahead")
     )
     joined = macs.join(of_profiles, ["field", "lo", "hi", "way"])

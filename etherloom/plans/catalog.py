@@ -14,6 +14,7 @@ from etherloom.operators import matrix as M
 from etherloom.operators import neighbours as K
 from etherloom.operators import observe as O
 from etherloom.operators import steep
+from etherloom.operators import upkeep as U
 from etherloom.operators import validate as V
 
 from etherloom.sources import reports
@@ -96,6 +97,28 @@ SELECT field, round(hx.h, 6) AS h_value, round(hy.h, 6) AS h_device, round(xy, 6
 FROM mi JOIN hx USING (field) JOIN hy USING (field)""")
 
 
+def _kept_up(s, d) -> U.State:
+    """The events in three parts; half of the addresses have a label from the first on, others from the second, all from the last."""
+    requests = A.event_requests(s, d)
+    part = F.pmod(F.xxhash64("mac", "EVENT", "PROPS", "BUCKET"), F.lit(3)).alias("part")
+    rows = stash(requests.select("mac", "device", "n_frames", part, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(f, F.lit(O.NULL)).alias("value")) for f in A.FIELDS]))), "parts")
+    state, labels = U.empty(s), rows.select("mac", "device").distinct()
+    for k, known in enumerate(("pmod(xxhash64(mac), 2) = 0", "pmod(xxhash64(mac), 3) = 0", "true")):
+        state = U.update(state, rows.where(F.col("part") == k), labels.where(known))
+    return state
+
+
+def _kept(name: str, f: Callable, sql: str) -> None:
+    _add(name, lambda s, d: f(_kept_up(s, d)), A.SQL + sql)
+
+
+_kept("kept_up_joint", lambda x: x.joint.select("field", "device", "value", "n"), "SELECT field, device, value, n FROM joint")
+_kept("kept_up_value_k", lambda x: x.values.select("field", "value", "k"), "SELECT * FROM kv")
+_kept("kept_up_information", U.information, """, x AS (SELECT field, sum(n) AS t FROM joint GROUP BY ALL), nx AS (SELECT field, value, sum(n)::DOUBLE AS n FROM joint GROUP BY ALL), ny AS (SELECT field, device, sum(n)::DOUBLE AS n FROM joint GROUP BY ALL)
+SELECT field, round((SELECT sum(-n / t * log2(n / t)) FROM nx WHERE nx.field = x.field), 6) AS h_value, round((SELECT sum(-n / t * log2(n / t)) FROM ny WHERE ny.field = x.field), 6) AS h_device,
+  round((SELECT sum(j.n / t * log2(j.n * t / (nx.n * ny.n))) FROM joint j JOIN nx ON j.field = nx.field AND j.value = nx.value JOIN ny ON j.field = ny.field AND j.device = ny.device WHERE j.field = x.field), 6) AS mi FROM x""")
+
+
 def _prints(s, d) -> DataFrame:
     return P.request_fingerprints(A.event_requests(s, d), ["EVENT", "BUCKET"])
 
@@ -347,6 +370,20 @@ UNION ALL SELECT 'mixed', 'clusters', CAST(cluster AS VARCHAR), 'cluster: ' || c
 UNION ALL SELECT 'mixed', 'validation', CAST(count(*) AS VARCHAR), 'n_clusters: ' || count(*) || ', weighted_purity: ' || round(sum(mk)::DOUBLE / sum(nk), 6) FROM k""")
 
 
+def _report_all(s, d) -> DataFrame:
+    """Sizes, measures and the weakest clusters of three scenarios, made and reported in one plan."""
+    clusters, labels = A.scenario_clusters(s, d), A.customer_clusters(s, d)[1]
+    ck = V.contingency(clusters, labels)
+    listed = V.cluster_sizes(clusters).select("scenario", "cluster", "n")
+    return reports.report_lines({"clusters": listed, "validation": V.majority_accuracy(ck), "weakest": V.worst_clusters(ck, 3).select("scenario", "cluster", "purity")})
+
+
+_add("scenario_report_all", _report_all, " UNION ALL ".join(f"""SELECT '{n}' AS scenario, * FROM ({_ck_sql(n)}
+SELECT 'clusters' AS section, CAST(cluster AS VARCHAR) AS at, 'cluster: ' || cluster || ', n: ' || count(*) AS line FROM m GROUP BY cluster
+UNION ALL SELECT 'validation', CAST(sum(mk)::BIGINT AS VARCHAR), 'correct: ' || sum(mk)::BIGINT || ', incorrect: ' || (sum(nk) - sum(mk))::BIGINT || ', total: ' || sum(nk)::BIGINT || ', accuracy: ' || round(sum(mk)::DOUBLE / sum(nk), 6) FROM k
+UNION ALL (SELECT 'weakest', CAST(cluster AS VARCHAR), 'cluster: ' || cluster || ', purity: ' || round(mk::DOUBLE / nk, 6) FROM k ORDER BY mk::DOUBLE / nk, nk DESC, cluster LIMIT 3))""" for n in A.SCENARIO_RULES))
+
+
 def _capture(name: str, f: Callable, sql: str) -> None:
     _add(name, lambda s, d: f(A.captures(s, d)), A.CAPTURE_SQL + sql)
 
