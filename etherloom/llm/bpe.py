@@ -148,7 +148,7 @@ def codec(path: str) -> Codec:
 
 
 def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, ids array<int>`` of every whole text; null counts as empty, an empty text has no ids."""
+    """``key, ids array<int>`` of every whole text, a row for each row, repeated ones too; null counts as empty, an empty text has no ids."""
     kind = dict(df.dtypes)[key]
 
     def make():
@@ -163,7 +163,7 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", key: st
 
 
 def decode_documents(df: DataFrame, vocabulary: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
-    """``key, decoded string``; null ids count as none."""
+    """``key, decoded string``, a row for each row, repeated ones too; null ids count as none."""
     kind = dict(df.dtypes)[key]
 
     def make():

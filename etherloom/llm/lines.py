@@ -74,7 +74,10 @@ def drop_frequent_lines(
 
 
 def line_digest(df: DataFrame, share: float = 0.05, least: int = 10) -> DataFrame:
-    """``doc_id, n_lines, n_removed, kept_chars, kept_sha256`` of each document; for a null text 0, 0, 0, digest of ''."""
+    """``doc_id, n_lines, n_removed, kept_chars, kept_sha256`` of each document; for a null text 0, 0, 0, digest of ''.
+
+    Repeated rows are each answered alike and are one page of their host; a null host is a host of its own.
+    """
     marked, lines = _marked(df.select("doc_id", "text", "source"), share, least, "text", "source")
     kept = F.coalesce(F.array_join(lines, "\n"), F.lit(""))
     n = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))

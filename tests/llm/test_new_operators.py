@@ -16,6 +16,16 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def test_pipeline_of_empty_tables_and_of_texts_without_words(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, rows in (("none", docs.limit(0)), ("blank", spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "a", 0), (1, " \n", "en", "a", 2)], docs.schema))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{SF}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        found = pipeline.run(spark, str(tmp_path / name))
+        assert found.collect() == [] and "ids_sha256" in found.columns  # without a letter there is no language
+
+
 def plain_whitening(rows):
     x = {i: [int(np.floor(256 * float(c))) for c in v] for i, v in rows}
     once = np.array(sorted(set(map(tuple, x.values()))))
