@@ -67,7 +67,8 @@ def stash_by(df: DataFrame, column: str, label: str) -> DataFrame:
     ``df`` should come from a grouping by the column: its tasks then hold whole buckets, and each bucket is one file.
     """
     spark = df.sparkSession
-    path, n = new_path(spark, label), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, label)
+    n = min(int(spark.conf.get(f"spark.sql.{c}")) for c in ("shuffle.partitions", "sources.bucketing.maxBuckets"))
     name = _table(path)
     df.write.format("parquet").bucketBy(n, column).sortBy(column).option("path", path).saveAsTable(name)
     _owned(spark, path)
