@@ -1,8 +1,29 @@
 """Equal addresses worked on as one: distances, edges and comparisons against those of every address; few rows in many tasks."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from etherloom.operators import matrix
+from etherloom.operators import density, matrix
+
+
+@pytest.mark.parametrize("seed, k", [(1, 2), (2, 2), (3, 4), (4, 1)])
+def test_tree_of_groups_equals_that_of_all_addresses(spark, seed, k):
+    draw = random.Random(seed)
+    group = {m: draw.randrange(9) for m in draw.sample(range(100), 34)}
+    first = {g: min(m for m in group if group[m] == g) for g in set(group.values())}
+    d = {(a, b): float(draw.choice((0, 1, 1, 2, 3))) for a in range(9) for b in range(a, 9)}
+    of = lambda i, j: d[min(group[i], group[j]), max(group[i], group[j])]
+    rows = lambda macs: spark.createDataFrame([("s", i, j, of(i, j)) for i in macs for j in macs if i <= j], "scenario string, i long, j long, distance double")
+    full, small = rows(group), rows(first.values())
+    members = spark.createDataFrame([("s", m, first[g]) for m, g in group.items()], "scenario string, mac long, first long")
+    core, grouped = density.core_distances(full, k), density.grouped_core_distances(small, members, k)
+    assert set(map(tuple, grouped.collect())) == set(map(tuple, core.collect()))
+    edges = density.grouped_reach_edges(small, members, grouped)
+    tree = lambda e: set(map(tuple, density.spanning_tree(e).collect()))
+    assert tree(edges) == tree(density.reach_edges(full, core))
+    assert edges.count() < 34 * 33 // 2
 
 
 def profiles_of(spark, n):
@@ -27,3 +48,15 @@ def test_composed_in_one_go_equals_composed_units(spark, monkeypatch):
     rows = lambda m: {(r["scenario"], r["i"], r["j"]): round(r["distance"], 9) for r in m.collect()}
     found = matrix.composed_distances(prof, KINDS, weights)
     assert rows(found) == rows(matrix.compose(matrix.unit_distances(prof, KINDS), weights)) and found.count() == 2 * 58 * 59 // 2
+
+
+def test_comparison_of_representatives_equals_that_of_all(spark):
+    prof = profiles_of(spark, 20)
+    prof = prof.union(prof.where("mac < 9").withColumn("mac", F.col("mac") + 100))
+    members = matrix.representatives(prof, KINDS)
+    few = matrix.of_representatives(prof, members)
+    specs = [{f: matrix.Spec(k, (w,)) for f, k in KINDS.items()} for w in (1.0, 1.5)]
+    of = lambda p: [matrix.mac_distances(p, x) for x in specs]
+    shown = lambda one, other: [round(x, 9) for x in matrix.compare(one, other).first()]
+    counted = [matrix.pairs_of_addresses(m, members) for m in of(few)]
+    assert few.select("mac").distinct().count() == 20 and shown(*counted) == shown(*of(prof)) and shown(*counted)[0] == 29 * 30 // 2
