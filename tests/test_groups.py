@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from etherloom.operators import density, matrix
+from etherloom.operators import density, matrix, observe
 
 
 @pytest.mark.parametrize("seed, k", [(1, 2), (2, 2), (3, 4), (4, 1)])
@@ -60,3 +60,10 @@ def test_comparison_of_representatives_equals_that_of_all(spark):
     shown = lambda one, other: [round(x, 9) for x in matrix.compare(one, other).first()]
     counted = [matrix.pairs_of_addresses(m, members) for m in of(few)]
     assert few.select("mac").distinct().count() == 20 and shown(*counted) == shown(*of(prof)) and shown(*counted)[0] == 29 * 30 // 2
+
+
+def test_prefixes_beyond_four_digits(spark):
+    """The prefix begins anew at 16 bits; with ``leading`` its first digits are kept."""
+    frames = spark.range(65540).select(F.col("id").alias("ord"), F.col("id").alias("src"))
+    last = lambda **x: {r["mac"] for r in observe.pseudonyms(frames, **x).where("src = 65537").collect()}
+    assert last() == {"02:00:02:00:00:01"} and last(leading=True) == {"02:10:00:00:00:01"}
