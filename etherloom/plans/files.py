@@ -14,14 +14,21 @@ from etherloom.streaming.merge import MERGED, merge_stream
 from . import adapters
 
 
+LISTED = 500  #: addresses in a file, about: as many files as addresses would be the driver's work, one by one
+
+
 def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each address as a JSON file of its own, read as captures: its requests in order."""
+    """The addresses in JSON files, a list of them each, read as captures: the requests of an address in order."""
     days = F.map_from_entries(F.collect_list(F.struct("cap", "PROBE_REQs")))
-    whole = adapters.captures(spark, sf_dir).groupBy("MAC").agg(days.alias("days"))
+    captures = adapters.captures(spark, sf_dir)
+    whole = captures.groupBy("MAC").agg(days.alias("days"))
     requests = F.flatten(F.transform(F.array_sort(F.map_keys("days")), lambda k: F.element_at("days", k)))
     path = new_path(spark, "captures")
-    whole.select("MAC", requests.alias("PROBE_REQs")).write.option("maxRecordsPerFile", 1).json(path)
-    found = observe.probe_requests(read_captures(spark, path))
+    lists = max(1, captures.select("MAC").distinct().count() // LISTED)
+    one = whole.select(F.pmod(F.xxhash64("MAC"), F.lit(lists)).alias("list"), F.struct("MAC", requests.alias("PROBE_REQs")).alias("one"))
+    text = one.groupBy("list").agg(F.to_json(F.collect_list("one")).alias("value"))
+    text.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    found = observe.probe_requests(read_captures(spark, path, files="*.txt"))
     return found.select("mac", "device", "pr_ord", "n_frames", observe.field_value("EVENT").alias("event"))
 
 
