@@ -46,16 +46,18 @@ def path_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The requests of the captures as a stream, a file a batch, merged by address; a last row beyond all others lets every address end."""
+    """The requests of the captures as a stream, a third of the files a batch, merged by address; a last row beyond all others lets every address end."""
     r = adapters.capture_requests(spark, sf_dir).withColumn("content", F.coalesce(F.to_json("data"), F.lit(""))).drop("data", "device", "n_frames")
     r = r.withColumn("ts", F.to_timestamp(F.col("cap").cast("string"), "yyyyMMdd"))
-    last = r.agg(F.max("ts").alias("ts")).select(F.lit("").alias("mac"), F.lit(0).cast("long").alias("cap"), F.lit(0).alias("pr_ord"), (F.col("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"))
     source, out, state = (new_path(spark, x) for x in ("requests", "merged", "state"))
-    r.coalesce(3).write.parquet(source)
+    r.write.parquet(source)
+    whole = spark.read.schema(r.schema).parquet(source)
+    last = whole.agg(F.max("ts").alias("ts")).select(F.lit("").alias("mac"), F.lit(0).cast("long").alias("cap"), F.lit(0).alias("pr_ord"), (F.col("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"))
+    third = str(max(1, -(-len(whole.inputFiles()) // 3)))
     for rows in (None, last):  # the watermark moves between runs
         if rows is not None:
             rows.write.mode("append").parquet(source)
-        stream = merge_stream(spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(source), quiet="40 days", late="40 days")
+        stream = merge_stream(spark.readStream.schema(r.schema).option("maxFilesPerTrigger", third).parquet(source), quiet="40 days", late="40 days")
         query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append")
         query.trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema(MERGED).parquet(out).where("mac <> ''")

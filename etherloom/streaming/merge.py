@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MERGED = "mac string, label string, device string, cap bigint, pr_ord int, n_frames int, time array<string>, rssi array<string>, content string"
 
@@ -16,41 +11,23 @@ MERGED = "mac string, label string, device string, cap bigint, pr_ord int, n_fra
 def merge_stream(requests: DataFrame, time: str = "ts", quiet: str = "1 day", late: str = "1 hour") -> DataFrame:
     """``MERGED`` rows of an address, one for each content, once it has had no request for ``quiet`` by the watermark.
 
-    ``requests``: ``mac, label, cap, pr_ord, time, rssi``, ``content`` (DATA as JSON) and an event time. State is kept
-    for each address, its first label by (cap, pr_ord) and the requests of each content, and is dropped when its rows
-    are given out, so what is held are the addresses that are about. An address that comes back later is merged anew.
+    ``requests``: ``mac, label, cap, pr_ord, time, rssi``, ``content`` (DATA as JSON) and an event time. The requests of
+    an address are a session that ends after ``quiet``; its state is dropped when its rows are given out, so what is
+    held are the addresses that are about. An address that comes back later is merged anew, whatever the batches are.
     A null address is left out; a null content is an empty one.
     """
     rest = requests.where("mac IS NOT NULL").withColumn("content", F.coalesce("content", F.lit("")))
-    rest = rest.withColumn("cap", F.col("cap").cast("long")).withColumn("pr_ord", F.col("pr_ord").cast("int"))
-    wait = pd.Timedelta(quiet) // pd.Timedelta("1ms")
-
-    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"label": None, "last": 0, "parts": {}}
-        if state.hasTimedOut:
-            yield _rows(key[0], held)
-            state.remove()
-            return
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                at = [int(r.cap), int(r.pr_ord)]
-                if isinstance(r.label, str) and (held["label"] is None or at < held["label"][0]):
-                    held["label"] = [at, r.label]
-                lists = [[] if x is None else [None if v is None else str(v) for v in x] for x in (r.time, r.rssi)]
-                held["parts"].setdefault(r.content, []).append([*at, *lists])
-            held["last"] = max(held["last"], int(batch[time].max().value // 10**6))
-        state.update((json.dumps(held),))
-        state.setTimeoutTimestamp(max(held["last"] + wait, state.getCurrentWatermarkMs() + 1))
-
-    streamed = rest.withWatermark(time, late).groupBy("mac")
-    return streamed.applyInPandasWithState(work, MERGED, "held string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _rows(mac: str, held: dict) -> pd.DataFrame:
-    label = held["label"][1] if held["label"] else None
-    out = []
-    for content, parts in held["parts"].items():
-        parts.sort(key=lambda p: (p[0], p[1]))
-        times, levels = ([v for p in parts for v in p[k]] for k in (2, 3))
-        out.append((mac, label, mac if label is None else label, parts[0][0], parts[0][1], len(times), times, levels, content))
-    return pd.DataFrame(out, columns=["mac", "label", "device", "cap", "pr_ord", "n_frames", "time", "rssi", "content"])
+    one = F.struct("content", F.col("cap").cast("long").alias("cap"), F.col("pr_ord").cast("int").alias("pr_ord"), "label", *[F.coalesce(F.col(c).cast("array<string>"), F.array().cast("array<string>")).alias(c) for c in ("time", "rssi")])
+    sessions = rest.withWatermark(time, late).groupBy(F.session_window(time, quiet), "mac").agg(F.collect_list(one).alias("parts"))
+    first = F.array_min(F.transform(F.filter("parts", lambda p: p["label"].isNotNull()), lambda p: F.struct(p["cap"], p["pr_ord"], p["label"])))
+    held = sessions.select("mac", first["label"].alias("label"), F.array_sort("parts").alias("parts"))
+    # a content's requests lie together: from where it begins to where the next one does
+    begins = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda k: (k == 0) | (F.get("parts", k)["content"] != F.get("parts", k - 1)["content"]))
+    held = held.withColumn("begins", begins)
+    runs = F.transform("begins", lambda b, k: F.slice("parts", b + 1, F.coalesce(F.get("begins", k + 1), F.size("parts")) - b))
+    each = held.select("mac", "label", F.explode(runs).alias("run"))
+    joined = lambda c: F.flatten(F.transform("run", lambda p: p[c]))
+    return each.select(
+        "mac", "label", F.coalesce("label", "mac").alias("device"), F.col("run")[0]["cap"].alias("cap"), F.col("run")[0]["pr_ord"].alias("pr_ord"),
+        F.size(joined("time")).alias("n_frames"), joined("time").alias("time"), joined("rssi").alias("rssi"), F.col("run")[0]["content"].alias("content"),
+    )

@@ -216,3 +216,20 @@ def test_merging_over_a_stream_equals_the_batch(spark, tmp_path):
     wanted = observe.merge_requests(whole).select("mac", "label", "device", "cap", "pr_ord", "n_frames", "time", "rssi", F.coalesce(F.to_json("data"), F.lit("")).alias("content"))
     key = lambda r: (r["mac"], r["content"])
     assert [tuple(r) for r in sorted(found, key=key)] == [tuple(r) for r in sorted(wanted.collect(), key=key)] and len(found) == 4
+
+
+def test_an_address_that_comes_back_is_merged_anew_whatever_the_batches(spark, tmp_path):
+    """Requests further apart than ``quiet`` are two rows, in one batch as in two; a null and an empty content are one."""
+    row = lambda d, cap, label, content: ("m", label, cap, 0, [str(cap)], None, content, f"2024-01-{d:02d} 12:00:00")
+    parts = [row(1, 1, None, None), row(3, 2, "a", ""), row(20, 3, "b", "")]
+    schema = "mac string, label string, cap long, pr_ord int, time array<string>, rssi array<string>, content string, at string"
+    end = ("end", None, 9, 0, [], [], "", "2025-01-01 00:00:00")
+    for name, batches in (("one", [parts, [end]]), ("two", [parts[:2], parts[2:], [end]])):
+        for batch in batches:
+            frame = spark.createDataFrame(batch, schema).select("*", F.to_timestamp("at").alias("ts")).drop("at")
+            frame.coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+            stream = merge_stream(spark.readStream.schema(frame.schema).parquet(str(tmp_path / name / "in")), quiet="5 days", late="30 days")
+            sink = stream.writeStream.format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "state"))
+            sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        found = spark.read.parquet(str(tmp_path / name / "out")).where("mac = 'm'").orderBy("cap").collect()
+        assert [(r["label"], r["cap"], r["n_frames"], r["time"], r["rssi"]) for r in found] == [("a", 1, 2, ["1", "2"], []), ("b", 3, 1, ["3"], [])]
