@@ -2,26 +2,29 @@
 
 An address may get its label late; its frames then move from one device to another. So a change is a table of signed
 differences of the joint counts: what is new, and what moves, with minus where it was. Distinct counts follow from the
-entries that appear and vanish, entropies from sums of n log2 n, of which only the touched terms change.
+entries that appear and vanish, entropies from sums of n log2 n, of which only the touched terms change. What is kept lies in
+tables bucketed by what the next part is joined on, so a part moves its own rows and those whose device changes.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from etherloom.sources.storage import stash
+from etherloom.sources.storage import stash, stash_by
 
-JOINT = ["field", "device", "value"]
+JOINT = ["device", "value", "field"]  #: what differs most comes first, so that sorts compare little
+FAN = 8  #: parts of the counts by address that become one
 
 
 @dataclass(frozen=True)
 class State:
     """What is kept: counts by address, the devices of addresses, the joint counts and their margins, and the sums of n log2 n."""
 
-    addresses: DataFrame  #: mac, field, value, n, rows
+    addresses: tuple[tuple[int, DataFrame], ...]  #: rank, and mac, field, value, n, rows; the counts of an address are the sums over all parts
     devices: DataFrame  #: mac, device
     joint: DataFrame  #: field, device, value, n, rows
     values: DataFrame  #: field, value, n, k: frames, and devices that have the value
@@ -32,7 +35,7 @@ class State:
 def empty(spark: SparkSession) -> State:
     none = lambda schema: spark.createDataFrame([], schema)
     return State(
-        none("mac string, field string, value string, n long, rows long"), none("mac string, device string"),
+        (), none("mac string, device string"),
         none("field string, device string, value string, n long, rows long"), none("field string, value string, n long, k long"),
         none("field string, device string, n long, k long"), none("field string, total long, value_sum double, device_sum double, joint_sum double"),
     )
@@ -42,21 +45,36 @@ def _weight(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(n)).otherwise(0.0)
 
 
-def _added(old: DataFrame, change: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows that a change touches, with each number before (``_0``) and after (``_1``)."""
+def _changed(old: DataFrame, change: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of ``old`` and of ``change``, with each number before (``_0``) and after (``_1``)."""
     numbers = [c for c in change.columns if c not in keys]
-    before = old.select(*keys, *[F.col(c).alias(f"{c}_0") for c in numbers])
-    joined = change.join(before, keys, "left")
-    zero = {f"{c}_0": F.coalesce(f"{c}_0", F.lit(0)) for c in numbers}
-    joined = joined.withColumns(zero)
-    return joined.withColumns({f"{c}_1": F.col(c) + F.col(f"{c}_0") for c in numbers}).select(*keys, *[f"{c}_{k}" for c in numbers for k in (0, 1)])
+    joined = old.select(*keys, *[F.col(c).alias(f"{c}_0") for c in numbers]).join(change.withColumnsRenamed({c: f"{c}_d" for c in numbers}), keys, "full")
+    joined = joined.withColumns({x: F.coalesce(x, F.lit(0)) for c in numbers for x in (f"{c}_0", f"{c}_d")})
+    return joined.select(*keys, *[x for c in numbers for x in (F.col(f"{c}_0"), (F.col(f"{c}_0") + F.col(f"{c}_d")).alias(f"{c}_1"))])
 
 
-def _applied(old: DataFrame, touched: DataFrame, keys: list[str], alive: str) -> DataFrame:
-    """``old`` with the touched rows in place of its own; those whose ``alive`` is 0 afterwards are gone."""
-    numbers = [c for c in old.columns if c not in keys]
-    new = touched.where(F.col(f"{alive}_1") > 0).select(*keys, *[F.col(f"{c}_1").alias(c) for c in numbers])
-    return old.join(touched.select(*keys), keys, "left_anti").unionByName(new)
+def _touched(changed: DataFrame, *numbers: str) -> DataFrame:
+    return changed.where(" OR ".join(f"{c}_0 <> {c}_1" for c in numbers))
+
+
+def _after(changed: DataFrame, keys: list[str], numbers: list[str], alive: str) -> DataFrame:
+    """What is kept: rows whose ``alive`` is 0 afterwards are gone."""
+    return changed.where(F.col(f"{alive}_1") > 0).select(*keys, *[F.col(f"{c}_1").alias(c) for c in numbers])
+
+
+def _counted(rows: DataFrame, n: Column, seen: Column) -> DataFrame:
+    """Counts by address, in a table bucketed by it; rows go to their address first, so that the tasks hold whole buckets."""
+    counts = rows.repartition("mac").groupBy("mac", "field", "value").agg(F.sum(n).cast("long").alias("n"), seen.cast("long").alias("rows"))
+    return stash_by(counts, "mac", "addresses", ordered=False)
+
+
+def _grown(parts: tuple[tuple[int, DataFrame], ...], new: DataFrame) -> tuple[tuple[int, DataFrame], ...]:
+    """The parts with a new one; ``FAN`` parts of a rank become one of the next, so a count is written again only as often as ranks rise."""
+    found, rank = [*parts, (0, new)], 0
+    while len(same := [x for r, x in found if r == rank]) >= FAN:
+        found = [x for x in found if x[0] != rank] + [(rank + 1, _counted(reduce(DataFrame.unionByName, same), F.col("n"), F.sum("rows")))]
+        rank += 1
+    return tuple(found)
 
 
 def update(state: State, observed: DataFrame, labelled: DataFrame) -> State:
@@ -65,25 +83,26 @@ def update(state: State, observed: DataFrame, labelled: DataFrame) -> State:
     An address without a label is its own device. Observations without frames count as there, with no frames. Null
     addresses and null labels are left out.
     """
-    new = observed.where("mac IS NOT NULL").groupBy("mac", "field", "value").agg(F.sum("n_frames").cast("long").alias("n"), F.count("*").alias("rows"))
-    new = stash(new, "observed")
+    new = _counted(observed.where("mac IS NOT NULL").select("mac", "field", "value", "n_frames"), F.col("n_frames"), F.count("*"))
     given = labelled.where("mac IS NOT NULL AND device IS NOT NULL").select("mac", F.col("device").alias("given"))
     known = state.devices.join(given, "mac", "full").select("mac", F.coalesce("device", "mac").alias("old"), F.coalesce("given", "device").alias("device"))
-    known = stash(known, "devices")
-    moved = known.where("old <> device").select("mac", "old", "device")
-    was = state.addresses.join(moved, "mac")
-    away = was.select("field", F.col("old").alias("device"), "value", (-F.col("n")).alias("n"), (-F.col("rows")).alias("rows"))
-    there = was.select("field", "device", "value", "n", "rows")
-    fresh = new.join(known.select("mac", "device"), "mac", "left").select("field", F.coalesce("device", "mac").alias("device"), "value", "n", "rows")
-    change = away.unionByName(there).unionByName(fresh).groupBy(*JOINT).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    touched = stash(_added(state.joint, change.where("n <> 0 OR rows <> 0"), JOINT), "touched")
+    known = stash_by(known, "mac", "devices", ordered=False)
+    moved = known.where("old <> device").select("mac", "old", "device").hint("shuffle_hash")  # one row an address: even parts, and no sort of the counts
+    change = new.join(known.select("mac", "device").hint("shuffle_hash"), "mac", "left").select("field", F.coalesce("device", "mac").alias("device"), "value", "n", "rows")
+    signed = lambda device, sign: F.struct(F.col(device).alias("device"), (sign * F.col("n")).alias("n"), (sign * F.col("rows")).alias("rows"))
+    for _, part in state.addresses:
+        moves = part.join(moved, "mac").select("field", "value", F.inline(F.array(signed("old", -1), signed("device", 1))))
+        change = change.unionByName(moves)
+    change = change.groupBy(*JOINT).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).where("n <> 0 OR rows <> 0")
+    joint = stash_by(_changed(state.joint, change, JOINT), JOINT, "joint", ordered=False)
+    touched = _touched(joint, "n", "rows")
 
     appears = (F.col("rows_1") > 0).cast("long") - (F.col("rows_0") > 0).cast("long")
     margin = lambda keys: touched.groupBy(*keys).agg(F.sum(F.col("n_1") - F.col("n_0")).alias("n"), F.sum(appears).alias("k"))
-    values = stash(_added(state.values, margin(["field", "value"]), ["field", "value"]), "values")
-    of_devices = stash(_added(state.of_devices, margin(["field", "device"]), ["field", "device"]), "of-devices")
+    values = stash(_changed(state.values, margin(["field", "value"]), ["field", "value"]), "values")
+    of_devices = stash(_changed(state.of_devices, margin(["field", "device"]), ["field", "device"]), "of-devices")
     gain = (_weight(F.col("n_1")) - _weight(F.col("n_0"))).alias("gain")
-    parts = [(touched, "joint_sum"), (values, "value_sum"), (of_devices, "device_sum")]
+    parts = [(touched, "joint_sum"), (_touched(values, "n"), "value_sum"), (_touched(of_devices, "n"), "device_sum")]
     sums = state.sums
     for rows, name in parts:
         zero = {c: F.lit(0.0 if c != "total" else 0) for c in ("total", "value_sum", "device_sum", "joint_sum")}
@@ -91,10 +110,9 @@ def update(state: State, observed: DataFrame, labelled: DataFrame) -> State:
         own = zero | {name: F.col(name)} | ({"total": F.col("total")} if name == "joint_sum" else {})
         sums = sums.unionByName(more.select("field", *[c.alias(n) for n, c in own.items()]))
     sums = sums.groupBy("field").agg(F.sum("total").cast("long").alias("total"), *[F.sum(c).alias(c) for c in ("value_sum", "device_sum", "joint_sum")])
-    addresses = state.addresses.unionByName(new).groupBy("mac", "field", "value").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
     return State(
-        stash(addresses, "addresses"), known.select("mac", "device"), stash(_applied(state.joint, touched, JOINT, "rows"), "joint"),
-        stash(_applied(state.values, values, ["field", "value"], "k"), "values"), stash(_applied(state.of_devices, of_devices, ["field", "device"], "k"), "of-devices"), stash(sums, "sums"),
+        _grown(state.addresses, new), known.select("mac", "device"), _after(joint, JOINT, ["n", "rows"], "rows"),
+        _after(values, ["field", "value"], ["n", "k"], "k"), _after(of_devices, ["field", "device"], ["n", "k"], "k"), stash(sums, "sums"),
     )
 
 

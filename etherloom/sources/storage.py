@@ -61,16 +61,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stash_by(df: DataFrame, column: str, label: str) -> DataFrame:
-    """``stash`` as a table bucketed by ``column``, so that joins and groups on it move only the other side.
+def stash_by(df: DataFrame, column: str | list[str], label: str, ordered: bool = True) -> DataFrame:
+    """``stash`` as a table bucketed by ``column``, one or several, so that joins and groups on it move only the other side.
 
-    ``df`` should come from a grouping by the column: its tasks then hold whole buckets, and each bucket is one file.
+    ``df`` should come from a grouping or a join by the column: its tasks then hold whole buckets, and each bucket is one file.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     n = min(int(spark.conf.get(f"spark.sql.{c}")) for c in ("shuffle.partitions", "sources.bucketing.maxBuckets"))
     name = _table(path)
-    df.write.format("parquet").bucketBy(n, column).sortBy(column).option("path", path).saveAsTable(name)
+    to = df.write.format("parquet").bucketBy(n, column)
+    (to.sortBy(column) if ordered else to).option("path", path).saveAsTable(name)
     _owned(spark, path)
     return spark.table(name)
 

@@ -33,3 +33,28 @@ def test_equals_a_recount_after_each_part(spark):
         assert rounded(upkeep.information(state)) == rounded(fieldstats.information(joint).select("field", "h_value", "h_device", "mi"))
     nothing = upkeep.update(state, obs.where("false").withColumn("mac", F.lit("m")).select("mac", "field", "value", "n_frames"), spark.createDataFrame([], "mac string, device string"))
     assert rounded(nothing.joint) == rounded(state.joint) and rounded(upkeep.information(nothing)) == rounded(upkeep.information(state))
+
+
+def test_what_is_kept_is_not_moved_again(spark, monkeypatch):
+    """A part shuffles its own changes: the kept joint counts are read where they lie, and counts by address are appended, two parts made one."""
+    plans, write = [], upkeep.stash_by
+
+    def noted(df, column, label, **more):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, column, label, **more)
+
+    monkeypatch.setattr(upkeep, "stash_by", noted)
+    monkeypatch.setattr(upkeep, "FAN", 2)
+    seen, state = [], upkeep.empty(spark)
+    for part in range(4):
+        rows = [(f"m{k % 5}", "f", "abc"[(k + part) % 3], k % 4) for k in range(12)]
+        labels = {f"m{k}": f"d{k % 2}" for k in range(part)}  # an address more with each part, late
+        state = upkeep.update(state, spark.createDataFrame(rows, "mac string, field string, value string, n_frames int"), spark.createDataFrame([*labels.items()], "mac string, device string"))
+        seen += rows
+        joint = observe.joint_counts(spark.createDataFrame([(labels.get(m, m), *x) for m, *x in seen], "device string, field string, value string, n_frames int"))
+        assert rounded(state.joint.select("field", "device", "value", "n")) == rounded(joint)
+        assert rounded(upkeep.information(state)) == rounded(fieldstats.information(joint).select("field", "h_value", "h_device", "mi"))
+    assert [r for r, _ in state.addresses] == [2]  # four parts, two of two
+    moved = [plan.count("Exchange hashpartitioning(device") for label, plan in plans if label == "joint"]
+    assert moved[1:] == [1, 1, 1]
+    assert len([1 for label, _ in plans if label == "addresses"]) == 4 + 3
