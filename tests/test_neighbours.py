@@ -50,3 +50,12 @@ def test_kinds_without_a_bound_and_few_addresses(spark, prof):
     wanted = density.core_distances(matrix.mac_distances(small, specs).withColumn("scenario", F.lit("x")))
     assert {(r["mac"], r["core"]) for r in neighbours.core_distances(small, specs).collect()} == {(r["mac"], r["core"]) for r in wanted.collect()}
     assert neighbours.core_distances(prof.where("false"), SPECS).collect() == []
+
+
+def test_near_profiles_are_not_compared_with_most_others(spark):
+    """Bits without clusters, which pivots tell little about: all 12-bit numbers, each a bit from twelve others."""
+    one = F.array(F.struct(F.concat(F.lit("0x"), F.lpad(F.hex("id"), 3, "0")).alias("v"), F.lit(1).cast("long").alias("n")))
+    prof = spark.range(4096).select(F.col("id").alias("mac"), F.lit("HEX").alias("field"), one.alias("values"))
+    found = neighbours.core_distances(prof, {"HEX": matrix.Spec("hex_bit", (1.0,))}).agg(F.count("*").alias("n"), F.min("core").alias("a"), F.max("core").alias("b"), F.max("n_compared").alias("m")).first()
+    assert (found["n"], found["a"], found["b"]) == (4096, 1 / 12, 1 / 12)
+    assert found["m"] <= 1 + 2 * 64  # itself, and who shares one of two classes of six bits
