@@ -62,9 +62,9 @@ def _after(changed: DataFrame, keys: list[str], numbers: list[str], alive: str)
     return changed.where(F.col(f"{alive}_1") > 0).select(*keys, *[F.col(f"{c}_1").alias(c) for c in numbers])
 
 
-def _counted(rows: DataFrame, n: Column, seen: Column) -> DataFrame:
-    """Counts by address, in a table bucketed by it; rows go to their address first, so that the tasks hold whole buckets."""
-    counts = rows.repartition("mac").groupBy("mac", "field", "value").agg(F.sum(n).cast("long").alias("n"), seen.cast("long").alias("rows"))
+def _counted(rows: DataFrame, n: Column, seen: Column, placed: bool = False) -> DataFrame:
+    """Counts by address, in a table bucketed by it; rows go to their address first, unless they lie there, so that the tasks hold whole buckets."""
+    counts = (rows if placed else rows.repartition("mac")).groupBy("mac", "field", "value").agg(F.sum(n).cast("long").alias("n"), seen.cast("long").alias("rows"))
     return stash_by(counts, "mac", "addresses", ordered=False)
 
 
@@ -77,23 +77,26 @@ def _grown(parts: tuple[tuple[int, DataFrame], ...], new: DataFrame) -> tuple[tu
     return tuple(found)
 
 
-def update(state: State, observed: DataFrame, labelled: DataFrame) -> State:
+def update(state: State, observed: DataFrame, labelled: DataFrame, placed: bool = False) -> State:
     """The state after new observations (``mac, field, value, n_frames``) and new labels (``mac, device``, one row an address).
 
     An address without a label is its own device. Observations without frames count as there, with no frames. Null
-    addresses and null labels are left out.
+    addresses and null labels are left out. ``placed`` tells that the observations are read from a table bucketed by
+    ``mac``, so that counting them moves none.
     """
-    new = _counted(observed.where("mac IS NOT NULL").select("mac", "field", "value", "n_frames"), F.col("n_frames"), F.count("*"))
+    new = _counted(observed.where("mac IS NOT NULL").select("mac", "field", "value", "n_frames"), F.col("n_frames"), F.count("*"), placed)
     given = labelled.where("mac IS NOT NULL AND device IS NOT NULL").select("mac", F.col("device").alias("given"))
     known = state.devices.join(given, "mac", "full").select("mac", F.coalesce("device", "mac").alias("old"), F.coalesce("given", "device").alias("device"))
     known = stash_by(known, "mac", "devices", ordered=False)
     moved = known.where("old <> device").select("mac", "old", "device").hint("shuffle_hash")  # one row an address: even parts, and no sort of the counts
     change = new.join(known.select("mac", "device").hint("shuffle_hash"), "mac", "left").select("field", F.coalesce("device", "mac").alias("device"), "value", "n", "rows")
-    signed = lambda device, sign: F.struct(F.col(device).alias("device"), (sign * F.col("n")).alias("n"), (sign * F.col("rows")).alias("rows"))
+    sign = F.explode(F.lit([-1, 1])).alias("sign")
     for _, part in state.addresses:
-        moves = part.join(moved, "mac").select("field", "value", F.inline(F.array(signed("old", -1), signed("device", 1))))
-        change = change.unionByName(moves)
-    change = change.groupBy(*JOINT).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).where("n <> 0 OR rows <> 0")
+        moves = part.join(moved, "mac").select("field", "value", "old", "device", "n", "rows", sign)
+        times = lambda c: (F.col("sign") * F.col(c)).alias(c)
+        change = change.unionByName(moves.select("field", F.when(F.col("sign") < 0, F.col("old")).otherwise(F.col("device")).alias("device"), "value", times("n"), times("rows")))
+    # counts of a device come from many tasks: to add them up before they meet would find next to nothing
+    change = change.repartition(*JOINT).groupBy(*JOINT).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).where("n <> 0 OR rows <> 0")
     joint = stash_by(_changed(state.joint, change, JOINT), JOINT, "joint", ordered=False)
     touched = _touched(joint, "n", "rows")
 

@@ -14,15 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as probe requests: a user's address changes by day; equal content is one request with many frames."""
+def event_requests(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    """Events as probe requests: a user's address changes by day; equal content is one request with many frames.
+
+    They are counted where the column ``by`` brings them, all of a value together, if it is given.
+    """
     e = table(spark, sf_dir, "events")
     rows = e.select(
         F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("mac"),
         F.col("user_id").cast("string").alias("device"), F.col("event_type").alias("EVENT"), F.col("props").alias("PROPS"),
         F.floor(F.col("value") / 10).cast("string").alias("BUCKET"),
     )
-    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n_frames"))
+    return (rows.repartition(by) if by else rows).groupBy(*rows.columns).agg(F.count("*").alias("n_frames"))
 
 
 def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,22 @@ def test_what_is_kept_is_not_moved_again(spark, monkeypatch):
     moved = [plan.count("Exchange hashpartitioning(device") for label, plan in plans if label == "joint"]
     assert moved[1:] == [1, 1, 1]
     assert len([1 for label, _ in plans if label == "addresses"]) == 4 + 3
+
+
+def test_a_part_that_lies_by_address_is_not_moved(spark, monkeypatch):
+    """Counting it exchanges nothing, and changes go to their device before anything is added up."""
+    plans, write = {}, upkeep.stash_by
+
+    def noted(df, column, label, **more):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, column, label, **more)
+
+    rows = spark.createDataFrame([(f"m{k % 5}", "f", "abc"[k % 3], k % 4) for k in range(40)], "mac string, field string, value string, n_frames int")
+    labels = spark.createDataFrame([("m1", "d1"), ("m2", "d1")], "mac string, device string")
+    lying, own = write(rows.repartition("mac"), "mac", "rows", ordered=False), labels.where("false")
+    monkeypatch.setattr(upkeep, "stash_by", noted)
+    state = upkeep.update(upkeep.update(upkeep.empty(spark), lying, own, placed=True), lying, labels, placed=True)
+    assert "Exchange" not in plans["addresses"]
+    assert "Aggregate" not in plans["joint"].split("Exchange hashpartitioning(device")[1]
+    both = rows.union(rows).join(labels, "mac", "left").selectExpr("coalesce(device, mac) AS device", "mac", "field", "value", "n_frames")
+    assert rounded(state.joint.select("field", "device", "value", "n")) == rounded(observe.joint_counts(both))
