@@ -32,6 +32,7 @@ SHARD = 20_000  #: fingerprints in a tree at most
 SLICE = 200_000  #: rows of whole shards that a task holds at once
 FRONT = 250_000  #: (query, node) pairs in work at once
 COMPARED = 500_000  #: shingles compared at once
+MAPPED = 1_000_000  #: words of bit maps compared at once
 STEP = 1_000  #: rows taken from a batch at once, which bounds what is held beyond SETS
 SETS = 2_000_000  #: shingles of a shard's piece at most, and of the whole shards that a task holds at once
 
@@ -136,7 +137,7 @@ class Sets:
 
     def __init__(self, sizes: np.ndarray, values: np.ndarray, least: tuple[int, int] | None = None):
         self.sizes, self.values, self.starts = sizes, values, np.cumsum(sizes) - sizes
-        self.least = least or SIMILAR
+        self.least, self.maps = least or SIMILAR, None
         self.all = np.sort(values ^ self._salt(np.repeat(np.arange(len(sizes)), sizes)))
 
     @staticmethod
@@ -155,11 +156,38 @@ class Sets:
         up, down = self.least
         return common * (up + down) >= up * (n + self.sizes[many])
 
-    def link(self, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-        """``union`` of the similar pairs; those that others link meanwhile are not compared."""
+    def _mapped(self) -> np.ndarray:
+        """A row of bits for each set, one of them set by each shingle: about four times as many as the mean set has shingles."""
+        words = 1 << max(0, int(self.sizes.sum() // max(1, len(self.sizes)) * 4 - 1).bit_length() - 6)
+        maps = np.zeros((len(self.sizes), words), dtype=np.uint64)
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        at = ((self.values >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64)
+        np.bitwise_or.at(maps, (row, at), np.uint64(1) << (self.values & np.uint64(63)))
+        return maps
+
+    def able(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sizes and bits leave room for enough common shingles: a bit of one side only stands for a shingle of that side only."""
         up, down = self.least
         x, y = self.sizes[a], self.sizes[b]
-        able = down * np.minimum(x, y) >= up * np.maximum(x, y)
+        found = down * np.minimum(x, y) >= up * np.maximum(x, y)
+        if not found.any():
+            return found
+        if self.maps is None:
+            self.maps = self._mapped()
+        left, step = np.flatnonzero(found), max(1, MAPPED // self.maps.shape[1])
+        for k in range(0, len(left), step):
+            at = left[k : k + step]
+            p, q = self.maps[a[at]], self.maps[b[at]]
+            only = [np.bitwise_count(u & ~v).sum(axis=1, dtype=np.int64) for u, v in ((p, q), (q, p))]
+            most = np.minimum(x[at] - only[0], y[at] - only[1])
+            found[at] = most * (up + down) >= up * (x[at] + y[at])
+        return found
+
+    def link(self, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """``union`` of the similar pairs; those that others link meanwhile are not compared."""
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        able = self.able(a, b)
         a, b = a[able], b[able]
         while len(a):
             apart = label[a] != label[b]

@@ -222,6 +222,29 @@ def test_large_groups_are_verified_in_pieces(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found} == label and len(set(label.values())) > 1
 
 
+def test_few_pairs_of_a_group_are_compared_by_their_sets(monkeypatch):
+    """Texts that one tree proposes to one another, but which share less than is asked for: bits rule nearly all pairs out, and none that is similar."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base, sets = rng.integers(0, 1 << 63, 300, dtype=np.uint64), []
+    for k in range(150):  # families of near copies, of which every other one is alone
+        own = rng.integers(0, 1 << 63, 20 + 3 * (k % 40), dtype=np.uint64)
+        sets += [np.unique(np.r_[base[len(own) :], own, own[: c % 5] + np.uint64(1)]) for c in range(1 + k % 2)]
+    prints = np.array([simhash.wide_fingerprint(h)[0] for h in sets])
+    sizes, values, n = np.array([len(h) for h in sets]), np.concatenate(sets), len(sets)
+    alike = np.array([[5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]).sum(axis=2) <= simhash.NEAR
+    label, compared, similar = np.arange(n), [], simhash.Sets.similar
+    simhash.union(label, *np.nonzero(alike & near))
+    monkeypatch.setattr(simhash.Sets, "similar", lambda self, a, b: compared.append(len(a)) or similar(self, a, b))
+    found = np.arange(n)
+    simhash.union(found, *simhash.shard_links(np.zeros(n, np.int64), prints, np.full(n, 3), simhash.NEAR, sizes, values))
+    assert 0 < sum(compared) < (near.sum() - n) // 20 and (found == label).all() and 1 < len(set(label)) < n
+    able = simhash.Sets(sizes, values).able(*np.nonzero(np.ones((n, n), bool))).reshape(n, n)
+    assert able[alike].all()
+
+
 def test_null_and_repeated_ids_lose_no_document(spark):
     text = lambda c, n=40: " ".join(f"{c}{j}" for j in range(n))
     x, y = text("x"), text("y")
