@@ -12,14 +12,18 @@ All functions take and return rows of any number of scenarios, which are worked
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from etherloom.sources.storage import stash
 
+from . import matrix as matrix_
 from .ordering import numbered
 
 BLOCK = 2000  #: distances of an address that are listed together
@@ -94,6 +98,109 @@ def grouped_reach_edges(matrix: DataFrame, members: DataFrame, core: DataFrame)
     return pairs.select("scenario", "i", "j", "weight").unionByName(ends)
 
 
+def _block_distances(one: pa.Table, other: pa.Table, specs: Mapping, places: int | None) -> np.ndarray:
+    """Distances of all pairs of two blocks, from the side of the lesser address."""
+    a, b = (x.column("texts").to_pylist() for x in (one, other))
+    there, back, _ = matrix_.whole_distances(a, b, specs, [matrix_.own_weights(specs)], places)
+    if there is back:
+        return there[0]
+    i, j = (x.column("key").to_numpy() for x in (one, other))
+    return np.where(i[:, None] <= j[None, :], there[0], back[0])
+
+
+def _blocks(groups: DataFrame, blocks: int | None) -> int:
+    n, chars = groups.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json("texts"))), F.lit(0))).first()
+    return blocks or max(1, min(n, max(matrix_.SPREAD, -(-max(n, chars // matrix_.CHARS) // BLOCK))))
+
+
+def profile_core_distances(groups: DataFrame, specs: Mapping, min_samples: int = 2, places: int | None = None, blocks: int | None = None) -> DataFrame:
+    """``key, core`` as ``grouped_core_distances``, without a matrix: blocks of profiles pass on the least few distances of each.
+
+    ``groups``: ``key, texts, times``: the least of the addresses of a profile, its values as ``matrix.whole_profiles`` has
+    them, and how many addresses it has. Distances are rounded to ``places``, if given.
+    """
+    count, kind = _blocks(groups, blocks), dict(groups.dtypes)["key"]
+
+    def nearest(d: np.ndarray, times: np.ndarray) -> np.ndarray:
+        at = np.argpartition(d, min(min_samples, d.shape[1]) - 1, axis=1)[:, :min_samples]
+        again = np.arange(min_samples)[None, None, :] < times[at][:, :, None]
+        found = np.where(again, np.take_along_axis(d, at, 1)[:, :, None], np.inf).reshape(len(d), -1)
+        return np.sort(found, axis=1)[:, :min_samples]
+
+    def work(keys, one, other):
+        d = _block_distances(one, other, specs, places)
+        for side, m, against in ((one, d, other), (other, d.T, one))[: 1 if one is other else 2]:
+            yield {"key": side.column("key").combine_chunks(), "least": pa.array(list(nearest(m, against.column("times").to_numpy())))}
+
+    found = matrix_.in_blocks(groups.select("key", "texts", "times"), [], count, f"key {kind}, least array<double>", work)
+    least = found.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("least"))), 1, min_samples).alias("least"))
+    core = F.get("least", F.lit(min_samples - 1))
+    return least.select("key", F.when(core < float("inf"), core).alias("core"))
+
+
+def _block_tree(d: np.ndarray, i: np.ndarray, j: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """The least spanning tree, by (weight, lesser, greater), of the edges between two blocks or within one, as pairs of places in them.
+
+    ``i`` and ``j`` tell the order of the addresses of both sides.
+    """
+    n = len(i)
+    rank = i if same else np.r_[i, j]
+    rows = d if same else [*d, *np.ascontiguousarray(d.T)]
+    span = int(rank.max()) + 1
+    weight, edge, above = np.full(len(rank), np.inf), np.full(len(rank), np.iinfo(np.int64).max), np.zeros(len(rank), dtype=np.int64)
+    out = np.ones(len(rank), dtype=bool)
+    found, at = [], 0
+    out[0] = False
+    for _ in range(len(rank) - 1):
+        sides = slice(None) if same else slice(n, None) if at < n else slice(0, n)
+        w, r = rows[at], rank[sides]
+        e = np.minimum(r, rank[at]) * span + np.maximum(r, rank[at])
+        nearer = out[sides] & ((w < weight[sides]) | (w == weight[sides]) & (e < edge[sides]))
+        weight[sides][nearer], edge[sides][nearer], above[sides][nearer] = w[nearer], e[nearer], at
+        live = np.where(out, weight, np.inf)
+        ties = np.flatnonzero(out & (live == live.min()))
+        at = int(ties[np.argmin(edge[ties])])
+        out[at] = False
+        found.append((int(above[at]), at) if same or above[at] < at else (at, int(above[at])))
+    return found
+
+
+def profile_edges(groups: DataFrame, members: DataFrame, specs: Mapping, places: int | None = None, blocks: int | None = None) -> DataFrame:
+    """``i, j, weight``: edges among which are those of the spanning tree of all addresses, without a matrix.
+
+    ``groups`` has ``key, texts, times, core``, ``members`` ``mac, first``. An edge of the whole tree is in the tree of any
+    part of the edges that has it, so two blocks pass on only the tree of the edges between them, and a block that of its own.
+
+    Of a profile's addresses only the least one has other edges than one: all lie as far from the least address h of any
+    profile, their own too, and h is linked to their own least address by a lesser edge; so of two such edges of an
+    address the greater one closes a circle in which it is the last. The least one leads to the least (weight, h).
+    """
+    count, kind = _blocks(groups, blocks), dict(groups.dtypes)["key"]
+
+    def work(keys, one, other):
+        i, j = (x.column("key").combine_chunks() for x in (one, other))
+        core = [x.column("core").to_numpy() for x in (one, other)]
+        w = np.fmax(_block_distances(one, other, specs, places), np.fmax(core[0][:, None], core[1][None, :]))
+        order = pa.compute.rank(pa.concat_arrays([i] if one is other else [i, j]), tiebreaker="dense").to_numpy().astype(np.int64)
+        same = one is other
+        tree = np.array(_block_tree(w, order[: len(i)], order if same else order[len(i) :], same), dtype=np.int64).reshape(-1, 2)
+        if not same:
+            tree[:, 1] -= len(i)
+        a, b = tree[:, 0], tree[:, 1]
+        yield {"i": i.take(pa.array(a)), "j": j.take(pa.array(b)), "weight": w[a, b], "star": np.zeros(len(a), bool)}
+        for side, hubs, m in ((other, i, w), (one, j, w.T))[: 1 if same else 2]:
+            several = np.flatnonzero(side.column("times").to_numpy() > 1)
+            at = np.argmin(m, axis=0)[several]  # rows are in the order of their addresses: the least of equal ones
+            yield {"i": side.column("key").combine_chunks().take(pa.array(several)), "j": hubs.take(pa.array(at)), "weight": m[at, several], "star": np.ones(len(several), bool)}
+
+    found = matrix_.in_blocks(groups.select("key", "texts", "times", "core"), [], count, f"i {kind}, j {kind}, weight double, star boolean", work)
+    found = stash(found, "block-edges")
+    edge = lambda a, b: (F.least(a, b).alias("i"), F.greatest(a, b).alias("j"), "weight")
+    stars = found.where("star").groupBy(F.col("i").alias("first")).agg(F.min(F.struct("weight", F.col("j").alias("hub"))).alias("x"))
+    ends = members.where("mac <> first").join(stars.select("first", "x.hub", "x.weight"), "first")
+    return found.where("NOT star").select(*edge("i", "j")).unionByName(ends.select(*edge("hub", "mac")))
+
+
 def _roots(parents: DataFrame) -> DataFrame:
     """``scenario, node, root`` by pointer jumping: as many rounds as the logarithm of the longest way to a root."""
     now = stash(parents.select("scenario", "node", F.col("up").alias("root"), F.lit(True).alias("moved")), "jump")

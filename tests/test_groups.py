@@ -67,3 +67,73 @@ def test_prefixes_beyond_four_digits(spark):
     frames = spark.range(65540).select(F.col("id").alias("ord"), F.col("id").alias("src"))
     last = lambda **x: {r["mac"] for r in observe.pseudonyms(frames, **x).where("src = 65537").collect()}
     assert last() == {"02:00:02:00:00:01"} and last(leading=True) == {"02:10:00:00:00:01"}
+
+
+#: values of each kind: of several lengths, several to a profile, none, odd ones
+ODD = {
+    "hex_bit": ["0x0f", "0xff", "0x00ff", "0x", "0xzz", "7", "0x0123456789abcdef01", "0xf123456789abcdef01"], "ie_list": list("abca"), "data_rates": list("abcd"),
+    "ext_tag": ['{"1":"0x0f"}', '{"1":"0xff","2":"abc"}', '{"2":"0x","3":null}', "[", "{}", '{"1":"123456789abc","3":"0x1"}'],
+    "vendor_spec": ['{"u":{"x":"0x0f"}}', '{"u":{"x":"ff1","y":"0x"},"w":{}}', '{"w":{"x":"0x1"}}', '{"u":null}', "no"],
+    "rssi_time": ["-40|10", "-43|12.5", "-50|2", "-41|30"],
+}
+
+
+def by_columns(prof, specs):
+    """field -> (i, j) -> unit distance by the column expressions, from the side of i, a row for each pair."""
+    side = lambda c: prof.select("field", F.col("mac").alias(c), matrix.taken_apart(F.col("values"), F.col("field"), specs).alias(f"of_{c}"))
+    pairs = side("i").join(side("j"), "field").select("field", "i", "j", matrix.unit_distance(specs, F.col("field"), F.col("of_i"), F.col("of_j")).alias("unit"))
+    found = {f: {} for f in specs}
+    for r in pairs.collect():
+        found[r["field"]][r["i"], r["j"]] = r["unit"]
+    return found
+
+
+@pytest.mark.parametrize("cells", [2000, 3])
+def test_blocks_measure_as_columns_do(spark, monkeypatch, cells):
+    draw = random.Random(7)
+    monkeypatch.setattr(matrix.blocks_, "CELLS", cells)
+    specs = {k: matrix.Spec(k, tuple(0.5 + 0.25 * w for w in range(matrix.SEVERAL.get(k, 1))), 0.75) for k in ODD}
+    rows = [(k, m, [(v, 1 + (m + len(v)) % 3) for v in (draw.sample(odd, draw.randrange(4)) if m else [])]) for k, odd in ODD.items() for m in range(14) if m != 5 or k == "hex_bit"]
+    prof = spark.createDataFrame(rows, "field string, mac long, values array<struct<v:string,n:bigint>>")
+    wanted = by_columns(prof, specs)
+    near = lambda x: None if x is None else pytest.approx(x, abs=1e-12)
+    texts = {(r["field"], r["mac"]): r["t"] for r in prof.select("field", "mac", matrix._text(F.col("values"), F.col("field"), specs).alias("t")).collect()}
+    for k, spec in specs.items():
+        macs = sorted(m for f, m in texts if f == k)
+        got = matrix.blocks_.unit([texts[k, m] for m in macs], [texts[k, m] for m in macs], spec, matrix._missing(spec))
+        assert {(i, j): None if got[a, b] != got[a, b] else got[a, b] for a, i in enumerate(macs) for b, j in enumerate(macs)} == {p: near(x) for p, x in wanted[k].items()}
+    units = {(r["field"], r["i"], r["j"]): r["unit"] for r in matrix.unit_distances(prof, specs, both=True, places=6).collect()}
+    rounds = by_columns(prof, specs)
+    assert units == {(f, *p): None if x is None else pytest.approx(x, abs=5.1e-7) for f, of in rounds.items() for p, x in of.items()}
+
+
+def test_halves_are_rounded_as_spark_does(spark):
+    import numpy as np
+
+    xs = [0.0078125, -0.0078125, 0.0234375, 1.0000005, 0.1234565, 2.5, -1e-9, 1 / 3, 175 / 64, 1e6 + 1 / 128]
+    wanted = [r["x"] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(F.round("x", 6).alias("x")).collect()]
+    assert matrix.blocks_.rounded(np.array(xs), 6).tolist() == wanted
+
+
+@pytest.mark.parametrize("blocks, k", [(1, 2), (7, 2), (4, 3), (40, 1)])
+def test_cores_and_tree_of_blocks_equal_those_of_the_matrix(spark, blocks, k):
+    specs = {"HEX": matrix.Spec("hex_bit", (2.0,), 0.5), "TAGS": matrix.Spec("ie_list", (0.5,))}
+    prof = profiles_of(spark, 60)
+    odd = prof.where("mac = 7 AND field = 'TAGS'").select(F.lit("HEX").alias("field"), F.expr("array(named_struct('v', '0x', 'n', 1L))").alias("values"))
+    more = [prof.where("mac < 20").withColumn("mac", 500 - 7 * F.col("mac")), odd.select(F.explode(F.array(*[F.lit(m).cast("long") for m in (90, 3000, 4000)])).alias("mac"), "field", "values")]
+    for x in more:
+        prof = prof.unionByName(x)
+    members = matrix.representatives(prof, specs)
+    few = matrix.of_representatives(prof, members)
+    small = matrix.mac_distances(few, specs, places=6).select(F.lit("s").alias("scenario"), "i", "j", "distance")
+    named = members.select(F.lit("s").alias("scenario"), "mac", "first")
+    core = density.grouped_core_distances(small, named, k)
+    times = members.groupBy(F.col("first").alias("key")).agg(F.count("*").alias("times"))
+    groups = matrix.whole_profiles(few, specs).withColumnRenamed("mac", "key").join(times, "key")
+    own = density.profile_core_distances(groups, specs, k, 6, blocks)
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=repr)
+    assert rows(members.join(own.withColumnRenamed("key", "first"), "first"), "mac", "core") == rows(core, "mac", "core")
+    edges = density.profile_edges(groups.join(own, "key"), members, specs, 6, blocks)
+    tree = lambda e: rows(density.spanning_tree(e), "i", "j", "weight")
+    found = tree(edges.select(F.lit("s").alias("scenario"), "i", "j", "weight"))
+    assert found == tree(density.grouped_reach_edges(small, named, core)) and len(found) == members.count() - 1
